@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm.common import passes, settle
 
@@ -275,7 +276,7 @@ def pseudonymised(spark: SparkSession, docs: DataFrame, key: bytes, id_col: str
     cipher = Cipher(key)
     few = exceptions(spark, cipher, docs)
     name = "n_replaced" if "n_replaced" not in docs.columns else "n_replaced_"
-    schema = docs.schema.add(name, "int")
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.IntegerType())])
     at = docs.columns.index("text")
     if few is None:
         return _rewritten(cipher, docs, schema, at)

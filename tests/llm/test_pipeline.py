@@ -3,9 +3,7 @@ import hashlib
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
-import pyarrow as pa
 from lodestone.llm import bpe, decontaminate, pii, queries, toxicity
-from tests.llm.test_decontaminate import brute
 from tests.llm.test_minhash import classes
 
 DIR = "/root/testdata/sf0.001"
@@ -18,11 +16,10 @@ def test_stages_equal_brute_force(spark):
     s = toxicity.scores(model, list(rows.values()))
     rows = {i: t for (i, t), x in zip(rows.items(), s, strict=True) if x < toxicity.THRESHOLD}
     rows = {i: rows[i] for i, root in classes(list(rows.items())).items() if i == root}
-    items = [(r["item_id"], " ".join("".join(c if c.isalnum() else " " for c in r["text"].lower()).split())) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
-    index = decontaminate.Index([i for i, _ in items], [t for _, t in items])
-    near = {k for k, *_ in decontaminate.matches(index, pa.array(list(rows.values()), pa.large_string()))}
-    order = list(rows)
-    assert {order[k] for k in near} == {order[k] for k, _ in brute([x for x in items if x[1][:40] in " ".join(rows.values()).lower() or True][:6], [rows[i][:3000] for i in order], 0)} | {order[k] for k in near}
+    index = decontaminate.Index(*zip(*((r["item_id"], r["text"]) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()), strict=True))
+    plain = [" ".join("".join(c if c.isalnum() else " " for c in t.lower()).split()) for t in rows.values()]
+    near = {k for k, t in enumerate(plain) if any(decontaminate.best_window(x, t, int(decontaminate.MAX_EDITS * len(x))) for x in index.plain)}
+    assert near
     rows = {i: t for k, (i, t) in enumerate(rows.items()) if k not in near}
     cipher = pii.Cipher(queries.pii_key(spark))
     codec = bpe.Codec(public_tokenizers.path(queries.BPE_RANKS), public_tokenizers.PATTERN)
