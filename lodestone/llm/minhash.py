@@ -4,11 +4,12 @@ components, in order of time, until none can lower a component any more. Equal c
 estimate of the weighted Jaccard similarity. Bands of components give candidates; the true overlap of the multisets
 decides.
 
-Scale: texts are read twice (signatures; texts of candidates). Exact copies collapse to one representative before any
-pairing. In a bucket every member meets the bucket's first member only (a star), so a hot bucket costs its size, not
-its square; after these links are joined to components, the members that the stars left outside the bucket's
-largest component meet the rest, behind a bound on the distance of their signatures. Hot buckets and leaders are
-split (salted, or by the skew handling of adaptive joins)."""
+Scale: texts are read twice: for signatures, and for the texts of candidates, which a Bloom filter of bounded size picks
+before any shuffle. Exact copies collapse to one representative before any pairing. In a bucket every member meets the
+bucket's first member only (a star), so a hot bucket costs its size, not its square. After these links are joined to
+components, the members that the stars left outside a bucket's largest component meet the others in cells of bounded
+size, behind a bound on the distance of their signatures; members that the cell has already joined are not compared
+again. Hot buckets and leaders are split (cells, salt, or the skew handling of adaptive joins)."""
 
 from __future__ import annotations
 
@@ -30,6 +31,11 @@ BANDS, ROWS = 24, 5
 PRINTS = math.ceil(BANDS * ROWS * 4 / 64)
 #: Pairs of one leader that one task verifies.
 LEADER_CHUNK = 512
+#: Members of a bucket in one side of a cell, about.
+CELL = 512
+#: Bits of the filter that picks candidates' texts: 16 for each candidate, and this many at most (beyond, more texts are
+#: shuffled than needed, and the result is the same).
+MOST_BITS = 1 << 26
 
 _SIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -146,11 +152,52 @@ def far_bound(threshold: float) -> int:
     return math.ceil(m * 2 * miss + 5 * math.sqrt(m * (5 * miss - (2 * miss) ** 2)))
 
 
+def overlap_enough(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], threshold: float) -> bool:
+    """Whether two multisets (sorted values, counts) have the similarity asked for; exact."""
+    (v, c), (w, d) = (a, b) if len(a[0]) <= len(b[0]) else (b, a)
+    if not len(v):
+        return False
+    place = np.minimum(np.searchsorted(w, v), len(w) - 1)
+    both = int(np.minimum(np.where(w[place] == v, d[place], 0), c).sum())
+    return both >= threshold * (int(c.sum()) + int(d.sum()) - both) - 1e-9
+
+
+def picked(spark: SparkSession, texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts (id, text) of some ids, and of few others, one row for each id: a Bloom filter over the ids' hashes."""
+    n = ids.count()
+    bits = min(MOST_BITS, max(1 << 16, 1 << (16 * n).bit_length()))
+
+    def places(h: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return np.concatenate([mixed(h.view(np.uint64) + np.uint64(k) * _SIX) & np.uint64(bits - 1) for k in range(1, 5)]).reshape(4, -1)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(bits, bool)
+        for batch in batches:
+            out[places(batch.column(0).to_numpy())] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(out).tobytes()], pa.binary())], ["bits"])
+
+    whole = np.zeros(bits // 8, np.uint8)
+    for row in ids.select(F.xxhash64("id").alias("h")).coalesce(8).mapInArrow(build, "bits binary").toLocalIterator():
+        whole |= np.frombuffer(row["bits"], np.uint8)
+    shared = spark.sparkContext.broadcast(whole)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.unpackbits(shared.value).view(bool)
+        for batch in batches:
+            yield batch.select(["id", "text"]).filter(pa.array(own[places(batch.column(2).to_numpy())].all(axis=0)))
+
+    kind = texts.schema["id"].dataType.simpleString()
+    some = texts.where("id is not null").select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(pick, f"id {kind}, text string")
+    return some.groupBy("id").agg(F.first("text").alias("text"))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """Those of (id, leader) whose multisets of shingles overlap enough. The text of a leader is sent once for each
     LEADER_CHUNK of its pairs, the text of a member once for each pair; a task holds one leader's shingles."""
     chunks = pairs.groupBy("leader").agg(F.ceil(F.count("*") / LEADER_CHUNK).alias("chunks"))
     salted = pairs.join(chunks, "leader").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("chunks")))
+    docs = docs.hint("merge")  # texts move in the same way at every size
     members = salted.select("leader", "salt", F.lit(1).alias("member"), "id").join(docs, "id")
     leaders = chunks.select("leader", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("salt"), F.lit(0).alias("member"), F.col("leader").alias("id")).join(docs, "id")
     rows = leaders.unionByName(members).select("leader", "salt", "member", "id", "text").repartition("leader", "salt").sortWithinPartitions("leader", "salt", "member")
@@ -172,9 +219,7 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
                         continue
                     if now != (leads[i], salts[i]) or not len(v) or not len(head):
                         continue
-                    place = np.minimum(np.searchsorted(head, v), len(head) - 1)
-                    both = int(np.minimum(np.where(head[place] == v, bag[place], 0), c).sum())
-                    if both >= threshold * (int(c.sum()) + int(bag.sum()) - both) - 1e-9:
+                    if overlap_enough((head, bag), (v, c), threshold):
                         kept.append((ids[i], leads[i]))
                 if kept:
                     yield pa.RecordBatch.from_arrays([pa.array([k[j] for k in kept], part.column(0).type) for j in (0, 1)], ["id", "leader"])
@@ -201,6 +246,87 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         before = now
 
 
+def late_links(members: DataFrame, roots: DataFrame, wide: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (id, leader) that the stars missed: in each bucket with more than one component, members outside the
+    largest one against each other and against it. Members are dealt by hash into blocks of about CELL, and each pair
+    of blocks that holds such members is a cell of its own; a bucket whose members lie in one component makes none."""
+    placed = members.join(roots, "id", "left").select("band", "bucket", "id", F.coalesce("root", "id").alias("root"))
+    sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"), F.count("*").alias("roots")).where("roots > 1")
+    blocks = lambda n: F.ceil(n / CELL).cast("bigint")
+    shape = main.select("bucket", "main", blocks(F.col("n") - F.col("most")).alias("minor"), blocks(F.col("most")).alias("major"))
+    split = placed.join(shape, "bucket").withColumn("outside", F.col("root") != F.col("main"))
+    block = F.pmod(F.xxhash64("id"), F.when(F.col("outside"), F.col("minor")).otherwise(F.col("major")))
+    count = lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
+    cells = F.when(
+        F.col("outside"),
+        F.concat(F.transform(count(F.col("minor")), lambda j: F.struct(F.least(j, F.col("block")).alias("a"), F.greatest(j, F.col("block")).alias("b"))), F.transform(count(F.col("major")), lambda j: F.struct(F.col("block").alias("a"), (j + F.col("minor")).alias("b")))),
+    ).otherwise(F.transform(count(F.col("minor")), lambda j: F.struct(j.alias("a"), (F.col("block") + F.col("minor")).alias("b"))))
+    rows = split.withColumn("block", block).select("band", "bucket", "id", "root", "outside", F.explode(cells).alias("cell")).select("band", "bucket", "cell.a", "cell.b", "id", "root", "outside")
+    rows = rows.join(wide, "id").join(texts.hint("merge"), "id").repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
+    kind, limit = members.schema["id"].dataType.simpleString(), far_bound(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, band, cell, form = None, 0, [], None
+
+        def compared() -> pa.RecordBatch:
+            kept = joined(cell, band, limit, threshold)
+            return pa.RecordBatch.from_arrays([pa.array([k[j] for k in kept], form) for j in (0, 1)], ["id", "leader"])
+
+        for batch in batches:
+            for part, some in passes(batch, "text"):
+                text, value, count, _ = shingles(some)
+                at = np.searchsorted(text, np.arange(len(some) + 1))
+                names = part.schema.names
+                column = {c: part.column(names.index(c)).to_pylist() for c in ("band", "bucket", "a", "b", "id", "root", "outside")}
+                words = np.stack([part.column(names.index(f"p{i}")).to_numpy() for i in range(PRINTS)], axis=1).view(np.uint64)
+                bands = part.column(names.index("bands")).flatten().to_numpy().reshape(-1, BANDS)
+                form = part.schema.field("id").type
+                for i in range(len(some)):
+                    key = (column["bucket"][i], column["a"][i], column["b"][i])
+                    if key != now:
+                        if len(cell) > 1:
+                            yield compared()
+                        now, band, cell = key, column["band"][i], []
+                    cell.append((column["id"][i], column["root"][i], column["outside"][i], words[i], (value[at[i] : at[i + 1]], count[at[i] : at[i + 1]]), bands[i]))
+        if len(cell) > 1:
+            yield compared()
+
+    return rows.mapInArrow(run, f"id {kind}, leader {kind}").distinct()
+
+
+def joined(cell: list[tuple], band: int, limit: int, threshold: float) -> list[tuple]:
+    """Links that join the components of a cell: members outside the main one against all, nearest prints first, without
+    pairs that are joined already, or whose first common band is another (its bucket compares them)."""
+    up: dict = {}
+
+    def find(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    all_prints, all_bands = np.stack([c[3] for c in cell]), np.stack([c[5] for c in cell])
+    out = []
+    for i, (id_, root, outside, own, bag, _) in enumerate(cell):
+        if not outside:
+            continue
+        far = np.bitwise_count(all_prints ^ own).sum(axis=1)
+        near = np.flatnonzero(far <= limit)
+        if not len(near):
+            continue
+        common = (all_bands[near] == all_bands[i]).argmax(axis=1)
+        near = near[common == band]
+        for j in near[np.argsort(far[near], kind="stable")].tolist():
+            other = cell[j]
+            if (other[2] and j <= i) or find(root) == find(other[1]):
+                continue
+            if overlap_enough(bag, other[4], threshold):
+                out.append((id_, other[0]))
+                a, b = sorted((find(root), find(other[1])))
+                up[b] = a
+    return out
+
+
 def groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: id, class_id (the smallest id of the document's group; its own where it has no
     duplicate), n_shingles.
@@ -213,9 +339,9 @@ def groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
     same = prints_.where("weight > 0 and id is not null").groupBy("d1", "d2", "weight").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("bands", *bound)))
     same = settle(spark, same, "classes")
 
-    spread = same.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))
+    spread = same.select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "bucket"))
     busy = settle(spark, spread.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1"), "buckets")
-    members = settle(spark, spread.join(busy, "bucket").select("bucket", "id", "leader"), "members")
+    members = settle(spark, spread.join(busy, "bucket").select("band", "bucket", "id", "leader"), "members")
     wide = same.select(F.col("rep").alias("id"), *bound)
 
     def near(pairs: DataFrame) -> DataFrame:
@@ -225,20 +351,10 @@ def groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
         return pairs.join(left, "id").join(right, "leader").where(far <= far_bound(threshold)).select("id", "leader")
 
     stars = settle(spark, near(members.where("id <> leader").select("id", "leader").distinct()), "stars")
-    texts = narrow.where("id is not null").select("id", "text")
-    links = settle(spark, verified(stars, _of(texts, stars), threshold), "links")
+    texts = settle(spark, picked(spark, narrow, members.select("id").distinct()), "texts")
+    links = settle(spark, verified(stars, texts, threshold), "links")
     roots = components(spark, links)
-
-    # What the stars left apart: in each bucket, members outside its most frequent component against all others.
-    placed = members.where("id <> leader").join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
-    sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
-    split = settle(spark, placed.join(main, "bucket").join(wide, "id"), "split")
-    other = split.select("bucket", F.col("id").alias("leader"), F.col("root").alias("root2"), F.col("main").alias("main2"), *(F.col(c).alias(f"q{c}") for c in bound))
-    far = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"q{c}"))) for c in bound[1:]), F.bit_count(F.col(bound[0]).bitwiseXOR(F.col(f"q{bound[0]}"))))
-    apart = split.where("root <> main").alias("a").join(other, "bucket").where((F.col("root") != F.col("root2")) & ((F.col("root2") == F.col("main2")) | (F.col("id") > F.col("leader"))) & (far <= far_bound(threshold)))
-    rest = settle(spark, apart.select("id", "leader").distinct(), "rest")
-    late = settle(spark, verified(rest, _of(texts, rest), threshold), "late")
+    late = settle(spark, late_links(members.where("id <> leader").select("band", "bucket", "id"), roots, same.select(F.col("rep").alias("id"), "bands", *bound), texts, threshold), "late")
     if not late.isEmpty():
         roots = components(spark, roots.select("id", F.col("root").alias("leader")).unionByName(late))
 
@@ -247,12 +363,6 @@ def groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
     return out.select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"), F.col("weight").alias("n_shingles"))
 
 
-def _of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The texts that pairs name, one row for each id."""
-    named = pairs.select(F.explode(F.array("id", "leader")).alias("id")).distinct()
-    return texts.join(named, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
-
-
 def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Documents with one row left of each group: the one with the smallest doc_id. Rows with a null doc_id stay."""
     found = settle(spark, groups(spark, docs).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("class_id").alias("class_id")), "groups")
