@@ -107,10 +107,8 @@ def scanned(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id") -> Dat
     table = known(spark)
     lines = docs.select(F.col(id_col), canonical_lines(F.col("text")).alias("__lines"))
     ready = lines.select(id_col, digest(whole_form(F.col("__lines"))).alias("digest"), F.split("__lines", "\n").alias("__all"))
-    by_digest = F.map_from_entries(F.collect_list(F.struct("digest", "license"))).alias("__known")
-    lookup = table.agg(by_digest)
-    ready = ready.crossJoin(F.broadcast(lookup))  # one row, of the fixed table
-    found = F.filter(F.transform(F.filter("__all", lambda x: F.length(F.trim(x)).between(10, 4000)), lambda x: F.element_at(F.col("__known"), digest(F.trim(x)))), lambda x: x.isNotNull())
+    by_digest = F.create_map(*(F.lit(x) for r in table.collect() for x in (r["digest"], r["license"])))  # of the fixed table
+    found = F.filter(F.transform(F.filter("__all", lambda x: F.length(F.trim(x)).between(10, 4000)), lambda x: F.try_element_at(by_digest, digest(F.trim(x)))), lambda x: x.isNotNull())
     out = ready.join(F.broadcast(table), "digest", "left").select(id_col, "digest", "license", found.alias("__found"))
     return out.select(id_col, "digest", "license", F.size("__found").cast("bigint").alias("n_notices"), F.when(F.size("__found") > 0, F.array_join(F.array_sort(F.array_distinct("__found")), ",")).alias("notices"))
 

@@ -26,7 +26,9 @@ from lodestone.llm.common import passes
 
 LIMIT = 1024
 #: Distinct segments whose totals a worker keeps, and whose tables; then it starts anew (results do not depend on it).
-TOTALS, CACHE = 1 << 19, 1 << 15
+TOTALS, CACHE = 1 << 20, 1 << 15
+#: Prefixes of matches whose last tokens a worker keeps, and the bytes of the longest such match.
+STATES, STATE_BYTES = 1 << 19, 40
 
 
 def _byte_letters() -> dict[str, int]:
@@ -59,11 +61,12 @@ class Counter:
         self.pair_rank = {(as_bytes(a), as_bytes(b)): i for i, (a, b) in enumerate(merges)}
         self.tokens = {t for t in vocabulary if len(t) == 1 or t in self.parts}
         self.longest = max(map(len, self.tokens))
-        # Tokens by their last bytes: the lengths that a token ending so may have, longest first.
+        # Tokens by their last three bytes: the lengths that a token ending so may have, longest first.
         ends: dict[bytes, set[int]] = {}
         for t in self.tokens:
-            ends.setdefault(t[-2:], set()).add(len(t))
-        self.lengths = {k: sorted(v, reverse=True) for k, v in ends.items()}
+            ends.setdefault(t[-3:], set()).add(len(t))
+        self.lengths = {k: tuple(sorted(v | ({2} if k[-2:] in self.tokens else set()) | {1}, reverse=True)) for k, v in ends.items()}
+        self.state: dict[bytes, tuple[int, bytes]] = {b"": (0, b"")}  # of each prefix, its count and last token
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pattern = regex.compile(pattern)
@@ -94,7 +97,7 @@ class Counter:
         if got is None:
             if len(self.held) >= TOTALS:
                 self.held.clear()
-            got = self.held[a, b] = self.merge(a + b) == [a, b]
+            got = self.held[a, b] = self.merge(a + b) == ([a, b] if a else [b])
         return got
 
     def table(self, piece: bytes) -> list[int]:
@@ -103,14 +106,15 @@ class Counter:
         count, last = [0] * (n + 1), [b""] * (n + 1)
         held, holds, tokens, lengths = self.held, self.holds, self.tokens, self.lengths
         for i in range(1, n + 1):
-            for k in lengths.get(piece[max(0, i - 2) : i], ()) if i > 1 else (1,):
+            end = piece[max(0, i - 3) : i]
+            for k in lengths.get(end) or lengths.get(end[-2:]) or (1,):
                 if k > i:
                     continue
                 t = piece[i - k : i]
                 if t not in tokens:
                     continue
                 if k == i:
-                    if k > 1 and self.merge_of(t) != 1:
+                    if k > 1 and not self.alone(t):
                         continue
                 else:
                     before = last[i - k]
@@ -124,9 +128,46 @@ class Counter:
                 count[i], last[i] = count[i - 1] + 1, t
         return count
 
-    @functools.lru_cache(maxsize=1 << 16)  # noqa: B019
-    def merge_of(self, token: bytes) -> int:
-        return len(self.merge(token))
+    def last(self, piece: bytes) -> int:
+        """The number of tokens of a piece; the same table, kept by prefix, so that pieces with a common start share it."""
+        if len(piece) > STATE_BYTES:
+            return self.table(piece)[-1]
+        state, held, tokens, lengths = self.state, self.held, self.tokens, self.lengths
+        got = state.get(piece)
+        if got is not None:
+            return got[0]
+        if len(state) > STATES:
+            state.clear()
+            state[b""] = (0, b"")
+        n = len(piece)
+        i = n - 1
+        while piece[:i] not in state:
+            i -= 1
+        for j in range(i + 1, n + 1):
+            end = piece[max(0, j - 3) : j]
+            for k in lengths.get(end) or lengths.get(end[-2:]) or (1,):
+                if k > j:
+                    continue
+                t = piece[j - k : j]
+                if t not in tokens:
+                    continue
+                count, before = state[piece[: j - k]]
+                if k == j:
+                    if k > 1 and not self.alone(t):
+                        continue
+                else:
+                    ok = held.get((before, t))
+                    if not (self.holds(before, t) if ok is None else ok):
+                        continue
+                state[piece[:j]] = (count + 1, t)
+                break
+            else:
+                state[piece[:j]] = (state[piece[: j - 1]][0] + 1, piece[j - 1 : j])
+        return state[piece][0]
+
+    def alone(self, token: bytes) -> bool:
+        """Whether a token is the encoding of its own bytes."""
+        return self.holds(b"", token)
 
     # Segments ----------------------------------------------------------------------------------------------------
 
@@ -171,7 +212,11 @@ class Counter:
         if got is None:
             if len(self.totals) >= TOTALS:
                 self.totals.clear()
-            got = self.prefixes(segment)[-1]
+            word = segment[1:] if segment[0] == " " else segment
+            if word.isalpha():  # one match of the pattern
+                got = self.last(segment.encode("utf-8", "replace"))
+            else:
+                got = sum(self.last(p.encode("utf-8", "replace")) for p in self.pattern.findall(segment))
             if len(segment) <= 64:
                 self.totals[segment] = got
         return got
