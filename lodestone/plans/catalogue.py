@@ -1,33 +1,398 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries over the driver's tables, each with its SQL. A query is named after the operation that it shows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as T
+from lodestone.operators import ddl, graph, rules
+from lodestone.sources import sql_text
+
+_found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def coverage_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "documents").select("doc_id").join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
-    n = rows.agg(F.count("*").alias("total"), F.count_if(F.col("quality") == 1).alias("ok"), F.count_if(F.col("quality") == 0).alias("defect"), F.count_if(F.col("quality").isNull()).alias("unknown"))
-    return n.withColumn("coverage_ratio", F.try_divide(F.col("ok") + F.col("defect"), F.col("total"))).withColumn("accuracy_ratio", F.try_divide("ok", F.col("ok") + F.col("defect")))
+def query(sql: str | None = None):
+    def add(f):
+        _found[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"coverage_metrics": coverage_metrics}
+    return dict(_found)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "coverage_metrics": """
-select count(*) as total, count(*) filter (where quality = 1) as ok, count(*) filter (where quality = 0) as defect,
+    return dict(_sql)
+
+
+# Metrics ---------------------------------------------------------------------------------------------------------
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", "source").join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+
+
+def _counts(rows) -> DataFrame:
+    n = rows.agg(F.count("*").alias("total"), F.count_if(F.col("quality") == 1).alias("ok"), F.count_if(F.col("quality") == 0).alias("defect"), F.count_if(F.col("quality").isNull()).alias("unknown"))
+    return n.withColumn("coverage_ratio", F.try_divide(F.col("ok") + F.col("defect"), F.col("total"))).withColumn("accuracy_ratio", F.try_divide("ok", F.col("ok") + F.col("defect")))
+
+
+_COUNTS = """count(*) as total, count(*) filter (where quality = 1) as ok, count(*) filter (where quality = 0) as defect,
   count(*) filter (where quality is null) as unknown,
   (count(*) filter (where quality in (0, 1))) * 1.0 / nullif(count(*), 0) as coverage_ratio,
   (count(*) filter (where quality = 1)) * 1.0 / nullif(count(*) filter (where quality in (0, 1)), 0) as accuracy_ratio
 from documents left join labels using (doc_id)"""
-    }
+
+
+@query(f"select {_COUNTS}")
+def coverage_metrics(spark, sf_dir):
+    return _counts(_labelled(spark, sf_dir).groupBy())
+
+
+@query(f"select source, {_COUNTS} group by source")
+def coverage_metrics_by_source(spark, sf_dir):
+    return _counts(_labelled(spark, sf_dir).groupBy("source"))
+
+
+@query("""
+with c as (select source, count(*) filter (where quality = 1) as ok, count(*) filter (where quality = 0) as defect,
+  count(*) filter (where quality is null and doc_id % 97 = 0) as unknown from documents left join labels using (doc_id) group by source)
+select source, ok, defect, unknown, case when unknown = 0 and ok + defect > 0 and ok * 100 >= (ok + defect) * 85 then 'ready'
+  when unknown > 0 and defect > ok / 5 then 'blocked' else 'revise' end as decision from c""")
+def gate_decision_by_source(spark, sf_dir):
+    """Unknown checks that matter are the unlabelled documents of every ninety-seventh id; they block where defects are many."""
+    n = _labelled(spark, sf_dir).groupBy("source").agg(F.count_if(F.col("quality") == 1).alias("ok"), F.count_if(F.col("quality") == 0).alias("defect"), F.count_if(F.col("quality").isNull() & (F.col("doc_id") % 97 == 0)).alias("unknown"))
+    blocking = F.when((F.col("unknown") > 0) & (F.col("defect") > F.col("ok") / 5), 1).otherwise(0)
+    return n.withColumn("decision", rules.decision(F.col("ok"), F.col("defect"), F.col("unknown"), blocking))
+
+
+@query("select event_type, count(*) as n, count(*) filter (where value > 50) as large, min(ts) as first_ts, avg(value) as mean_value from events group by event_type")
+def event_state_counts(spark, sf_dir):
+    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("large"), F.min("ts").alias("first_ts"), F.avg("value").alias("mean_value"))
+
+
+@query("""select o_orderpriority, count(*) as tracked, count(distinct o_custkey) as pages,
+  count(*) filter (where o_orderstatus = 'F') as fresh, round(100.0 * (count(*) filter (where o_orderstatus = 'F')) / nullif(count(*), 0), 6) as fresh_percent
+from orders group by o_orderpriority""")
+def freshness_percent(spark, sf_dir):
+    n = read(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("tracked"), F.count_distinct("o_custkey").alias("pages"), F.count_if(F.col("o_orderstatus") == "F").alias("fresh"))
+    return n.withColumn("fresh_percent", F.round(F.try_divide(F.lit(100.0) * F.col("fresh"), F.col("tracked")), 6))
+
+
+@query("select user_id, count(*) * 1.0 / nullif(count(distinct event_type), 0) as mean_iterations, avg(case when event_type = 'error' or value > 90 then 1.0 else 0.0 end) as error_rate from events group by user_id")
+def mean_iterations(spark, sf_dir):
+    return read(spark, sf_dir, "events").groupBy("user_id").agg(F.try_divide(F.count("*"), F.count_distinct("event_type")).alias("mean_iterations"), F.avg(F.when((F.col("event_type") == "error") | (F.col("value") > 90), 1.0).otherwise(0.0)).alias("error_rate"))
+
+
+@query("""with d as (select count(*) as n from documents), s as (select count(*) as n from documents semi join labels using (doc_id)),
+ b as (select count(*) as n from (select text from documents group by text having count(*) > 1))
+select d.n as total, s.n as covered, 100.0 * s.n / nullif(d.n, 0) as covered_percent, b.n as repeated_texts from d, s, b""")
+def metrics_report(spark, sf_dir):
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("label", F.lit(1))
+    one = docs.select("doc_id").join(labels, "doc_id", "left").agg(F.count("*").alias("total"), F.count("label").alias("covered"), F.lit(1).alias("one"))
+    copies = docs.groupBy(F.sha2("text", 256).alias("digest")).count().where("count > 1").agg(F.count("*").alias("repeated_texts"), F.lit(1).alias("one"))
+    return one.join(copies, "one").select("total", "covered", F.try_divide(F.lit(100.0) * F.col("covered"), F.col("total")).alias("covered_percent"), "repeated_texts")
+
+
+# Hashes, identity, text -------------------------------------------------------------------------------------------
+
+
+@query("select doc_id, sha256(text) as sha256 from documents")
+def content_hash(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
+@query("select sha256(text) as sha256, count(*) as n, min(doc_id) as first_id from documents group by 1 having count(*) > 1")
+def duplicate_content(spark, sf_dir):
+    return read(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("sha256")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+@query("""select page_id, left(regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 80) || '--' || left(sha256(url), 12) || '.md' as page_name from pages""")
+def page_identity(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", T.page_id(F.col("url")).alias("page_name"))
+
+
+@query("select p_partkey, 'part+' || url_encode(p_brand) || '+' || url_encode(p_name) as key from part")
+def canonical_keys(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", T.relation_key(F.lit("part"), F.col("p_brand"), F.col("p_name")).alias("key"))
+
+
+@query("select doc_id, case when text = '' then 0 else length(text) - length(replace(text, chr(10), '')) + (case when ends_with(text, chr(10)) then 0 else 1 end) end as lines, length(left(text, 500)) - length(replace(left(text, 500), chr(10), '')) + 1 as line_of_500, regexp_matches(text, '[\\p{L}\\p{N}]') as substance from documents")
+def line_counts(spark, sf_dir):
+    t = F.col("text")
+    return read(spark, sf_dir, "documents").select("doc_id", T.line_count(t).alias("lines"), T.line_of(t, F.lit(500)).alias("line_of_500"), T.has_substance(t).alias("substance"))
+
+
+@query("select doc_id, array_to_string(string_split_regex(text, '\\r?\\n')[2:3], chr(10)) as lines_2_3 from documents")
+def source_lines(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.lines_between(F.col("text"), 2, 3).alias("lines_2_3"))
+
+
+@query("select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as href from pages")
+def page_links(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", F.explode(T.links(F.col("html"))).alias("href"))
+
+
+@query("select page_id, regexp_extract(html, '<h1>(.*?)</h1>', 1) as heading, regexp_extract(url, '^([a-z]+)://', 1) as scheme, regexp_extract(url, '^[a-z]+://([^/]*)', 1) as host from pages")
+def page_heading(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<h1>(.*?)</h1>", 1).alias("heading"), F.regexp_extract("url", "^([a-z]+)://", 1).alias("scheme"), F.regexp_extract("url", "^[a-z]+://([^/]*)", 1).alias("host"))
+
+
+_SLUG = "regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g')"
+
+
+@query(f"select p_partkey, case when n = 0 then slug else slug || '-' || n end as anchor from (select p_partkey, {_SLUG} as slug, row_number() over (partition by {_SLUG} order by p_partkey) - 1 as n from part)")
+def duplicate_anchor_slugs(spark, sf_dir):
+    slug = F.regexp_replace(F.lower("p_type"), "[^a-z0-9]+", "-")
+    n = F.row_number().over(Window.partitionBy("slug").orderBy("p_partkey")) - 1
+    return read(spark, sf_dir, "part").select("p_partkey", slug.alias("slug")).withColumn("n", n).select("p_partkey", F.when(F.col("n") == 0, F.col("slug")).otherwise(F.concat_ws("-", "slug", "n")).alias("anchor"))
+
+
+@query("select event_id, json_extract_string(props, '$.page') as page, json_valid(props) as valid, left(sha256(event_type || ':' || coalesce(props, '')), 16) as obligation_id from events")
+def props_json(spark, sf_dir):
+    p = F.col("props")
+    return read(spark, sf_dir, "events").select("event_id", F.get_json_object(p, "$.page").alias("page"), F.try_parse_json(p).isNotNull().alias("valid"), F.left(F.sha2(F.concat(F.col("event_type"), F.lit(":"), F.coalesce(p, F.lit(""))), 256), F.lit(16)).alias("obligation_id"))
+
+
+@query("select sha256('[' || string_agg('[\"' || n_name || '\",\"' || sha256(n_name) || '\"]', ',' order by n_name) || ']') as tree_hash, count(*) as files from nation")
+def ordered_tree_hash(spark, sf_dir):
+    rows = F.array_sort(F.collect_list(F.struct(F.col("n_name").alias("path"), F.sha2("n_name", 256).alias("sha"))))
+    return read(spark, sf_dir, "nation").agg(F.sha2(F.to_json(F.transform(rows, lambda x: F.array(x["path"], x["sha"]))), 256).alias("tree_hash"), F.count("*").alias("files"))
+
+
+# Joins and sets ----------------------------------------------------------------------------------------------------
+
+
+@query("select doc_id from documents anti join labels using (doc_id)")
+def unlabelled_documents(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id").join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("""with e as (select o_orderkey as k, o_orderpriority as v from orders where o_orderkey % 3 <> 0),
+ a as (select o_orderkey as k, case when o_orderkey % 5 = 0 then 'changed' else o_orderpriority end as v from orders where o_orderkey % 2 = 0)
+select coalesce(e.k, a.k) as o_orderkey, case when a.k is null then 'missing' when e.k is null then 'unsupported' else 'different' end as issue
+from e full join a on e.k = a.k where e.v is distinct from a.v""")
+def claims_diff(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("v"))
+    e = o.where("k % 3 <> 0").alias("e")
+    a = o.where("k % 2 = 0").withColumn("v", F.when(F.col("k") % 5 == 0, "changed").otherwise(F.col("v"))).alias("a")
+    issue = F.when(F.col("a.k").isNull(), "missing").when(F.col("e.k").isNull(), "unsupported").otherwise("different")
+    return e.join(a, F.col("e.k") == F.col("a.k"), "full").where(~F.col("e.v").eqNullSafe(F.col("a.v"))).select(F.coalesce("e.k", "a.k").alias("o_orderkey"), issue.alias("issue"))
+
+
+@query("select o_orderkey, count(l_orderkey) as results, case when count(l_orderkey) = 1 then 'ok' when count(l_orderkey) = 0 then 'no result' else 'several results' end as verdict from orders left join lineitem on l_orderkey = o_orderkey group by o_orderkey")
+def exactly_one_result(spark, sf_dir):
+    n = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("results"))
+    rows = read(spark, sf_dir, "orders").select("o_orderkey").join(n, "o_orderkey", "left").withColumn("results", F.coalesce("results", F.lit(0)).cast("bigint"))
+    return rows.withColumn("verdict", F.when(F.col("results") == 1, "ok").when(F.col("results") == 0, "no result").otherwise("several results"))
+
+
+@query("""select e.event_id as event_id, min(f.event_id) as next_id, count(*) as within_hour from events e join events f on e.user_id = f.user_id
+ and f.ts > e.ts and f.ts <= e.ts + interval 1 hour group by 1""")
+def range_match(spark, sf_dir):
+    """Equi and range: hours are the buckets, each event meets its own and the next one."""
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.floor(F.unix_timestamp("ts") / 3600).alias("hour"))
+    right = e.select(F.col("event_id").alias("f_id"), F.col("user_id"), F.col("ts").alias("f_ts"), F.explode(F.array(F.col("hour"), F.col("hour") - 1)).alias("hour"))
+    hit = (F.col("f_ts") > F.col("ts")) & (F.col("f_ts") <= F.col("ts") + F.expr("interval 1 hour"))
+    return e.join(right, ["user_id", "hour"]).where(hit).groupBy("event_id").agg(F.min("f_id").alias("next_id"), F.count("*").alias("within_hour"))
+
+
+@query("select e.event_id as event_id, (select min(f.event_id) from events f where f.user_id = e.user_id and f.event_id > e.event_id and f.event_type = 'purchase') as marker from events e")
+def next_marker(spark, sf_dir):
+    """As-of forward: the next marker of a user is the least one on the following rows."""
+    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(1, Window.unboundedFollowing)
+    return read(spark, sf_dir, "events").select("event_id", F.min(F.when(F.col("event_type") == "purchase", F.col("event_id"))).over(w).alias("marker"))
+
+
+@query("""select conv_id, turn, (select min(b.turn) from conversations b where b.conv_id = a.conv_id and b.turn > a.turn
+ and (case b.role when 'system' then 0 when 'user' then 1 else 2 end) <= (case a.role when 'system' then 0 when 'user' then 1 else 2 end)) as section_end from conversations a""")
+def section_end(spark, sf_dir):
+    """Each section ends at the next one of its level or a higher one: the least such turn for each of three levels."""
+    level = F.when(F.col("role") == "system", 0).when(F.col("role") == "user", 1).otherwise(2)
+    w = Window.partitionBy("conv_id").orderBy("turn").rangeBetween(1, Window.unboundedFollowing)
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", level.alias("level"))
+    ends = [F.min(F.when(F.col("level") <= k, F.col("turn"))).over(w) for k in range(3)]
+    return rows.select("conv_id", "turn", F.when(F.col("level") == 0, ends[0]).when(F.col("level") == 1, ends[1]).otherwise(ends[2]).alias("section_end"))
+
+
+@query("select n_name, r_name, case when r_name = 'ASIA' and n_nationkey % 2 = 0 then 'allowed' when r_name = 'EUROPE' then 'denied' else 'unconfirmed' end as decision from nation join region on n_regionkey = r_regionkey")
+def access_matrix(spark, sf_dir):
+    matrix = spark.createDataFrame([("ASIA", 0, "allowed"), ("EUROPE", 0, "denied"), ("EUROPE", 1, "denied")], "r_name string, parity int, decision string")
+    rows = read(spark, sf_dir, "nation").join(F.broadcast(read(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")).withColumn("parity", F.col("n_nationkey") % 2)
+    return rows.join(F.broadcast(matrix), ["r_name", "parity"], "left").select("n_name", "r_name", F.coalesce("decision", F.lit("unconfirmed")).alias("decision"))
+
+
+@query("select r_name as rule, n_name as subject, left(sha256(r_name || ':' || n_name), 16) as obligation from region, nation where n_regionkey = r_regionkey or r_name = 'ASIA'")
+def obligations(spark, sf_dir):
+    """Rules (a fixed few) against subjects: rules apply to their own region or to all."""
+    r, n = read(spark, sf_dir, "region"), read(spark, sf_dir, "nation")
+    own = n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name")
+    every = n.join(F.broadcast(r.where("r_name = 'ASIA'")), F.col("n_regionkey") != F.col("r_regionkey")).select("r_name", "n_name")
+    return own.unionByName(every).select(F.col("r_name").alias("rule"), F.col("n_name").alias("subject"), F.left(F.sha2(F.concat_ws(":", "r_name", "n_name"), 256), F.lit(16)).alias("obligation"))
+
+
+@query("""with l as (select l_orderkey as k, list_sort(list(l_suppkey)) as bag, list_sort(list(distinct l_suppkey)) as s from lineitem group by 1),
+ m as (select l_orderkey as k, list_sort(list(l_suppkey)) as bag, list_sort(list(distinct l_suppkey)) as s from lineitem where l_linenumber <= 3 group by 1)
+select l.k as l_orderkey, l.s = m.s as same_set, l.bag = m.bag as same_bag, len(list_filter(l.s, lambda x: not list_contains(m.s, x))) as missing from l join m using (k)""")
+def set_equality(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_suppkey")).alias("a"), F.sort_array(F.collect_list(F.when(F.col("l_linenumber") <= 3, F.col("l_suppkey")))).alias("b"))
+    s = lambda c: F.array_distinct(c)  # noqa: E731  of sorted arrays: sorted sets
+    return rows.where(F.size("b") > 0).select("l_orderkey", (s("a") == s("b")).alias("same_set"), (F.col("a") == F.col("b")).alias("same_bag"), F.size(F.array_except("a", "b")).cast("bigint").alias("missing"))
+
+
+@query("""with ledger as (select doc_id, case when doc_id % 11 = 0 then 'stale' else sha256(text) end as h from documents where doc_id % 13 <> 0)
+select d.doc_id as doc_id, case when l.h is null then 'source_missing' else 'source_changed' end as reason from documents d left join ledger l using (doc_id) where l.h is distinct from sha256(d.text)""")
+def outdated_inputs(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("now"))
+    ledger = docs.where("doc_id % 13 <> 0").select("doc_id", F.when(F.col("doc_id") % 11 == 0, "stale").otherwise(F.col("now")).alias("h"))
+    return docs.join(ledger, "doc_id", "left").where(~F.col("h").eqNullSafe(F.col("now"))).select("doc_id", F.when(F.col("h").isNull(), "source_missing").otherwise("source_changed").alias("reason"))
+
+
+@query("""with a as (select c_custkey as id, 1 as rank, c_mktsegment as v from customer where c_custkey % 2 = 0 union all select c_custkey, 2, 'second' from customer where c_custkey % 3 = 0)
+select id, v from (select *, row_number() over (partition by id order by rank) as n from a) where n = 1""")
+def first_wins_union(spark, sf_dir):
+    c = read(spark, sf_dir, "customer")
+    a = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.lit(1).alias("rank"), F.col("c_mktsegment").alias("v"))
+    b = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.lit(2).alias("rank"), F.lit("second").alias("v"))
+    return a.unionByName(b).groupBy("id").agg(F.min_by("v", "rank").alias("v"))
+
+
+@query("select c_custkey from customer where (c_mktsegment in ('BUILDING', 'MACHINERY') and coalesce(c_acctbal, 0) >= 100) or c_nationkey = 3")
+def predicate_tree(spark, sf_dir):
+    tree = {"_or": [{"c_mktsegment": ["BUILDING", "MACHINERY"], "c_acctbal_gte": 100}, {"c_nationkey": 3}]}
+    return read(spark, sf_dir, "customer").where(rules.predicate(tree)).select("c_custkey")
+
+
+@query("""with c as (select n_regionkey, min(n_nationkey) as key, count(*) as n from nation where n_nationkey % 4 = 0 group by 1)
+select s_suppkey, case when n is null then 'undocumented' when n = 1 then 'published' else 'unresolved' end as resolution, case when n = 1 then key end as target
+from supplier join nation on s_nationkey = n_nationkey left join c using (n_regionkey)""")
+def resolution_precedence(spark, sf_dir):
+    nation = read(spark, sf_dir, "nation")
+    c = nation.where("n_nationkey % 4 = 0").groupBy("n_regionkey").agg(F.min("n_nationkey").alias("key"), F.count("*").alias("n"))
+    rows = read(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(c, "n_regionkey", "left")
+    return rows.select("s_suppkey", F.when(F.col("n").isNull(), "undocumented").when(F.col("n") == 1, "published").otherwise("unresolved").alias("resolution"), F.when(F.col("n") == 1, F.col("key")).alias("target"))
+
+
+@query("select o_orderkey, field, value from (select o_orderkey, o_orderstatus::varchar as status, o_orderpriority::varchar as priority from orders) unpivot (value for field in (status, priority))")
+def expected_claims(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
+    return rows.unpivot("o_orderkey", ["status", "priority"], "field", "value").where("value is not null")
+
+
+@query("""select l_orderkey, count(*) as orphans from lineitem anti join part on l_partkey = p_partkey and p_size > 10 group by l_orderkey""")
+def foreign_key_violations(spark, sf_dir):
+    part = read(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("l_partkey"))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(part, "l_partkey", "left_anti").groupBy("l_orderkey").agg(F.count("*").alias("orphans"))
+
+
+# Order -------------------------------------------------------------------------------------------------------------
+
+
+@query("select event_id, row_number() over (partition by user_id, event_type order by ts, event_id) as ordinal from events")
+def event_ordinals(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")).alias("ordinal"))
+
+
+@query("select conv_id, max(turn) as turn, arg_max(role, turn) as role from conversations group by conv_id")
+def latest_turn(spark, sf_dir):
+    return read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by("role", "turn").alias("role"))
+
+
+# Lineage -------------------------------------------------------------------------------------------------------------
+
+_EDGES = """with raw as (
+  select distinct 'c' || o_custkey as a, 'n' || c_nationkey as b, 'read' as kind from orders join customer on o_custkey = c_custkey where o_orderkey % 50 = 0
+  union all select 's' || s_suppkey, 'n' || s_nationkey, 'write' from supplier
+  union all select 'n' || n_nationkey, 'r' || n_regionkey, 'call' from nation),
+edges as (select a, b, kind from raw)"""
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    customer = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    read_ = read(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").join(customer, "o_custkey").select(key("c", "o_custkey").alias("from"), key("n", "c_nationkey").alias("to"), F.lit("read").alias("kind")).distinct()
+    write = read(spark, sf_dir, "supplier").select(key("s", "s_suppkey").alias("from"), key("n", "s_nationkey").alias("to"), F.lit("write").alias("kind"))
+    call = read(spark, sf_dir, "nation").select(key("n", "n_nationkey").alias("from"), key("r", "n_regionkey").alias("to"), F.lit("call").alias("kind"))
+    rows = read_.unionByName(write).unionByName(call)
+    return rows.withColumn("candidates", F.array().cast("array<string>")).withColumn("ordinal", F.xxhash64("from", "to", "kind"))
+
+
+@query(f"{_EDGES} select a as \"from\", b as \"to\", kind from edges")
+def lineage_edges(spark, sf_dir):
+    return _edges(spark, sf_dir).select("from", "to", "kind")
+
+
+_LISTS = "list_sort(list(distinct {x}) filter (where kind = '{k}'))"
+
+
+@query(f"{_EDGES} select a as node, coalesce({_LISTS.format(x='b', k='read')}, []) as reads, coalesce({_LISTS.format(x='b', k='write')}, []) as writes, coalesce({_LISTS.format(x='b', k='call')}, []) as calls from edges group by a")
+def dependencies_1hop(spark, sf_dir):
+    return graph.dependencies(_edges(spark, sf_dir))
+
+
+@query(f"{_EDGES} select b as node, coalesce({_LISTS.format(x='a', k='read')}, []) as read_by, coalesce({_LISTS.format(x='a', k='write')}, []) as written_by, coalesce({_LISTS.format(x='a', k='call')}, []) as called_by from edges group by b")
+def consumers_1hop(spark, sf_dir):
+    return graph.consumers(_edges(spark, sf_dir)).drop("possible_consumers")
+
+
+@query(f"{_EDGES.replace('with raw', 'with recursive raw')}, up(seed, node, depth) as (select s, s, 0 from (select 's' || s_suppkey as s from supplier where s_suppkey % 10 = 1) union select seed, b, depth + 1 from up join edges on a = node where depth < 32)\nselect seed, node, min(depth) as depth from up where node <> seed group by 1, 2")
+def dependencies_chain(spark, sf_dir):
+    seeds = read(spark, sf_dir, "supplier").where("s_suppkey % 10 = 1").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("seed"))
+    return graph.closure(spark, _edges(spark, sf_dir), seeds, "upstream").select("seed", "node", "depth")
+
+
+@query(f"{_EDGES.replace('with raw', 'with recursive raw')}, steps as (select b as x, a as y from edges union select a, b from edges where kind = 'write'), down(seed, node, depth) as (select s, s, 0 from (select 'r' || r_regionkey as s from region) union select seed, y, depth + 1 from down join steps on x = node where depth < 6)\nselect seed, node, min(depth) as depth from down where node <> seed group by 1, 2")
+def affected_cyclic(spark, sf_dir):
+    seeds = read(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("seed"))
+    return graph.closure(spark, _edges(spark, sf_dir), seeds, "downstream", 6).select("seed", "node", "depth")
+
+
+@query(f"{_EDGES.replace('with raw', 'with recursive raw')}, both_ways as (select a as x, b as y from edges union select b, a from edges), need(id) as (select 'r0' union select y from need join both_ways on x = id)\nselect id from need")
+def required_facts_fixpoint(spark, sf_dir):
+    facts = _edges(spark, sf_dir).select(F.col("from").alias("id"), F.col("to").alias("ref"))
+    return graph.required_facts(spark, facts, spark.createDataFrame([("r0",)], "id string"))
+
+
+@query("select r_name as candidate, list_sort(list(n_name)) as possible_consumers from nation join region on n_regionkey = r_regionkey or n_regionkey + 1 = r_regionkey group by r_name")
+def possible_consumers(spark, sf_dir):
+    region = read(spark, sf_dir, "region")
+    listed = read(spark, sf_dir, "nation").select("n_name", F.explode(F.array("n_regionkey", F.col("n_regionkey") + 1)).alias("r_regionkey"))
+    return listed.join(F.broadcast(region), "r_regionkey").groupBy(F.col("r_name").alias("candidate")).agg(F.sort_array(F.collect_list("n_name")).alias("possible_consumers"))
+
+
+# SQL text ------------------------------------------------------------------------------------------------------------
+
+_SOURCES = [
+    ("a.sql", "insert into mart.daily select now(), count(*) from raw.events where kind = 'x;y';\nupdate mart.daily set n = 0 where n is null;"),
+    ("b.sql", "create or replace view mart.v as select id, amount * 2 as twice from mart.t;\ngrant select on mart.v to reader;\nmerge into mart.t using raw.t on t.id = raw.t.id when matched then update set amount = 1"),
+]
+
+
+@query("select * from (values ('a.sql', 1, 'INSERT', 1, 'mart.daily'), ('a.sql', 2, 'UPDATE', 1, 'mart.daily'), ('b.sql', 1, 'CREATE', 1, 'mart.v'), ('b.sql', 2, 'GRANT', 1, null), ('b.sql', 3, 'MERGE', 1, 'mart.t')) as v(path, line, kind, ordinal, target)")
+def sql_inventory(spark, sf_dir):
+    return ddl.inventoried(spark.createDataFrame(_SOURCES, "path string, sql string"))
+
+
+@query("select * from (values ('p', 'resolved', 's.t', 1, 'id', 'bigint', true), ('p', 'resolved', 's.t', 2, 'amount', 'numeric(18,4)', false), ('p', 'resolved', 's.t', 3, 'updated_on', 'date', false)) as v(project, status, \"table\", position, \"column\", type, not_null)")
+def ddl_fold(spark, sf_dir):
+    rows = [("p", 2, "alter table s.t alter column amount type numeric(18,4), add column updated_on date"), ("p", 1, "create table s.t (id bigint primary key, amount numeric(12,2))")]
+    return ddl.rebuilt(spark.createDataFrame(rows, "project string, position int, sql string")).select("project", "status", "table", "position", "column", "type", "not_null")
+
+
+@query("select * from (values (1, true), (2, false), (3, true)) as v(pair, same)")
+def expression_keys(spark, sf_dir):
+    pairs = [(1, "SUM( a ) + 'X'", "sum(A)+'X'"), (2, "sum(a) + 'x'", "sum(a)+'X'"), (3, 'a."B" >= 1 -- c', 'A . "B">=1')]
+    same = F.udf(lambda a, b: sql_text.expression_key(a) == sql_text.expression_key(b), "boolean")
+    return spark.createDataFrame(pairs, "pair int, a string, b string").select("pair", same("a", "b").alias("same"))
