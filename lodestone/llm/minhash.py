@@ -162,33 +162,47 @@ def overlap_enough(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.nda
     return both >= threshold * (int(c.sum()) + int(d.sum()) - both) - 1e-9
 
 
-def picked(spark: SparkSession, texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts (id, text) of some ids, and of few others, one row for each id: a Bloom filter over the ids' hashes."""
-    n = ids.count()
-    bits = min(MOST_BITS, max(1 << 16, 1 << (16 * n).bit_length()))
-
-    def places(h: np.ndarray) -> np.ndarray:
+class Sieve:
+    """A Bloom filter over the hashes of ids, of at most MOST_BITS bits, sent to each executor: built in a few tasks from a
+    narrow table, put together on the driver a portion at a time."""
+
+    def __init__(self, spark: SparkSession, ids: DataFrame):
+        n = ids.count()
+        bits = self.bits = min(MOST_BITS, max(1 << 16, 1 << (16 * n).bit_length()))
+        places = self.places
+
+        def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(bits, bool)
+            for batch in batches:
+                out[places(bits, batch.column(0).to_numpy())] = True
+            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(out).tobytes()], pa.binary())], ["bits"])
+
+        whole = np.zeros(bits // 8, np.uint8)
+        for row in ids.select(F.xxhash64(ids.columns[0]).alias("h")).coalesce(8).mapInArrow(build, "bits binary").toLocalIterator():
+            whole |= np.frombuffer(row["bits"], np.uint8)
+        self.shared = spark.sparkContext.broadcast(whole)
+
+    @staticmethod
+    def places(bits: int, h: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return np.concatenate([mixed(h.view(np.uint64) + np.uint64(k) * _SIX) & np.uint64(bits - 1) for k in range(1, 5)]).reshape(4, -1)
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(bits, bool)
-        for batch in batches:
-            out[places(batch.column(0).to_numpy())] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(out).tobytes()], pa.binary())], ["bits"])
+    def rows(self, docs: DataFrame, id_col: str, inside: bool) -> DataFrame:
+        """Rows whose id may be one of the ids (all that are, and few others), or those whose id is surely none; no shuffle."""
+        bits, shared, places, names = self.bits, self.shared, self.places, docs.columns
 
-    whole = np.zeros(bits // 8, np.uint8)
-    for row in ids.select(F.xxhash64("id").alias("h")).coalesce(8).mapInArrow(build, "bits binary").toLocalIterator():
-        whole |= np.frombuffer(row["bits"], np.uint8)
-    shared = spark.sparkContext.broadcast(whole)
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = np.unpackbits(shared.value).view(bool)
+            for batch in batches:
+                hit = own[places(bits, batch.column(len(names)).to_numpy())].all(axis=0)
+                yield pa.RecordBatch.from_arrays(batch.columns[:-1], names).filter(pa.array(hit if inside else ~hit))
+
+        return docs.select(*docs.columns, F.xxhash64(id_col).alias("__hash")).mapInArrow(pick, docs.schema)
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.unpackbits(shared.value).view(bool)
-        for batch in batches:
-            yield batch.select(["id", "text"]).filter(pa.array(own[places(batch.column(2).to_numpy())].all(axis=0)))
 
-    kind = texts.schema["id"].dataType.simpleString()
-    some = texts.where("id is not null").select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(pick, f"id {kind}, text string")
+def picked(spark: SparkSession, texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts (id, text) of some ids, and of few others, one row for each id."""
+    some = Sieve(spark, ids).rows(texts.where("id is not null").select("id", "text"), "id", inside=True)
     return some.groupBy("id").agg(F.first("text").alias("text"))
 
 
@@ -367,7 +381,9 @@ def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Documents with one row left of each group: the one with the smallest doc_id. Rows with a null doc_id stay."""
     found = settle(spark, groups(spark, docs).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("class_id").alias("class_id")), "groups")
     gone = found.where("doc_id <> class_id").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti")
+    gone = settle(spark, gone, "gone")
+    sieve = Sieve(spark, gone)  # most documents need no join
+    kept = sieve.rows(docs, "doc_id", inside=False).unionByName(sieve.rows(docs, "doc_id", inside=True).join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns))
     repeated = settle(spark, found.where("doc_id = class_id and n > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
         return kept.select(docs.columns)
