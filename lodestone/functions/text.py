@@ -27,14 +27,14 @@ def page_id(key: Column) -> Column:
 
 def line_count(text: Column) -> Column:
     """0 for an empty text; a trailing line feed begins no line."""
-    feeds = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-    return F.when(F.length(text) == 0, 0).otherwise(feeds + F.when(F.endswith(text, F.lit("\n")), 0).otherwise(1))
+    feeds = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("bigint")
+    return F.when(F.length(text) == 0, F.lit(0).cast("bigint")).otherwise(feeds + F.when(F.endswith(text, F.lit("\n")), 0).otherwise(1))
 
 
 def line_of(text: Column, position: Column) -> Column:
     """The 1-based line of a 0-based position."""
     head = F.left(text, position)
-    return F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1
+    return (F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1).cast("bigint")
 
 
 def lines_between(text: Column, first: int, last: int) -> Column:

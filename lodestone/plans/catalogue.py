@@ -302,7 +302,7 @@ def foreign_key_violations(spark, sf_dir):
 
 @query("select event_id, row_number() over (partition by user_id, event_type order by ts, event_id) as ordinal from events")
 def event_ordinals(spark, sf_dir):
-    return read(spark, sf_dir, "events").select("event_id", F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")).alias("ordinal"))
+    return read(spark, sf_dir, "events").select("event_id", F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")).cast("bigint").alias("ordinal"))
 
 
 @query("select conv_id, max(turn) as turn, arg_max(role, turn) as role from conversations group by conv_id")
