@@ -18,7 +18,7 @@ SYMBOLS = "#*$%&|<>"
 #: Words in a window that may repeat.
 WINDOW = 5
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "longest_word", "n_ellipses")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "longest_word", "n_ellipses", "n_stutters")
 
 
 @dataclass(frozen=True)
@@ -40,6 +40,7 @@ RULES = (
     Rule(6, "ellipses", "10 * n_ellipses > 3 * n_lines"),
     Rule(7, "very_long_word", "longest_word > 2000"),
     Rule(8, "few_words_in_total", "n_words < 50"),
+    Rule(9, "stutters", "10 * n_stutters > 3 * n_words"),
 )
 
 
@@ -60,7 +61,8 @@ POLICIES = {
     p.version: p
     for p in (
         Policy("base", ("few_words", "repeated_windows")),
-        Policy("2026-1", ("few_words", "repeated_windows", "symbols", "repeated_lines", "ellipses")),
+        # Without repeated_lines: alone, it rejects only texts that are labelled good (see ablation()).
+        Policy("2026-1", ("few_words", "repeated_windows", "symbols", "ellipses", "stutters")),
         Policy("2026-2-strict", tuple(r.name for r in RULES)),
     )
 }
@@ -115,6 +117,10 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
             repeated[firsts + i] = True
     out["n_repeat_words"] = words.per_text(repeated)
 
+    again = np.zeros(len(hashes), bool)  # words equal to the one before
+    again[1:] = (hashes[1:] == hashes[:-1]) & (words.text_of[1:] == words.text_of[:-1])
+    out["n_stutters"] = words.per_text(again)
+
     longest = np.zeros(n, np.int64)
     np.maximum.at(longest, words.text_of, words.end - words.start)
     out["longest_word"] = longest  # in bytes

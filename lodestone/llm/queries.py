@@ -99,7 +99,8 @@ line_counts as (select row, count(*) as n_lines, count(*) - count(distinct line)
 measured as (select doc_id, len(words) as n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::bigint as word_chars,
   length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols, coalesce(n_lines, 0) as n_lines,
   coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(r.n, 0) as n_repeat_words, coalesce(n_ellipses, 0) as n_ellipses,
-  coalesce(list_max(list_transform(words, lambda x: strlen(x))), 0) as longest_word
+  coalesce(list_max(list_transform(words, lambda x: strlen(x))), 0) as longest_word,
+  len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) as n_stutters
   from w left join line_counts using (row) left join repeated r using (row))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 10 or 100 * n_repeat_words > 20 * n_words) as base_failed, not ({_POLICY}) as kept, ({_BITS})::bigint as failed from measured"""

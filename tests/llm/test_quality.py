@@ -17,6 +17,7 @@ def brute(text):
         "n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": sum((text or "").count(c) for c in quality.SYMBOLS),
         "n_lines": len(lines), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(hit),
         "longest_word": max((len(w.encode()) for w in words), default=0),
+        "n_stutters": sum(a == b for a, b in zip(words, words[1:], strict=False)),
         "n_ellipses": sum(x.rstrip(" \t\r\x0b\x0c").endswith("...") for x in lines),
     }
 
