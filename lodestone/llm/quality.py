@@ -128,12 +128,7 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     stop = data == 46
     if len(data) > 2:
         dots[2:] = stop[2:] & stop[1:-1] & stop[:-2]
-    ends = line_end - 1
-    while len(ends):  # white space after the dots
-        blank = (ends > line_start) & np.isin(data[np.maximum(ends, 0)], (9, 11, 12, 13, 32))
-        if not blank.any():
-            break
-        ends = ends - blank
+    ends = words.end[np.searchsorted(words.start, line_end) - 1] - 1 if len(line_end) else line_end  # of each line's last word
     out["n_ellipses"] = np.bincount(line_text[dots[ends] & (ends - 2 >= line_start)], minlength=n).astype(np.int64)
     return out
 
