@@ -7,8 +7,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lodestone.sources.sql_text import parts, statements
+from lodestone.sources.sql_walk import constructs
 
 NAME = r'(?:"(?:[^"]|"")+"|\w+)(?:\.(?:"(?:[^"]|"")+"|\w+))*'
 
@@ -122,3 +124,41 @@ def inventoried(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
 
     return files.select("path", "sql").mapInPandas(run, schema)
+
+
+#: A text goes through the walk in one piece: a file is one row.
+CONSTRUCTS = "path string, scope string, construct string, ordinal int, start_line int, end_line int, reads array<string>, writes array<string>, calls array<string>, branch array<string>, details string"
+
+
+def walked(files: DataFrame) -> DataFrame:
+    """files (path, sql) -> one row per construct, with what it reads, writes and calls and the branch that it stands in."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(p, *r) for p, q in zip(batch["path"], batch["sql"], strict=True) for r in constructs(q or "")[0]]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in CONSTRUCTS.split(", ")])
+
+    return files.select("path", "sql").mapInPandas(run, CONSTRUCTS)
+
+
+def notes(files: DataFrame) -> DataFrame:
+    """files (path, sql) -> (path, line, reason): what walked() did not understand or cannot know."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(p, *n) for p, q in zip(batch["path"], batch["sql"], strict=True) for n in constructs(q or "")[1]]
+            yield pd.DataFrame(rows, columns=["path", "line", "reason"])
+
+    return files.select("path", "sql").mapInPandas(run, "path string, line int, reason string")
+
+
+def conflicting(columns: DataFrame) -> DataFrame:
+    """columns (table, definition, column, type): tables that several definitions describe differently."""
+    one = columns.groupBy("table", "definition").agg(F.sort_array(F.collect_list(F.struct("column", "type"))).alias("columns"))
+    return one.groupBy("table").agg(F.count_distinct("columns").alias("variants")).where("variants > 1")
+
+
+def inherited_effects(calls: DataFrame, routines: DataFrame) -> DataFrame:
+    """calls (caller, callee) with what the callee reads and writes, where just one routine (name, reads, writes) has that name."""
+    known = routines.groupBy(F.col("name").alias("callee")).agg(F.count("*").alias("n"), F.first("reads").alias("reads"), F.first("writes").alias("writes"))
+    return calls.join(known.where("n = 1").drop("n"), "callee", "left")

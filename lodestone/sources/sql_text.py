@@ -7,15 +7,15 @@ import re
 QUOTED = re.compile(r"\$([A-Za-z_\u0080-￿][\w\u0080-￿]*)?\$")
 
 
-def masked(text: str, identifiers: bool = True) -> tuple[str, list[tuple[int, int]], list[str]]:
+def masked(text: str, identifiers: bool = True, literal: str = " ") -> tuple[str, list[tuple[int, int]], list[str]]:
     """(text with comments and literals blanked, spans of dollar-quoted bodies, issues). Line feeds stay; comments nest;
-    E-strings know backslashes; identifiers says whether quoted names are blanked too."""
+    E-strings know backslashes; identifiers says whether quoted names are blanked too; literal fills strings."""
     out, bodies, issues, i, n = list(text), [], [], 0, len(text)
 
-    def blank(a: int, b: int) -> None:
+    def blank(a: int, b: int, fill: str = " ") -> None:
         for k in range(a, b):
             if out[k] != "\n":
-                out[k] = " "
+                out[k] = fill
 
     while i < n:
         two = text[i : i + 2]
@@ -54,7 +54,7 @@ def masked(text: str, identifiers: bool = True) -> tuple[str, list[tuple[int, in
         else:
             i += 1
             continue
-        blank(i, end)
+        blank(i, end, literal if text[i] == "'" else " ")
         i = end
     return "".join(out), bodies, issues
 
