@@ -9,6 +9,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,18 +71,23 @@ def matched(occurrences: DataFrame, operations: DataFrame) -> DataFrame:
     """occurrences (run_id, path, kind, ordinal, line) with operation_id: each takes the operation of its kind and path of
     least order whose lines hold it and that none before it took; null where none is left. Groups are a file's statements of
     one kind; only those are brought together."""
-    schema = "run_id string, path string, kind string, ordinal long, line long, operation_id string"
-
-    def greedy(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        free = list(right.sort_values(["order", "id"])[["start_line", "end_line", "id"]].itertuples(index=False))
-        out = []
-        for o in left.sort_values(["ordinal", "line"]).itertuples(index=False):
-            at = next((i for i, (a, b, _) in enumerate(free) if a <= o.line <= b), None)
-            out.append((*key, o.ordinal, o.line, free.pop(at)[2] if at is not None else None))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-
     by = ["run_id", "path", "kind"]
-    return occurrences.groupBy(*by).cogroup(operations.groupBy(*by)).applyInPandas(greedy, schema)
+    left = occurrences.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col("ordinal").cast("long"), F.col("line").cast("long")))).alias("at"))
+    right = operations.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("order", F.col("id").cast("string").alias("id"), F.col("start_line").cast("long"), F.col("end_line").cast("long")))).alias("ops"))
+
+    def greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place, taken = [], []
+            for n, (at, ops) in enumerate(zip(batch.column("at").to_pylist(), batch.column("ops").to_pylist(), strict=True)):
+                free = [(o["start_line"], o["end_line"], o["id"]) for o in ops or []]
+                for o in at:
+                    k = next((i for i, (a, b, _) in enumerate(free) if a <= o["line"] <= b), None)
+                    place.append((n, o["ordinal"], o["line"]))
+                    taken.append(free.pop(k)[2] if k is not None else None)
+            rows, ordinal, line = (pa.array([p[i] for p in place], pa.int64()) for i in range(3))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in by), ordinal, line, pa.array(taken, pa.string())], [*by, "ordinal", "line", "operation_id"])
+
+    return left.join(right, by, "left").mapInArrow(greedy, "run_id string, path string, kind string, ordinal long, line long, operation_id string")
 
 
 def evidence_problems(refs: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import identity
 from lodestone.functions import text as T
-from lodestone.operators import ddl, graph, rules
+from lodestone.operators import ddl, gate, graph, lineage, lint, markdown, rules
 from lodestone.sources import sql_text
 
 _found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -396,3 +397,105 @@ def expression_keys(spark, sf_dir):
     pairs = [(1, "SUM( a ) + 'X'", "sum(A)+'X'"), (2, "sum(a) + 'x'", "sum(a)+'X'"), (3, 'a."B" >= 1 -- c', 'A . "B">=1')]
     same = F.udf(lambda a, b: sql_text.expression_key(a) == sql_text.expression_key(b), "boolean")
     return spark.createDataFrame(pairs, "pair int, a string, b string").select("pair", same("a", "b").alias("same"))
+
+
+_BODY = "create function mart.load(p int) returns int language plpgsql as $$ begin if p > 0 then insert into mart.t select id from raw.s; else perform util.log(p); end if; execute format('delete from %I', p); return p; end; $$;\nselect * from mart.t join mart.u on t.id = u.id"
+
+
+@query("""select * from (values ('mart.load', 'FUNCTION', 1, 1, [], ['mart.load'], []), ('mart.load', 'IF', 1, 1, [], [], []), ('mart.load', 'INSERT', 1, 1, [], ['mart.t'], []), ('mart.load', 'SELECT', 1, 1, ['raw.s'], [], []),
+ ('mart.load', 'PERFORM', 1, 1, [], [], ['util.log']), ('mart.load', 'EXECUTE', 1, 1, [], [], []), ('mart.load', 'RETURN', 1, 1, [], [], []), ('unresolved+select@2', 'SELECT', 1, 2, ['mart.t', 'mart.u'], [], [])) as v(scope, construct, ordinal, start_line, reads, writes, calls)""")
+def sql_constructs(spark, sf_dir):
+    return ddl.walked(spark.createDataFrame([("f.sql", _BODY)], "path string, sql string")).select("scope", "construct", "ordinal", "start_line", "reads", "writes", "calls")
+
+
+@query("select * from (values ('f.sql', 1, 'dynamic names'), ('f.sql', 2, 'wildcard output')) as v(path, line, reason)")
+def sql_notes(spark, sf_dir):
+    return ddl.notes(spark.createDataFrame([("f.sql", _BODY)], "path string, sql string"))
+
+
+@query("select * from (values ('INT8', 'bigint'), ('varchar ( 16 )', 'character varying(16)'), ('float(24)', 'real'), ('timestamptz', 'timestamp with time zone'), ('int[3]', 'integer[3]'), ('?', null)) as v(spelling, type)")
+def canonical_types(spark, sf_dir):
+    rows = spark.createDataFrame([("INT8",), ("varchar ( 16 )",), ("float(24)",), ("timestamptz",), ("int[3]",), ("?",)], "spelling string")
+    return rows.select("spelling", identity.canonical_type("spelling").alias("type"))
+
+
+@query("select p_partkey, 'function+' || url_encode(p_brand) || '+' || url_encode(p_type) || '(bigint,character varying)' as key from part")
+def routine_keys(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", identity.routine_key(F.lit("function"), F.col("p_brand"), F.col("p_type"), F.lit("a int8, out b text, c varchar(3) default 'x'")).alias("key"))
+
+
+@query("select url, any_value(left(trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-'), 80) || '--' || left(sha256(url), 12) || '.md') as page_name from pages where url is not null group by url")
+def page_names(spark, sf_dir):
+    return identity.page_names(read(spark, sf_dir, "pages").select("url").where("url is not null").distinct(), "url")
+
+
+# Gate ------------------------------------------------------------------------------------------------------------------
+
+
+@query("""with l as (select doc_id, count(*) as n, max(quality) as q from labels group by 1),
+ a as (select source as run_id, doc_id % 50 = 0 as blocking, case when n is null or n > 1 then 'inconclusive' when q = 1 then 'ok' else 'defect' end as status, n is null or n > 1 as error from documents left join l using (doc_id)),
+ c as (select run_id, count(*) as total, count(*) filter (where status = 'ok') as ok, count(*) filter (where status = 'defect') as defect, count(*) filter (where status = 'inconclusive') as inconclusive,
+  count(*) filter (where error) as errors, count(*) filter (where blocking and status = 'defect') as blocking_defects, count(*) filter (where blocking and status = 'inconclusive') as blocking_inconclusive from a group by 1)
+select *, case when blocking_inconclusive > 0 then 'blocked' when inconclusive = 0 and errors + blocking_defects = 0 and ok + defect > 0 and ok * 100 >= (ok + defect) * 85 then 'ready' else 'revise' end as decision from c""")
+def gate_scores(spark, sf_dir):
+    """Each document of a source is an obligation, its label the result."""
+    docs = read(spark, sf_dir, "documents").select(F.col("source").alias("run_id"), F.col("doc_id").alias("id"), (F.col("doc_id") % 50 == 0).alias("blocking"))
+    found = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "ok").otherwise("defect").alias("status"))
+    checks = found.join(docs.select("run_id", "id"), "id").select("run_id", F.col("id").alias("plan_check_id"), "status", F.lit(False).alias("blocking"))
+    return gate.scored(docs, checks).drop("coverage_percent", "accuracy_percent")
+
+
+@query("""with o as (select l_orderkey, l_returnflag, l_linenumber, l_linenumber - (l_linenumber + 1) % 2 as first from lineitem),
+ p as (select distinct l_orderkey, l_returnflag, l_linenumber as first from lineitem where l_linenumber % 2 = 1)
+select o.l_orderkey, l_returnflag, l_linenumber, case when p.first is not null and row_number() over (partition by o.l_orderkey, o.l_returnflag, o.first order by l_linenumber) = 1 then p.first end as operation
+from o left join p using (l_orderkey, l_returnflag, first)""")
+def greedy_matching(spark, sf_dir):
+    """Lines of an order meet operations that each span an odd line and the next."""
+    rows = read(spark, sf_dir, "lineitem").select(F.lit("r").alias("run_id"), F.col("l_orderkey").cast("string").alias("path"), F.col("l_returnflag").alias("kind"), F.col("l_linenumber").cast("long").alias("line"))
+    ops = rows.where("line % 2 = 1").select("run_id", "path", "kind", F.col("line").cast("string").alias("id"), F.col("line").alias("order"), F.col("line").alias("start_line"), (F.col("line") + 1).alias("end_line")).distinct()
+    found = gate.matched(rows.withColumn("ordinal", F.col("line")), ops)
+    return found.select(F.col("path").cast("long").alias("l_orderkey"), F.col("kind").alias("l_returnflag"), F.col("line").cast("int").alias("l_linenumber"), F.col("operation_id").cast("int").alias("operation"))
+
+
+@query("""with d as (select doc_id, text, sha256(text) as h, case when text = '' then 0 else length(text) - length(replace(text, chr(10), '')) + (case when ends_with(text, chr(10)) then 0 else 1 end) end as lines from documents)
+select doc_id, case when d.doc_id is null then 'not_an_input' when doc_id % 7 = 0 then 'changed' else 'beyond_end' end as problem from labels left join d using (doc_id) where d.text is null or doc_id % 7 = 0 or lines < 2""")
+def evidence_problems(spark, sf_dir):
+    """Labels cite lines 1 and 2 of their documents, every seventh with the hash of another text."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), T.line_count(F.col("text")).alias("n_lines"))
+    hashes = read(spark, sf_dir, "labels").select("doc_id").join(docs.select("doc_id", "sha256"), "doc_id", "left")
+    refs = hashes.select(F.lit("r").alias("run_id"), F.col("doc_id").alias("fact_id"), F.lit("project").alias("root"), F.col("doc_id").cast("string").alias("path"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), F.when(F.col("doc_id") % 7 == 0, F.sha2(F.lit("other").cast("binary"), 256)).otherwise(F.coalesce("sha256", F.lit("0" * 64))).alias("sha256"))
+    ledger = docs.select(F.lit("project").alias("root"), F.col("doc_id").cast("string").alias("path"), "sha256", "n_lines")
+    return gate.evidence_problems(refs, ledger).select(F.col("fact_id").alias("doc_id"), "problem")
+
+
+@query("""select id, field, value from (select c_custkey as id, to_json(c_name)::varchar as name, to_json(c_mktsegment)::varchar as segment, to_json(c_nationkey)::varchar as nation from customer) unpivot (value for field in (name, segment, nation))""")
+def fact_claims(spark, sf_dir):
+    facts = read(spark, sf_dir, "customer").select(F.lit("r").alias("run_id"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"))
+    return gate.claims(facts).select(F.col("fact_id").alias("id"), "field", "value")
+
+
+@query("""select page_id, case when page_id % 9 = 0 then 'missing' when page_id % 4 = 0 then 'changed' else 'current' end as page_state from pages""")
+def page_states(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages").select("page_id", F.lit("managed").alias("status"), F.sha2("html", 256).alias("page_sha256"))
+    files = pages.where("page_id % 9 <> 0").select("page_id", F.when(F.col("page_id") % 4 == 0, "edited").otherwise(F.col("page_sha256")).alias("sha256"))
+    return lineage.index(pages, files).select("page_id", "page_state")
+
+
+@query("""with known as (select 'table+' || r_name || '+' || n_name as key, r_name as schema, n_name as name from nation join region on n_regionkey = r_regionkey where n_nationkey % 3 <> 0)
+select s_suppkey, case when k.key is not null then 'published' when s_suppkey % 5 = 0 then 'unresolved' else 'undocumented' end as resolution
+from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey left join known k on s_suppkey % 5 <> 0 and k.schema = r_name and k.name = n_name""")
+def resolved_targets(spark, sf_dir):
+    """Suppliers use the table of their nation: every third is not documented, every fifth use names no schema."""
+    n = read(spark, sf_dir, "nation").join(F.broadcast(read(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    key = F.concat(F.lit("table+"), "r_name", F.lit("+"), "n_name")
+    known = n.where("n_nationkey % 3 <> 0").select(key.alias("key"), F.lit("table").alias("kind"), F.col("r_name").alias("schema"), F.col("n_name").alias("name"))
+    vague = F.col("s_suppkey") % 5 == 0
+    uses = read(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.when(~vague, key).alias("key"), F.when(~vague, F.col("r_name")).alias("schema"), F.col("n_name").alias("name"), F.lit(None).cast("string").alias("scope"))
+    return lineage.resolved(uses, known).select("s_suppkey", "resolution")
+
+
+@query("select * from (values ('broken_link', 'a.md', 3, 'gone.md'), ('broken_anchor', 'a.md', 3, '#none'), ('unlisted_page', 'b.md', null, 'not in the index')) as v(code, file, line, message)")
+def page_lint(spark, sf_dir):
+    texts = [("index.md", "[a](a.md)"), ("a.md", "# Title\n\n[x](gone.md) [y](#none) [z](#title)"), ("b.md", "text")]
+    files = spark.createDataFrame([(d, 3) for d, _ in texts], "path string, n_lines int")
+    return lint.lint(markdown.parsed(spark.createDataFrame(texts, "doc string, text string")), files, spark.createDataFrame([("a.md", "k")], "page_id string, key string")).drop("severity")
