@@ -72,8 +72,8 @@ def matched(occurrences: DataFrame, operations: DataFrame) -> DataFrame:
     least order whose lines hold it and that none before it took; null where none is left. Groups are a file's statements of
     one kind; only those are brought together."""
     by = ["run_id", "path", "kind"]
-    left = occurrences.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col("ordinal").cast("long"), F.col("line").cast("long")))).alias("at"))
-    right = operations.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("order", F.col("id").cast("string").alias("id"), F.col("start_line").cast("long"), F.col("end_line").cast("long")))).alias("ops"))
+    left = occurrences.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col("ordinal").cast("long").alias("ordinal"), F.col("line").cast("long").alias("line")))).alias("at"))
+    right = operations.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("order", F.col("id").cast("string").alias("id"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line")))).alias("ops"))
 
     def greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
