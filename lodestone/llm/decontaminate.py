@@ -1,15 +1,14 @@
-"""Benchmark decontamination. A text is a sequence of words; the CGK random walk embeds an item-sized window of it so
-that a small edit distance becomes a small Hamming distance (at step j it writes the word under its head and then
-moves on by a random bit that depends on j and that word); bit sampling compares a few steps of the embeddings,
-repeatedly with fresh walks, samples and places of the window at which the walk begins, until the target recall is
-reached. Windows that meet an item are then verified by the exact edit distance between characters.
+"""Benchmark decontamination by an exact filter. Where an item stands in a text within k edits, and is cut into k // 2 + 1
+leaves, one leaf at least stands there within one edit, and so do the pieces of up to LEAVES leaves with the like
+share of the edits (pigeonhole). Leaves within one edit are looked up by hashes of their spellings with one character left
+out; the pieces around them are tried by Myers' bit vectors, many at a time in numpy; what is left is settled by the exact
+edit distance of the whole item. Nothing within MAX_EDITS is missed, however the edits lie and however short the item is.
 
-Scale: the items (a bounded table: its size is checked) are sent to the executors as a table of hashes; all whole
-texts are scanned once, at every word, without a shuffle. No pair of documents is ever made."""
+Scale: the items (a bounded table: its size is checked) are sent to the executors as tables of hashes, in portions; all
+whole texts are scanned once for each portion, at every character, without a shuffle. No pair of documents is ever made."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,133 +17,208 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ALNUM, Words, keys, mixed, passes
+from lodestone.llm.common import ALNUM, Words, passes
 
 #: Edits between an item and a window, as a share of the item's characters, that still count as contamination.
 MAX_EDITS = 0.2
-#: Recall aimed at for items one in ten of whose words are edited, anywhere.
-TARGET_RECALL = 0.999
-WORD_EDITS = 0.1
-#: Steps of the walk from which samples are drawn, and how many are drawn besides the first.
-STEPS, SAMPLES = 12, 6
-#: Items must fit into this many bytes to be sent to each executor; a larger table is taken in portions of that size.
-PORTION_BYTES = 64 << 20
-#: Places of a sieve before the exact look-up of a sample.
-SIEVE = 1 << 18
+#: Characters looked up of a leaf, and leaves of a piece, at most. A leaf has ten characters or a few more (one of two edits in
+#: ten characters), so that a piece has 64 at most.
+LEAF, LEAVES = 9, 6
+#: Bytes of items in one index (about a hundred times as many in memory); a larger table is taken in portions of that size.
+PORTION_BYTES = 2 << 20
+#: Characters that are hashed at a time, pieces that are tried at a time, and places that share a trial.
+CHUNK, TRIALS, NEAR = 1 << 16, 1 << 14, 16
+_BASE = 0x9E3779B97F4A7C15 | 1
+_POWERS = [np.uint64(pow(_BASE, i, 1 << 64)) for i in range(LEAF + 2)]
+_SPACE, _END = 32, 10
 
 
-def repetitions(recall: float = TARGET_RECALL, edits: float = WORD_EDITS) -> int:
-    """So many walks that one of them at least sees no edit, with the probability asked for."""
-    one = (1 - edits) ** (STEPS / 2 + 1)  # the walk passes a word in two steps, on average
-    return math.ceil(math.log(1 - recall) / math.log(1 - one)) + 4
+def edits_of(length: int) -> int:
+    return int(MAX_EDITS * length)
 
 
-class Index:
-    """Hash tables over the items. anchors: of the words at which walks begin, bit r for repetition r."""
-
-    def __init__(self, ids: list, texts: list[str | None], reps: int | None = None):
-        reps = repetitions() if reps is None else reps
-        assert reps <= 63
-        table = pa.array([t or "" for t in texts], pa.large_string())
-        words = Words(pc.utf8_lower(table), ALNUM)
-        h = words.hashes()
-        self.ids, self.reps = ids, reps
-        self.plain = [b" ".join(words.data[words.start[j] : words.end[j]].tobytes() for j in range(*words.bounds[i : i + 2])).decode() for i in range(len(texts))]
-        self.n_words = words.counts
-        self.vocabulary = np.unique(h)
-        word = np.searchsorted(self.vocabulary, h)
-        self.bits = 12
-        while (1 << self.bits) < 8 * len(self.vocabulary):
-            self.bits += 1
-        self.slots = None
-        self._place(self.vocabulary)
-        self.seeds = keys(reps, 23)
-        rng = np.random.default_rng(11)
-        self.samples = [np.sort(rng.choice(np.arange(1, STEPS), SAMPLES, replace=False)) for _ in range(reps)]
-        self.anchors = np.zeros(len(self.vocabulary) + 1, np.uint64)
-        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
-        self.sieves: list[np.ndarray] = []
-        share = (np.arange(reps) + 0.5) / reps
-        self.offsets = np.zeros((reps, len(texts)), np.int64)
-        usable = np.flatnonzero(self.n_words > 0)
-        for r in range(reps):
-            room = np.maximum(self.n_words - STEPS // 2 - 1, 0)
-            self.offsets[r] = np.minimum((share[r] * (room + 1)).astype(np.int64), np.maximum(self.n_words - 1, 0))
-            at = words.bounds[:-1][usable] + self.offsets[r][usable]
-            self.anchors[word[at] + 1] |= np.uint64(1) << np.uint64(r)
-            sample = self.walk(word + 1, words.bounds[1:][usable], at, r)
-            order = np.argsort(sample, kind="stable")
-            self.tables.append((sample[order], usable[order]))
-            self.sieves.append(np.zeros(SIEVE, bool))
-            self.sieves[-1][(sample & np.uint64(SIEVE - 1)).astype(np.int64)] = True
-
-    def _place(self, vocabulary: np.ndarray) -> None:
-        """Open addressing with linear probes, at a load of an eighth at most."""
-        size = 1 << self.bits
-        slots = np.zeros(size, np.int32)
-        for i, v in enumerate(vocabulary.tolist()):
-            at = v & (size - 1)
-            while slots[at]:
-                at = (at + 1) & (size - 1)
-            slots[at] = i + 1
-        self.slots = slots
-        full = np.flatnonzero(slots)
-        runs = np.split(full, np.flatnonzero(np.diff(full) > 1) + 1)
-        self.probes = max((len(r) for r in runs), default=0)
-
-    def words(self, h: np.ndarray) -> np.ndarray:
-        """Of each word hash its number in the vocabulary plus one, or 0."""
-        size = np.uint64((1 << self.bits) - 1)
-        known = np.concatenate([[np.uint64(0)], self.vocabulary])
-        at = (h & size).astype(np.int64)
-        got = self.slots[at]
-        out = np.where((got > 0) & (known[got] == h), got, 0)
-        open_ = np.flatnonzero((got > 0) & (out == 0))
-        for _ in range(self.probes):
-            if not len(open_):
-                break
-            at[open_] = (at[open_] + 1) & int(size)
-            got = self.slots[at[open_]]
-            hit = (got > 0) & (known[got] == h[open_])
-            out[open_[hit]] = got[hit]
-            open_ = open_[(got > 0) & ~hit]
-        return out
+def plain_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of the texts' words (lower case) with one space between words and _END after each text that has
+    words, and the numbers of those texts."""
+    words = Words(pc.utf8_lower(texts), ALNUM)
+    lengths = words.end - words.start
+    out = np.full(int(lengths.sum()) + len(lengths), _SPACE, np.uint8)
+    ends = np.cumsum(lengths + 1) - 1
+    inside = np.ones(len(out), bool)
+    inside[ends] = False
+    out[inside] = words.data[ALNUM[words.data]]
+    some = np.flatnonzero(words.counts > 0)
+    out[ends[words.bounds[1:][some] - 1]] = _END
+    return np.frombuffer(out.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32), some
 
-    def walk(self, word: np.ndarray, end: np.ndarray, at: np.ndarray, r: int) -> np.ndarray:
-        """The sampled steps of walk r from each place, as one hash. Past the end of a text the walk reads nothing (0)."""
-        with np.errstate(over="ignore"):
-            out = np.zeros(len(at), np.uint64)
-            at = at.copy()
-            wanted = {0, *self.samples[r].tolist()}
-            key = keys(STEPS, 29)
-            for j in range(int(self.samples[r][-1]) + 1):
-                inside = at < end
-                w = np.where(inside, word[np.minimum(at, len(word) - 1)], 0).astype(np.uint64)
-                if j in wanted:
-                    out = mixed(out + w * key[j] + key[j])
-                at += (mixed(w * np.uint64(0x9E3779B97F4A7C15) + self.seeds[r] + key[j]) & np.uint64(1)).astype(np.int64)
-            return out
 
-    def candidates(self, words: Words, word: np.ndarray) -> np.ndarray:
-        """Distinct (text, item, first word of the window) that meet in some repetition; as rows."""
-        flags = self.anchors[word]
-        live = np.flatnonzero(flags)
-        flags = flags[live]
-        end = words.bounds[1:][words.text_of[live]] if len(live) else live
-        out = []
-        for r in range(self.reps):
-            on = (flags >> np.uint64(r)) & np.uint64(1) > 0
-            at = live[on]
-            if not len(at):
+def prefixes(codes: np.ndarray, most: int) -> list[np.ndarray]:
+    """Hashes of the 0 .. most characters from each place; codes has `most` more than there are places."""
+    n = len(codes) - most
+    out = [np.zeros(n + most, np.uint64)]
+    for j in range(most):
+        h = np.zeros(n + most, np.uint64)
+        h[: n + most - j] = out[j][: n + most - j] * _POWERS[1] + codes[j:]
+        out.append(h)
+    return out
+
+
+def spellings(codes: np.ndarray, n: int, leaf: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(table, hash at each of n places) of all that a leaf within one edit can read there: with character j of `leaf`
+    changed (tables 0 .. leaf - 1), one lost (table leaf), one too many (table leaf + 1)."""
+    pre = prefixes(codes, leaf + 1)
+
+    def without(j: int, width: int) -> np.ndarray:
+        rest = width - 1 - j
+        return pre[j][:n] * _POWERS[rest] + pre[rest][j + 1 : j + 1 + n]
+
+    for j in range(leaf):
+        yield j, without(j, leaf)
+    yield leaf, pre[leaf - 1][:n]
+    for j in range(1, leaf):
+        yield leaf + 1, without(j, leaf + 1)
+
+
+class Table:
+    """Places of sorted hashes, behind a sieve."""
+
+    def __init__(self, hashes: np.ndarray, leaves: np.ndarray):
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.leaves = hashes[order], leaves[order]
+        self.shift = np.uint64(64 - max(10, int(32 * len(hashes)).bit_length()))
+        self.sieve = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.sieve[self._slot(hashes)] = True
+
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return ((hashes * _POWERS[1]) >> self.shift).astype(np.int64)
+
+    def met(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, leaf) wherever a hash is one of the table's."""
+        at = np.flatnonzero(self.sieve[self._slot(hashes)])
+        lo = np.searchsorted(self.hashes, hashes[at])
+        same = self.hashes[np.minimum(lo, len(self.hashes) - 1)] == hashes[at]
+        at, lo = at[same], lo[same]
+        hi = np.searchsorted(self.hashes, hashes[at], "right")
+        n = hi - lo
+        skip = np.cumsum(n) - n
+        return np.repeat(at, n), self.leaves[np.repeat(lo - skip, n) + np.arange(int(n.sum()))]
+
+
+class Index:
+    """Leaves, pieces and items. Items that allow no edit (four characters at most) are looked up as they are."""
+
+    def __init__(self, ids: list, texts: list[str | None]):
+        codes, some = plain_codes(pa.array([t or "" for t in texts], pa.large_string()))
+        ends = np.flatnonzero(codes == _END)
+        self.ids, self.plain = ids, [""] * len(texts)
+        self.short: list[int] = []
+        piece_item, piece_at, piece_codes, piece_edits = [], [], [], []
+        groups: dict[int, list[tuple[np.ndarray, int, int]]] = {}
+        for i, a, b in zip(some.tolist(), [0, *(ends + 1).tolist()], ends.tolist(), strict=False):
+            item = codes[a:b]
+            m = len(item)
+            self.plain[i] = item.tobytes().decode("utf-32-le")
+            k = edits_of(m)
+            if not k:
+                self.short.append(i)
                 continue
-            sample = self.walk(word, end[on], at, r)
-            table, item = self.tables[r]
-            some = np.flatnonzero(self.sieves[r][(sample & np.uint64(SIEVE - 1)).astype(np.int64)])
-            lo, hi = np.searchsorted(table, sample[some]), np.searchsorted(table, sample[some], "right")
-            for k, a, b in zip(at[some].tolist(), lo.tolist(), hi.tolist(), strict=True):
-                for i in item[a:b].tolist():
-                    out.append((int(words.text_of[k]), i, int(k - self.offsets[r][i])))
-        return np.unique(np.array(out, np.int64).reshape(-1, 3), axis=0)
+            n = k // 2 + 1
+            cut = np.arange(n + 1) * m // n
+            leaf = min(LEAF, m // n)
+            for f in range(0, n, LEAVES):
+                g = min(f + LEAVES, n)
+                for x in range(f, g):
+                    groups.setdefault(leaf, []).append((item[cut[x] : cut[x] + leaf], len(piece_item), int(cut[x] - cut[f])))
+                piece_item.append(i)
+                piece_at.append(int(cut[f]))
+                piece_codes.append(item[cut[f] : cut[g]])
+                piece_edits.append(2 * (g - f) - 1 - (g == n and k % 2 == 0))
+        self.piece_item, self.piece_at = np.array(piece_item, np.int64), np.array(piece_at, np.int64)
+        self.piece_edits, self.piece_chars = np.array(piece_edits, np.int64), np.array([len(c) for c in piece_codes], np.int64)
+        assert not len(piece_codes) or self.piece_chars.max() <= 64
+        self.groups = {leaf: self._tables(leaf, rows) for leaf, rows in groups.items()}
+        # Letters of pieces by number; where there are too many, several share one, which only lets more through.
+        self.letters = np.unique(np.concatenate(piece_codes)) if piece_codes else np.zeros(0, np.uint32)
+        self.masks = np.zeros((len(piece_codes), 257), np.uint64)
+        for p, c in enumerate(piece_codes):
+            bit = np.uint64(1) << np.arange(64 - len(c), 64).astype(np.uint64)
+            np.bitwise_or.at(self.masks[p], self.numbers(c), bit)
+            self.masks[p] |= self.below(np.array([len(c)]))
+        self.masks = self.masks.ravel()
+
+    @staticmethod
+    def below(chars: np.ndarray) -> np.ndarray:
+        """Bits under those of a piece, whose last character has the highest bit."""
+        return ~(np.uint64(0xFFFFFFFFFFFFFFFF) << (64 - chars).astype(np.uint64))
+
+    @staticmethod
+    def _tables(leaf: int, rows: list[tuple[np.ndarray, int, int]]) -> tuple[list[Table], np.ndarray, np.ndarray]:
+        text = np.zeros((len(rows), 2 * leaf + 2), np.uint32)
+        text[:, :leaf] = [r[0] for r in rows]
+        flat = np.concatenate([text.ravel(), np.zeros(leaf + 1, np.uint32)])
+        first = np.arange(len(rows)) * text.shape[1]
+        numbers = np.arange(len(rows))
+        changed = [h[first] for t, h in spellings(flat, text.size, leaf) if t < leaf]
+        tables = [Table(h, numbers) for h in changed]
+        tables.append(Table(np.concatenate(changed), np.tile(numbers, leaf)))
+        tables.append(Table(prefixes(flat, leaf + 1)[leaf][first], numbers))
+        return tables, np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
+
+    def numbers(self, codes: np.ndarray) -> np.ndarray:
+        if not len(self.letters):
+            return np.zeros(len(codes), np.int64)
+        at = np.searchsorted(self.letters, codes)
+        at[at == len(self.letters)] = 0
+        return np.where(self.letters[at] == codes, at % 256 + 1, 0)
+
+    def trials(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (piece, place) where a leaf says that the piece may begin at one of the NEAR places from there."""
+        found = [np.zeros(0, np.int64)]
+        for leaf, (tables, piece, offset) in self.groups.items():
+            padded = np.concatenate([codes, np.zeros(leaf + 1, np.uint32)])
+            for a in range(0, len(codes), CHUNK):
+                n = min(CHUNK, len(codes) - a)
+                for t, h in spellings(padded[a : a + n + leaf + 1], n, leaf):
+                    at, one = tables[t].met(h)
+                    found.append((piece[one] << 40) + (a + at - offset[one] + (1 << 20)) // NEAR)
+        both = np.unique(np.concatenate(found))
+        return both >> 40, (both & ((1 << 40) - 1)) * NEAR - (1 << 20)
+
+    def tried(self, numbers: np.ndarray, piece: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Which pieces stand near their places within the edits that they may have (or nearly, if letters share a number)."""
+        out = np.zeros(len(piece), bool)
+        if not len(piece):
+            return out
+        order = np.argsort(self.piece_chars[piece] + 2 * self.piece_edits[piece], kind="stable")
+        for a in range(0, len(order), TRIALS):
+            rows = order[a : a + TRIALS]
+            p, most = piece[rows], self.piece_edits[piece[rows]]
+            at = place[rows] - most
+            steps = int((self.piece_chars[p] + 2 * most).max()) + NEAR
+            row = p * 257
+            up, down = ~self.below(self.piece_chars[p]), np.zeros(len(p), np.uint64)
+            score = self.piece_chars[p].copy()
+            best = score.copy()
+            one = np.uint64(1)
+            for j in range(steps):
+                x = at + j
+                np.clip(x, -1, len(numbers) - 1, out=x)  # before and after all texts stands a number that no letter has
+                eq = self.masks[row + numbers[x]]
+                d0 = eq & up
+                d0 += up
+                d0 ^= up
+                d0 |= eq
+                d0 |= down
+                hp = down | ~(d0 | up)
+                hn = up & d0
+                score += (hn.view(np.int64) >> 63) - (hp.view(np.int64) >> 63)
+                hp <<= one
+                hn <<= one
+                up = hn | ~(d0 | hp)
+                down = hp & d0
+                np.minimum(best, score, out=best)
+            out[rows] = best <= most
+        return out
 
 
 def best_window(pattern: str, text: str, most: int) -> tuple[int, int] | None:
@@ -178,24 +252,48 @@ def best_window(pattern: str, text: str, most: int) -> tuple[int, int] | None:
     return best if best[0] <= most else None
 
 
-def matches(index: Index, texts: pa.Array, max_edits: float = MAX_EDITS) -> list[tuple[int, int, int, int]]:
+def matches(index: Index, texts: pa.Array) -> list[tuple[int, int, int, int]]:
     """(text, item, edits, first word of the window) of the best window of each contaminated text and item."""
-    words = Words(pc.utf8_lower(texts), ALNUM)
-    word = index.words(words.hashes())
+    codes, some = plain_codes(texts)
+    ends = np.flatnonzero(codes == _END)
+    starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
     best: dict[tuple[int, int], tuple[int, int]] = {}
-    done: dict[tuple[int, int], int] = {}
-    for t, i, first in index.candidates(words, word).tolist():
-        n = int(index.n_words[i])
-        slack = max(2, n // 8)
-        if first <= done.get((t, i), -(10**9)) + slack:
-            continue  # the window before already holds this one
-        lo, hi = max(int(words.bounds[t]), first - slack), min(int(words.bounds[t + 1]), first + n + 2 * slack + 1)
-        done[t, i] = first
-        window = b" ".join(words.data[a:b].tobytes() for a, b in zip(words.start[lo:hi].tolist(), words.end[lo:hi].tolist(), strict=True)).decode()
-        plain = index.plain[i]
-        if (got := best_window(plain, window, int(max_edits * len(plain)))) and got[0] < best.get((t, i), (10**9, 0))[0]:
-            best[t, i] = (got[0], max(0, first - int(words.bounds[t])))
-    return [(t, i, e, f) for (t, i), (e, f) in sorted(best.items())]
+    if index.short:
+        whole = codes.tobytes().decode("utf-32-le")
+        for i in index.short:
+            at = whole.find(index.plain[i])
+            while at >= 0:
+                t = int(np.searchsorted(ends, at))
+                best[t, i] = (0, at)
+                at = whole.find(index.plain[i], int(ends[t]))
+    piece, place = index.trials(codes)
+    # The number 0 at the end is also what stands before the beginning.
+    hit = np.flatnonzero(index.tried(np.append(index.numbers(codes), 0), piece, place))
+    piece, place = piece[hit], place[hit]
+    spare = index.piece_edits[piece]
+    regions: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for i, at, o, e in zip(index.piece_item[piece].tolist(), place.tolist(), index.piece_at[piece].tolist(), spare.tolist(), strict=True):
+        m = len(index.plain[i])
+        k = edits_of(m)
+        lo, hi = at - e - o - k, at + NEAR + e + m - o + k
+        for t in range(int(np.searchsorted(ends, lo)), min(int(np.searchsorted(starts, hi)), len(ends))):
+            regions.setdefault((t, i), []).append((max(lo, int(starts[t])), min(hi, int(ends[t]))))
+    for (t, i), rows in regions.items():
+        rows.sort()
+        joined = [rows[0]]
+        for lo, hi in rows[1:]:
+            if lo <= joined[-1][1]:
+                joined[-1] = (joined[-1][0], max(hi, joined[-1][1]))
+            else:
+                joined.append((lo, hi))
+        pattern = index.plain[i]
+        for lo, hi in joined:
+            text = codes[lo:hi].tobytes().decode("utf-32-le")
+            if (got := best_window(pattern, text, edits_of(len(pattern)))) and got[0] < best.get((t, i), (10**9, 0))[0]:
+                head = text[: got[1]][::-1][: len(pattern) + got[0]]
+                back = best_window(pattern[::-1], head, got[0])
+                best[t, i] = (got[0], lo + got[1] - back[1])
+    return sorted((int(some[t]), i, e, int(np.count_nonzero(codes[starts[t] : at] == _SPACE))) for (t, i), (e, at) in best.items())
 
 
 def portions(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:

@@ -74,3 +74,41 @@ def test_frames(spark):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5]
     assert d.contaminated(spark, docs.limit(0), items).count() == 0
     assert d.contaminated(spark, docs, items.limit(0)).count() == 0 and d.cleaned(spark, docs, items.limit(0)).count() == 7
+
+
+def edited(rng, text, n):
+    for _ in range(n):
+        k = rng.randrange(len(text) + 1)
+        text = rng.choice([text[:k] + rng.choice("abcxyz ") + text[k:], text[:k] + text[k + 1 :], text[:k] + rng.choice("abcxyz ") + text[k + 1 :]])
+    return text
+
+
+def typo_in_each_word(rng, text):
+    return " ".join(w[: (k := rng.randrange(len(w)))] + rng.choice("xyz") + w[k + 1 :] for w in text.split())
+
+
+def test_nothing_is_missed_up_to_a_fifth_of_the_characters():
+    rng = random.Random(6)
+    items, docs = made(rng, 60, 0)
+    for _, x in items:
+        for share in (0, 0.05, 0.1, 0.15, 0.2):
+            docs.append(" ".join(["of and", edited(rng, x, int(share * len(x))), "the of"]))
+        docs.append("abc " * rng.randrange(9) + typo_in_each_word(rng, x) + " abc")
+    index = d.Index([i for i, _ in items], [t for _, t in items])
+    got = {(t, i): e for t, i, e, _ in d.matches(index, pa.array(docs, pa.large_string()))}
+    want = {}
+    for t, doc in enumerate(docs):
+        plain = " ".join(doc.split())
+        for i, x in items:
+            if found := d.best_window(x, plain, int(d.MAX_EDITS * len(x))):
+                want[t, i] = found[0]
+    assert got == want and len(want) > 300
+
+
+def test_short_items():
+    items = ["a b", "of", "alpha", "the cat", "müller", "one two three"]
+    docs = ["so of the words", "Alphq of", "see the cat now", "the cut", "x ab", "Herr MÜLLER", "oen two three and", "", "a", "one tw three"]
+    index = d.Index(list(range(len(items))), items)
+    got = [(t, i, e, f) for t, i, e, f in d.matches(index, pa.array(docs, pa.large_string()))]
+    want = sorted((t, i, w[0]) for t, x in enumerate(docs) for i, p in enumerate(items) if (w := d.best_window(p, x.lower(), int(0.2 * len(p)))))
+    assert [g[:3] for g in got] == want and {(0, 1, 0, 1), (2, 3, 0, 1), (6, 5, 2, 0), (9, 5, 1, 0)} <= set(got)
