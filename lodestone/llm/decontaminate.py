@@ -1,11 +1,19 @@
-"""Benchmark decontamination by an exact filter. Where an item stands in a text within k edits, and is cut into k // 2 + 1
-leaves, one leaf at least stands there within one edit, and so do the pieces of up to LEAVES leaves with the like
-share of the edits (pigeonhole). Leaves within one edit are looked up by hashes of their spellings with one character left
-out; the pieces around them are tried by Myers' bit vectors, many at a time in numpy; what is left is settled by the exact
-edit distance of the whole item. Nothing within MAX_EDITS is missed, however the edits lie and however short the item is.
+"""Benchmark decontamination by the CGK embedding. A random walk reads a window: at each step it notes the character under
+it, and a random bit of the step and the character says whether it moves on. Two walks that read the same characters
+move alike; after an edit they drift and soon meet again, so that the edit distance of two windows becomes a Hamming distance
+of what their walks noted. Samples of the noted characters, hashed, find the places where a text's walk agrees with an item's;
+what is found is settled by the exact edit distance of the whole item.
+
+The random bits repeat every block of steps, so the embedding of an item-sized window is a chain of blocks, and windows
+share the blocks in which they meet: the blocks of all windows, one from every character, are walked once. A sample
+takes its places from one block, since edits put two walks out of step for stretches: places spread over the embedding of a whole item
+would hardly ever agree all at once where a fifth of the characters is edited, while some block of it nearly always does.
+Every block of every window and every repetition is a try of its own; SAMPLES says how many steps, samples and
+repetitions items of a length need for a recall of 0.99 at MAX_EDITS (tests/llm measure it against brute force).
 
 Scale: the items (a bounded table: its size is checked) are sent to the executors as tables of hashes, in portions; all
-whole texts are scanned once for each portion, at every character, without a shuffle. No pair of documents is ever made."""
+whole texts are scanned once for each portion, without a shuffle. No pair of documents is ever made. Time and memory of a text
+grow with its length."""
 
 from __future__ import annotations
 
@@ -17,19 +25,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ALNUM, Words, passes
+from lodestone.llm.common import ALNUM, Words, keys, passes
 
 #: Edits between an item and a window, as a share of the item's characters, that still count as contamination.
 MAX_EDITS = 0.2
-#: Characters looked up of a leaf, and leaves of a piece, at most. A leaf has ten characters or a few more (one of two edits in
-#: ten characters), so that a piece has 64 at most.
-LEAF, LEAVES = 9, 6
+#: Of items from a number of characters on: steps of a block, characters sampled of them, repetitions. Measured (see above).
+SAMPLES = ((64, 18, 13, 3), (40, 14, 11, 4), (24, 10, 9, 4), (10, 6, 6, 4), (5, 3, 3, 4))
+#: Characters of a piece of an item, at most: Myers' bit vectors try pieces, a word each, before the whole item.
+PIECE = 64
 #: Bytes of items in one index (about a hundred times as many in memory); a larger table is taken in portions of that size.
 PORTION_BYTES = 2 << 20
-#: Characters that are hashed at a time, pieces that are tried at a time, and places that share a trial.
-CHUNK, TRIALS, NEAR = 1 << 16, 1 << 14, 16
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS = [np.uint64(pow(_BASE, i, 1 << 64)) for i in range(LEAF + 2)]
+#: Characters that are walked at a time, pieces that are tried at a time, and places that share a trial.
+CHUNK, TRIALS, NEAR = 1 << 15, 1 << 14, 16
+_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SPACE, _END = 32, 10
 
 
@@ -52,31 +60,41 @@ def plain_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(out.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32), some
 
 
-def prefixes(codes: np.ndarray, most: int) -> list[np.ndarray]:
-    """Hashes of the 0 .. most characters from each place; codes has `most` more than there are places."""
-    n = len(codes) - most
-    out = [np.zeros(n + most, np.uint64)]
-    for j in range(most):
-        h = np.zeros(n + most, np.uint64)
-        h[: n + most - j] = out[j][: n + most - j] * _POWERS[1] + codes[j:]
-        out.append(h)
-    return out
-
-
-def spellings(codes: np.ndarray, n: int, leaf: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(table, hash at each of n places) of all that a leaf within one edit can read there: with character j of `leaf`
-    changed (tables 0 .. leaf - 1), one lost (table leaf), one too many (table leaf + 1)."""
-    pre = prefixes(codes, leaf + 1)
-
-    def without(j: int, width: int) -> np.ndarray:
-        rest = width - 1 - j
-        return pre[j][:n] * _POWERS[rest] + pre[rest][j + 1 : j + 1 + n]
-
-    for j in range(leaf):
-        yield j, without(j, leaf)
-    yield leaf, pre[leaf - 1][:n]
-    for j in range(1, leaf):
-        yield leaf + 1, without(j, leaf + 1)
+class Walk:
+    """One block of the embedding, and the places that are sampled of it. Of two steps that follow each other just one moves on
+    from a character, so that all blocks read about as many characters."""
+
+    def __init__(self, steps: int, samples: int, seed: int):
+        bits = (keys(steps * 256, seed) >> np.uint64(40) & np.uint64(1)).reshape(steps, 256)
+        bits[1::2] = 1 - bits[: steps // 2 * 2 : 2]
+        self.steps, letters = steps, keys(256, seed + 1) & ~np.uint64(1)
+        sampled = set(np.argsort(keys(steps, seed + 2))[:samples].tolist())
+        self.moves = [((letters | bits[s]) if s in sampled else bits[s], s in sampled) for s in range(steps)]
+
+    def blocks(self, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From each place (letters has `steps` + 1 more at its end): the hash of the sampled characters, and where the walk ends."""
+        n = len(letters) - self.steps - 1
+        out, end = np.empty(n, np.uint64), np.empty(n, np.int64)
+        for a in range(0, n, CHUNK):
+            size = min(CHUNK, n - a)
+            part = letters[a : a + size + self.steps + 1]
+            at, h = np.arange(size), np.zeros(size, np.uint64)
+            here, move = np.empty(size, np.intp), np.empty(size, np.uint64)
+            for table, sampled in self.moves:
+                np.take(part, at, out=here, mode="clip")
+                np.take(table, here, out=move, mode="clip")
+                if sampled:
+                    h *= _BASE
+                    h += move
+                    move &= np.uint64(1)
+                at += move.view(np.int64)
+            out[a : a + size], end[a : a + size] = h, at + a
+        return out, end
+
+
+def padded(codes: np.ndarray, steps: int) -> np.ndarray:
+    """Letters as the walks know them: codes modulo 256."""
+    return np.concatenate([codes & np.uint32(255), np.zeros(steps + 1, np.uint32)]).astype(np.intp)
 
 
 class Table:
@@ -90,7 +108,7 @@ class Table:
         self.sieve[self._slot(hashes)] = True
 
     def _slot(self, hashes: np.ndarray) -> np.ndarray:
-        return ((hashes * _POWERS[1]) >> self.shift).astype(np.int64)
+        return ((hashes * _BASE) >> self.shift).astype(np.int64)
 
     def met(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, leaf) wherever a hash is one of the table's."""
@@ -105,14 +123,14 @@ class Table:
 
 
 class Index:
-    """Leaves, pieces and items. Items that allow no edit (four characters at most) are looked up as they are."""
+    """Walks, pieces and items. Items that allow no edit (four characters at most) are looked up as they are."""
 
     def __init__(self, ids: list, texts: list[str | None]):
         codes, some = plain_codes(pa.array([t or "" for t in texts], pa.large_string()))
         ends = np.flatnonzero(codes == _END)
         self.ids, self.plain = ids, [""] * len(texts)
         self.short: list[int] = []
-        piece_item, piece_at, piece_codes, piece_edits = [], [], [], []
+        pieces, piece_codes = [], []  # of a piece: its item, where it begins there, its edits
         groups: dict[int, list[tuple[np.ndarray, int, int]]] = {}
         for i, a, b in zip(some.tolist(), [0, *(ends + 1).tolist()], ends.tolist(), strict=False):
             item = codes[a:b]
@@ -122,21 +140,15 @@ class Index:
             if not k:
                 self.short.append(i)
                 continue
-            n = k // 2 + 1
-            cut = np.arange(n + 1) * m // n
-            leaf = min(LEAF, m // n)
-            for f in range(0, n, LEAVES):
-                g = min(f + LEAVES, n)
-                for x in range(f, g):
-                    groups.setdefault(leaf, []).append((item[cut[x] : cut[x] + leaf], len(piece_item), int(cut[x] - cut[f])))
-                piece_item.append(i)
-                piece_at.append(int(cut[f]))
-                piece_codes.append(item[cut[f] : cut[g]])
-                piece_edits.append(2 * (g - f) - 1 - (g == n and k % 2 == 0))
-        self.piece_item, self.piece_at = np.array(piece_item, np.int64), np.array(piece_at, np.int64)
-        self.piece_edits, self.piece_chars = np.array(piece_edits, np.int64), np.array([len(c) for c in piece_codes], np.int64)
-        assert not len(piece_codes) or self.piece_chars.max() <= 64
-        self.groups = {leaf: self._tables(leaf, rows) for leaf, rows in groups.items()}
+            n = -(-m // PIECE)
+            cut = (np.arange(n + 1) * m // n).tolist()
+            groups.setdefault(next(j for j, s in enumerate(SAMPLES) if m >= s[0]), []).append((item, len(pieces), n))
+            for f, g in zip(cut, cut[1:], strict=False):  # within its share of the edits one piece at least must be; one more lets others help
+                pieces.append((i, f, k if n == 1 else k * (g - f) // m + 1))
+                piece_codes.append(item[f:g])
+        self.piece_item, self.piece_at, self.piece_edits = (np.array([p[j] for p in pieces], np.int64) for j in range(3))
+        self.piece_chars = np.array([len(c) for c in piece_codes], np.int64)
+        self.walks = [w for j, rows in sorted(groups.items()) for w in self._walks(j, rows)]
         # Letters of pieces by number; where there are too many, several share one, which only lets more through.
         self.letters = np.unique(np.concatenate(piece_codes)) if piece_codes else np.zeros(0, np.uint32)
         self.masks = np.zeros((len(piece_codes), 257), np.uint64)
@@ -151,18 +163,22 @@ class Index:
         """Bits under those of a piece, whose last character has the highest bit."""
         return ~(np.uint64(0xFFFFFFFFFFFFFFFF) << (64 - chars).astype(np.uint64))
 
-    @staticmethod
-    def _tables(leaf: int, rows: list[tuple[np.ndarray, int, int]]) -> tuple[list[Table], np.ndarray, np.ndarray]:
-        text = np.zeros((len(rows), 2 * leaf + 2), np.uint32)
-        text[:, :leaf] = [r[0] for r in rows]
-        flat = np.concatenate([text.ravel(), np.zeros(leaf + 1, np.uint32)])
-        first = np.arange(len(rows)) * text.shape[1]
-        numbers = np.arange(len(rows))
-        changed = [h[first] for t, h in spellings(flat, text.size, leaf) if t < leaf]
-        tables = [Table(h, numbers) for h in changed]
-        tables.append(Table(np.concatenate(changed), np.tile(numbers, leaf)))
-        tables.append(Table(prefixes(flat, leaf + 1)[leaf][first], numbers))
-        return tables, np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
+    def _walks(self, j: int, rows: list[tuple[np.ndarray, int, int]]) -> Iterator[tuple[Walk, Table, np.ndarray, np.ndarray]]:
+        """Of each repetition: the walk, a table of its blocks that lie in an item, and of each block the piece in which its middle lies
+        and how far from the piece's start it begins."""
+        _, steps, samples, repetitions = SAMPLES[j]
+        codes = np.concatenate([x for item, _, _ in rows for x in (item, np.array([_END], np.uint32))])
+        ends = np.flatnonzero(codes == _END)
+        end = np.repeat(ends, np.diff(ends, prepend=-1))
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        piece = np.concatenate([np.arange(p, p + n) for _, p, n in rows])
+        begins = np.repeat(starts, [n for _, _, n in rows]) + self.piece_at[piece]
+        for r in range(repetitions):
+            walk = Walk(steps, samples, 10 * (j * 100 + r) + 41)
+            h, last = walk.blocks(padded(codes, steps))
+            at = np.flatnonzero(last <= end)
+            own = np.searchsorted(begins, (at + last[at]) // 2, "right") - 1
+            yield walk, Table(h[at], np.arange(len(at))), piece[own], at - begins[own]
 
     def numbers(self, codes: np.ndarray) -> np.ndarray:
         if not len(self.letters):
@@ -172,15 +188,12 @@ class Index:
         return np.where(self.letters[at] == codes, at % 256 + 1, 0)
 
     def trials(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (piece, place) where a leaf says that the piece may begin at one of the NEAR places from there."""
+        """Distinct (piece, place) where a block says that the piece may begin at one of the NEAR places from there."""
         found = [np.zeros(0, np.int64)]
-        for leaf, (tables, piece, offset) in self.groups.items():
-            padded = np.concatenate([codes, np.zeros(leaf + 1, np.uint32)])
-            for a in range(0, len(codes), CHUNK):
-                n = min(CHUNK, len(codes) - a)
-                for t, h in spellings(padded[a : a + n + leaf + 1], n, leaf):
-                    at, one = tables[t].met(h)
-                    found.append((piece[one] << 40) + (a + at - offset[one] + (1 << 20)) // NEAR)
+        letters = padded(codes, max((w.steps for w, *_ in self.walks), default=0))
+        for walk, table, piece, offset in self.walks:
+            at, one = table.met(walk.blocks(letters[: len(codes) + walk.steps + 1])[0])
+            found.append(np.unique((piece[one] << 40) + (at - offset[one] + (1 << 20)) // NEAR))
         both = np.unique(np.concatenate(found))
         return both >> 40, (both & ((1 << 40) - 1)) * NEAR - (1 << 20)
 
