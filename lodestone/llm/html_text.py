@@ -203,7 +203,7 @@ def features(block: Block) -> tuple[float, ...]:
     return (
         1.0,
         float(block.state > 0),
-        float(block.named),
+        float(block.named and block.state >= 0),
         float(block.state == -2),
         float(block.state == -1),
         min(6.0, float((words // 4).bit_length())),  # doublings beyond four words
