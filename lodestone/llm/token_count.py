@@ -171,35 +171,32 @@ class Counter:
 
     # Segments ----------------------------------------------------------------------------------------------------
 
+    def by_characters(self, piece: str) -> list[int]:
+        """The table of a piece at the ends of its characters."""
+        data = piece.encode("utf-8", "replace")
+        t = self.table(data)
+        if len(data) == len(piece):
+            return t
+        return [t[k] for k in itertools.accumulate((len(c.encode("utf-8", "replace")) for c in piece), initial=0)]
+
     def prefixes(self, segment: str) -> tuple[int, ...]:
-        """The number of tokens of each prefix of a segment, by characters, from 0 on."""
+        """The number of tokens of each prefix of a segment, by characters, from 0 on; time grows with its length. A cut within the
+        white space before a segment leaves one match; a later cut changes the match that it falls in, and none before it; a
+        match begun by an apostrophe and cut is matched anew, any other stays one match."""
         got = self.known.get(segment)
         if got is not None:
             return got
-        pieces = self.pattern.findall(segment)
-        out, before = [0], 0
-        moving = len(segment) > 1 and ("'" in segment or (segment[0] in BLANKS and segment[1] in BLANKS))
-        if moving:  # a cut can change where earlier matches end
-            fixed = 0
-            for k in range(1, len(segment) + 1):
-                out.append(sum(self.table(p.encode("utf-8", "replace"))[-1] for p in self.pattern.findall(segment[fixed:k])) + before)
-                if k - fixed > 64 and (parts := self.pattern.findall(segment[fixed:k])) and len(parts) > 4:
-                    done = parts[:-3]  # matches that ended so long ago that no later character changes them
-                    if not any(p[-1] in BLANKS for p in parts):
-                        before += sum(self.table(p.encode("utf-8", "replace"))[-1] for p in done)
-                        fixed += sum(map(len, done))
-        else:
-            for p in pieces:
-                data = p.encode("utf-8", "replace")
-                t = self.table(data)
-                if len(data) == len(p):
-                    out += [before + x for x in t[1:]]
+        blanks = len(segment) - len(segment.lstrip(BLANKS))
+        out, before = self.by_characters(segment[:blanks]) if blanks else [0], 0
+        for m in self.pattern.finditer(segment):
+            s, e = m.span()
+            t = self.by_characters(m[0])
+            for k in range(max(s, blanks) + 1, e + 1):
+                if segment[s] == "'" and k - s < 4:
+                    out.append(before + sum(self.table(p.encode("utf-8", "replace"))[-1] for p in self.pattern.findall(segment[s:k])))
                 else:
-                    at = 0
-                    for c in p:
-                        at += len(c.encode("utf-8", "replace"))
-                        out.append(before + t[at])
-                before += t[-1]
+                    out.append(before + t[k - s])
+            before += t[-1]
         if len(self.known) >= CACHE:
             self.known.clear()
         out = tuple(out)
@@ -286,8 +283,9 @@ def counter(path: str, pattern: str) -> Counter:
 
 
 def counted(docs: DataFrame, path: str, pattern: str, limit: int = LIMIT, id_col: str = "doc_id") -> DataFrame:
-    """id, n_bytes, n_tokens, over_limit (n_tokens > limit), fitting_chars (the longest prefix within the limit). Null
-    texts are empty texts. One scan of whole texts, no shuffle."""
+    """id, n_bytes, n_tokens, over_limit (n_tokens > limit), fitting_chars (the longest prefix within the limit), a row for each row
+    of docs, also where ids are null or repeat. Null texts are empty texts; very long ones take time and memory in proportion. Other
+    columns are not read, so their names cannot clash; an empty table gives an empty table. One scan of whole texts, no shuffle."""
     kind = docs.schema[id_col].dataType.simpleString()
     path = os.fspath(path)
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -44,6 +45,28 @@ def test_counts_equal_the_library_at_every_prefix():
             assert counter.at_every_prefix(t) == [n(t[:i]) for i in range(len(t) + 1)], t
 
 
+def test_very_long_texts():
+    """Runs without white space, apostrophes in them, and long white space: time grows with the length."""
+    counter = token_count.Counter(JSON, public_tokenizers.PATTERN)
+    library = Tokenizer.from_file(JSON)
+    rng = random.Random(5)
+    for t in ("x'" + "q" * 3000, "".join(rng.choice("abc'tré1!") for _ in range(3000)), " " * 2500 + "x", "'" * 2500 + "re" * 300):
+        table = counter.at_every_prefix(t)
+        some = [0, 1, 2, 3, 5, 100, len(t) - 2, len(t) - 1, len(t)]
+        assert [table[k] for k in some] == [len(library.encode(t[:k], add_special_tokens=False).ids) for k in some]
+    began = time.perf_counter()
+    for t in ("a" * 1_000_000, "'" + "".join(rng.choice("abcdefgh") for _ in range(300_000)), "'a" * 200_000, "'" * 500_000, " " * 500_000 + "x", "é" * 300_000):
+        k = counter.fitting(t, 1024)
+        assert 0 < k < len(t)
+    assert time.perf_counter() - began < 60
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b", 5, 6, 7)], "doc_id long, text string, n_tokens int, n_bytes int, ids_sha256 int")
+    assert [r["n_tokens"] for r in token_count.counted(docs, JSON, public_tokenizers.PATTERN).collect()] == [2]
+    assert [r["n_tokens"] for r in bpe.encoded(docs, RANKS, public_tokenizers.PATTERN).collect()] == [2]
+
+
 def test_fitting_needs_no_more_tokens():
     counter = token_count.Counter(JSON, public_tokenizers.PATTERN)
     for t in texts(100, 4):
