@@ -39,6 +39,14 @@ def forget(spark: SparkSession, df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """The name, with as many _ as make it none of those taken (Spark's names do not tell cases apart)."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def text_column(array: pa.Array) -> pa.Array:
     """Nulls as empty texts, with 64-bit offsets."""
     if isinstance(array, pa.ChunkedArray):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,8 +11,6 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, decontaminate, html_text, licenses, minhash, pii, quality, token_count, toxicity, warc
 
-#: The key of surrogates where spark.lodestone.pii.key does not give one.
-DEFAULT_KEY = "a key for tests; give your own"
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 COUNTED = "byte_bpe_50k.json"
 
@@ -31,7 +30,11 @@ def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicit
 
 
 def pii_key(spark: SparkSession) -> bytes:
-    return spark.conf.get("spark.lodestone.pii.key", DEFAULT_KEY).encode()
+    """spark.lodestone.pii.key; where it is unset, a random one for this session: surrogates then agree within the session, and
+    nobody can undo them or make them again."""
+    if not spark.conf.get("spark.lodestone.pii.key", None):
+        spark.conf.set("spark.lodestone.pii.key", secrets.token_hex(32))
+    return spark.conf.get("spark.lodestone.pii.key").encode()
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,9 @@
+import random
 import re
+import time
+import unicodedata
 
+import pytest
 from lodestone.llm import pii
 
 KEY = b"k"
@@ -68,3 +72,75 @@ def test_nulls_repeats_and_empty(spark):
     got = sorted((r["doc_id"] or 0, r["text"] or "", r["n_replaced"]) for r in pii.pseudonymised(spark, docs, KEY).collect())
     assert got[0] == (0, "", 0) and got[1] == (1, "", 0) and got[2] == got[3] and got[2][2] == 1
     assert pii.pseudonymised(spark, docs.limit(0), KEY).count() == 0
+
+
+NAMES = ["王明", "김철수", "محمد", "Øåæ", "Édouard", "Müller", "O’Brien", "Núñez", "Петрова", "Smith-Jones", "Παπαδοπουλος", "สมชาย"]
+
+
+def planted(rng):
+    """A text, and the (type, value) that stand in it, in order."""
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    letters = lambda n: "".join(rng.choice("abcdefghijklm") for _ in range(n))
+    card = "4" + digits(14)
+    rest = digits(18)
+    some = [
+        ("email", f"{letters(5)}.{digits(2)}@{letters(4)}.example.com"), ("email", f"jürgen{digits(2)}@münchen.de"), ("ip", f"10.{rng.randrange(256)}.0.{rng.randrange(256)}"),
+        ("ip6", f"2001:db8::{rng.randrange(1, 65535):x}"), ("card", card + str(pii.luhn(card))), ("iban", "DE" + pii.mod97("DE", rest) + rest), ("ssn", f"123-45-{digits(4)}"),
+        ("phone", f"+1 ({digits(3)}) 555-{digits(4)}"), ("phone", f"+49 30 {digits(7)}"), ("phone", f"555-{digits(3)}-{digits(4)}"), ("key", "AKIA" + digits(16)), ("hex", "a1" + digits(38)),
+    ]
+    parts, want = [], []
+    for kind, value in rng.sample(some, 6):
+        parts += [rng.choice(["so", "see", "12.345.6789", "ref 2023 1234 5678", "at 12:30:45", "x"]), value]
+        want.append((kind, value))
+    name = rng.choice(NAMES)
+    parts += ["and Mr.", name, "and", name]
+    want += [("name", name)] * 2
+    return " ".join(parts), want
+
+
+def test_detection_and_replacement_against_planted_entities():
+    rng, c, seen = random.Random(8), pii.Cipher(KEY), {}
+    for _ in range(400):
+        text, want = planted(rng)
+        got = [(k, text[s:e]) for s, e, k, _ in pii.mentions(text)]
+        assert got == want, text
+        new, n = pii.replaced(c, text)
+        again = [(k, new[s:e]) for s, e, k, _ in pii.mentions(new)]
+        assert n == len(want) and [k for k, _ in again] == [k for k, _ in want], (text, new)
+        for (kind, value), (_, other) in zip(want, again, strict=True):
+            assert value not in new.split() and seen.setdefault((kind, value), other) == other
+            if kind == "name":  # letter by letter the same script
+                script = lambda x: [unicodedata.name(c).split(" ")[0] for c in x]
+                assert script(value) == script(other)
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_given_names_keep_gender_and_script():
+    for key in (KEY, b"other"):
+        c = pii.Cipher(key)
+        for names in pii.GIVEN:
+            assert sorted(pii.surrogate(c, "given", n) for n in names) == sorted(names)
+            assert all(pii.surrogate(c, "given", n) != n for n in names)
+    new, _ = pii.replaced(pii.Cipher(KEY), "Mrs. Mary Smith; MARY and Mary's. Mr. John Smith")
+    m = re.match(r"Mrs\. (\w+) (\w+); (\w+) and (\w+)'s\. Mr\. (\w+) (\w+)$", new)
+    assert m[1] == m[4] and m[3] == m[1].upper() and m[2] == m[6] and m[1].lower() in pii.GIVEN[1] and m[5].lower() in pii.GIVEN[0]
+
+
+def test_what_is_no_personal_data_stays():
+    for text in ("total 12.345.6789 and ref 2023 1234 5678", "12:30:45 and 1.2.3", "1234567890123", "a::b c::d std::x", "5525553899", "x@y", "Dr. of the", "a 4111111111111112 b"):
+        assert pii.replaced(pii.Cipher(KEY), text) == (text, 0)
+
+
+def test_very_long_texts():
+    began = time.perf_counter()
+    for text in ("a" * 1_000_000 + " 1", "a@" * 300_000 + "1", "1." * 300_000, "a:" * 300_000 + "1", "Mr. " + "Ab " * 200_000, "x@" + "a." * 300_000, "Mr. Ab " * 80_000, "+1 " * 200_000, "f" * 1_000_000 + "1", "Mr. 王" + "王" * 300_000):
+        pii.replaced(pii.Cipher(KEY), text)
+    assert time.perf_counter() - began < 90
+
+
+def test_a_key_is_needed_and_names_may_clash(spark):
+    docs = spark.createDataFrame([(1, "Mr. Bo came", 2, 3, 4)], "digest long, text string, own int, n_replaced int, n_replaced_ int")
+    got = pii.pseudonymised(spark, docs, KEY)
+    assert got.columns == [*docs.columns, "n_replaced__"] and got.first()["n_replaced__"] == 1
+    with pytest.raises(ValueError):
+        pii.pseudonymised(spark, docs, b"")
