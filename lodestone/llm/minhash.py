@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Words, keys, mixed, passes, powers, settle, windows
+from lodestone.llm.common import Words, forget, fresh, keys, mixed, passes, powers, settle, windows
 
 WIDTH = 5  # words in a shingle
 THRESHOLD = 0.8
@@ -197,7 +197,7 @@ class Sieve:
                 hit = own[places(bits, batch.column(len(names)).to_numpy())].all(axis=0)
                 yield pa.RecordBatch.from_arrays(batch.columns[:-1], names).filter(pa.array(hit if inside else ~hit))
 
-        return docs.select(*docs.columns, F.xxhash64(id_col).alias("__hash")).mapInArrow(pick, docs.schema)
+        return docs.select(*docs.columns, F.xxhash64(id_col).alias(fresh("hash", names))).mapInArrow(pick, docs.schema)
 
 
 def picked(spark: SparkSession, texts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -206,14 +206,23 @@ def picked(spark: SparkSession, texts: DataFrame, ids: DataFrame) -> DataFrame:
     return some.groupBy("id").agg(F.first("text").alias("text"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+def dealt(spark: SparkSession, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs (id, leader) with a salt, LEADER_CHUNK of a leader to each, and the (leader, salt) there are. Only leaders of more
+    pairs than that are looked up: a table small enough to send to each task, so that no task gets all pairs of a leader."""
+    hot = settle(spark, pairs.groupBy("leader").agg(F.ceil(F.count("*") / LEADER_CHUNK).cast("bigint").alias("chunks")).where("chunks > 1"), "hot-leaders")
+    chunks = F.coalesce("chunks", F.lit(1).cast("bigint"))
+    salted = pairs.join(hot, "leader", "left").select("id", "leader", F.pmod(F.xxhash64("id"), chunks).alias("salt"))
+    leaders = pairs.select("leader").distinct().join(hot, "leader", "left").select("leader", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)).alias("salt"))
+    return salted, leaders
+
+
+def verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """Those of (id, leader) whose multisets of shingles overlap enough. The text of a leader is sent once for each
     LEADER_CHUNK of its pairs, the text of a member once for each pair; a task holds one leader's shingles."""
-    chunks = pairs.groupBy("leader").agg(F.ceil(F.count("*") / LEADER_CHUNK).alias("chunks"))
-    salted = pairs.join(chunks, "leader").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("chunks")))
+    salted, leaders = dealt(spark, pairs)
     docs = docs.hint("merge")  # texts move in the same way at every size
     members = salted.select("leader", "salt", F.lit(1).alias("member"), "id").join(docs, "id")
-    leaders = chunks.select("leader", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("salt"), F.lit(0).alias("member"), F.col("leader").alias("id")).join(docs, "id")
+    leaders = leaders.select("leader", "salt", F.lit(0).alias("member"), F.col("leader").alias("id")).join(docs, "id")
     rows = leaders.unionByName(members).select("leader", "salt", "member", "id", "text").repartition("leader", "salt").sortWithinPartitions("leader", "salt", "member")
     kind = pairs.schema["id"].dataType.simpleString()
 
@@ -247,20 +256,23 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     logarithm of the longest chain."""
     edges = links.select(F.greatest("id", "leader").alias("u"), F.least("id", "leader").alias("v")).where("u <> v").distinct()
     edges, before = settle(spark, edges, "edges"), None
+    stored = edges
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
         edges = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
         low = edges.groupBy("u").agg(F.min("v").alias("low"))
         edges = edges.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        edges = settle(spark, edges, "edges")
+        old, edges = stored, settle(spark, edges, "edges")
+        stored = edges
+        forget(spark, old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
         before = now
 
 
-def late_links(members: DataFrame, roots: DataFrame, wide: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def late_links(spark: SparkSession, members: DataFrame, roots: DataFrame, wide: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Links (id, leader) that the stars missed: in each bucket with more than one component, members outside the
     largest one against each other and against it. Members are dealt by hash into blocks of about CELL, and each pair
     of blocks that holds such members is a cell of its own; a bucket whose members lie in one component makes none."""
@@ -269,6 +281,7 @@ def late_links(members: DataFrame, roots: DataFrame, wide: DataFrame, texts: Dat
     main = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"), F.count("*").alias("roots")).where("roots > 1")
     blocks = lambda n: F.ceil(n / CELL).cast("bigint")
     shape = main.select("bucket", "main", blocks(F.col("n") - F.col("most")).alias("minor"), blocks(F.col("most")).alias("major"))
+    shape = settle(spark, shape, "shapes")  # of its true size: small, it goes to each task, and no task gets a whole bucket
     split = placed.join(shape, "bucket").withColumn("outside", F.col("root") != F.col("main"))
     block = F.pmod(F.xxhash64("id"), F.when(F.col("outside"), F.col("minor")).otherwise(F.col("major")))
     count = lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
@@ -346,7 +359,8 @@ def groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
     duplicate), n_shingles.
 
     Texts without words (null, empty, white space) have no shingles and equal nothing. Rows that share an id are one
-    document. A null id has a null class. Other columns are not read."""
+    document, and of exact copies the smallest id stands for all. A null id has a null class. Very long texts take time and memory
+    in proportion. Other columns are not read, so their names cannot clash. An empty table gives an empty table."""
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     prints_ = settle(spark, signed(narrow, "id", "text"), "prints")
     bound = [f"p{i}" for i in range(PRINTS)]
@@ -360,17 +374,21 @@ def groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
 
     def near(pairs: DataFrame) -> DataFrame:
         """Pairs whose prints are not too far for the threshold."""
-        left, right = wide, wide.select(F.col("id").alias("leader"), *(F.col(c).alias(f"q{c}") for c in bound))
+        salted, leaders = dealt(spark, pairs)
+        left, right = wide, wide.select(F.col("id").alias("leader"), *(F.col(c).alias(f"q{c}") for c in bound)).join(leaders, "leader")
         far = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"q{c}"))) for c in bound[1:]), F.bit_count(F.col(bound[0]).bitwiseXOR(F.col(f"q{bound[0]}"))))
-        return pairs.join(left, "id").join(right, "leader").where(far <= far_bound(threshold)).select("id", "leader")
+        return salted.join(left, "id").join(right, ["leader", "salt"]).where(far <= far_bound(threshold)).select("id", "leader")
 
-    stars = settle(spark, near(members.where("id <> leader").select("id", "leader").distinct()), "stars")
+    pairs = settle(spark, members.where("id <> leader").select("id", "leader").distinct(), "pairs")
+    stars = settle(spark, near(pairs), "stars")
     texts = settle(spark, picked(spark, narrow, members.select("id").distinct()), "texts")
-    links = settle(spark, verified(stars, texts, threshold), "links")
+    links = settle(spark, verified(spark, stars, texts, threshold), "links")
     roots = components(spark, links)
-    late = settle(spark, late_links(members.where("id <> leader").select("band", "bucket", "id"), roots, same.select(F.col("rep").alias("id"), "bands", *bound), texts, threshold), "late")
+    late = settle(spark, late_links(spark, members.where("id <> leader").select("band", "bucket", "id"), roots, same.select(F.col("rep").alias("id"), "bands", *bound), texts, threshold), "late")
     if not late.isEmpty():
         roots = components(spark, roots.select("id", F.col("root").alias("leader")).unionByName(late))
+    for table in (busy, members, pairs, stars, texts, links, late):  # nothing reads them any more
+        forget(spark, table)
 
     classes = same.select("d1", "d2", "weight", F.col("rep")).join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("d1", "d2", "weight", F.coalesce("root", "rep").alias("class_id"))
     out = prints_.select("id", "d1", "d2", "weight").join(classes, ["d1", "d2", "weight"], "left")

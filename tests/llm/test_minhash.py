@@ -100,3 +100,46 @@ def test_empty_nulls_and_repeated_rows(spark):
     got = sorted((r["doc_id"] or -1, r["class_id"]) for r in minhash.groups(spark, df).collect())
     assert got == [(-1, None), (4, 4), (4, 4), (9, 4)]
     assert sorted((r["doc_id"] or -1) for r in minhash.deduplicated(spark, df).collect()) == [-1, 4]
+
+
+def test_a_hot_leader_is_dealt_in_chunks(spark, monkeypatch):
+    """More pairs than a chunk for one leader: same groups, and no (leader, salt) with all of them."""
+    monkeypatch.setattr(minhash, "LEADER_CHUNK", 8)
+    base = [f"w{i}" for i in range(80)]
+    docs = [(i, " ".join([*base, f"x{i}"])) for i in range(60)] + [(100 + i, f"other text {i} of six words") for i in range(5)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in minhash.groups(spark, df).collect()} == classes(docs)
+    pairs = spark.createDataFrame([(i, 0) for i in range(1, 60)] + [(70, 69)], "id long, leader long")
+    salted, leaders = minhash.dealt(spark, pairs)
+    sizes = {(r["leader"], r["salt"]): r["count"] for r in salted.groupBy("leader", "salt").count().collect()}
+    assert sum(sizes.values()) == 60 and max(sizes.values()) < 25
+    assert set(sizes) <= {(r["leader"], r["salt"]) for r in leaders.collect()}
+
+
+def test_very_long_texts_and_clashing_names(spark):
+    rng = random.Random(2)
+    long = " ".join(rng.choice("abcdefgh") * rng.randrange(1, 9) for _ in range(150_000))
+    docs = [(1, long, 1), (2, long + " end", 2), (3, "x" * 1_000_000, 3), (4, "x" * 1_000_000, 4), (5, "", 5)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, hash int")
+    got = {r["doc_id"]: r["class_id"] for r in minhash.groups(spark, df).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+    kept = minhash.deduplicated(spark, df)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 5]
+
+
+def test_recall_of_pairs_at_the_threshold(spark):
+    """Pairs with edits of 1 to 4 % of their words: nearly all of those that reach the similarity are grouped, and none below it."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    docs, want = [], {}
+    for k in range(300):
+        w = [word() for _ in range(rng.randrange(40, 200))]
+        x = list(w)
+        for _ in range(round(len(w) * rng.choice([0.01, 0.02, 0.03, 0.04]))):
+            x[rng.randrange(len(x))] = word()
+        docs += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(x))]
+        want[2 * k + 1] = similarity(bag(" ".join(w)), bag(" ".join(x))) >= minhash.THRESHOLD
+    got = {r["doc_id"]: r["class_id"] for r in minhash.groups(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(got[i] == i for i, near in want.items() if not near)
+    near = [i for i, near in want.items() if near]
+    assert len(near) > 100 and sum(got[i] == i - 1 for i in near) >= 0.99 * len(near)
