@@ -15,6 +15,13 @@ from lodestone.sources.sql_walk import constructs
 NAME = r'(?:"(?:[^"]|"")+"|\w+)(?:\.(?:"(?:[^"]|"")+"|\w+))*'
 
 
+COLUMN = r'("(?:[^"]|"")+"|\w+)'
+
+
+def _name(x: str) -> str:
+    return x[1:-1].replace('""', '"') if x.startswith('"') else x.lower()
+
+
 class Unsupported(ValueError):
     """A statement whose effect is not known."""
 
@@ -23,17 +30,21 @@ def apply(state: dict, statement: str) -> dict:
     """The state after a statement; the one given stays as it is. state: table -> column -> [type, not null, default]."""
     state = {t: {c: list(x) for c, x in cols.items()} for t, cols in state.items()}
     text = " ".join(statement.split())
-    if m := re.match(rf"create table (?:if not exists )?({NAME}) ?\((.*)\)$", text, re.I):
+    if m := re.match(rf"create table (if not exists )?({NAME}) ?\((.*)\)$", text, re.I):
+        if m[2].lower() in state:
+            if m[1]:
+                return state
+            raise Unsupported(f"table {m[2]} stands already")
         columns, keys = {}, []
-        for item in parts(m[2]):
+        for item in parts(m[3]):
             if k := re.match(r"(?:constraint \S+ )?primary key ?\(([^)]*)\)", item, re.I):
-                keys += [x.strip() for x in k[1].split(",")]
+                keys += [_name(x.strip()) for x in k[1].split(",")]
             elif not re.match(r"(?:constraint|unique|check|foreign)\b", item, re.I):
                 name, what = _column(item)
                 columns[name] = what
         for k in keys:
             columns[k][1] = True
-        state[m[1].lower()] = columns
+        state[m[2].lower()] = columns
     elif m := re.match(rf"alter table (?:if exists )?(?:only )?({NAME}) (.*)$", text, re.I):
         table = m[1].lower()
         if table not in state:
@@ -43,7 +54,10 @@ def apply(state: dict, statement: str) -> dict:
     elif m := re.match(rf"drop table (if exists )?({NAME})$", text, re.I):
         if state.pop(m[2].lower(), None) is None and not m[1]:
             raise Unsupported(f"no table {m[2]}")
-    elif not re.match(r"(comment on|create (unique )?index|grant|revoke|insert|update|delete|select)\b", text, re.I):
+    elif m := re.match(rf"comment on column ({NAME})\.{COLUMN} is ", text, re.I):
+        if _name(m[2]) not in state.get(m[1].lower(), {}):
+            raise Unsupported(f"no column {m[1]}.{m[2]}")
+    elif not re.match(r"(comment on|create schema)\b", text, re.I):  # rows that change, indexes and rights are no state of a table
         raise Unsupported(text[:60])
     return state
 
@@ -54,7 +68,7 @@ def _column(item: str) -> tuple[str, list]:
         raise Unsupported(item)
     rest = m[3].lower()
     default = re.search(r"default (.+?)(?= (?:not null|null|primary key|unique|references|check|constraint)\b|$)", m[3], re.I)
-    return m[1].strip('"') if m[1].startswith('"') else m[1].lower(), [m[2].lower(), "not null" in rest or "primary key" in rest, default[1] if default else None]
+    return _name(m[1]), [m[2].lower(), "not null" in rest or "primary key" in rest, default[1] if default else None]
 
 
 def _altered(state: dict, table: str, action: str) -> dict:
@@ -62,21 +76,24 @@ def _altered(state: dict, table: str, action: str) -> dict:
     if m := re.match(r"add (?:column )?(?:if not exists )?(?!constraint|primary|unique|check|foreign)(.+)$", action, re.I):
         name, what = _column(m[1])
         columns[name] = what
-    elif m := re.match(r"drop (?:column )?(?:if exists )?(\w+)(?: cascade)?$", action, re.I):
-        columns.pop(m[1].lower())
-    elif m := re.match(r"alter (?:column )?(\w+) (?:set data )?type (.+?)(?: using .*)?$", action, re.I):
-        columns[m[1].lower()][0] = m[2].lower()
-    elif m := re.match(r"alter (?:column )?(\w+) (set|drop) not null$", action, re.I):
-        columns[m[1].lower()][1] = m[2].lower() == "set"
-    elif m := re.match(r"alter (?:column )?(\w+) (?:set default (.+)|drop default)$", action, re.I):
-        columns[m[1].lower()][2] = m[2]
-    elif m := re.match(r"rename (?:column )?(\w+) to (\w+)$", action, re.I):
-        state[table] = {m[2].lower() if c == m[1].lower() else c: x for c, x in columns.items()}
-    elif m := re.match(r"rename to (\w+)$", action, re.I):
-        state[m[1].lower()] = state.pop(table)
+    elif m := re.match(rf"drop (?:column )?(if exists )?{COLUMN}(?: cascade)?$", action, re.I):
+        if columns.pop(_name(m[2]), None) is None and not m[1]:
+            raise Unsupported(f"no column {m[2]}")
+    elif m := re.match(rf"alter (?:column )?{COLUMN} (?:set data )?type (.+?)(?: using .*)?$", action, re.I):
+        columns[_name(m[1])][0] = m[2].lower()
+    elif m := re.match(rf"alter (?:column )?{COLUMN} (set|drop) not null$", action, re.I):
+        columns[_name(m[1])][1] = m[2].lower() == "set"
+    elif m := re.match(rf"alter (?:column )?{COLUMN} (?:set default (.+)|drop default)$", action, re.I):
+        columns[_name(m[1])][2] = m[2]
+    elif m := re.match(rf"rename to {COLUMN}$", action, re.I):
+        state[table.rpartition(".")[0] + "." * ("." in table) + _name(m[1])] = state.pop(table)
+    elif m := re.match(rf"rename (?:column )?{COLUMN} to {COLUMN}$", action, re.I):
+        if _name(m[1]) not in columns:
+            raise Unsupported(f"no column {m[1]}")
+        state[table] = {_name(m[2]) if c == _name(m[1]) else c: x for c, x in columns.items()}
     elif m := re.match(r"add (?:constraint \w+ )?primary key ?\(([^)]*)\)$", action, re.I):
         for c in m[1].split(","):
-            columns[c.strip().lower()][1] = True
+            columns[_name(c.strip())][1] = True
     elif not re.match(r"add (?:constraint \w+ )?(unique|check|foreign key)\b", action, re.I):
         raise Unsupported(action)
     return state
@@ -84,11 +101,14 @@ def _altered(state: dict, table: str, action: str) -> dict:
 
 def rebuilt(migrations: DataFrame) -> DataFrame:
     """migrations (project, position, sql) -> (project, status, reason, table, position, column, type, not_null, default), in
-    the given order only; a project stops at its first unsupported statement and keeps the state before that file."""
+    the given order only; a project stops at its first unsupported statement and keeps the state before that file; one whose files
+    have no order of their own (a position that is null or repeats) is ambiguous and has no tables."""
     schema = "project string, status string, reason string, table string, position int, column string, type string, not_null boolean, default string"
 
     def fold(files: pd.DataFrame) -> pd.DataFrame:
         state, status, reason = {}, "resolved", None
+        if files["position"].isna().any() or files["position"].duplicated().any():
+            state, status, reason, files = {}, "ambiguous", "the order is not established", files.assign(sql="")
         for sql in files.sort_values("position")["sql"]:
             try:
                 after = state

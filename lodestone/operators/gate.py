@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators.rules import decision, predicate
+from lodestone.operators.rules import READY_PERCENT, predicate
 
 # What a check may find.
 STATUSES = ("ok", "defect", "inconclusive", "not_applicable")
@@ -43,51 +43,112 @@ def severity(checks: DataFrame, always_blocking: Sequence[str], never_editorial:
 
 
 def answered(required_: DataFrame, checks: DataFrame) -> DataFrame:
-    """(run_id, id, status, blocking, error): each obligation by its one result. None, several, one that is no status and
-    not_applicable for an obligation that applies count as inconclusive and are errors."""
+    """(run_id, id, status, blocking, error, sure): each obligation by its one result. No result, several, one that is no status, and
+    not_applicable for an obligation that applies count as inconclusive and are errors; another status for one that does not apply is
+    an error and counts as it is. sure: the status is the one given. required_ may have applicable (true where it has not) and
+    category (technical obligations block)."""
+    has = lambda c, other: F.coalesce(F.col(c), other) if c in required_.columns else other
+    own = required_.select("run_id", "id", (F.coalesce("blocking", F.lit(False)) | (has("category", F.lit("")) == "technical")).alias("blocking"), has("applicable", F.lit(True)).alias("applicable"))
     n = checks.groupBy("run_id", F.col("plan_check_id").alias("id")).agg(F.count("*").alias("n"), F.max("status").alias("status"), F.max("blocking").alias("_blocking"))
-    rows = required_.join(n, ["run_id", "id"], "left")
-    error = F.when(F.col("n").isNull(), "missing_result").when(F.col("n") > 1, "several_results").when(F.col("status") == "not_applicable", "applicable_not_answered").when(F.col("status").isNull() | ~F.col("status").isin(*STATUSES), "unknown_status")
-    return rows.select("run_id", "id", F.when(error.isNull(), F.col("status")).otherwise("inconclusive").alias("status"), (F.col("blocking") | F.coalesce("_blocking", F.lit(False))).alias("blocking"), error.alias("error"))
+    rows = own.join(n, ["run_id", "id"], "left")
+    unsure = (
+        F.when(F.col("n").isNull(), "missing_result").when(F.col("n") > 1, "several_results").when(F.col("applicable") & (F.col("status") == "not_applicable"), "applicable_not_answered")
+        .when(F.col("status").isNull() | ~F.col("status").isin(*STATUSES), "unknown_status")
+    )
+    error = F.coalesce(unsure, F.when(~F.col("applicable") & (F.col("status") != "not_applicable"), "inconsistent_applicability"))
+    return rows.select("run_id", "id", F.when(unsure.isNull(), F.col("status")).otherwise("inconclusive").alias("status"), (F.col("blocking") | F.coalesce("_blocking", F.lit(False))).alias("blocking"), error.alias("error"), unsure.isNull().alias("sure"))
 
 
 def scored(required_: DataFrame, checks: DataFrame) -> DataFrame:
-    """One row per run: counts, percentages and decision. Checks beside the plan never raise a score, but they can block."""
+    """One row per run: counts, percentages and decision. Checks beside the plan never raise a score, but they can block. An
+    obligation without a proper result is an error, which keeps a run from being ready but does not block it."""
     rows = answered(required_, checks)
     beside = checks.withColumn("id", F.col("plan_check_id")).join(required_.select("run_id", "id"), ["run_id", "id"], "left_anti").where("blocking and status in ('defect', 'inconclusive')")
-    rows = rows.withColumn("planned", F.lit(True)).unionByName(beside.select("run_id", "id", "status", F.lit(True).alias("blocking"), F.lit(None).cast("string").alias("error"), F.lit(False).alias("planned")))
-    of = lambda s, *more: F.count_if(reduce(lambda a, b: a & b, more, F.col("planned") & (F.col("status") == s)))
+    rows = rows.withColumn("planned", F.lit(True)).unionByName(beside.select("run_id", "id", "status", F.lit(True).alias("blocking"), F.lit(None).cast("string").alias("error"), F.lit(True).alias("sure"), F.lit(False).alias("planned")))
+    of = lambda s: F.count_if(F.col("planned") & (F.col("status") == s))
+    blocking = lambda s: F.count_if(F.col("blocking") & F.col("sure") & (F.col("status") == s))
     n = rows.groupBy("run_id").agg(
-        F.count_if("planned").alias("total"), of("ok").alias("ok"), of("defect").alias("defect"), of("inconclusive").alias("inconclusive"), F.count("error").alias("errors"),
-        F.count_if(F.col("blocking") & (F.col("status") == "defect")).alias("blocking_defects"), F.count_if(F.col("blocking") & (F.col("status") == "inconclusive")).alias("blocking_inconclusive"),
+        F.count_if("planned").alias("total"), *(of(s).alias(s) for s in STATUSES), F.count("error").alias("errors"),
+        blocking("defect").alias("blocking_defects"), blocking("inconclusive").alias("blocking_inconclusive"),
     )
-    blockers = F.col("blocking_defects") + F.col("blocking_inconclusive") + F.col("errors")
-    verdict = F.when((F.col("blocking_inconclusive") > 0), "blocked").otherwise(decision(F.col("ok"), F.col("defect"), F.col("inconclusive"), F.when(F.col("inconclusive") > 0, 0).otherwise(blockers)))
+    resolved_, none = F.col("ok") + F.col("defect"), (F.col("errors") + F.col("blocking_defects") + F.col("inconclusive")) == 0
+    verdict = F.when(F.col("blocking_inconclusive") > 0, "blocked").when(none & (resolved_ > 0) & (F.col("ok") * 100 >= resolved_ * READY_PERCENT), "ready").otherwise("revise")
     percent = lambda a, b: F.bround(F.try_divide(F.lit(100.0) * a, b), 2)
-    return n.withColumn("coverage_percent", percent(F.col("ok") + F.col("defect"), F.col("total"))).withColumn("accuracy_percent", percent(F.col("ok"), F.col("ok") + F.col("defect"))).withColumn("decision", verdict)
+    return n.withColumn("coverage_percent", percent(resolved_, resolved_ + F.col("inconclusive"))).withColumn("accuracy_percent", percent(F.col("ok"), resolved_)).withColumn("decision", verdict)
 
 
 def matched(occurrences: DataFrame, operations: DataFrame) -> DataFrame:
-    """occurrences (run_id, path, kind, ordinal, line) with operation_id: each takes the operation of its kind and path of
-    least order whose lines hold it and that none before it took; null where none is left. Groups are a file's statements of
-    one kind; only those are brought together."""
+    """occurrences (run_id, path, kind, ordinal, line) with operation_id: each, in their order, takes the operation of its kind and path
+    of least order whose lines hold it and that none before it took; null where none is left. Both are dealt by file and kind and
+    come sorted, operations first, so that a task holds one file's operations of one kind and streams the rest."""
     by = ["run_id", "path", "kind"]
-    left = occurrences.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col("ordinal").cast("long").alias("ordinal"), F.col("line").cast("long").alias("line")))).alias("at"))
-    right = operations.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("order", F.col("id").cast("string").alias("id"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line")))).alias("ops"))
+    no = F.lit(None)
+    left = occurrences.select(*by, F.lit(1).alias("side"), F.col("ordinal").cast("long").alias("a"), F.col("line").cast("long").alias("b"), no.cast("long").alias("c"), no.cast("string").alias("id"))
+    right = operations.select(*by, F.lit(0).alias("side"), F.col("order").cast("long").alias("a"), F.col("start_line").cast("long").alias("b"), F.col("end_line").cast("long").alias("c"), F.col("id").cast("string").alias("id"))
+    rows = left.unionByName(right).repartition(*by).sortWithinPartitions(*by, "side", "a", "b", "id")
 
     def greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, free = None, None
         for batch in batches:
-            place, taken = [], []
-            for n, (at, ops) in enumerate(zip(batch.column("at").to_pylist(), batch.column("ops").to_pylist(), strict=True)):
-                free = [(o["start_line"], o["end_line"], o["id"]) for o in ops or []]
-                for o in at:
-                    k = next((i for i, (a, b, _) in enumerate(free) if a <= o["line"] <= b), None)
-                    place.append((n, o["ordinal"], o["line"]))
-                    taken.append(free.pop(k)[2] if k is not None else None)
-            rows, ordinal, line = (pa.array([p[i] for p in place], pa.int64()) for i in range(3))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in by), ordinal, line, pa.array(taken, pa.string())], [*by, "ordinal", "line", "operation_id"])
-
-    return left.join(right, by, "left").mapInArrow(greedy, "run_id string, path string, kind string, ordinal long, line long, operation_id string")
+            out, taken = [], []
+            keys = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True))
+            sides, a, b, c, ids = (batch.column(x).to_pylist() for x in ("side", "a", "b", "c", "id"))
+            for i, key in enumerate(keys):
+                if key != now:
+                    now, free = key, _Free()
+                if sides[i]:
+                    out.append(i)
+                    taken.append(free.take(b[i]))
+                else:
+                    free.add(b[i], c[i], ids[i])
+            if out:
+                at = pa.array(out, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(x).take(at) for x in (*by, "a", "b")), pa.array(taken, pa.string())], [*by, "ordinal", "line", "operation_id"])
+
+    return rows.mapInArrow(greedy, "run_id string, path string, kind string, ordinal long, line long, operation_id string")
+
+
+class _Free:
+    """Operations that are left, in their order, in a tree of the least start and the greatest end below each node: the first that holds
+    a line is found by descent past all that cannot."""
+
+    def __init__(self):
+        self.rows: list[tuple[int, int, str]] = []
+        self.low: list[float] | None = None
+
+    def add(self, start: int, end: int, id_: str) -> None:
+        self.rows.append((start, end, id_))
+
+    def _build(self) -> None:
+        self.size = 1 << max(0, len(self.rows) - 1).bit_length()
+        self.low, self.high = [float("inf")] * (2 * self.size), [float("-inf")] * (2 * self.size)
+        for i, (start, end, _) in enumerate(self.rows):
+            self.low[self.size + i], self.high[self.size + i] = start, end
+        for k in range(self.size - 1, 0, -1):
+            self._mend(k)
+
+    def _mend(self, k: int) -> None:
+        self.low[k], self.high[k] = min(self.low[2 * k : 2 * k + 2]), max(self.high[2 * k : 2 * k + 2])
+
+    def take(self, line: int) -> str | None:
+        if not self.rows:
+            return None
+        if self.low is None:
+            self._build()
+        todo = [1]
+        while todo:
+            k = todo.pop()
+            if line is None or self.low[k] > line or self.high[k] < line:
+                continue
+            if k >= self.size:
+                found = self.rows[k - self.size][2]
+                self.low[k], self.high[k] = float("inf"), float("-inf")
+                while k > 1:
+                    k //= 2
+                    self._mend(k)
+                return found
+            todo += [2 * k + 1, 2 * k]
+        return None
 
 
 def evidence_problems(refs: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def shared_table(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Cut the lineage by a table in the folder of spark.checkpoint.dir; where none is set, by a checkpoint of the session's own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from lodestone.functions.storage import settled
 
 
 def hops(edges: DataFrame, direction: str) -> DataFrame:
@@ -50,7 +37,7 @@ def closure(spark: SparkSession, edges: DataFrame, seeds: DataFrame, direction:
         first = F.row_number().over(Window.partitionBy("seed", "node", "possible").orderBy("parent", "ordinal", "via"))
         next_ = next_.withColumn("n", first).where("n = 1").drop("n")
         next_ = next_.withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy("parent", "ordinal", "node")).cast("bigint")).withColumn("depth", F.lit(depth))
-        next_ = shared_table(spark, next_)
+        next_ = settled(spark, next_, "graph")
         if next_.isEmpty():
             break
         found = next_ if found is None else found.unionByName(next_)
@@ -78,9 +65,9 @@ def consumers(edges: DataFrame) -> DataFrame:
 def required_facts(spark: SparkSession, facts: DataFrame, seeds: DataFrame) -> DataFrame:
     """Ids that foreign keys (id, ref) join to the seeds (id), in either direction: semi-naive rounds to the fixpoint."""
     both = facts.select("id", "ref").unionByName(facts.select(F.col("ref").alias("id"), F.col("id").alias("ref"))).distinct()
-    seen = new = shared_table(spark, seeds.select("id").distinct())
+    seen = new = settled(spark, seeds.select("id").distinct(), "graph")
     while True:
-        new = shared_table(spark, new.join(both, "id").select(F.col("ref").alias("id")).distinct().join(seen, "id", "left_anti"))
+        new = settled(spark, new.join(both, "id").select(F.col("ref").alias("id")).distinct().join(seen, "id", "left_anti"), "graph")
         if new.isEmpty():
             return seen
         seen = seen.unionByName(new)

@@ -8,10 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import percent_encoded
 from lodestone.operators import graph
 
 # Kinds that share one name space.
-RELATIONS = ("table", "view", "materialized_view")
+RELATIONS = ("table", "view", "materialized_view", "ctas")
 REASONS = ("source_changed", "source_missing", "project_root_unavailable", "source_unreadable")
 
 
@@ -25,20 +26,26 @@ def repeated(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.groupBy(*columns).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def _class(kind):
+    """Kinds that may answer for one another: all relations; any other kind only itself."""
+    return F.when(kind.isin(*RELATIONS), "relation").otherwise(kind)
+
+
 def resolved(uses: DataFrame, known: DataFrame) -> DataFrame:
-    """uses with (to, resolution, candidates). In this order: an object of its own scope; a managed key; the only relation of
-    that schema and name; undocumented where it has a key and nothing else answers; unresolved with all that may be meant
-    (relations of that name in any schema). known: nodes()."""
-    exact = known.select(F.col("key"), F.lit(True).alias("_exact"))
-    group = F.col("kind").isin(*RELATIONS)
-    full = known.where(group).groupBy(F.col("schema"), F.col("name")).agg(F.sort_array(F.collect_set("key")).alias("_full"))
-    by_name = known.where(group).groupBy("name").agg(F.sort_array(F.collect_set("key")).alias("_named"))
-    rows = uses.join(exact, "key", "left").join(full, ["schema", "name"], "left").join(by_name, "name", "left")
-    one = (F.size("_full") == 1) & F.col("_full").isNotNull()
-    how = F.when(F.col("scope").isNotNull(), "scoped").when(F.col("_exact"), "published").when(one, "published").when(F.col("schema").isNotNull() & F.col("key").isNotNull() & F.col("_full").isNull(), "undocumented").otherwise("unresolved")
-    to = F.when(F.col("scope").isNotNull() | F.coalesce("_exact", F.lit(False)), F.col("key")).when(one, F.element_at("_full", 1)).when(how == "undocumented", F.col("key")).otherwise(F.concat(F.lit("@external:"), F.concat_ws(".", "schema", "name")))
-    candidates = F.when(how == "unresolved", F.coalesce("_full", "_named", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
-    return rows.withColumn("resolution", how).withColumn("to", to).withColumn("candidates", candidates).drop("_exact", "_full", "_named")
+    """uses (kind, schema, name, signature, key, scope, ...) with (to, resolution, candidates). In this order: an object of its own
+    scope; a managed key; for a relation, the only relation of that schema and name; undocumented where it has a key;
+    unresolved, with all of that schema and name that it may mean: relations for a relation, all overloads for a routine whose
+    signature is not known. An unknown schema is a schema of its own. known: nodes()."""
+    exact = known.select("key", F.lit(True).alias("_exact"))
+    alike = known.groupBy(_class(F.col("kind")).alias("_c"), F.col("schema").alias("_s"), F.col("name").alias("_n")).agg(F.sort_array(F.collect_set("key")).alias("_keys"))
+    same = (_class(F.col("kind")) == F.col("_c")) & F.col("schema").eqNullSafe(F.col("_s")) & (F.col("name") == F.col("_n"))
+    rows = uses.join(exact, "key", "left").join(alike, same, "left")
+    one = F.col("kind").isin(*RELATIONS) & (F.coalesce(F.size("_keys"), F.lit(0)) == 1)
+    how = F.when(F.col("scope").isNotNull(), "scoped").when(F.col("_exact") | one, "published").when(F.col("key").isNotNull(), "undocumented").otherwise("unresolved")
+    label = F.to_json(F.array("kind", "schema", "name", "signature"))
+    to = F.when(F.col("scope").isNotNull() | F.coalesce("_exact", F.lit(False)), F.col("key")).when(one, F.element_at("_keys", 1)).otherwise(F.coalesce("key", F.concat(F.lit("@external:"), percent_encoded(label))))
+    candidates = F.when(how == "unresolved", F.coalesce("_keys", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
+    return rows.withColumn("resolution", how).withColumn("to", to).withColumn("candidates", candidates).drop("_exact", "_c", "_s", "_n", "_keys")
 
 
 def edges(objects: DataFrame, operations: DataFrame) -> DataFrame:
@@ -46,7 +53,7 @@ def edges(objects: DataFrame, operations: DataFrame) -> DataFrame:
     operations read, write and call. Sorted order is kept in ordinal; dangling ids are what orphans() reports."""
     listed = [operations.select("run_id", "page_id", F.col("id").alias("operation_id"), F.lit(k).alias("use"), F.explode(c).alias("object_id")) for k, c in (("read", "reads"), ("write", "writes"), ("call", "calls"))]
     uses = listed[0].unionByName(listed[1]).unionByName(listed[2]).dropDuplicates()
-    target = objects.select("run_id", F.col("id").alias("object_id"), "key", "schema", "name", "scope")
+    target = objects.select("run_id", F.col("id").alias("object_id"), "kind", "key", "schema", "name", "signature", "scope")
     found = resolved(uses.join(target, ["run_id", "object_id"]), nodes(objects))
     owner = nodes(objects).select("run_id", "page_id", F.col("key").alias("from"))
     rows = found.join(owner, ["run_id", "page_id"]).select("from", "to", F.col("use").alias("kind"), "resolution", "candidates", "page_id", "run_id", "operation_id")

@@ -7,6 +7,7 @@ import json
 import re
 from dataclasses import dataclass, field
 
+from lodestone.functions.identity import argument_types
 from lodestone.sources.sql_text import masked, parts
 
 LEX = re.compile(r"""(?P<name>(?:"(?:[^"]|"")+"|[^\W\d]\w*)(?:\s*\.\s*(?:"(?:[^"]|"")+"|[^\W\d]\w*|\*))*)|(?P<sign>:=|::|<=|>=|<>|!=|=>|\|\||[^\s\w])|(?P<number>\d[\w.]*)""")
@@ -84,6 +85,16 @@ def cut(tokens: list[Token], mark: str) -> list[list[Token]]:
     return out if out != [[]] else []
 
 
+def parameter(text: str) -> dict:
+    """mode, name, type and default of one parameter of a routine."""
+    head, default = re.split(r"\s+default\s+|\s*(?::=|=)\s*", text, maxsplit=1, flags=re.I) if re.search(r"\bdefault\b|=", text, re.I) else (text, None)
+    words = head.split()
+    mode = words.pop(0).lower() if words[0].lower() in ("in", "out", "inout", "variadic") and len(words) > 1 else "in"
+    one = " ".join(words)
+    named = len(words) > 1 and not one.lower().startswith(("double precision", "character varying", "timestamp with", "timestamp without", "time with", "time without", "bit varying"))
+    return {k: v for k, v in (("mode", mode), ("name", folded(words[0]) if named else None), ("type", " ".join(words[named:])), ("default", default)) if v}
+
+
 class Walk:
     """The items and notes of one file."""
 
@@ -157,7 +168,7 @@ class Walk:
             else:
                 self.add(scope, first.upper(), t, branch)
         elif first in ("alter", "drop", "comment", "truncate"):
-            item = self.add(scope, first.upper() if first != "alter" or "rename" not in words else "RENAME", t, branch, text=self.source(t))
+            item = self.add(scope, first.upper(), t, branch, text=self.source(t))
             names = [x for x in t[1:] if x.kind == "name" and x.word not in ("table", "view", "materialized", "index", "function", "procedure", "schema", "column", "on", "if", "exists", "only", "cascade", "restrict", "constraint", "is")]
             if names:
                 item.writes.append(folded(names[0].text))
@@ -192,8 +203,7 @@ class Walk:
         temporary = "temp" in words[:at] or "temporary" in words[:at]
         as_ = low.index("as") if "as" in low else None
         if what == "view":
-            item = self.add(name, "MATERIALIZED_VIEW" if "materialized" in words[:at] else "VIEW", t, branch, output_columns=[folded(c[0].text) for c in cut(rest[0].inside, ",") if c] if rest and rest[0].kind == "group" else None)
-            item.writes.append(name)
+            self.add(name, "MATERIALIZED_VIEW" if "materialized" in words[:at] else "VIEW", t, branch, output_columns=[folded(c[0].text) for c in cut(rest[0].inside, ",") if c] if rest and rest[0].kind == "group" else None)
             if as_ is not None:
                 self.statement(rest[as_ + 1 :], name, env, branch)
         elif what == "table" and as_ is not None:
@@ -226,8 +236,12 @@ class Walk:
             hw = [x.word for x in head]
             stop = next((i for i, w in enumerate(hw) if w in ("language", "as", "immutable", "stable", "volatile", "security", "strict", "cost", "begin")), len(head))
             returns = self.source(head[1:stop]) if hw[:1] == ["returns"] else None
-            item = self.add(name, what.upper(), t, branch, parameters=[p for p in parts(listed) if p], returns=returns, volatility=next((w for w in hw if w in ("immutable", "stable", "volatile")), None))
-            item.writes.append(name)
+            parameters = [parameter(p) for p in parts(listed) if p]
+            try:
+                name += "(" + ",".join(argument_types(listed)) + ")"  # overloads are scopes of their own
+            except ValueError as e:
+                self.note(t[0].start, str(e))
+            self.add(name, what.upper(), t, branch, parameters=parameters, returns=returns, returns_table=bool(returns and returns.lower().startswith(("table", "setof"))) or None, volatility=next((w for w in hw if w in ("immutable", "stable", "volatile")), None))
             language = hw[hw.index("language") + 1] if "language" in hw and hw.index("language") + 1 < len(hw) else "sql"
             if language in ("plpgsql", "sql"):
                 self.body(t, name, env)

@@ -14,7 +14,8 @@ def verdict(spark, required, checks):
     ([(f"c{i}", False) for i in range(20)], [(f"c{i}", "ok" if i < 17 else "defect", False) for i in range(20)], ("ready", 17, 3, 0, 0)),
     ([(f"c{i}", False) for i in range(20)], [(f"c{i}", "ok" if i < 16 else "defect", False) for i in range(20)], ("revise", 16, 4, 0, 0)),
     ([("a", True), ("b", False)], [("a", "defect", False), ("b", "ok", False)], ("revise", 1, 1, 0, 0)),
-    ([("a", True), ("b", False)], [("b", "ok", False)], ("blocked", 1, 0, 1, 1)),
+    ([("a", True), ("b", False)], [("b", "ok", False)], ("revise", 1, 0, 1, 1)),
+    ([("a", True), ("b", False)], [("a", "inconclusive", False), ("b", "ok", False)], ("blocked", 1, 0, 1, 0)),
     ([("a", False)], [], ("revise", 0, 0, 1, 1)),
     ([("a", False)], [("a", "ok", False), ("a", "ok", False)], ("revise", 0, 0, 1, 1)),
     ([("a", False)], [("a", "not_applicable", False)], ("revise", 0, 0, 1, 1)),
@@ -26,6 +27,15 @@ def test_score(spark, required, checks, want):
     assert verdict(spark, required, checks) == want
 
 
+def test_obligations_that_do_not_apply(spark):
+    required = spark.createDataFrame([("r", "a", False, True, "editorial"), ("r", "b", False, False, "editorial"), ("s", "a", False, True, "editorial"), ("s", "b", False, False, "editorial"), ("t", "a", False, True, "technical"), ("t", "b", False, True, None)], REQUIRED + ", applicable boolean, category string")
+    checks = spark.createDataFrame([("r", "a", "ok", False), ("r", "b", "not_applicable", False), ("s", "a", "ok", False), ("s", "b", "ok", False), ("t", "a", "defect", False), ("t", "b", "ok", False)], CHECKS)
+    got = {r["run_id"]: r for r in gate.scored(required, checks).collect()}
+    assert (got["r"]["decision"], got["r"]["not_applicable"], got["r"]["coverage_percent"], got["r"]["errors"]) == ("ready", 1, 100.0, 0)
+    assert (got["s"]["decision"], got["s"]["ok"], got["s"]["errors"]) == ("revise", 2, 1)
+    assert (got["t"]["decision"], got["t"]["blocking_defects"]) == ("revise", 1)
+
+
 def test_required(spark):
     rules = [{"rule_id": "a", "always": True, "blocking": True}, {"rule_id": "b", "applies": {"has_reads": True}}, {"rule_id": "c"}]
     items = spark.createDataFrame([("r", "select", 1, True), ("r", "select", 2, None), ("r", "select", 2, None)], "run_id string, kind string, ordinal int, has_reads boolean")
@@ -41,6 +51,22 @@ def test_greedy_match(spark):
     assert {(r["kind"], r["ordinal"]): r["operation_id"] for r in gate.matched(o, p).collect()} == {("SELECT", 1): "wide", ("SELECT", 2): "narrow", ("SELECT", 3): None, ("UPDATE", 1): None}
 
 
+def test_greedy_match_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    files = [(f"f{k}", [(i, rng.randrange(40)) for i in range(rng.randrange(1, 30))], [(i, a := rng.randrange(40), a + rng.randrange(9), str(i)) for i in range(rng.randrange(0, 30))]) for k in range(20)]
+    o = spark.createDataFrame([("r", f, "X", i, line) for f, at, _ in files for i, line in at], "run_id string, path string, kind string, ordinal long, line long")
+    p = spark.createDataFrame([("r", f, "X", n, i, a, b) for f, _, ops in files for i, a, b, n in ops], "run_id string, path string, kind string, id string, `order` int, start_line int, end_line int")
+    want = {}
+    for f, at, ops in files:
+        free = sorted(ops)
+        for i, line in at:
+            k = next((k for k, x in enumerate(free) if x[1] <= line <= x[2]), None)
+            want[f, i] = free.pop(k)[3] if k is not None else None
+    assert {(r["path"], r["ordinal"]): r["operation_id"] for r in gate.matched(o, p).collect()} == want
+
+
 def test_evidence_and_links(spark):
     h = "0" * 64
     refs = [("r", "a", None, "f", 1, 2, h), ("r", "b", None, "f", 1, 9, h), ("r", "c", None, "g", 1, 1, h), ("r", "d", None, "f", 2, 1, h), ("r", "e", None, "f", 1, 1, "1" * 64), ("r", "f", None, "f", 1, 1, "x"), ("r", "g", None, None, 1, 1, h)]

@@ -58,7 +58,7 @@ def test_graph(spark, facts):
     got = {(r["from"], r["to"], r["kind"]): (r["resolution"], r["candidates"]) for r in lineage.edges(objects, operations).collect()}
     f = "function+s+f()"
     assert got == {
-        (f, "table+s+t", "read"): ("published", []), (f, "@cte:c", "read"): ("scoped", []), (f, "@external:t", "read"): ("unresolved", ["table+s+t"]),
+        (f, "table+s+t", "read"): ("published", []), (f, "@cte:c", "read"): ("scoped", []), (f, "@external:%5B%22table%22%2Cnull%2C%22t%22%2Cnull%5D", "read"): ("unresolved", []),
         (f, "table+x+gone", "write"): ("undocumented", []), (f, "view+s+v", "read"): ("published", []), ("view+s+v", "view+s+v", "read"): ("published", []),
     }
     assert [(r["operation_id"], r["object_id"]) for r in lineage.orphans(objects, operations).collect()] == [("b", "o9")]
@@ -67,6 +67,21 @@ def test_graph(spark, facts):
     assert {r["key"]: r["known"] for r in lineage.known(lineage.edges(objects, operations), lineage.nodes(objects), asked).collect()} == {f: True, "table+x+gone": True, "table+s+t": True, "nobody": False}
 
 
+def test_resolution(spark):
+    """Kinds, overloads, missing schemas and ctas."""
+    known = spark.createDataFrame([("table+s+t", "table", "s", "t"), ("function+s+t()", "function", "s", "t"), ("function+s+g(integer)", "function", "s", "g"), ("function+s+g(text)", "function", "s", "g"), ("table+s+two", "table", "s", "two"), ("view+s+two", "view", "s", "two"), ("table+s+c", "table", "s", "c"), ("table++bare", "table", None, "bare")], "key string, kind string, schema string, name string")
+    uses = [
+        ("call of a table's namesake", "function", "s", "t", "()", "function+s+t()"), ("call of an unknown overload", "function", "s", "g", None, None), ("call with a key", "function", "s", "g", "(date)", "function+s+g(date)"),
+        ("two relations", "table", "s", "two", None, "materialized_view+s+two"), ("ctas", "ctas", "s", "c", None, "ctas+s+c"), ("no schema", "table", None, "t", None, None), ("none either side", "view", None, "bare", None, None), ("gone", "table", "x", "t", None, "table+x+t"), ("call, no key", "procedure", "s", "t", None, None),
+    ]
+    df = spark.createDataFrame([(*u, None) for u in uses], "what string, kind string, schema string, name string, signature string, key string, scope string")
+    got = {r["what"]: (r["resolution"], r["to"] if not r["to"].startswith("@") else "@", r["candidates"]) for r in lineage.resolved(df, known).collect()}
+    assert got == {
+        "call of a table's namesake": ("published", "function+s+t()", []), "call of an unknown overload": ("unresolved", "@", ["function+s+g(integer)", "function+s+g(text)"]), "call with a key": ("undocumented", "function+s+g(date)", []),
+        "two relations": ("undocumented", "materialized_view+s+two", []), "ctas": ("published", "table+s+c", []), "no schema": ("unresolved", "@", []), "none either side": ("published", "table++bare", []), "gone": ("undocumented", "table+x+t", []), "call, no key": ("unresolved", "@", []),
+    }
+
+
 def test_page(spark, facts):
     objects, operations = facts
     pages = spark.createDataFrame([("p1", "managed", "a"), ("p2", "managed", "b"), ("p3", "managed", "c"), ("old", "legacy", None)], "page_id string, status string, page_sha256 string")

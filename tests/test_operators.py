@@ -19,6 +19,43 @@ def test_downstream_closure(spark):
     assert graph.closure(spark, edges(spark), seed, max_depth=1).count() == 1 and graph.closure(spark, edges(spark), seed, max_depth=0).count() == 0
 
 
+def walked(edges, seed, direction, depth):
+    """First discoveries by a queue, edges in their order."""
+    out, seen, queue = {}, {(seed, False)}, [(seed, False, 0)]
+    for node, maybe, d in queue:
+        if d >= depth:
+            continue
+        for a, b, kind, candidates, n in edges:
+            hops = []
+            if direction == "upstream":
+                hops += [(b, False)] if a == node else []
+            else:
+                hops += [(a, False)] if b == node else [(a, True)] if node in candidates else []
+                hops += [(b, False)] if a == node and kind == "write" else []
+            for to, possible in hops:
+                state = (to, maybe or possible)
+                if to == seed or state in seen:
+                    continue
+                seen.add(state)
+                out[state] = (d + 1, node, kind, n)
+                queue.append((*state, d + 1))
+    return out
+
+
+@pytest.mark.parametrize("direction", ["downstream", "upstream"])
+def test_closure_equals_a_queue(spark, direction):
+    """via, relation, ordinal and the sticky flag, on random cyclic graphs."""
+    import random
+
+    rng = random.Random(4)
+    for depth in (2, 32):
+        edges_ = [(f"n{rng.randrange(12)}", f"n{rng.randrange(12)}", rng.choice(["read", "write", "call"]), [f"n{rng.randrange(12)}"] if rng.random() < 0.3 else [], i) for i in range(24)]
+        df = spark.createDataFrame(edges_, "`from` string, `to` string, kind string, candidates array<string>, ordinal long")
+        seeds = ["n0", "n1", "n2"]
+        got = {(r["seed"], r["node"], r["possible"]): (r["depth"], r["via"], r["relation"], r["ordinal"]) for r in graph.closure(spark, df, spark.createDataFrame([(s,) for s in seeds], "seed string"), direction, depth).collect()}
+        assert got == {(s, *k): v for s in seeds for k, v in walked(edges_, s, direction, depth).items()}
+
+
 def test_one_hop(spark):
     d = {r["node"]: r for r in graph.dependencies(edges(spark)).collect()}
     assert d["producer"]["reads"] == ["input"] and d["producer"]["writes"] == ["output"]
@@ -59,12 +96,14 @@ def test_ddl_fold(spark):
     rows = [
         ("p", 2, "alter table s.t add column note text not null default 'x', alter column amount type numeric(18,4); alter table s.t rename column old to updated_on"),
         ("p", 1, "create table s.t (id bigint primary key, amount numeric(12,2), old date, gone text); alter table s.t drop column gone"),
-        ("q", 1, "create table a (x int)"), ("q", 2, "do something odd; create table b (y int)"),
+        ("q", 1, "create table a (x int)"), ("q", 2, "do something odd; create table b (y int)"), ("r", 1, "create table a (x int)"), ("r", 2, "create table a (x int)"),
+        ("s", 1, 'create table a ("X y" int); alter table a rename column "X y" to z; alter table a rename to b'), ("t", 1, "create table a (x int); insert into a values (1)"), ("u", None, "create table a (x int)"),
     ]
     got = ddl.rebuilt(spark.createDataFrame(rows, "project string, position int, sql string")).collect()
     p = sorted((r["position"], r["column"], r["type"], r["not_null"], r["default"]) for r in got if r["project"] == "p")
     assert p == [(1, "id", "bigint", True, None), (2, "amount", "numeric(18,4)", False, None), (3, "updated_on", "date", False, None), (4, "note", "text", True, "'x'")]
-    assert [(r["status"], r["table"]) for r in got if r["project"] == "q"] == [("unsupported", "a")]
+    of = lambda x: [(r["status"], r["table"], r["column"]) for r in got if r["project"] == x]
+    assert of("q") == [("unsupported", "a", "x")] and of("r") == [("unsupported", "a", "x")] and of("s") == [("resolved", "b", "z")] and of("t") == [("unsupported", None, None)] and of("u") == [("ambiguous", None, None)]
 
 
 def test_inventory(spark):

