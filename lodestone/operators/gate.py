@@ -105,7 +105,8 @@ def matched(occurrences: DataFrame, operations: DataFrame) -> DataFrame:
                 at = pa.array(out, pa.int64())
                 yield pa.RecordBatch.from_arrays([*(batch.column(x).take(at) for x in (*by, "a", "b")), pa.array(taken, pa.string())], [*by, "ordinal", "line", "operation_id"])
 
-    return rows.mapInArrow(greedy, "run_id string, path string, kind string, ordinal long, line long, operation_id string")
+    own = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by)
+    return rows.mapInArrow(greedy, f"{own}, ordinal long, line long, operation_id string")
 
 
 class _Free:

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import identity
 from lodestone.functions import text as T
-from lodestone.operators import ddl, gate, graph, lineage, lint, markdown, rules
-from lodestone.sources import sql_text
+from lodestone.operators import column_types, ddl, evaluation, gate, graph, lineage, lint, markdown, rules
 
 _found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
@@ -69,14 +68,15 @@ def coverage_metrics_by_source(spark, sf_dir):
 
 @query("""
 with c as (select source, count(*) filter (where quality = 1) as ok, count(*) filter (where quality = 0) as defect,
-  count(*) filter (where quality is null and doc_id % 97 = 0) as unknown from documents left join labels using (doc_id) group by source)
-select source, ok, defect, unknown, case when unknown = 0 and ok + defect > 0 and ok * 100 >= (ok + defect) * 85 then 'ready'
-  when unknown > 0 and defect > ok / 5 then 'blocked' else 'revise' end as decision from c""")
+  count(*) filter (where quality is null) as unknown, count(*) filter (where quality is null and n_chars > 20000) as blocking from documents left join labels using (doc_id) group by source)
+select source, ok, defect, unknown, case when blocking + unknown = 0 and ok + defect > 0 and ok * 100 >= (ok + defect) * 85 then 'ready'
+  when blocking > 0 then 'blocked' else 'revise' end as decision from c""")
 def gate_decision_by_source(spark, sf_dir):
-    """Unknown checks that matter are the unlabelled documents of every ninety-seventh id; they block where defects are many."""
-    n = _labelled(spark, sf_dir).groupBy("source").agg(F.count_if(F.col("quality") == 1).alias("ok"), F.count_if(F.col("quality") == 0).alias("defect"), F.count_if(F.col("quality").isNull() & (F.col("doc_id") % 97 == 0)).alias("unknown"))
-    blocking = F.when((F.col("unknown") > 0) & (F.col("defect") > F.col("ok") / 5), 1).otherwise(0)
-    return n.withColumn("decision", rules.decision(F.col("ok"), F.col("defect"), F.col("unknown"), blocking))
+    """All unlabelled documents are unknown; the very long ones among them block."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars").join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    none = F.col("quality").isNull()
+    n = rows.groupBy("source").agg(F.count_if(F.col("quality") == 1).alias("ok"), F.count_if(F.col("quality") == 0).alias("defect"), F.count_if(none).alias("unknown"), F.count_if(none & (F.col("n_chars") > 20000)).alias("blocking"))
+    return n.select("source", "ok", "defect", "unknown", rules.decision(F.col("ok"), F.col("defect"), F.col("unknown"), F.col("blocking")).alias("decision"))
 
 
 @query("select event_type, count(*) as n, count(*) filter (where value > 50) as large, min(ts) as first_ts, avg(value) as mean_value from events group by event_type")
@@ -92,9 +92,20 @@ def freshness_percent(spark, sf_dir):
     return n.withColumn("fresh_percent", F.round(F.try_divide(F.lit(100.0) * F.col("fresh"), F.col("tracked")), 6))
 
 
-@query("select user_id, count(*) * 1.0 / nullif(count(distinct event_type), 0) as mean_iterations, avg(case when event_type = 'error' or value > 90 then 1.0 else 0.0 end) as error_rate from events group by user_id")
-def mean_iterations(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy("user_id").agg(F.try_divide(F.count("*"), F.count_distinct("event_type")).alias("mean_iterations"), F.avg(F.when((F.col("event_type") == "error") | (F.col("value") > 90), 1.0).otherwise(0.0)).alias("error_rate"))
+@query("""select (select count(*) filter (where o_orderstatus = 'F') from orders) as ready, (select count(*) filter (where o_orderstatus = 'O') from orders) as revise,
+  (select count(*) filter (where o_orderstatus = 'P') from orders) as blocked, (select min(o_orderdate)::date::varchar from orders) as first,
+  (select coalesce(sum(o_custkey % 3) filter (where o_orderstatus = 'F'), 0)::bigint from orders) as ready_blocking,
+  count(*) filter (where event_type in ('click', 'purchase')) as publishes,
+  count(*) filter (where event_type in ('click', 'purchase')) * 1.0 / nullif(count(distinct user_id) filter (where event_type in ('click', 'purchase')), 0) as mean_iterations,
+  (select avg(case when toxic is not null then toxic when quality = 1 then 1.0 else 0.0 end) from labels) as error_rate from events""")
+def gate_metrics(spark, sf_dir):
+    """Orders are decisions, events transactions of their users' pages, labels mutations."""
+    state = F.col("o_orderstatus")
+    decisions = read(spark, sf_dir, "orders").select(F.when(state == "F", "ready").when(state == "O", "revise").when(state == "P", "blocked").alias("decision"), F.col("o_orderdate").cast("date").cast("string").alias("timestamp"), (F.col("o_custkey") % 3).cast("bigint").alias("blocking_defects"))
+    kind = F.col("event_type")
+    moves = read(spark, sf_dir, "events").select(F.when(kind == "view", "catalogue").otherwise("publish").alias("kind"), F.when(kind == "click", "committed").when(kind == "purchase", "rolled_back").otherwise("prepared").alias("state"), F.col("user_id").alias("page_id"))
+    mutations = read(spark, sf_dir, "labels").select((F.col("toxic") == 1).alias("false_ready"), F.when(F.col("quality") == 1, "ready").otherwise("revise").alias("decision"))
+    return gate.metrics(decisions, moves, mutations)
 
 
 @query("""with d as (select count(*) as n from documents), s as (select count(*) as n from documents semi join labels using (doc_id)),
@@ -228,20 +239,40 @@ def section_end(spark, sf_dir):
     return rows.select("conv_id", "turn", F.when(F.col("level") == 0, ends[0]).when(F.col("level") == 1, ends[1]).otherwise(ends[2]).alias("section_end"))
 
 
-@query("select n_name, r_name, case when r_name = 'ASIA' and n_nationkey % 2 = 0 then 'allowed' when r_name = 'EUROPE' then 'denied' else 'unconfirmed' end as decision from nation join region on n_regionkey = r_regionkey")
-def access_matrix(spark, sf_dir):
-    matrix = spark.createDataFrame([("ASIA", 0, "allowed"), ("EUROPE", 0, "denied"), ("EUROPE", 1, "denied")], "r_name string, parity int, decision string")
-    rows = read(spark, sf_dir, "nation").join(F.broadcast(read(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")).withColumn("parity", F.col("n_nationkey") % 2)
-    return rows.join(F.broadcast(matrix), ["r_name", "parity"], "left").select("n_name", "r_name", F.coalesce("decision", F.lit("unconfirmed")).alias("decision"))
+_MATRIX = [("read", "same", "raw", "allowed"), ("read", "other", "raw", "denied"), ("write", "same", "core", "allowed")]
 
 
-@query("select r_name as rule, n_name as subject, left(sha256(r_name || ':' || n_name), 16) as obligation from region, nation where n_regionkey = r_regionkey or r_name = 'ASIA'")
+@query("""with u as (select distinct c_custkey as id, lower(c_mktsegment) || '_n' || c_nationkey || '_core' as owner_schema, lower(c_mktsegment) as f, 'n' || c_nationkey as p,
+  case when c_custkey % 3 = 0 then lower(c_mktsegment) else 'mart' end || '_n' || (c_custkey % 5) || '_' || case when o_orderstatus = 'F' then 'raw' when o_orderstatus = 'O' then 'core' else 'tmp' end as schema,
+  case when c_custkey % 3 = 0 then lower(c_mktsegment) else 'mart' end as g, 'n' || (c_custkey % 5) as q, case when o_orderstatus = 'F' then 'raw' when o_orderstatus = 'O' then 'core' else 'tmp' end as layer,
+  case when o_orderpriority < '3' then 'read' else 'write' end as use from orders join customer on c_custkey = o_custkey)
+select id, schema, use, case when f = g and p = q then 'same' else 'other' end as kinship, case when use = 'read' and layer = 'raw' then case when f = g and p = q then 'allowed' else 'denied' end
+  when use = 'write' and layer = 'core' and f = g and p = q then 'allowed' else 'unconfirmed' end as decision from u""")
+def access_matrix(spark, sf_dir):
+    """Customers are owners of schemas by segment and nation; what their orders touch is decided by kinship and layer."""
+    rows = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    family = F.lower("c_mktsegment")
+    layer = F.when(F.col("o_orderstatus") == "F", "raw").when(F.col("o_orderstatus") == "O", "core").otherwise("tmp")
+    schema = F.concat(F.when(F.col("c_custkey") % 3 == 0, family).otherwise("mart"), F.lit("_n"), F.col("c_custkey") % 5, F.lit("_"), layer)
+    uses = rows.select(F.col("c_custkey").alias("run_id"), F.concat(family, F.lit("_n"), F.col("c_nationkey"), F.lit("_core")).alias("owner_schema"), schema.alias("schema"), F.when(F.col("o_orderpriority") < "3", "read").otherwise("write").alias("use")).distinct()
+    matrix = spark.createDataFrame(_MATRIX, "use string, kinship string, layer string, decision string")
+    return gate.access(uses, "^([a-z]+)_(n[0-9]+)_([a-z]+)$", matrix).select(F.col("run_id").alias("id"), "schema", "use", "kinship", "decision")
+
+
+_RULES = [
+    {"rule_id": "named", "always": True, "category": "editorial"}, {"rule_id": "large", "applies": {"p_size_gte": 25}, "blocking": True},
+    {"rule_id": "brand", "applies": {"_or": [{"p_brand": ["Brand#1", "Brand#2"]}, {"p_size": 1}]}, "source": "inventory"},
+]
+_OBLIGATION = "{rule!r} || ':' || p_type || ':' || left(sha256('[\"' || p_partkey || '\",\"' || p_brand || '\"]'), 16)"
+
+
+@query(" union all ".join(
+    f"select p_partkey as run_id, {_OBLIGATION.format(rule=r)} as id, '{r}' as rule_id, '{source}' as source, {blocking} as blocking, '{category}' as category from part where {where}"
+    for r, source, blocking, category, where in (("named", "section", "false", "editorial", "true"), ("large", "section", "true", "technical", "p_size >= 25"), ("brand", "inventory", "false", "technical", "p_brand in ('Brand#1', 'Brand#2') or p_size = 1"))
+))
 def obligations(spark, sf_dir):
-    """Rules (a fixed few) against subjects: rules apply to their own region or to all."""
-    r, n = read(spark, sf_dir, "region"), read(spark, sf_dir, "nation")
-    own = n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name")
-    every = n.join(F.broadcast(r.where("r_name = 'ASIA'")), F.col("n_regionkey") != F.col("r_regionkey")).select("r_name", "n_name")
-    return own.unionByName(every).select(F.col("r_name").alias("rule"), F.col("n_name").alias("subject"), F.left(F.sha2(F.concat_ws(":", "r_name", "n_name"), 256), F.lit(16)).alias("obligation"))
+    """Rules of a policy against every part: one scan, each rule a predicate."""
+    return gate.required(read(spark, sf_dir, "part").withColumn("run_id", F.col("p_partkey")).withColumn("kind", F.col("p_type")), _RULES, ["p_partkey", "p_brand"])
 
 
 @query("""with l as (select l_orderkey as k, list_sort(list(l_suppkey)) as bag, list_sort(list(distinct l_suppkey)) as s from lineitem group by 1),
@@ -276,16 +307,6 @@ def predicate_tree(spark, sf_dir):
     return read(spark, sf_dir, "customer").where(rules.predicate(tree)).select("c_custkey")
 
 
-@query("""with c as (select n_regionkey, min(n_nationkey) as key, count(*) as n from nation where n_nationkey % 4 = 0 group by 1)
-select s_suppkey, case when n is null then 'undocumented' when n = 1 then 'published' else 'unresolved' end as resolution, case when n = 1 then key end as target
-from supplier join nation on s_nationkey = n_nationkey left join c using (n_regionkey)""")
-def resolution_precedence(spark, sf_dir):
-    nation = read(spark, sf_dir, "nation")
-    c = nation.where("n_nationkey % 4 = 0").groupBy("n_regionkey").agg(F.min("n_nationkey").alias("key"), F.count("*").alias("n"))
-    rows = read(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(c, "n_regionkey", "left")
-    return rows.select("s_suppkey", F.when(F.col("n").isNull(), "undocumented").when(F.col("n") == 1, "published").otherwise("unresolved").alias("resolution"), F.when(F.col("n") == 1, F.col("key")).alias("target"))
-
-
 @query("select o_orderkey, field, value from (select o_orderkey, o_orderstatus::varchar as status, o_orderpriority::varchar as priority from orders) unpivot (value for field in (status, priority))")
 def expected_claims(spark, sf_dir):
     rows = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
@@ -314,25 +335,32 @@ def latest_turn(spark, sf_dir):
 # Lineage -------------------------------------------------------------------------------------------------------------
 
 _EDGES = """with raw as (
-  select distinct 'c' || o_custkey as a, 'n' || c_nationkey as b, 'read' as kind from orders join customer on o_custkey = c_custkey where o_orderkey % 50 = 0
-  union all select 's' || s_suppkey, 'n' || s_nationkey, 'write' from supplier
-  union all select 'n' || n_nationkey, 'r' || n_regionkey, 'call' from nation),
-edges as (select a, b, kind from raw)"""
+  select distinct 'c' || o_custkey as a, 'n' || c_nationkey as b, 'read' as kind, [] as candidates from orders join customer on o_custkey = c_custkey
+  union all select 's' || s_suppkey, 'n' || s_nationkey, 'write', [] from supplier
+  union all select 'n' || n_nationkey, 'r' || n_regionkey, 'call', [] from nation
+  union all select 'v' || n_nationkey, '@external:' || n_name, 'read', ['n' || ((n_nationkey + 1) % 25), 'r' || n_regionkey] from nation
+  union all select 'r' || r_regionkey, 'v' || (r_regionkey * 4), 'write', [] from region),
+edges as (select a, b, kind, candidates from raw)"""
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    customer = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
-    read_ = read(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").join(customer, "o_custkey").select(key("c", "o_custkey").alias("from"), key("n", "c_nationkey").alias("to"), F.lit("read").alias("kind")).distinct()
-    write = read(spark, sf_dir, "supplier").select(key("s", "s_suppkey").alias("from"), key("n", "s_nationkey").alias("to"), F.lit("write").alias("kind"))
-    call = read(spark, sf_dir, "nation").select(key("n", "n_nationkey").alias("from"), key("r", "n_regionkey").alias("to"), F.lit("call").alias("kind"))
-    rows = read_.unionByName(write).unionByName(call)
-    return rows.withColumn("candidates", F.array().cast("array<string>")).withColumn("ordinal", F.xxhash64("from", "to", "kind"))
-
-
-@query(f"{_EDGES} select a as \"from\", b as \"to\", kind from edges")
+    """Customers with orders read nations, suppliers write them, nations call regions, views read names that may be a nation or a
+    region, regions write views: with cycles and with candidates."""
+    key = lambda p, c: F.concat(F.lit(p), (F.col(c) if isinstance(c, str) else c).cast("string"))
+    none = F.array().cast("array<string>").alias("candidates")
+    customer, nation, region = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+    read_ = read(spark, sf_dir, "orders").select("o_custkey").distinct().join(customer, "o_custkey").select(key("c", "o_custkey").alias("from"), key("n", "c_nationkey").alias("to"), F.lit("read").alias("kind"), none)
+    write = read(spark, sf_dir, "supplier").select(key("s", "s_suppkey").alias("from"), key("n", "s_nationkey").alias("to"), F.lit("write").alias("kind"), none)
+    call = nation.select(key("n", "n_nationkey").alias("from"), key("r", "n_regionkey").alias("to"), F.lit("call").alias("kind"), none)
+    maybe = nation.select(key("v", "n_nationkey").alias("from"), F.concat(F.lit("@external:"), "n_name").alias("to"), F.lit("read").alias("kind"), F.array(key("n", (F.col("n_nationkey") + 1) % 25), key("r", "n_regionkey")).alias("candidates"))
+    back = region.select(key("r", "r_regionkey").alias("from"), key("v", F.col("r_regionkey") * 4).alias("to"), F.lit("write").alias("kind"), none)
+    rows = read_.unionByName(write).unionByName(call).unionByName(maybe).unionByName(back)
+    return rows.withColumn("ordinal", F.xxhash64("from", "to", "kind"))
+
+
+@query(f"{_EDGES} select a as \"from\", b as \"to\", kind, candidates from edges")
 def lineage_edges(spark, sf_dir):
-    return _edges(spark, sf_dir).select("from", "to", "kind")
+    return _edges(spark, sf_dir).select("from", "to", "kind", "candidates")
 
 
 _LISTS = "list_sort(list(distinct {x}) filter (where kind = '{k}'))"
@@ -343,80 +371,141 @@ def dependencies_1hop(spark, sf_dir):
     return graph.dependencies(_edges(spark, sf_dir))
 
 
-@query(f"{_EDGES} select b as node, coalesce({_LISTS.format(x='a', k='read')}, []) as read_by, coalesce({_LISTS.format(x='a', k='write')}, []) as written_by, coalesce({_LISTS.format(x='a', k='call')}, []) as called_by from edges group by b")
+@query(f"""{_EDGES}, sure as (select b as node, coalesce({_LISTS.format(x='a', k='read')}, []) as read_by, coalesce({_LISTS.format(x='a', k='write')}, []) as written_by, coalesce({_LISTS.format(x='a', k='call')}, []) as called_by from edges group by b),
+maybe as (select c as node, list_sort(list(distinct a)) as possible_consumers from (select a, unnest(candidates) as c from edges) group by c)
+select coalesce(s.node, m.node) as node, read_by, written_by, called_by, possible_consumers from sure s full join maybe m on s.node = m.node""")
 def consumers_1hop(spark, sf_dir):
-    return graph.consumers(_edges(spark, sf_dir)).drop("possible_consumers")
+    return graph.consumers(_edges(spark, sf_dir))
+
 
+_RECURSIVE = _EDGES.replace("with raw", "with recursive raw")
 
-@query(f"{_EDGES.replace('with raw', 'with recursive raw')}, up(seed, node, depth) as (select s, s, 0 from (select 's' || s_suppkey as s from supplier where s_suppkey % 10 = 1) union select seed, b, depth + 1 from up join edges on a = node where depth < 32)\nselect seed, node, min(depth) as depth from up where node <> seed group by 1, 2")
+
+@query(f"{_RECURSIVE}, up(seed, node, depth) as (select 's' || s_suppkey, 's' || s_suppkey, 0 from supplier union select seed, b, depth + 1 from up join edges on a = node where depth < 12)\nselect seed, node, false as possible, min(depth) as depth from up where node <> seed group by 1, 2")
 def dependencies_chain(spark, sf_dir):
-    seeds = read(spark, sf_dir, "supplier").where("s_suppkey % 10 = 1").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("seed"))
-    return graph.closure(spark, _edges(spark, sf_dir), seeds, "upstream").select("seed", "node", "depth")
+    seeds = read(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("seed"))
+    return graph.closure(spark, _edges(spark, sf_dir), seeds, "upstream", 12).select("seed", "node", "possible", "depth")
 
 
-@query(f"{_EDGES.replace('with raw', 'with recursive raw')}, steps as (select b as x, a as y from edges union select a, b from edges where kind = 'write'), down(seed, node, depth) as (select s, s, 0 from (select 'r' || r_regionkey as s from region) union select seed, y, depth + 1 from down join steps on x = node where depth < 6)\nselect seed, node, min(depth) as depth from down where node <> seed group by 1, 2")
+@query(f"""{_RECURSIVE}, steps as (select b as x, a as y, false as maybe from edges union select c, a, true from (select a, b, unnest(candidates) as c from edges) where c <> b union select a, b, false from edges where kind = 'write'),
+down(seed, node, possible, depth) as (select 'r' || r_regionkey, 'r' || r_regionkey, false, 0 from region union select seed, y, possible or maybe, depth + 1 from down join steps on x = node where depth < 6 and y <> seed)
+select seed, node, possible, min(depth) as depth from down where node <> seed group by 1, 2, 3""")
 def affected_cyclic(spark, sf_dir):
+    """With the sticky flag of what is only possible; the seed is not passed again."""
     seeds = read(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("seed"))
-    return graph.closure(spark, _edges(spark, sf_dir), seeds, "downstream", 6).select("seed", "node", "depth")
+    return graph.closure(spark, _edges(spark, sf_dir), seeds, "downstream", 6).select("seed", "node", "possible", "depth")
 
 
-@query(f"{_EDGES.replace('with raw', 'with recursive raw')}, both_ways as (select a as x, b as y from edges union select b, a from edges), need(id) as (select 'r0' union select y from need join both_ways on x = id)\nselect id from need")
+@query(f"{_RECURSIVE}, both_ways as (select a as x, b as y from edges union select b, a from edges), need(id) as (select 'r0' union select y from need join both_ways on x = id)\nselect id from need")
 def required_facts_fixpoint(spark, sf_dir):
     facts = _edges(spark, sf_dir).select(F.col("from").alias("id"), F.col("to").alias("ref"))
     return graph.required_facts(spark, facts, spark.createDataFrame([("r0",)], "id string"))
 
 
-@query("select r_name as candidate, list_sort(list(n_name)) as possible_consumers from nation join region on n_regionkey = r_regionkey or n_regionkey + 1 = r_regionkey group by r_name")
-def possible_consumers(spark, sf_dir):
-    region = read(spark, sf_dir, "region")
-    listed = read(spark, sf_dir, "nation").select("n_name", F.explode(F.array("n_regionkey", F.col("n_regionkey") + 1)).alias("r_regionkey"))
-    return listed.join(F.broadcast(region), "r_regionkey").groupBy(F.col("r_name").alias("candidate")).agg(F.sort_array(F.collect_list("n_name")).alias("possible_consumers"))
+@query(f"{_EDGES} select key, key in (select a from edges union select b from edges union select unnest(candidates) from edges) as known from (select 'n' || c_nationkey as key from customer union select 'c' || c_custkey from customer)")
+def known_keys(spark, sf_dir):
+    c = read(spark, sf_dir, "customer")
+    keys = c.select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("key")).union(c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")))).distinct()
+    return lineage.known(_edges(spark, sf_dir), spark.createDataFrame([], "key string"), keys)
 
 
 # SQL text ------------------------------------------------------------------------------------------------------------
 
-_SOURCES = [
-    ("a.sql", "insert into mart.daily select now(), count(*) from raw.events where kind = 'x;y';\nupdate mart.daily set n = 0 where n is null;"),
-    ("b.sql", "create or replace view mart.v as select id, amount * 2 as twice from mart.t;\ngrant select on mart.v to reader;\nmerge into mart.t using raw.t on t.id = raw.t.id when matched then update set amount = 1"),
-]
+# Each part is a file: an insert from the raw table of its size, an update where it is large, and a view over a join.
+_FILES = """select p_partkey as k, 'p' || p_partkey || '.sql' as path, p_size as n, replace(p_brand, '#', '_') as b from part"""
 
 
-@query("select * from (values ('a.sql', 1, 'INSERT', 1, 'mart.daily'), ('a.sql', 2, 'UPDATE', 1, 'mart.daily'), ('b.sql', 1, 'CREATE', 1, 'mart.v'), ('b.sql', 2, 'GRANT', 1, null), ('b.sql', 3, 'MERGE', 1, 'mart.t')) as v(path, line, kind, ordinal, target)")
-def sql_inventory(spark, sf_dir):
-    return ddl.inventoried(spark.createDataFrame(_SOURCES, "path string, sql string"))
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.concat(F.lit("p"), "p_partkey", F.lit(".sql")).alias("path"), F.col("p_size").alias("n"), F.replace("p_brand", F.lit("#"), F.lit("_")).alias("b"))
+    insert = F.concat(F.lit("insert into mart."), "b", F.lit(" (id, total) select id, util.f"), "n", F.lit("(x) as total from raw.s"), "n", F.lit(" where kind = 'x;y';\n"))
+    update = F.when(F.col("n") > 25, F.concat(F.lit("update mart."), "b", F.lit(" set total = 0 where total is null; -- large; ones\n"))).otherwise("")
+    view = F.concat(F.lit("create or replace view mart.v"), "k", F.lit(" as select a.id from mart."), "b", F.lit(" a join raw.s"), "n", F.lit(" r on a.id = r.id"))
+    return p.withColumn("sql", F.concat(insert, update, view))
 
 
-@query("select * from (values ('p', 'resolved', 's.t', 1, 'id', 'bigint', true), ('p', 'resolved', 's.t', 2, 'amount', 'numeric(18,4)', false), ('p', 'resolved', 's.t', 3, 'updated_on', 'date', false)) as v(project, status, \"table\", position, \"column\", type, not_null)")
-def ddl_fold(spark, sf_dir):
-    rows = [("p", 2, "alter table s.t alter column amount type numeric(18,4), add column updated_on date"), ("p", 1, "create table s.t (id bigint primary key, amount numeric(12,2))")]
-    return ddl.rebuilt(spark.createDataFrame(rows, "project string, position int, sql string")).select("project", "status", "table", "position", "column", "type", "not_null")
+@query(f"""with f as ({_FILES}) select path, 1 as line, 'INSERT' as kind, 1 as ordinal, lower('mart.' || b) as target from f
+ union all select path, 2, 'UPDATE', 1, lower('mart.' || b) from f where n > 25 union all select path, 2 + (n > 25)::int, 'CREATE', 1, 'mart.v' || k from f""")
+def sql_inventory(spark, sf_dir):
+    return ddl.inventoried(_files(spark, sf_dir)).replace("", None, ["target"])
 
 
-@query("select * from (values (1, true), (2, false), (3, true)) as v(pair, same)")
+@query("""with c as (select c_custkey as k, c_nationkey as n from customer)
+select 'p' || k as project, 'resolved' as status, 's.t' || n as "table", 1 as position, 'id' as "column", 'bigint' as type, true as not_null from c
+union all select 'p' || k, 'resolved', 's.t' || n, 2, case when n % 2 = 0 then 'total' else 'amount' end, 'numeric(' || (10 + n) || ',2)', false from c
+union all select 'p' || k, 'resolved', 's.t' || n, 3, 'added on', 'date', n % 3 = 0 from c where n % 5 <> 0
+union all select 'q' || k, 'unsupported', 's.t' || n, 1, 'id', 'integer', false from c where k % 4 = 0""")
+def ddl_fold(spark, sf_dir):
+    """Each customer is a project of two or three migrations; every fourth has a second project that stops at an insert."""
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"))
+    t = F.concat(F.lit("s.t"), "n")
+    first = F.concat(F.lit("create table "), t, F.lit(" (id bigint primary key, amount numeric(9,2), gone text); alter table "), t, F.lit(" drop column gone"))
+    second = F.concat(F.lit("alter table "), t, F.lit(" alter column amount type numeric("), F.col("n") + 10, F.lit(",2)"), F.when(F.col("n") % 2 == 0, F.concat(F.lit("; alter table "), t, F.lit(" rename column amount to total"))).otherwise(""))
+    third = F.concat(F.lit("alter table "), t, F.lit(' add column "added on" date'), F.when(F.col("n") % 3 == 0, " not null default 'x'").otherwise(""))
+    stops = F.array(F.concat(F.lit("create table "), t, F.lit(" (id integer)")), F.concat(F.lit("alter table "), t, F.lit(" add column b text; insert into x values (1)")))
+    rows = c.select(F.concat(F.lit("p"), "k").alias("project"), F.posexplode(F.filter(F.array(first, second, F.when(F.col("n") % 5 != 0, third)), lambda x: x.isNotNull())).alias("position", "sql"))
+    rows = rows.unionByName(c.where("k % 4 = 0").select(F.concat(F.lit("q"), "k").alias("project"), F.posexplode(stops).alias("position", "sql")))
+    return ddl.rebuilt(rows).select("project", "status", "table", "position", "column", "type", "not_null")
+
+
+@query("select p_partkey as a, count(*) as n from part join (select l_partkey, l_linenumber % 2 = 0 as even, l_quantity::int % 3 as q from lineitem) on l_partkey = p_partkey and even = (p_size % 2 = 0) and q = p_size % 3 group by 1")
 def expression_keys(spark, sf_dir):
-    pairs = [(1, "SUM( a ) + 'X'", "sum(A)+'X'"), (2, "sum(a) + 'x'", "sum(a)+'X'"), (3, 'a."B" >= 1 -- c', 'A . "B">=1')]
-    same = F.udf(lambda a, b: sql_text.expression_key(a) == sql_text.expression_key(b), "boolean")
-    return spark.createDataFrame(pairs, "pair int, a string, b string").select("pair", same("a", "b").alias("same"))
-
-
-_BODY = "create function mart.load(p int) returns int language plpgsql as $$ begin if p > 0 then insert into mart.t select id from raw.s; else perform util.log(p); end if; execute format('delete from %I', p); return p; end; $$;\nselect * from mart.t join mart.u on t.id = u.id"
-
-
-@query("""select * from (values ('mart.load', 'FUNCTION', 1, 1, [], ['mart.load'], []), ('mart.load', 'IF', 1, 1, [], [], []), ('mart.load', 'INSERT', 1, 1, [], ['mart.t'], []), ('mart.load', 'SELECT', 1, 1, ['raw.s'], [], []),
- ('mart.load', 'PERFORM', 1, 1, [], [], ['util.log']), ('mart.load', 'EXECUTE', 1, 1, [], [], []), ('mart.load', 'RETURN', 1, 1, [], [], []), ('unresolved+select@2', 'SELECT', 1, 2, ['mart.t', 'mart.u'], [], [])) as v(scope, construct, ordinal, start_line, reads, writes, calls)""")
+    """Expressions spelt in one way by parts and in another by line items meet by their tokens."""
+    two, three = F.col("p_size") % 2, F.col("p_size") % 3
+    a = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("a"), F.concat(F.lit("SUM( "), F.when(two == 0, "Even").otherwise("odd"), F.lit(" ) +'X' || "), three).alias("e"))
+    flag, q = F.when(F.col("l_linenumber") % 2 == 0, "even").otherwise("ODD"), F.col("l_quantity").cast("int") % 3
+    b = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.concat(F.lit("sum("), flag, F.lit(")+'X'||"), q, F.lit(" -- note")).alias("e"))
+    b = b.groupBy("a", column_types.expression_tokens("e").alias("key")).agg(F.count("*").alias("n"))
+    return a.withColumn("key", column_types.expression_tokens("e")).join(b, ["a", "key"]).select("a", "n")
+
+
+@query(f"""with f as ({_FILES}) select path, 'unresolved+insert@1' as scope, 'INSERT' as construct, 1 as ordinal, 1 as start_line, []::varchar[] as reads, [lower('mart.' || b)] as writes, []::varchar[] as calls from f
+ union all select path, 'unresolved+select@1', 'SELECT', 1, 1, ['raw.s' || n], [], ['util.f' || n] from f
+ union all select path, 'unresolved+update@2', 'UPDATE', 1, 2, [], [lower('mart.' || b)], [] from f where n > 25
+ union all select path, 'mart.v' || k, 'VIEW', 1, 2 + (n > 25)::int, [], [], [] from f
+ union all select path, 'mart.v' || k, 'SELECT', 1, 2 + (n > 25)::int, [lower('mart.' || b), 'raw.s' || n], [], [] from f""")
 def sql_constructs(spark, sf_dir):
-    return ddl.walked(spark.createDataFrame([("f.sql", _BODY)], "path string, sql string")).select("scope", "construct", "ordinal", "start_line", "reads", "writes", "calls")
+    return ddl.walked(_files(spark, sf_dir)).select("path", "scope", "construct", "ordinal", "start_line", "reads", "writes", "calls")
 
 
-@query("select * from (values ('f.sql', 1, 'dynamic names'), ('f.sql', 2, 'wildcard output')) as v(path, line, reason)")
+@query("""select 's' || s_suppkey || '.sql' as path, 1 as line, 'dynamic names' as reason from supplier where s_nationkey % 2 = 0
+ union all select 's' || s_suppkey || '.sql', 1, 'loop' from supplier where s_nationkey % 3 = 0 union all select 's' || s_suppkey || '.sql', 2, 'wildcard output' from supplier""")
 def sql_notes(spark, sf_dir):
-    return ddl.notes(spark.createDataFrame([("f.sql", _BODY)], "path string, sql string"))
+    """Routines whose bodies name tables as they run, or loop; and a query for all columns."""
+    s = read(spark, sf_dir, "supplier")
+    body = F.concat(F.when(F.col("s_nationkey") % 2 == 0, "execute format('delete from %I', p); ").otherwise(""), F.when(F.col("s_nationkey") % 3 == 0, "for r in select 1 from raw.l loop delete from mart.t; end loop; ").otherwise(""))
+    sql = F.concat(F.lit("create function mart.f(p int) returns int language plpgsql as $$ begin "), body, F.lit("return p; end; $$;\nselect * from mart.t"), "s_suppkey")
+    return ddl.notes(s.select(F.concat(F.lit("s"), "s_suppkey", F.lit(".sql")).alias("path"), sql.alias("sql")))
 
 
-@query("select * from (values ('INT8', 'bigint'), ('varchar ( 16 )', 'character varying(16)'), ('float(24)', 'real'), ('timestamptz', 'timestamp with time zone'), ('int[3]', 'integer[3]'), ('?', null)) as v(spelling, type)")
+@query("select p_partkey, case p_size % 6 when 0 then 'bigint' when 1 then 'character varying(' || p_size || ')' when 2 then case when p_size <= 24 then 'real' else 'double precision' end when 3 then 'timestamp with time zone' when 4 then 'integer[' || p_size || ']' end as type from part")
 def canonical_types(spark, sf_dir):
-    rows = spark.createDataFrame([("INT8",), ("varchar ( 16 )",), ("float(24)",), ("timestamptz",), ("int[3]",), ("?",)], "spelling string")
-    return rows.select("spelling", identity.canonical_type("spelling").alias("type"))
+    n = F.col("p_size")
+    spelling = F.when(n % 6 == 0, "INT8").when(n % 6 == 1, F.concat(F.lit("varchar ( "), n, F.lit(" )"))).when(n % 6 == 2, F.concat(F.lit("float("), n, F.lit(")"))).when(n % 6 == 3, "timestamptz").when(n % 6 == 4, F.concat(F.lit("int["), n, F.lit("]"))).otherwise("?")
+    return read(spark, sf_dir, "part").select("p_partkey", identity.canonical_type(spelling).alias("type"))
+
+
+@query("""with t as (select 'mart.t' || n_nationkey as "table", n_nationkey as n from nation)
+select c_custkey as id, case c_custkey % 6 when 0 then 'bigint' when 1 then case when c_nationkey % 2 = 0 then 'text' else 'date' end when 2 then 'numeric(' || (c_nationkey + 1) || ',2)' when 3 then 'integer' when 5 then case when (c_nationkey + 1) % 2 = 0 then 'text' else 'date' end end as type from customer""")
+def expression_types(spark, sf_dir):
+    """Expressions over the tables of nations: columns that agree and that do not, casts, variables, sums, owners."""
+    n = read(spark, sf_dir, "nation").select(F.concat(F.lit("mart.t"), "n_nationkey").alias("table"), F.col("n_nationkey").alias("n"))
+    columns = n.select("table", F.lit("id").alias("column"), F.lit("bigint").alias("type")).unionByName(n.select("table", F.lit("v").alias("column"), F.when(F.col("n") % 2 == 0, "text").otherwise("date").alias("type")))
+    c, k, here = read(spark, sf_dir, "customer"), F.col("c_custkey") % 6, F.concat(F.lit("mart.t"), "c_nationkey")
+    there = F.concat(F.lit("mart.t"), (F.col("c_nationkey") + 1) % 25)
+    expression = F.when(k == 0, "ID").when(k == 1, "v").when(k == 2, F.concat(F.lit("(id + 1)::numeric("), F.col("c_nationkey") + 1, F.lit(", 2)"))).when(k == 3, "p").when(k == 4, "sum(id)").otherwise("b.v")
+    one = F.array(F.struct(F.lit("a").alias("alias"), here.alias("table")))
+    two = F.array(F.struct(F.lit("a").alias("alias"), here.alias("table")), F.struct(F.lit("b").alias("alias"), F.when(F.col("c_nationkey") == 24, "mart.t1").otherwise(there).alias("table")))
+    rows = c.select(F.lit("f").alias("path"), F.lit("g").alias("scope"), F.col("c_custkey").alias("id"), expression.alias("expression"), F.when(k.isin(0, 5), two).otherwise(one).alias("relations"))
+    variables = spark.createDataFrame([("f", "g", "p", "integer")], "path string, scope string, name string, type string")
+    return column_types.inferred(rows, columns, variables).select("id", "type")
+
+
+@query("""select l_orderkey as id, l_linenumber as n, i as position, 'c' || i as "column", 'e' || i as expression from lineitem, range(1, 8) as r(i) where i <= least(l_linenumber, l_quantity::int % 5)""")
+def positional_columns(spark, sf_dir):
+    """The columns of a list meet the expressions of another by place, as far as the shorter goes."""
+    names = lambda p, n: F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.lit(p), i.cast("string")))
+    rows = read(spark, sf_dir, "lineitem").select(F.lit("f").alias("path"), F.col("l_linenumber").cast("string").alias("scope"), F.col("l_orderkey").alias("id"), F.lit("t").alias("target"), names("c", F.col("l_linenumber").cast("int")).alias("columns"), names("e", F.col("l_quantity").cast("int") % 5).alias("expressions"))
+    return column_types.mapped(rows).select("id", F.col("scope").cast("int").alias("n"), "position", "column", "expression")
 
 
 @query("select p_partkey, 'function+' || url_encode(p_brand) || '+' || url_encode(p_type) || '(bigint,character varying)' as key from part")
@@ -432,17 +521,73 @@ def page_names(spark, sf_dir):
 # Gate ------------------------------------------------------------------------------------------------------------------
 
 
-@query("""with l as (select doc_id, count(*) as n, max(quality) as q from labels group by 1),
- a as (select source as run_id, doc_id % 50 = 0 as blocking, case when n is null or n > 1 then 'inconclusive' when q = 1 then 'ok' else 'defect' end as status, n is null or n > 1 as error from documents left join l using (doc_id)),
- c as (select run_id, count(*) as total, count(*) filter (where status = 'ok') as ok, count(*) filter (where status = 'defect') as defect, count(*) filter (where status = 'inconclusive') as inconclusive,
-  count(*) filter (where error) as errors, count(*) filter (where blocking and status = 'defect') as blocking_defects, count(*) filter (where blocking and status = 'inconclusive') as blocking_inconclusive from a group by 1)
-select *, case when blocking_inconclusive > 0 then 'blocked' when inconclusive = 0 and errors + blocking_defects = 0 and ok + defect > 0 and ok * 100 >= (ok + defect) * 85 then 'ready' else 'revise' end as decision from c""")
+_GATE = """with l as (select doc_id, count(*) as n, max(quality) as q, max(toxic) as t from labels group by 1),
+ a as (select source as run_id, n_chars > 2000 as blocking, lang <> 'de' as applicable, case when n is null or n > 1 then null when t = 1 then 'not_applicable' when q = 1 then 'ok' else 'defect' end as given from documents left join l using (doc_id)),
+ b as (select *, given is null or (applicable and given = 'not_applicable') as unsure, given is null or (applicable = (given = 'not_applicable')) as error from a),
+ c as (select run_id, count(*) as total, count(*) filter (where not unsure and given = 'ok') as ok, count(*) filter (where not unsure and given = 'defect') as defect, count(*) filter (where unsure) as inconclusive,
+  count(*) filter (where not unsure and given = 'not_applicable') as not_applicable, count(*) filter (where error) as errors, count(*) filter (where blocking and not unsure and given = 'defect') as blocking_defects, 0 as blocking_inconclusive from b group by 1),
+ scores as (select *, case when inconclusive = 0 and errors + blocking_defects = 0 and ok + defect > 0 and ok * 100 >= (ok + defect) * 85 then 'ready' else 'revise' end as decision from c)"""
+
+
+def _plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Each document of a source is an obligation, long ones block, those of one language do not apply; its label is the result."""
+    docs = read(spark, sf_dir, "documents").select(F.col("source").alias("run_id"), F.col("doc_id").alias("id"), (F.col("n_chars") > 2000).alias("blocking"), (F.col("lang") != "de").alias("applicable"))
+    found = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, "not_applicable").when(F.col("quality") == 1, "ok").otherwise("defect").alias("status"))
+    return docs, found.join(docs.select("run_id", "id"), "id").select("run_id", F.col("id").alias("plan_check_id"), "status", F.lit(False).alias("blocking"))
+
+
+@query(f"{_GATE} select * from scores")
 def gate_scores(spark, sf_dir):
-    """Each document of a source is an obligation, its label the result."""
-    docs = read(spark, sf_dir, "documents").select(F.col("source").alias("run_id"), F.col("doc_id").alias("id"), (F.col("doc_id") % 50 == 0).alias("blocking"))
-    found = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "ok").otherwise("defect").alias("status"))
-    checks = found.join(docs.select("run_id", "id"), "id").select("run_id", F.col("id").alias("plan_check_id"), "status", F.lit(False).alias("blocking"))
-    return gate.scored(docs, checks).drop("coverage_percent", "accuracy_percent")
+    return gate.scored(*_plan(spark, sf_dir)).drop("coverage_percent", "accuracy_percent")
+
+
+@query(f"""{_GATE}, e as (select source as run_id, count(*) as evidence from documents where ends_with(text, chr(10)) group by 1), s as (select source as run_id, count(*) as spelling from documents where n_chars <> length(text) group by 1)
+select run_id, coalesce(evidence, 0) as evidence, coalesce(spelling, 0) as spelling, coalesce(evidence, 0) + coalesce(spelling, 0) as problems,
+  case when coalesce(evidence, 0) + coalesce(spelling, 0) > 0 then 'revise' else decision end as decision from scores left join e using (run_id) left join s using (run_id)""")
+def whole_gate(spark, sf_dir):
+    """The score of the obligations, and problems of two kinds that keep a run from being ready."""
+    docs = read(spark, sf_dir, "documents").withColumn("run_id", F.col("source"))
+    return evaluation.evaluated(*_plan(spark, sf_dir), {"evidence": docs.where(F.endswith("text", F.lit("\n"))).select("run_id"), "spelling": docs.where(F.col("n_chars") != F.length("text")).select("run_id")})
+
+
+@query("""with i as (select o_custkey as run_id, o_orderkey as n, o_orderstatus as k, ['r' || (o_orderkey % 3)] as reads, row_number() over (partition by o_custkey, o_orderstatus order by o_orderkey) as ordinal from orders),
+ f as (select o_orderkey as n, ['r' || (case when o_custkey % 2 = 0 then 0 else o_orderkey % 3 end)] as reads from orders where o_totalprice > 2000)
+select run_id, case when f.n is null then 'f:' || k || ':' || ordinal else 'o' || f.n end as subject, case when f.n is null then 'no_operation' else 'reads_differ' end as problem from i left join f using (n) where f.n is null or i.reads <> f.reads
+union all select o_custkey, 'x' || o_orderkey, 'no_construct' from orders where o_orderpriority < '2'""")
+def fact_problems(spark, sf_dir):
+    """Orders are constructs, one to a line of their customer's file; facts know the dear ones, some with other reads, and some too many."""
+    line, none = F.col("o_orderkey").cast("int"), F.array().cast("array<string>")
+    items = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run_id"), F.lit("f").alias("path"), F.lit("s").alias("scope"), F.col("o_orderstatus").alias("construct"), line.alias("ordinal"), line.alias("start_line"), F.array(F.concat(F.lit("r"), line % 3)).alias("reads"), none.alias("writes"), none.alias("calls"), "o_totalprice", "o_orderpriority")
+    fact = lambda rows, p, kind, reads: rows.select("run_id", "path", kind.alias("kind"), F.concat(F.lit(p), "start_line").alias("id"), F.col("start_line").alias("order"), "start_line", F.col("start_line").alias("end_line"), reads.alias("reads"), "writes", "calls")
+    known = fact(items.where("o_totalprice > 2000"), "o", F.col("construct"), F.array(F.concat(F.lit("r"), F.when(F.col("run_id") % 2 == 0, 0).otherwise(F.col("start_line") % 3))))
+    extra = fact(items.where("o_orderpriority < '2'"), "x", F.lit("DELETE"), F.col("reads"))
+    return evaluation.fact_problems(items, known.unionByName(extra))
+
+
+@query("""select l_orderkey as run_id, bool_or(l_linenumber > 2) as has_reads, bool_or(l_quantity > 40) as has_writes, bool_or(l_linestatus = 'O') as has_calls, bool_or(l_returnflag = 'R') as has_formulas, false as has_conditions,
+ bool_or(l_tax > 0.06) as has_date_boundary, count(distinct l_suppkey % 3) as source_count, case when bool_or(l_discount > 0.08) then 'procedure' when bool_or(l_discount < 0.02) then 'view' else 'function' end as object_kind from lineitem group by 1""")
+def context_flags(spark, sf_dir):
+    when = lambda c: F.when(c, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.concat(F.lit("f"), F.col("l_suppkey") % 3).alias("path"), F.when(F.col("l_discount") > 0.08, "PROCEDURE").when(F.col("l_discount") < 0.02, "VIEW").otherwise("SELECT").alias("construct"), when(F.col("l_linenumber") > 2).alias("reads"), when(F.col("l_quantity") > 40).alias("writes"), when(F.col("l_linestatus") == "O").alias("calls"), when(F.col("l_returnflag") == "R").alias("formulas"), F.array().cast("array<string>").alias("conditions"), F.when(F.col("l_tax") > 0.06, "d > date '2020-01-01'").otherwise("update x").alias("source"))
+    return evaluation.flags(rows)
+
+
+@query("""select c_custkey as run_id, 'segment' as profile from customer where lower(c_mktsegment) like 'bu%' or lower(c_mktsegment) like 'ma%' union all select c_custkey, 'first' from customer where c_name like 'Customer#00000000%'""")
+def active_profiles(spark, sf_dir):
+    c = read(spark, sf_dir, "customer")
+    names = c.select(F.col("c_custkey").alias("run_id"), F.explode(F.array("c_name", F.lower("c_mktsegment"))).alias("identifier"))
+    return evaluation.active_profiles(names, [{"name": "segment", "prefixes": ["bu", "ma"]}, {"name": "first", "prefixes": ["Customer#00000000"]}])
+
+
+@query("select conv_id as page, string_agg(part, chr(10) || chr(10) order by role) as markdown from (select conv_id, role, '## ' || role || chr(10) || chr(10) || string_agg(text, chr(10) order by turn) as part from conversations group by 1, 2) group by 1")
+def rendered_pages(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page"), F.col("role").alias("section"), F.col("turn").alias("ordinal"), F.col("text").alias("line"))
+    return evaluation.rendered(rows)
+
+
+@query("select count(*) as entries, round(sum(strlen(html)) / 1048576.0, 2) as megabytes from pages")
+def cache_statistics(spark, sf_dir):
+    return evaluation.cache_statistics(read(spark, sf_dir, "pages").select(F.col("page_id").alias("key"), F.octet_length("html").alias("bytes")))
 
 
 @query("""with o as (select l_orderkey, l_returnflag, l_linenumber, l_linenumber - (l_linenumber + 1) % 2 as first from lineitem),
@@ -481,21 +626,36 @@ def page_states(spark, sf_dir):
     return lineage.index(pages, files).select("page_id", "page_state")
 
 
-@query("""with known as (select 'table+' || r_name || '+' || n_name as key, r_name as schema, n_name as name from nation join region on n_regionkey = r_regionkey where n_nationkey % 3 <> 0)
-select s_suppkey, case when k.key is not null then 'published' when s_suppkey % 5 = 0 then 'unresolved' else 'undocumented' end as resolution
-from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey left join known k on s_suppkey % 5 <> 0 and k.schema = r_name and k.name = n_name""")
+@query("""with known as (select case when n_nationkey % 4 = 0 then 'function' when n_nationkey % 4 = 1 then 'view' else 'table' end as kind, r_name as schema, n_name as name, n_nationkey as n from nation join region on n_regionkey = r_regionkey where n_nationkey % 3 <> 0)
+select s_suppkey, case when s_suppkey % 7 = 0 then 'scoped' when s_suppkey % 5 = 0 then 'unresolved' when k.n is null or k.kind = 'function' and s_suppkey % 2 = 0 then case when s_suppkey % 11 = 0 then 'unresolved' else 'undocumented' end when k.kind <> 'function' and s_suppkey % 2 = 1 then case when s_suppkey % 11 = 0 then 'unresolved' else 'undocumented' end
+  when k.kind = 'function' then case when s_suppkey % 11 = 0 then 'unresolved' else 'published' end else 'published' end as resolution
+from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey left join known k on k.schema = r_name and k.name = n_name""")
 def resolved_targets(spark, sf_dir):
-    """Suppliers use the table of their nation: every third is not documented, every fifth use names no schema."""
-    n = read(spark, sf_dir, "nation").join(F.broadcast(read(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    key = F.concat(F.lit("table+"), "r_name", F.lit("+"), "n_name")
-    known = n.where("n_nationkey % 3 <> 0").select(key.alias("key"), F.lit("table").alias("kind"), F.col("r_name").alias("schema"), F.col("n_name").alias("name"))
-    vague = F.col("s_suppkey") % 5 == 0
-    uses = read(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.when(~vague, key).alias("key"), F.when(~vague, F.col("r_name")).alias("schema"), F.col("n_name").alias("name"), F.lit(None).cast("string").alias("scope"))
+    """Even suppliers read the table of their nation, odd ones call its function; it may be a view, a function or not documented.
+    Every fifth use names no schema, every eleventh has no key, every seventh is of its own scope."""
+    n = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+    kind = F.when(F.col("n_nationkey") % 4 == 0, "function").when(F.col("n_nationkey") % 4 == 1, "view").otherwise("table")
+    key = lambda kind, schema: F.concat(kind, F.lit("+"), schema, F.lit("+"), F.col("n_name"))
+    known = n.where("n_nationkey % 3 <> 0").select(key(kind, F.col("r_name")).alias("key"), kind.alias("kind"), F.col("r_name").alias("schema"), F.col("n_name").alias("name"))
+    s = F.col("s_suppkey")
+    use = F.when(s % 2 == 0, "table").otherwise("function")
+    schema = F.when(s % 5 != 0, F.col("r_name"))
+    rows = read(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    uses = rows.select("s_suppkey", use.alias("kind"), schema.alias("schema"), F.col("n_name").alias("name"), F.lit(None).cast("string").alias("signature"), F.when(s % 11 != 0, key(use, schema)).alias("key"), F.when(s % 7 == 0, "own").alias("scope"))
     return lineage.resolved(uses, known).select("s_suppkey", "resolution")
 
 
-@query("select * from (values ('broken_link', 'a.md', 3, 'gone.md'), ('broken_anchor', 'a.md', 3, '#none'), ('unlisted_page', 'b.md', null, 'not in the index')) as v(code, file, line, message)")
+@query("""with p as (select c_custkey as k, 'c' || c_custkey || '.md' as file from customer)
+select 'broken_link' as code, file, 3 as line, 'gone' || k || '.md' as message from p where k % 3 = 0
+union all select 'broken_anchor', file, 3, '#none' from p where k % 4 = 0 union all select 'unlisted_page', file, null, 'not in the index' from p where k % 5 = 0""")
 def page_lint(spark, sf_dir):
-    texts = [("index.md", "[a](a.md)"), ("a.md", "# Title\n\n[x](gone.md) [y](#none) [z](#title)"), ("b.md", "text")]
-    files = spark.createDataFrame([(d, 3) for d, _ in texts], "path string, n_lines int")
-    return lint.lint(markdown.parsed(spark.createDataFrame(texts, "doc string, text string")), files, spark.createDataFrame([("a.md", "k")], "page_id string, key string")).drop("severity")
+    """A page for each customer, with a good anchor, and a link or an anchor that leads nowhere in some; some not in the index."""
+    k = F.col("c_custkey")
+    file = F.concat(F.lit("c"), k, F.lit(".md"))
+    links = F.concat(F.lit("[z](#title)"), F.when(k % 3 == 0, F.concat(F.lit(" [x](gone"), k, F.lit(".md)"))).otherwise(""), F.when(k % 4 == 0, " [y](#none)").otherwise(""))
+    c = read(spark, sf_dir, "customer")
+    pages = c.select(file.alias("doc"), F.concat(F.lit("# Title\n\n"), links).alias("text"))
+    listed = c.where("c_custkey % 5 <> 0").agg(F.array_join(F.transform(F.array_sort(F.collect_list(file)), lambda x: F.concat(F.lit("[a]("), x, F.lit(")"))), "\n").alias("text")).select(F.lit("index.md").alias("doc"), "text")
+    texts = pages.unionByName(listed)
+    files = texts.select(F.col("doc").alias("path"), F.lit(3).alias("n_lines"))
+    return lint.lint(markdown.parsed(texts), files, c.select(file.alias("page_id"), file.alias("key"))).drop("severity")

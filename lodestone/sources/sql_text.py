@@ -107,13 +107,13 @@ def expression_key(text: str) -> tuple[str, ...]:
 
 def statements(text: str) -> list[tuple[int, str]]:
     """(first line, statement) of each statement that ends in a semicolon or the text's end."""
-    code, bodies, _ = masked(text)
-    out, last = [], 0
+    code, _, _ = masked(text, identifiers=False, literal="0")
+    out, last, line, counted = [], 0, 1, 0
     for i in [*(k for k, c in enumerate(code) if c == ";"), len(text)]:
-        piece = text[last:i]
-        if code[last:i].strip() or piece.strip():
-            if piece.strip():
-                start = last + len(piece) - len(piece.lstrip())
-                out.append((text.count("\n", 0, start) + 1, piece.strip()))
+        rest = code[last:i].lstrip()  # comments before a statement are no part of it
+        if rest:
+            start = i - len(rest)
+            line, counted = line + text.count("\n", counted, start), start
+            out.append((line, text[start:i].strip()))
         last = i + 1
     return out
