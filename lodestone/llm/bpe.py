@@ -144,8 +144,9 @@ def codec(path: str, pattern: str) -> Codec:
 
 def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """id, n_tokens, ids_sha256 (of little-endian unsigned 32-bit ids), decoded_sha256, and with_ids the ids. Null
-    texts are empty texts, which have no tokens. Texts are encoded whole; one scan, no shuffle. path names a file that
-    every worker has."""
+    texts are empty texts, which have no tokens. Texts are encoded whole, row by row, also where ids are null or repeat; a very long
+    one takes time and memory in proportion. Other columns are not read, so their names cannot clash; an empty table gives an empty
+    table. One scan, no shuffle. path names a file that every worker has."""
     kind = docs.schema[id_col].dataType.simpleString()
     path = os.fspath(path)
 

@@ -2,41 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
 
-#: Text bytes that one numpy pass takes at a time; a longer text makes a pass of its own.
-PASS_BYTES = 1 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir; set here only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from lodestone.functions.storage import forget, settled, shared_folder
 
+#: Tables between steps, under the names that this subpackage uses.
+shared_dir, settle = shared_folder, settled
+__all__ = ["ALNUM", "SPACE", "Words", "byte_view", "forget", "fresh", "keys", "mixed", "passes", "powers", "settle", "shared_dir", "text_column", "windows"]
 
-def settle(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts the lineage, survives lost executors, and gives
-    the planner the table's true size, so that only a small one is broadcast."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(spark: SparkSession, df: DataFrame) -> None:
-    """Delete a table of settle() that nothing reads any more."""
-    for name in df.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(name.rsplit("/", 1)[0])
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+#: Text bytes that one numpy pass takes at a time; a longer text makes a pass of its own.
+PASS_BYTES = 1 << 20
 
 
 def fresh(name: str, taken: list[str]) -> str:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Words, mixed, passes, windows
+from lodestone.llm.common import Words, mixed, passes, settle, windows
 
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -164,20 +164,15 @@ def passes_policy(failed: str | Column, policy: Policy) -> Column:
 
 def ablation(rows: DataFrame, policies: dict[str, Policy] | None = None) -> DataFrame:
     """For each policy and each of its rules: texts kept by the whole policy, kept without that rule, and rejected by
-    that rule alone. The ledger shrinks to one row per bit pattern before any of it is worked out."""
-    patterns = rows.groupBy("failed").agg(F.count("*").alias("n"))
-    out = None
-    for p in (policies or POLICIES).values():
-        for r in (r for r in RULES if r.name in p.rules):
-            rest = p.mask & ~(1 << r.bit)
-            hit = lambda mask: F.col("failed").bitwiseAND(F.lit(mask).cast("bigint"))
-            one = patterns.agg(
-                F.coalesce(F.sum(F.when(hit(p.mask) == 0, F.col("n"))), F.lit(0)).alias("kept"),
-                F.coalesce(F.sum(F.when(hit(rest) == 0, F.col("n"))), F.lit(0)).alias("kept_without"),
-                F.coalesce(F.sum(F.when(hit(p.mask) == (1 << r.bit), F.col("n"))), F.lit(0)).alias("rejected_alone"),
-            ).select(F.lit(p.version).alias("policy"), F.lit(r.name).alias("rule"), "kept", "kept_without", "rejected_alone")
-            out = one if out is None else out.unionByName(one)
-    return out
+    that rule alone. The ledger shrinks to one row per bit pattern (2 ** rules at most), in one aggregation of one scan; the rest
+    is bitwise work on those rows."""
+    patterns = settle(rows.sparkSession, rows.groupBy("failed").agg(F.count("*").alias("n")), "patterns")
+    cases = [F.struct(F.lit(p.version).alias("policy"), F.lit(r.name).alias("rule"), F.lit(p.mask).cast("bigint").alias("mask"), F.lit(1 << r.bit).cast("bigint").alias("bit")) for p in (policies or POLICIES).values() for r in RULES if r.name in p.rules]
+    hit = F.col("failed").bitwiseAND(F.col("c.mask"))
+    count = lambda which: F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0))
+    return patterns.withColumn("c", F.explode(F.array(*cases))).groupBy("c.policy", "c.rule").agg(
+        count(hit == 0).alias("kept"), count(hit.bitwiseAND(F.bitwise_not("c.bit")) == 0).alias("kept_without"), count(hit == F.col("c.bit")).alias("rejected_alone")
+    )
 
 
 def judged(docs: DataFrame, policy: str = "2026-1") -> DataFrame:

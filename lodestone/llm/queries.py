@@ -53,7 +53,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.judged(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed", "n_lines", "n_stutters", "n_ellipses", "longest_word")
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +106,8 @@ measured as (select doc_id, len(words) as n_words, coalesce(list_sum(list_transf
   len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) as n_stutters
   from w left join line_counts using (row) left join repeated r using (row))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  (n_words < 10 or 100 * n_repeat_words > 20 * n_words) as base_failed, not ({_POLICY}) as kept, ({_BITS})::bigint as failed from measured"""
+  (n_words < 10 or 100 * n_repeat_words > 20 * n_words) as base_failed, not ({_POLICY}) as kept, ({_BITS})::bigint as failed,
+  n_lines, n_stutters, n_ellipses, longest_word from measured"""
 
 WARC_SQL = f"""
 with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),

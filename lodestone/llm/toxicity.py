@@ -1,8 +1,8 @@
 """Toxicity scores from a linear classifier on character n-grams whose features are scaled by naive Bayes log-count
 ratios (NB-SVM with a logistic loss), trained on labelled texts.
 
-Scale: training takes at most `max_rows` labelled rows, drawn by a hash of the id, to the driver (a documented
-bound); scoring is one scan of all whole texts without a shuffle, with a model of a few hundred KB."""
+Scale: training takes at most `max_rows` labelled rows, drawn by a hash of the id, and MAX_BYTES of their whole texts, to the
+driver (a documented bound); scoring is one scan of all whole texts without a shuffle, with a model of a few hundred KB."""
 
 from __future__ import annotations
 
@@ -14,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import passes, text_column
+from lodestone.llm.common import forget, passes, settle, text_column
 
 ORDERS = (3, 4, 5, 6)  # characters in an n-gram
 SPACE_BITS = 20  # n-grams are hashed to 2 ** SPACE_BITS features
 #: Labelled rows that training takes at most; beyond, those with the smallest hash of their id.
 MAX_ROWS = 6000
+#: Bytes of their texts that training takes at most, in the same order.
+MAX_BYTES = 64 << 20
 #: Features that the model keeps at most, by the evidence in their counts.
 MAX_FEATURES = 1 << 15
 #: Log-likelihood ratio of its counts that a feature needs (a million features are tried).
@@ -130,12 +132,23 @@ def trained(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col
     some = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isin(0, 1)).groupBy(id_col).agg(F.max("toxic").alias("toxic"))
     some = some.orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
     rows = docs.select(id_col, "text").join(F.broadcast(some), id_col).groupBy(id_col).agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"))
-    got = rows.select("text", F.col("toxic").cast("int").alias("toxic"), F.xxhash64(id_col).alias("h")).toArrow().sort_by("h")
+    rows = settle(docs.sparkSession, rows.select("text", F.col("toxic").cast("int").alias("toxic"), F.xxhash64(id_col).alias("h")), "learnt")
+    sizes = rows.groupBy("h").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n")).orderBy("h").collect()  # max_rows narrow rows at most
+    total, last = 0, None
+    for r in sizes:
+        total += r["n"]
+        if total > MAX_BYTES and last is not None:
+            break
+        last = r["h"]
+    got = rows.where(F.col("h") <= F.lit(last)).toArrow().sort_by("h")
+    forget(docs.sparkSession, rows)
     return fit(text_column(got.column("text")).to_pylist(), np.array(got.column("toxic").to_pylist(), np.int64))
 
 
 def scored(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
-    """All columns of docs and `score` (0 to 1). Null and empty texts get the score of a text without evidence."""
+    """id and `score` (0 to 1) of each row of docs, also where ids are null or repeat. Null and empty texts get the score of a text
+    without evidence; very long ones take time and memory in proportion. Other columns are not read, so their names cannot clash;
+    an empty table gives an empty table."""
     shared = spark.sparkContext.broadcast(model)  # at most a few MB: place has 2 ** SPACE_BITS rows, weight MAX_FEATURES
     kind = docs.schema[id_col].dataType.simpleString()
 

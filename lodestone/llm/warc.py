@@ -25,6 +25,8 @@ from lodestone.llm.common import settle, shared_dir
 
 #: Payloads of fewer bytes are never revisits.
 REVISIT_BYTES = 1000
+#: Pages of one payload that one task looks up, about.
+CHUNK = 10_000
 BLOCK = 1 << 18
 ID_URI = "urn:page:"
 #: Fixed values of the format.
@@ -129,8 +131,14 @@ def revisits(spark: SparkSession, pages: DataFrame, least: int = REVISIT_BYTES)
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     ready = pages.select("page_id", "url", "html", F.sha1(payload).alias("digest"), F.octet_length(payload).cast("bigint").alias("size"))
     most = ready.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null")
-    most = settle(spark, most.select("digest", "last"), "repeated-payloads")
-    return ready.join(most, "digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))).drop("last", "size")
+    most = settle(spark, most, "repeated-payloads")
+    # A digest of many pages is dealt in chunks, and pages too small to repeat have keys of their own: no task gets all of them.
+    hot = settle(spark, most.where(F.col("n") > CHUNK).select(F.col("digest").alias("key"), F.ceil(F.col("n") / CHUNK).cast("bigint").alias("chunks")), "hot-payloads")
+    chunks, one = F.coalesce("chunks", F.lit(1).cast("bigint")), F.lit(0).cast("bigint")
+    keyed = ready.withColumn("key", F.when(F.col("size") >= least, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))))
+    keyed = keyed.join(hot, "key", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), chunks))
+    last = most.withColumnRenamed("digest", "key").join(hot, "key", "left").select("key", "last", F.explode(F.sequence(one, chunks - 1)).alias("salt"))
+    return keyed.join(last, ["key", "salt"], "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))).select("page_id", "url", "html", "digest", "refers_to")
 
 
 def write(spark: SparkSession, pages: DataFrame, folder: str | None = None) -> DataFrame:

@@ -70,3 +70,45 @@ def test_held_out_rows_of_the_tables():
     assert area > 0.97
     # About a tenth of the toxic labels of these tables stands on texts without any insult.
     assert (s >= 0.3)[y].mean() > 0.85 and (s >= 0.3)[~y].mean() < 0.02
+
+
+def grams(text):
+    """Hashed n-grams of a text, one by one."""
+    t = " " + " ".join(text.lower().split()) + " "
+    m, out = (1 << 32) - 1, set()
+    for n in toxicity.ORDERS:
+        for i in range(len(t) - n + 1):
+            h = ord(t[i]) * 0x9E3779B1 & m
+            for c in t[i + 1 : i + n]:
+                h = (((h ^ (h >> 15)) * 0x85EBCA77) + ord(c) * 0x9E3779B1) & m
+            out.add((((h ^ (h >> 16)) * 0xC2B2AE3D) & m) >> (32 - toxicity.SPACE_BITS))
+    return out
+
+
+def test_features_and_scores_equal_brute_force():
+    rng = random.Random(5)
+    words = ["bad", "awful", "nice", "Straße", "日本", "a", "!!"] + ["".join(rng.choice("abcde") for _ in range(4)) for _ in range(40)]
+    texts = ["", " ", "a", "x" * 50_000, *(" ".join(rng.choice(words) for _ in range(rng.randrange(1, 40))) for _ in range(200))]
+    everything = np.arange(1, (1 << toxicity.SPACE_BITS) + 1)
+    text, feature = toxicity.found(texts, everything)
+    assert [set(feature[text == i].tolist()) for i in range(len(texts))] == [grams(t) for t in texts]
+    toxic = np.array([int("bad" in t or "awful" in t) for t in texts])
+    model = toxicity.fit(texts, toxic)
+    known = {int(f): float(model.weight[p - 1]) for f, p in enumerate(model.place) if p}
+    assert 10 < len(known) < len(set().union(*map(grams, texts)))
+    for t, got in zip(texts, toxicity.scores(model, texts), strict=True):
+        own = [known[f] for f in grams(t) if f in known]
+        assert abs(got - 1 / (1 + np.exp(-np.clip(sum(own) / max(1, len(own)) ** 0.5 + model.bias, -60, 60)))) < 1e-9
+    assert ((toxicity.scores(model, texts) > 0.5) == toxic).mean() > 0.97
+
+
+def test_the_bound_on_bytes(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_BYTES", 20_000)
+    sizes, fit = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic: sizes.append(sum(len(t.encode()) for t in texts)) or fit(texts, toxic))
+    docs = spark.createDataFrame([(i, ("nice words " if i % 2 else "bad awful ") * 20) for i in range(200)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 = 0 as int) toxic")
+    model = toxicity.trained(docs, labels)
+    rows = {r["doc_id"]: r["score"] for r in toxicity.scored(spark, docs, model).collect()}
+    assert 19_000 < sizes[0] <= 20_000
+    assert len(rows) == 200 and all((s > 0.5) == (i % 2 == 0) for i, s in rows.items())

@@ -53,3 +53,10 @@ def test_frames(spark):
     assert {r["payload_digest"] for r in got} == {hashlib.sha1(p).hexdigest() for p in want}
     empty = pages.limit(0)
     assert warc.read(warc.write(spark, empty)).count() == 0
+
+
+def test_a_hot_payload_is_dealt_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "CHUNK", 10)
+    pages = spark.createDataFrame([(i, f"u{i}", "x" * 2000 if i < 150 else "y" * 1500 if i < 153 else "" if i < 200 else str(i) * 600) for i in range(220)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["refers_to"] for r in warc.revisits(spark, pages).collect()}
+    assert got == {i: 149 if i < 149 else 152 if 150 <= i < 152 else None for i in range(220)}
