@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import bpe, decontaminate, minhash, pii, toxicity
-from lodestone.llm.common import shared_dir
+from lodestone.llm.common import forget, shared_dir
 from lodestone.llm.queries import BPE_RANKS, pii_key, table, toxicity_model
 
 
@@ -52,9 +52,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; between stages, tables in the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before is not None:
+            forget(spark, before)  # the next stages read only this one's table
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
