@@ -1,3 +1,7 @@
+import random
+import re
+from pathlib import Path
+
 from lodestone.llm import licenses
 
 
@@ -21,3 +25,33 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     plan = licenses.scanned(spark, df)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+#: Names of files in the folder where Debian keeps the texts, and the licences that they are.
+FILES = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+
+
+def rewritten(rng, text):
+    """The same licence in other case, punctuation, line breaks (but for those after its own copyright lines) and spelling, under
+    another copyright line."""
+    out = " ".join(text.split(" ")) if rng.random() < 0.5 else "\n".join(p if re.search(r"copyright|©", p, re.I) else " ".join(p.split()) for p in text.split("\n\n"))
+    out = out.upper() if rng.random() < 0.5 else out.replace("; ", " ;\t").replace("license", "licence")
+    return f"Copyright (c) {rng.randrange(1990, 2030)} Some One\n\n{out}\n"
+
+
+def test_whole_texts_of_planted_documents(spark):
+    rng = random.Random(3)
+    texts = {v: Path("/usr/share/common-licenses", k).read_text(encoding="utf-8", errors="replace") for k, v in FILES.items() if Path("/usr/share/common-licenses", k).exists()}
+    texts |= {n: t for n, t in licenses.LICENSES if len(t) > 300}
+    rows = [(i, n, rewritten(rng, t)) for i, (n, t) in enumerate(texts.items())] + [(1000 + i, None, rewritten(rng, t) + " and more") for i, t in enumerate(texts.values())]
+    df = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scanned(spark, df).collect()}
+    assert got == {i: n for i, n, _ in rows} and len(texts) >= 8
+
+
+def test_a_table_of_ones_own_and_lines_of_any_length(spark):
+    own = spark.createDataFrame([("long", "word " * 3000), ("short", "Be ok"), ("none", ""), (None, "x")], "license string, text string")
+    df = spark.createDataFrame([(1, "a\n" + "WORD; " * 3000 + "\nbe OK!\nx"), (2, "word\n" * 3000), (3, "MIT")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["license"], r["n_notices"], r["notices"]) for r in licenses.scanned(spark, df, texts=own).collect()}
+    assert got == {1: (None, 2, "long,short"), 2: ("long", 0, None), 3: (None, 0, None)}
+    assert licenses.scanned(spark, df, texts=own.limit(0)).where("license is not null or n_notices > 0").count() == 0
