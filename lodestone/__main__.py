@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import identity
-from lodestone.operators import ddl, gate, graph, lineage, lint, markdown
+from lodestone.operators import ddl, evaluation, gate, graph, lineage, lint, markdown, regression
 from lodestone.sources import artifacts, publication
 
 
@@ -132,6 +132,27 @@ def publish(spark, a) -> int:
     return 0
 
 
+def validated(spark, a) -> int:
+    """Artifacts below a folder of runs: files that are no strict JSON, and a policy that does not hold together."""
+    bad = artifacts.strict_json(spark, a.folder, "run_id string").where("not valid").select(F.element_at(F.split("path", "/"), -1).alias("file"), F.lit("invalid_json").alias("problem"))
+    found = printed(bad)
+    for problem in evaluation.policy_problems(json.loads(Path(a.policy).read_text())) if a.policy else []:
+        print(json.dumps({"problem": problem}))
+        found += 1
+    return 1 if found else 0
+
+
+def regressed(spark, a) -> int:
+    """The report of repeated runs below --runs against --subjects, and of golden facts where both tables are given."""
+    runs, subjects = spark.read.parquet(a.runs), spark.read.parquet(a.subjects)
+    found = printed(regression.subject_problems(runs, subjects))
+    if a.expected and a.actual:
+        found += printed(regression.golden_problems(spark.read.parquet(a.expected), spark.read.parquet(a.actual), a.whole.split(",") if a.whole else ()))
+    row = regression.report(runs, subjects, a.repeats).first()
+    print(json.dumps(row.asDict()))
+    return 0 if row["valid"] and not found else 1
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lodestone")
     sub = p.add_subparsers(required=True)
@@ -153,6 +174,8 @@ def parser() -> argparse.ArgumentParser:
     command("metrics", metrics, ("--catalogue", needed))
     command("identity", names, "kind", "schema", "name", "--arguments")
     command("bundle", bundle, "folder", "ledger")
+    command("validate", validated, "folder", "--policy")
+    command("regression", regressed, ("--runs", needed), ("--subjects", needed), ("--repeats", {"type": int, "default": 3}), "--expected", "--actual", "--whole")
     command("publish", publish, "tree", ("--run", {"dest": "run_", "metavar": "FOLDER"}), ("--dry-run", flag), ("--recover", flag))
     return p
 

@@ -115,6 +115,14 @@ def migration_key(path: Column, number: Column) -> Column:
     return F.concat_ws("+", F.lit("migration"), percent_encoded(path), percent_encoded(number))
 
 
+def object_key(kind: Column, schema: Column, name: Column, arguments: Column, scope: Column) -> Column:
+    """The key of an object that facts describe: null for one of a scope of its own, without a schema or a name, and for a routine
+    whose arguments are not known."""
+    routine = kind.isin("function", "procedure")
+    known = scope.isNull() & schema.isNotNull() & name.isNotNull() & (schema != "") & (name != "")
+    return F.when(known & routine, routine_key(kind, schema, name, arguments)).when(known & ~routine, F.concat_ws("+", kind, percent_encoded(schema), percent_encoded(name)))
+
+
 def too_long(identifier: Column) -> Column:
     return F.octet_length(identifier) > NAME_BYTES
 

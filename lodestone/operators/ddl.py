@@ -161,6 +161,34 @@ def walked(files: DataFrame) -> DataFrame:
     return files.select("path", "sql").mapInPandas(run, CONSTRUCTS)
 
 
+# Constructs that declare a relation, and all that declare an object.
+RELATIONS = ("VIEW", "MATERIALIZED_VIEW", "CREATE_TABLE", "CTAS")
+DECLARATIONS = (*RELATIONS, "FUNCTION", "PROCEDURE")
+#: Statements that may stand after the relation that they are about.
+TRAILING = ("INDEX", "TRIGGER", "GRANT", "REVOKE", "ALTER", "COMMENT", "CONSTRAINT", "INSERT", "UPDATE", "DELETE", "TRUNCATE")
+
+
+def owned(constructs: DataFrame) -> DataFrame:
+    """walked() rows with owner: the declaration whose scope they stand in, or, for statements that trail, the relation of the same
+    file that they are about; null where the file declares none (standalone)."""
+    declared = constructs.where(F.col("construct").isin(*DECLARATIONS)).select("path", F.col("scope").alias("_scope")).distinct()
+    relations = constructs.where(F.col("construct").isin(*RELATIONS)).select("path", F.col("scope").alias("_about")).distinct()
+    about = F.when(F.col("construct").isin(*TRAILING), F.coalesce(F.when(~F.startswith("scope", F.lit("unresolved+")), F.col("scope")), F.get("writes", F.lit(0))))
+    rows = constructs.withColumn("_scope", F.col("scope")).withColumn("_about", about)
+    rows = rows.join(declared.withColumn("_own", F.col("_scope")), ["path", "_scope"], "left").join(relations.withColumn("_of", F.col("_about")), ["path", "_about"], "left")
+    return rows.withColumn("owner", F.coalesce("_own", "_of")).drop("_scope", "_about", "_own", "_of")
+
+
+def subjects(constructs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (path, subject) with (n, scope): how many declarations of the file a subject names, by its scope, its qualified name or its
+    bare name; scope where it is just one. Overloads share a name and need their signature."""
+    name = F.regexp_replace("scope", r"\(.*\)$", "")
+    declared = constructs.where(F.col("construct").isin(*DECLARATIONS)).select("path", "scope").distinct()
+    named = declared.select("path", "scope", F.explode(F.array_distinct(F.array(F.col("scope"), name, F.substring_index(name, ".", -1)))).alias("subject"))
+    rows = wanted.join(named, ["path", "subject"], "left").groupBy("path", "subject").agg(F.count("scope").alias("n"), F.min("scope").alias("scope"))
+    return rows.withColumn("scope", F.when(F.col("n") == 1, F.col("scope")))
+
+
 def notes(files: DataFrame) -> DataFrame:
     """files (path, sql) -> (path, line, reason): what walked() did not understand or cannot know."""
 

@@ -236,6 +236,11 @@ def metrics(decisions: DataFrame, transactions: DataFrame, mutations: DataFrame)
     return one(d).join(one(t), "_one").join(one(m), "_one").drop("_one")
 
 
+def numbered(operations: DataFrame) -> DataFrame:
+    """operations with order 1..n within their run, in the order of their files and lines."""
+    return operations.withColumn("order", F.row_number().over(Window.partitionBy("run_id").orderBy("path", "start_line", "end_line", "id")))
+
+
 def repeated_subjects(runs: DataFrame) -> DataFrame:
     """runs (subject, repeat, facts_sha256, decision, errors): variants of each subject's outcome; one where it is stable."""
     return runs.groupBy("subject").agg(F.count_distinct(F.struct("facts_sha256", "decision", F.to_json("errors"))).alias("variants"), F.count("*").alias("repeats"))

@@ -87,6 +87,12 @@ def outdated(inputs: DataFrame, files: DataFrame) -> DataFrame:
     return rows.withColumn("reason", reason).where("reason is not null").select("page_id", "root", "path", "reason")
 
 
+def listed(nodes_: DataFrame, edges_: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes by key, edges by their ends, kind and operation, pages by id: the orders in which documents show them. Range-partitioned
+    sorts: no task gets more than its share."""
+    return nodes_.orderBy("key"), edges_.orderBy("from", "to", "kind", "operation_id"), pages.orderBy("page_id")
+
+
 def known(edges_: DataFrame, nodes_: DataFrame, keys: DataFrame) -> DataFrame:
     """keys (key) with known: a node, an end of an edge or a candidate."""
     names = nodes_.select("key").unionByName(edges_.select(F.col("from").alias("key"))).unionByName(edges_.select(F.col("to").alias("key"))).unionByName(edges_.select(F.explode("candidates").alias("key")))

@@ -30,6 +30,13 @@ def predicate(condition: dict) -> Column:
     return reduce(lambda a, b: a & b, [one(k, v) for k, v in condition.items()], F.lit(True))
 
 
+def applicable(section: dict) -> Column:
+    """Whether a section applies to an item: always, where a condition of the item's own names it (a column of flags), or by its
+    predicate."""
+    flag = F.coalesce(F.col(section["conditional"]).cast("boolean"), F.lit(False)) if section.get("conditional") else F.lit(False)
+    return F.lit(bool(section.get("always_applicable"))) | flag | (predicate(section["applies"]) if section.get("applies") else F.lit(False))
+
+
 def decision(ok: Column, defect: Column, unknown: Column, blocking: Column) -> Column:
     """ready: nothing blocks, something applies, all of it is resolved, and the share of ok is large enough (in whole
     numbers); blocked: something blocks for want of evidence; else revise."""

@@ -34,3 +34,60 @@ def drifted(spark: SparkSession, ledger: DataFrame, folder: str) -> DataFrame:
     now = now.select(F.replace(F.regexp_replace("path", "^file:/*", ""), F.concat(F.regexp_replace(root, "^/+", ""), F.lit("/")), F.lit("")).alias("name"), F.sha2("content", 256).alias("now"))
     rows = ledger.join(now, "name", "left").where(~F.col("now").eqNullSafe(F.col("sha256")))
     return rows.select("name", F.when(F.col("now").isNull(), "source_missing").otherwise("source_changed").alias("reason"))
+
+
+#: The parts of a run's artifact set.
+PARTS = ("inventory", "facts", "coverage", "validation_plan", "validation", "decision", "manifest")
+
+
+def artifact_set(spark: SparkSession, folder: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """(run, valid, sha256, value) of each part that a schema is given for, over all runs below a folder (one folder each)."""
+    out = {}
+    for name in (p for p in PARTS if p in schemas):
+        rows = strict_json(spark, f"{folder}/*/{name}.json", schemas[name])
+        out[name] = rows.select(F.element_at(F.split("path", "/"), -2).alias("run"), "valid", "sha256", "value")
+    return out
+
+
+def metadata(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """(file, valid, value) of the metadata files of pages below a folder."""
+    return strict_json(spark, folder, schema).select(F.element_at(F.split("path", "/"), -1).alias("file"), "valid", "value")
+
+
+def archive_problems(records: DataFrame, documented: DataFrame, manifests: DataFrame, decisions: DataFrame) -> DataFrame:
+    """records (run_id, page_id, key, page_sha256) against their archives: documented (run_id, page_id, key), manifests (run_id, page_id,
+    sha256, draft_sha256, validation_sha256) and decisions (run_id, decision, manifest_sha256, validation_sha256): (run_id, problem)."""
+    n = documented.groupBy("run_id").agg(F.count("*").alias("_n"), F.min("page_id").alias("_page"), F.min("key").alias("_key"))
+    m = manifests.select("run_id", F.col("page_id").alias("_mpage"), F.col("sha256").alias("_sha"), "draft_sha256", F.col("validation_sha256").alias("_validation"))
+    rows = records.join(n, "run_id", "left").join(m, "run_id", "left").join(decisions.select("run_id", "decision", "manifest_sha256", "validation_sha256"), "run_id", "left")
+    differs = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
+    found = F.array_compact(F.array(
+        F.when(F.coalesce("_n", F.lit(0)) != 1, "not_one_identity"), F.when(differs("_key", "key"), "other_key"), F.when(differs("_page", "page_id") | differs("_mpage", "page_id"), "other_page"),
+        F.when(differs("draft_sha256", "page_sha256"), "other_draft"), F.when(~F.col("decision").eqNullSafe(F.lit("ready")), "not_ready"),
+        F.when(differs("manifest_sha256", "_sha"), "other_manifest"), F.when(differs("validation_sha256", "_validation"), "other_validation"),
+    ))
+    return rows.select("run_id", F.explode(found).alias("problem"))
+
+
+def ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """(name from the folder, sha256, bytes) of the files below it: what drifted() compares with."""
+    root = F.regexp_replace(F.lit(folder), "^file:/*|/+$", "")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    name = F.replace(F.regexp_replace("path", "^file:/*", ""), F.concat(F.regexp_replace(root, "^/+", ""), F.lit("/")), F.lit(""))
+    return files.select(name.alias("name"), F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("bigint").alias("bytes"))
+
+
+def saved(spark: SparkSession, folder: str, destination: str) -> int:
+    """Copy a run's folder to a new place of the same file system, and check the copy against the ledger of the original: the number of
+    files. A destination that stands already, and a copy that differs, are errors; the copy is then taken away."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    store = path(destination).getFileSystem(conf)
+    if store.exists(path(destination)):
+        raise ValueError(f"{destination} stands already")
+    before = ledger(spark, folder).select("name", "sha256")
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(path(folder).getFileSystem(conf), path(folder), store, path(destination), False, conf)
+    if drifted(spark, before, destination).isEmpty():
+        return before.count()
+    store.delete(path(destination), True)
+    raise ValueError(f"the copy at {destination} differs")

@@ -40,6 +40,44 @@ def image_names(markdown: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.substring_index(x, "/", -1))))
 
 
+IMAGE = "<!-- image -->"
+
+
+def _literal(name: Column) -> Column:
+    return F.concat(F.lit("\\Q"), F.replace(name, F.lit("\\E"), F.lit("")), F.lit("\\E"))
+
+
+def relinked(markdown: Column, names: Column) -> Column:
+    """Images of these names (those that exist) are shown from images/, wherever the text had them."""
+    shown = lambda n: F.concat(F.lit("](images/"), F.regexp_replace(n, r"([\\$])", r"\\$1"), F.lit(")"))
+    return F.aggregate(names, markdown, lambda text, n: F.regexp_replace(text, F.concat(F.lit(r"\]\((?:[^()]*/)?"), _literal(n), F.lit(r"\)")), shown(n)))
+
+
+def placed(markdown: Column, names: Column) -> Column:
+    """The n-th placeholder becomes the n-th image; placeholders beyond the images stay."""
+    parts = F.split(markdown, IMAGE)
+    last = F.size(parts) - 1
+    after = lambda i: F.when(i == last, "").when(i < F.size(names), F.concat(F.lit("![](images/"), F.get(names, i), F.lit(")"))).otherwise(IMAGE)
+    return F.array_join(F.transform(parts, lambda x, i: F.concat(x, after(i))), "")
+
+
+def titled(markdown: Column, source: Column, n_pages: Column, mode: str) -> Column:
+    """A text with a header that names its source, pages and mode."""
+    return F.concat(F.lit("---\nsource: "), F.to_json(F.array(source)).substr(F.lit(2), F.length(F.to_json(F.array(source))) - 2), F.lit("\npages: "), n_pages.cast("string"), F.lit(f"\nmode: {mode}\n---\n\n"), markdown)
+
+
+def image_table(images: Column) -> Column:
+    """images: array of (name, bytes), as a Markdown table by name; empty without images."""
+    rows = F.transform(F.array_sort(images), lambda x: F.concat(F.lit("| "), x["name"], F.lit(" | "), F.format_number(F.bround(x["bytes"] / 1024, 1), 1), F.lit(" |")))
+    return F.when(F.size(images) > 0, F.concat(F.lit("| Image | KB |\n| --- | --- |\n"), F.array_join(rows, "\n"))).otherwise("")
+
+
+def image_catalogue(images: DataFrame, texts: DataFrame) -> DataFrame:
+    """images (path, name, bytes) that their document's text (path, markdown) shows, by path and name, each once."""
+    shown = texts.select("path", F.explode(image_names(F.col("markdown"))).alias("name"))
+    return images.dropDuplicates(["path", "name"]).join(shown, ["path", "name"], "left_semi").orderBy("path", "name")
+
+
 def extracted(files: DataFrame, mode: str = "fast", cache: DataFrame | None = None) -> DataFrame:
     """files (path, content) -> (path, cache_key, markdown, from_cache). Only keys that the cache (cache_key, markdown) lacks
     are extracted, each once."""
