@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.storage import settled
 
 
+#: Levels after which the states seen so far become one table again.
+COMPACT = 8
+
+
 def hops(edges: DataFrame, direction: str) -> DataFrame:
     """(at, to, possible, relation, ordinal): the steps that a walk may take, each once. Downstream: against read, write and
     call edges to the one who uses the node; through candidate lists, as possible; and from a writer to what it writes."""
@@ -25,7 +29,8 @@ def closure(spark: SparkSession, edges: DataFrame, seeds: DataFrame, direction:
 
     A state is a node with its sticky flag `possible`; the seed is never returned; of several first discoveries the one
     of the least rank (parent's place, then edge's order) gives via, relation and ordinal. Each level is one join of
-    the frontier to the steps and one anti join against the states seen; levels end with the frontier or max_depth."""
+    the frontier to the steps, one aggregation, one anti join against the states seen and one sort; levels end with the frontier
+    or max_depth."""
     steps = hops(edges, direction).withColumnRenamed("possible", "maybe")
     frontier = seeds.select("seed", F.col("seed").alias("node"), F.lit(False).alias("possible"), F.lit(0).cast("bigint").alias("rank"))
     seen = frontier.select("seed", "node", "possible")
@@ -33,15 +38,18 @@ def closure(spark: SparkSession, edges: DataFrame, seeds: DataFrame, direction:
     while depth < max_depth:
         depth += 1
         next_ = frontier.join(steps, frontier["node"] == steps["at"]).select("seed", F.col("to").alias("node"), (F.col("possible") | F.col("maybe")).alias("possible"), F.col("node").alias("via"), "relation", "ordinal", F.col("rank").alias("parent"))
-        next_ = next_.where("node <> seed").join(seen, ["seed", "node", "possible"], "left_anti")
-        first = F.row_number().over(Window.partitionBy("seed", "node", "possible").orderBy("parent", "ordinal", "via"))
-        next_ = next_.withColumn("n", first).where("n = 1").drop("n")
-        next_ = next_.withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy("parent", "ordinal", "node")).cast("bigint")).withColumn("depth", F.lit(depth))
+        first = F.min_by(F.struct("via", "relation", "ordinal", "parent"), F.struct("parent", "ordinal", "via", "relation"))
+        next_ = next_.where("node <> seed").groupBy("seed", "node", "possible").agg(first.alias("f")).select("seed", "node", "possible", "f.*")
+        next_ = next_.join(seen, ["seed", "node", "possible"], "left_anti")
+        # Ranks need only grow in this order: a sort over all seeds, dealt by range, numbers them without a task for each seed.
+        next_ = next_.orderBy("seed", "parent", "ordinal", "node", "possible").withColumn("rank", F.monotonically_increasing_id()).withColumn("depth", F.lit(depth))
         next_ = settled(spark, next_, "graph")
         if next_.isEmpty():
             break
         found = next_ if found is None else found.unionByName(next_)
         seen = seen.unionByName(next_.select("seed", "node", "possible"))
+        if depth % COMPACT == 0:
+            seen = settled(spark, seen, "seen")
         frontier = next_.select("seed", "node", "possible", "rank")
     if found is None:
         found = seeds.select("seed", F.col("seed").alias("node"), F.lit(False).alias("possible"), F.lit("").alias("via"), F.lit("").alias("relation"), F.lit(0).cast("bigint").alias("ordinal"), F.lit(0).alias("depth")).limit(0)

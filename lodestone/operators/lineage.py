@@ -109,7 +109,7 @@ def of_page(spark: SparkSession, pages: DataFrame, nodes_: DataFrame, edges_: Da
     """Everything about one page: its keys, what they use, who uses them, and whom a change affects. A legacy page has no keys."""
     page = pages.where(F.col("page_id") == page_id).withColumn("lineage_verified", F.col("status") == "managed")
     keys = nodes_.where(F.col("page_id") == page_id).select("key").distinct()
-    mine = F.broadcast(keys.withColumnRenamed("key", "node"))  # the keys of one page: as many as its run documents
+    mine = keys.withColumnRenamed("key", "node")
     return {
         "page": page,
         "keys": keys,
