@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import random
 
-MARK = ""
+MARK = "\ue000"
 #: Class names of boilerplate and of content in pages whose names say what they hold.
 NAMES = {"menu": ("nav", "main-menu", "navbar"), "header": ("header", "masthead", "site-header"), "crumbs": ("breadcrumbs",), "sidebar": ("sidebar", "widget", "side-column"), "notice": ("cookie-notice", "notice", "newsletter-signup"), "advert": ("ad", "advert", "sponsored"), "form": ("login-form", "search-form"), "related": ("related", "recommended"), "comments": ("comments", "commentlist", "discussion"), "footer": ("footer", "site-footer", "legal"), "content": ("content", "post-body", "entry", "story")}
 ELEMENTS = {"menu": "nav", "header": "header", "crumbs": "nav", "sidebar": "aside", "notice": "aside", "advert": "aside", "form": "form", "related": "aside", "comments": "section", "footer": "footer", "content": "article"}
