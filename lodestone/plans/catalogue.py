@@ -505,7 +505,7 @@ def positional_columns(spark, sf_dir):
     """The columns of a list meet the expressions of another by place, as far as the shorter goes."""
     names = lambda p, n: F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.lit(p), i.cast("string")))
     rows = read(spark, sf_dir, "lineitem").select(F.lit("f").alias("path"), F.col("l_linenumber").cast("string").alias("scope"), F.col("l_orderkey").alias("id"), F.lit("t").alias("target"), names("c", F.col("l_linenumber").cast("int")).alias("columns"), names("e", F.col("l_quantity").cast("int") % 5).alias("expressions"))
-    return column_types.mapped(rows).select("id", F.col("scope").cast("int").alias("n"), "position", "column", "expression")
+    return column_types.mapped(rows).select("id", F.col("scope").cast("int").alias("n"), F.col("position").cast("bigint").alias("position"), "column", "expression")
 
 
 @query("select p_partkey, 'function+' || url_encode(p_brand) || '+' || url_encode(p_type) || '(bigint,character varying)' as key from part")
@@ -525,7 +525,7 @@ _GATE = """with l as (select doc_id, count(*) as n, max(quality) as q, max(toxic
  a as (select source as run_id, n_chars > 2000 as blocking, lang <> 'de' as applicable, case when n is null or n > 1 then null when t = 1 then 'not_applicable' when q = 1 then 'ok' else 'defect' end as given from documents left join l using (doc_id)),
  b as (select *, given is null or (applicable and given = 'not_applicable') as unsure, given is null or (applicable = (given = 'not_applicable')) as error from a),
  c as (select run_id, count(*) as total, count(*) filter (where not unsure and given = 'ok') as ok, count(*) filter (where not unsure and given = 'defect') as defect, count(*) filter (where unsure) as inconclusive,
-  count(*) filter (where not unsure and given = 'not_applicable') as not_applicable, count(*) filter (where error) as errors, count(*) filter (where blocking and not unsure and given = 'defect') as blocking_defects, 0 as blocking_inconclusive from b group by 1),
+  count(*) filter (where not unsure and given = 'not_applicable') as not_applicable, count(*) filter (where error) as errors, count(*) filter (where blocking and not unsure and given = 'defect') as blocking_defects, 0::bigint as blocking_inconclusive from b group by 1),
  scores as (select *, case when inconclusive = 0 and errors + blocking_defects = 0 and ok + defect > 0 and ok * 100 >= (ok + defect) * 85 then 'ready' else 'revise' end as decision from c)"""
 
 
