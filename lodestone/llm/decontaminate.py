@@ -325,8 +325,11 @@ def portions(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "tex
 
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, item_id, edits, item_chars, first_word): each item that a document holds within MAX_EDITS of the item's
-    characters (lower-case letters and digits; other characters part words). Null ids of documents stay null; null
-    and empty texts hold nothing; repeated rows give repeated results."""
+    characters (lower-case letters and digits; other characters part words). Of several windows of an item in a text the one of
+    fewest edits counts, and of equal ones the first; equal items under several ids all count. Null ids of documents stay null; null
+    and empty texts hold nothing; repeated rows give repeated results; very long texts are walked whole, in time and memory
+    proportional to them. Items without an id or words are left out; an empty table on either side gives an empty result. Only the id
+    and the text of docs are read, so other names cannot clash."""
     kind, item = docs.schema[id_col].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     arrow = pa.int64() if item == "bigint" else None
     out = None
@@ -347,7 +350,8 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_
 
 
 def cleaned(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of docs that hold no item, in their own columns: one scan for each portion of the items, no shuffle."""
+    """Rows of docs that hold no item, in their own columns, whatever their names: one scan for each portion of the items, no
+    shuffle. Null and empty texts hold nothing and stay; repeated rows stay or go together."""
     for index in portions(benchmark):
         shared = spark.sparkContext.broadcast(index)
 

@@ -176,7 +176,7 @@ def ablation(rows: DataFrame, policies: dict[str, Policy] | None = None) -> Data
 
 
 def judged(docs: DataFrame, policy: str = "2026-1") -> DataFrame:
-    """The ledger with the verdict of one policy: base_failed and kept."""
+    """The ledger with the verdict of one policy: base_failed and kept. Odd rows as in ledger(); an empty table gives an empty one."""
     rows = ledger(docs)
     base = ~passes_policy("failed", POLICIES["base"])
     return rows.withColumn("base_failed", base).withColumn("kept", ~base & passes_policy("failed", POLICIES[policy]))
