@@ -104,24 +104,45 @@ def rebuilt(migrations: DataFrame) -> DataFrame:
     the given order only; a project stops at its first unsupported statement and keeps the state before that file; one whose files
     have no order of their own (a position that is null or repeats) is ambiguous and has no tables."""
     schema = "project string, status string, reason string, table string, position int, column string, type string, not_null boolean, default string"
+    rows = migrations.select("project", F.col("position").cast("int").alias("position"), "sql").repartition("project").sortWithinPartitions("project", "position")
 
-    def fold(files: pd.DataFrame) -> pd.DataFrame:
-        state, status, reason = {}, "resolved", None
-        if files["position"].isna().any() or files["position"].duplicated().any():
-            state, status, reason, files = {}, "ambiguous", "the order is not established", files.assign(sql="")
-        for sql in files.sort_values("position")["sql"]:
-            try:
-                after = state
-                for _, statement in statements(sql):
-                    after = apply(after, statement)
-                state = after
-            except (Unsupported, KeyError, ValueError) as e:
-                status, reason = "unsupported", str(e)
-                break
-        rows = [(files["project"].iloc[0], status, reason, t, i, c, *x) for t, columns in sorted(state.items()) for i, (c, x) in enumerate(columns.items(), 1)]
-        return pd.DataFrame(rows or [(files["project"].iloc[0], status, reason, None, None, None, None, None, None)], columns=[x.split()[0] for x in schema.split(", ")])
-
-    return migrations.groupBy("project").applyInPandas(fold, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Projects come one after another, their files in order; a task holds one project's files."""
+        now, files, out = None, [], []
+        table = lambda rows: pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")], dtype=object)
+        for batch in batches:
+            for project, position, sql in zip(batch["project"], batch["position"], batch["sql"], strict=True):
+                if files and project != now:
+                    out += folded(now, files)
+                    files = []
+                now = project
+                files.append((None if pd.isna(position) else int(position), sql))
+            if out:
+                yield table(out)
+                out = []
+        if files:
+            yield table(folded(now, files))
+
+    return rows.mapInPandas(run, schema)
+
+
+def folded(project: str, files: list[tuple[int | None, str | None]]) -> list[tuple]:
+    """Rows of rebuilt() for one project."""
+    state, status, reason = {}, "resolved", None
+    places = [p for p, _ in files]
+    if None in places or len(set(places)) < len(places):
+        status, reason, files = "ambiguous", "the order is not established", []
+    for _, sql in files:
+        try:
+            after = state
+            for _, statement in statements(sql or ""):
+                after = apply(after, statement)
+            state = after
+        except (Unsupported, KeyError, ValueError) as e:
+            status, reason = "unsupported", str(e)
+            break
+    rows = [(project, status, reason, t, i, c, *x) for t, columns in sorted(state.items()) for i, (c, x) in enumerate(columns.items(), 1)]
+    return rows or [(project, status, reason, None, None, None, None, None, None)]
 
 
 def inventoried(files: DataFrame) -> DataFrame:
