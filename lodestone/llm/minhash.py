@@ -209,7 +209,7 @@ def picked(spark: SparkSession, texts: DataFrame, ids: DataFrame) -> DataFrame:
 def dealt(spark: SparkSession, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The pairs (id, leader) with a salt, LEADER_CHUNK of a leader to each, and the (leader, salt) there are. Only leaders of more
     pairs than that are looked up: a table small enough to send to each task, so that no task gets all pairs of a leader."""
-    hot = settle(spark, pairs.groupBy("leader").agg(F.ceil(F.count("*") / LEADER_CHUNK).cast("bigint").alias("chunks")).where("chunks > 1"), "hot-leaders")
+    hot = settle(spark, pairs.groupBy("leader").agg(F.ceil(F.count("*") / LEADER_CHUNK).cast("bigint").alias("chunks")).where("chunks > 1"), "hot-leaders", few=True)
     chunks = F.coalesce("chunks", F.lit(1).cast("bigint"))
     salted = pairs.join(hot, "leader", "left").select("id", "leader", F.pmod(F.xxhash64("id"), chunks).alias("salt"))
     leaders = pairs.select("leader").distinct().join(hot, "leader", "left").select("leader", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)).alias("salt"))
@@ -255,7 +255,7 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     aggregations and two joins on narrow rows, written to the shared folder; the number of rounds grows with the
     logarithm of the longest chain."""
     edges = links.select(F.greatest("id", "leader").alias("u"), F.least("id", "leader").alias("v")).where("u <> v").distinct()
-    edges, before = settle(spark, edges, "edges"), None
+    edges, before = settle(spark, edges, "edges", few=True), None
     stored = edges
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -263,7 +263,7 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         edges = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
         low = edges.groupBy("u").agg(F.min("v").alias("low"))
         edges = edges.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        old, edges = stored, settle(spark, edges, "edges")
+        old, edges = stored, settle(spark, edges, "edges", few=True)
         stored = edges
         forget(spark, old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -281,7 +281,7 @@ def late_links(spark: SparkSession, members: DataFrame, roots: DataFrame, wide:
     main = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"), F.count("*").alias("roots")).where("roots > 1")
     blocks = lambda n: F.ceil(n / CELL).cast("bigint")
     shape = main.select("bucket", "main", blocks(F.col("n") - F.col("most")).alias("minor"), blocks(F.col("most")).alias("major"))
-    shape = settle(spark, shape, "shapes")  # of its true size: small, it goes to each task, and no task gets a whole bucket
+    shape = settle(spark, shape, "shapes", few=True)  # of its true size: small, it goes to each task, and no task gets a whole bucket
     split = placed.join(shape, "bucket").withColumn("outside", F.col("root") != F.col("main"))
     block = F.pmod(F.xxhash64("id"), F.when(F.col("outside"), F.col("minor")).otherwise(F.col("major")))
     count = lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
@@ -365,11 +365,11 @@ def groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
     prints_ = settle(spark, signed(narrow, "id", "text"), "prints")
     bound = [f"p{i}" for i in range(PRINTS)]
     same = prints_.where("weight > 0 and id is not null").groupBy("d1", "d2", "weight").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("bands", *bound)))
-    same = settle(spark, same, "classes")
+    same = settle(spark, same, "classes", few=True)
 
     spread = same.select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "bucket"))
-    busy = settle(spark, spread.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1"), "buckets")
-    members = settle(spark, spread.join(busy, "bucket").select("band", "bucket", "id", "leader"), "members")
+    busy = settle(spark, spread.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1"), "buckets", few=True)
+    members = settle(spark, spread.join(busy, "bucket").select("band", "bucket", "id", "leader"), "members", few=True)
     wide = same.select(F.col("rep").alias("id"), *bound)
 
     def near(pairs: DataFrame) -> DataFrame:
@@ -379,12 +379,12 @@ def groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
         far = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"q{c}"))) for c in bound[1:]), F.bit_count(F.col(bound[0]).bitwiseXOR(F.col(f"q{bound[0]}"))))
         return salted.join(left, "id").join(right, ["leader", "salt"]).where(far <= far_bound(threshold)).select("id", "leader")
 
-    pairs = settle(spark, members.where("id <> leader").select("id", "leader").distinct(), "pairs")
-    stars = settle(spark, near(pairs), "stars")
-    texts = settle(spark, picked(spark, narrow, members.select("id").distinct()), "texts")
+    pairs = settle(spark, members.where("id <> leader").select("id", "leader").distinct(), "pairs", few=True)
+    stars = settle(spark, near(pairs), "stars", few=True)
+    texts = settle(spark, picked(spark, narrow, members.select("id").distinct()), "texts", few=True)
     links = settle(spark, verified(spark, stars, texts, threshold), "links")
     roots = components(spark, links)
-    late = settle(spark, late_links(spark, members.where("id <> leader").select("band", "bucket", "id"), roots, same.select(F.col("rep").alias("id"), "bands", *bound), texts, threshold), "late")
+    late = settle(spark, late_links(spark, members.where("id <> leader").select("band", "bucket", "id"), roots, same.select(F.col("rep").alias("id"), "bands", *bound), texts, threshold), "late", few=True)
     if not late.isEmpty():
         roots = components(spark, roots.select("id", F.col("root").alias("leader")).unionByName(late))
     for table in (busy, members, pairs, stars, texts, links, late):  # nothing reads them any more
@@ -398,12 +398,12 @@ def groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
 def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Documents with one row left of each group: the one with the smallest doc_id; of rows that repeat it, any one. Rows with a
     null doc_id, and one row of each id without words, stay. All columns of docs are kept, whatever their names."""
-    found = settle(spark, groups(spark, docs).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("class_id").alias("class_id")), "groups")
+    found = settle(spark, groups(spark, docs).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("class_id").alias("class_id")), "groups", few=True)
     gone = found.where("doc_id <> class_id").select("doc_id")
-    gone = settle(spark, gone, "gone")
+    gone = settle(spark, gone, "gone", few=True)
     sieve = Sieve(spark, gone)  # most documents need no join
     kept = sieve.rows(docs, "doc_id", inside=False).unionByName(sieve.rows(docs, "doc_id", inside=True).join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns))
-    repeated = settle(spark, found.where("doc_id = class_id and n > 1").select("doc_id"), "repeated")
+    repeated = settle(spark, found.where("doc_id = class_id and n > 1").select("doc_id"), "repeated", few=True)
     if repeated.isEmpty():
         return kept.select(docs.columns)
     once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])

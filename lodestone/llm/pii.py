@@ -371,13 +371,13 @@ def drawn(cipher: Cipher, some: DataFrame, attempt: int) -> DataFrame:
 
 def exceptions(spark: SparkSession, cipher: Cipher, docs: DataFrame) -> DataFrame | None:
     """(kind, value, new) of entities whose first surrogate is a real entity or another's; None where there is none."""
-    real = settle(spark, entities(docs).where("kind <> 'given'"), "entities")  # given names go round in a cycle, which never clashes
+    real = settle(spark, entities(docs).where("kind <> 'given'"), "entities", few=True)  # given names go round in a cycle, which never clashes
     plain = real.select("kind", F.col("value").alias("new"))
     chosen, attempt = settle(spark, drawn(cipher, real, 0), "surrogates"), 0
     while True:
         shared = chosen.groupBy("kind", "new").agg(F.count("*").alias("n"), F.min_by("value", F.struct("attempt", "value")).alias("first")).where("n > 1").drop("n")
         clash = chosen.join(plain, ["kind", "new"], "left_semi").select("kind", "value").unionByName(chosen.join(shared, ["kind", "new"]).where("value <> first").select("kind", "value")).distinct()
-        clash = settle(spark, clash, "clashes")
+        clash = settle(spark, clash, "clashes", few=True)
         if clash.isEmpty():
             break
         attempt += 1

@@ -132,7 +132,7 @@ def trained(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col
     some = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isin(0, 1)).groupBy(id_col).agg(F.max("toxic").alias("toxic"))
     some = some.orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
     rows = docs.select(id_col, "text").join(F.broadcast(some), id_col).groupBy(id_col).agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"))
-    rows = settle(docs.sparkSession, rows.select("text", F.col("toxic").cast("int").alias("toxic"), F.xxhash64(id_col).alias("h")), "learnt")
+    rows = settle(docs.sparkSession, rows.select("text", F.col("toxic").cast("int").alias("toxic"), F.xxhash64(id_col).alias("h")), "learnt", few=True)
     sizes = rows.groupBy("h").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n")).orderBy("h").collect()  # max_rows narrow rows at most
     total, last = 0, None
     for r in sizes:

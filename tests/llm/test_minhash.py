@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
-from lodestone.llm import minhash
+from lodestone.llm import common, minhash
 
 
 def bag(text):
@@ -143,3 +143,29 @@ def test_recall_of_pairs_at_the_threshold(spark):
     assert all(got[i] == i for i, near in want.items() if not near)
     near = [i for i, near in want.items() if near]
     assert len(near) > 100 and sum(got[i] == i - 1 for i in near) >= 0.99 * len(near)
+
+
+def test_tables_out_of_a_shuffle_have_few_files(spark, monkeypatch):
+    """However many partitions a shuffle has: no file for each of them; prints and links, which Python makes, keep theirs. The rows are all there."""
+    found = {}
+
+    def settle(spark, df, name, **kw):
+        out = common.settle(spark, df, name, **kw)
+        found[name] = max(found.get(name, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(minhash, "settle", settle)
+    changed = {"spark.sql.shuffle.partitions": "29", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in changed}
+    words = [f"w{k}" for k in range(400)]
+    docs = [(i, " ".join(words[i % 150 : i % 150 + 40])) for i in range(300)]
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        rows = minhash.groups(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r["doc_id"]: r["class_id"] for r in rows} == classes(docs)
+    assert {"classes", "members", "pairs", "stars", "texts", "edges"} <= found.keys()
+    assert max(found[k] for k in found if k not in ("prints", "links")) <= 2 * spark.sparkContext.defaultParallelism, found
