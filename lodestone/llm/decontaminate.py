@@ -36,8 +36,10 @@ PIECE = 64
 #: Bytes of items in one index (about a hundred times as many in memory); a larger table is taken in portions of that size.
 PORTION_BYTES = 2 << 20
 #: Characters that are walked at a time, pieces that are tried at a time, and places that share a trial.
-CHUNK, TRIALS, NEAR = 1 << 15, 1 << 14, 16
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+CHUNK, TRIALS, NEAR = 1 << 14, 1 << 12, 16
+#: Places before and after all texts where a trial may read, and steps between looks at which trials may still succeed.
+MARGIN, LOOK = 4 * PIECE, 8
+_STEP = np.uint32(0x9E3779B1)
 _SPACE, _END = 32, 10
 
 
@@ -67,28 +69,39 @@ class Walk:
     def __init__(self, steps: int, samples: int, seed: int):
         bits = (keys(steps * 256, seed) >> np.uint64(40) & np.uint64(1)).reshape(steps, 256)
         bits[1::2] = 1 - bits[: steps // 2 * 2 : 2]
-        self.steps, letters = steps, keys(256, seed + 1) & ~np.uint64(1)
-        sampled = set(np.argsort(keys(steps, seed + 2))[:samples].tolist())
-        self.moves = [((letters | bits[s]) if s in sampled else bits[s], s in sampled) for s in range(steps)]
-
-    def blocks(self, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """From each place (letters has `steps` + 1 more at its end): the hash of the sampled characters, and where the walk ends."""
+        self.steps, self.letters = steps, (keys(256, seed + 1) >> np.uint64(32)).astype(np.uint32)
+        self.sampled = set(np.argsort(keys(steps, seed + 2))[:samples].tolist())
+        self.moves = (bits << np.arange(steps, dtype=np.uint64)[:, None]).sum(axis=0).astype(np.uint32)  # a bit for each step
+
+    def blocks(self, letters: np.ndarray, ends: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """From each place (letters has `steps` + 1 more at its end): the hash of the sampled characters and, if asked for, where
+        the walk ends. From the last step to the first: what a walk from a place still reads is its character there and what
+        a walk one step later reads, from the next place or the same."""
         n = len(letters) - self.steps - 1
-        out, end = np.empty(n, np.uint64), np.empty(n, np.int64)
+        out, end = np.empty(n, np.uint32), np.empty(n if ends else 0, np.int64)
         for a in range(0, n, CHUNK):
             size = min(CHUNK, n - a)
             part = letters[a : a + size + self.steps + 1]
-            at, h = np.arange(size), np.zeros(size, np.uint64)
-            here, move = np.empty(size, np.intp), np.empty(size, np.uint64)
-            for table, sampled in self.moves:
-                np.take(part, at, out=here, mode="clip")
-                np.take(table, here, out=move, mode="clip")
-                if sampled:
-                    h *= _BASE
-                    h += move
-                    move &= np.uint64(1)
-                at += move.view(np.int64)
-            out[a : a + size], end[a : a + size] = h, at + a
+            letter, moves = self.letters.take(part, mode="clip"), self.moves.take(part, mode="clip")
+            now = [np.zeros(len(part), np.uint32) for _ in range(1 + ends)]
+            other, move = np.empty_like(letter), np.empty_like(letter)
+            for s in range(self.steps - 1, -1, -1):
+                m = size + s + 1  # places from which the walk can be told
+                np.left_shift(moves[:m], np.uint32(31 - s), out=move[:m])
+                on = move.view(np.int32)[:m]
+                on >>= 31
+                on = on.view(np.uint32)
+                for k, h in enumerate(now):
+                    diff = np.bitwise_xor(h[1 : m + 1] + np.uint32(1) if k else h[1 : m + 1], h[:m], out=other[:m])
+                    diff &= on
+                    h[:m] ^= diff
+                if s in self.sampled:
+                    h = now[0][:m]
+                    h *= _STEP
+                    h += letter[:m]
+            out[a : a + size] = now[0][:size]
+            if ends:
+                end[a : a + size] = now[1][:size] + np.arange(a, a + size)
         return out, end
 
 
@@ -98,28 +111,36 @@ def padded(codes: np.ndarray, steps: int) -> np.ndarray:
 
 
 class Table:
-    """Places of sorted hashes, behind a sieve."""
+    """Places of hashes, behind a sieve. The distinct hashes stand in order, and `first` says where those with the same highest
+    bits begin."""
 
     def __init__(self, hashes: np.ndarray, leaves: np.ndarray):
+        hashes = hashes * _STEP
         order = np.argsort(hashes, kind="stable")
-        self.hashes, self.leaves = hashes[order], leaves[order]
-        self.shift = np.uint64(64 - max(10, int(32 * len(hashes)).bit_length()))
-        self.sieve = np.zeros(1 << (64 - int(self.shift)), bool)
-        self.sieve[self._slot(hashes)] = True
-
-    def _slot(self, hashes: np.ndarray) -> np.ndarray:
-        return ((hashes * _BASE) >> self.shift).astype(np.int64)
+        self.leaves = leaves[order]
+        self.hashes, self.begin, self.count = np.unique(hashes[order], return_index=True, return_counts=True)
+        self.shift = np.uint32(32 - min(31, max(10, int(32 * len(hashes)).bit_length())))
+        self.sieve = np.zeros(1 << (32 - int(self.shift)), bool)
+        self.sieve[hashes >> self.shift] = True
+        self.coarse = np.uint32(32 - min(31, max(10, len(hashes).bit_length())))
+        self.first = np.searchsorted(self.hashes >> self.coarse, np.arange(1 << (32 - int(self.coarse)), dtype=np.uint32))
+        self.most = int(np.bincount(self.hashes >> self.coarse).max(initial=0))
+        self.hashes = np.append(self.hashes, np.uint32(0xFFFFFFFF))
+        self.begin, self.count = np.append(self.begin, 0), np.append(self.count, 0)
 
     def met(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, leaf) wherever a hash is one of the table's."""
-        at = np.flatnonzero(self.sieve[self._slot(hashes)])
-        lo = np.searchsorted(self.hashes, hashes[at])
-        same = self.hashes[np.minimum(lo, len(self.hashes) - 1)] == hashes[at]
+        hashes = hashes * _STEP
+        at = np.flatnonzero(self.sieve.take((hashes >> self.shift).astype(np.intp), mode="clip"))
+        hashes = hashes[at]
+        lo = self.first[hashes >> self.coarse]
+        for _ in range(self.most):
+            lo += self.hashes[lo] < hashes
+        same = np.flatnonzero(self.hashes[lo] == hashes)
         at, lo = at[same], lo[same]
-        hi = np.searchsorted(self.hashes, hashes[at], "right")
-        n = hi - lo
+        n = self.count[lo]
         skip = np.cumsum(n) - n
-        return np.repeat(at, n), self.leaves[np.repeat(lo - skip, n) + np.arange(int(n.sum()))]
+        return np.repeat(at, n), self.leaves[np.repeat(self.begin[lo] - skip, n) + np.arange(int(n.sum()))]
 
 
 class Index:
@@ -150,7 +171,9 @@ class Index:
         self.piece_chars = np.array([len(c) for c in piece_codes], np.int64)
         self.walks = [w for j, rows in sorted(groups.items()) for w in self._walks(j, rows)]
         # Letters of pieces by number; where there are too many, several share one, which only lets more through.
-        self.letters = np.unique(np.concatenate(piece_codes)) if piece_codes else np.zeros(0, np.uint32)
+        letters = np.unique(np.concatenate(piece_codes)) if piece_codes else np.zeros(0, np.uint32)
+        self.number = np.zeros(int(letters.max(initial=0)) + 2, np.int16)  # the last for all characters beyond
+        self.number[letters] = np.arange(len(letters)) % 256 + 1
         self.masks = np.zeros((len(piece_codes), 257), np.uint64)
         for p, c in enumerate(piece_codes):
             bit = np.uint64(1) << np.arange(64 - len(c), 64).astype(np.uint64)
@@ -175,17 +198,13 @@ class Index:
         begins = np.repeat(starts, [n for _, _, n in rows]) + self.piece_at[piece]
         for r in range(repetitions):
             walk = Walk(steps, samples, 10 * (j * 100 + r) + 41)
-            h, last = walk.blocks(padded(codes, steps))
+            h, last = walk.blocks(padded(codes, steps), ends=True)
             at = np.flatnonzero(last <= end)
             own = np.searchsorted(begins, (at + last[at]) // 2, "right") - 1
             yield walk, Table(h[at], np.arange(len(at))), piece[own], at - begins[own]
 
     def numbers(self, codes: np.ndarray) -> np.ndarray:
-        if not len(self.letters):
-            return np.zeros(len(codes), np.int64)
-        at = np.searchsorted(self.letters, codes)
-        at[at == len(self.letters)] = 0
-        return np.where(self.letters[at] == codes, at % 256 + 1, 0)
+        return self.number[np.minimum(codes, len(self.number) - 1)]
 
     def trials(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (piece, place) where a block says that the piece may begin at one of the NEAR places from there."""
@@ -198,39 +217,51 @@ class Index:
         return both >> 40, (both & ((1 << 40) - 1)) * NEAR - (1 << 20)
 
     def tried(self, numbers: np.ndarray, piece: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Which pieces stand near their places within the edits that they may have (or nearly, if letters share a number)."""
+        """Which pieces stand near their places within the edits that they may have (or nearly, if letters share a number). A step
+        takes one edit away at most, so a trial ends when too few steps are left for it."""
         out = np.zeros(len(piece), bool)
-        if not len(piece):
-            return out
+        numbers = np.pad(numbers, MARGIN)  # before and after all texts stands a number that no letter has
         order = np.argsort(self.piece_chars[piece] + 2 * self.piece_edits[piece], kind="stable")
+        one = np.uint64(1)
         for a in range(0, len(order), TRIALS):
             rows = order[a : a + TRIALS]
             p, most = piece[rows], self.piece_edits[piece[rows]]
-            at = place[rows] - most
-            steps = int((self.piece_chars[p] + 2 * most).max()) + NEAR
-            row = p * 257
+            x, row = place[rows] - most + MARGIN, p * 257
+            left = int((self.piece_chars[p] + 2 * most).max()) + NEAR
             up, down = ~self.below(self.piece_chars[p]), np.zeros(len(p), np.uint64)
-            score = self.piece_chars[p].copy()
+            score = self.piece_chars[p]
             best = score.copy()
-            one = np.uint64(1)
-            for j in range(steps):
-                x = at + j
-                np.clip(x, -1, len(numbers) - 1, out=x)  # before and after all texts stands a number that no letter has
-                eq = self.masks[row + numbers[x]]
-                d0 = eq & up
-                d0 += up
-                d0 ^= up
-                d0 |= eq
-                d0 |= down
-                hp = down | ~(d0 | up)
-                hn = up & d0
-                score += (hn.view(np.int64) >> 63) - (hp.view(np.int64) >> 63)
-                hp <<= one
-                hn <<= one
-                up = hn | ~(d0 | hp)
-                down = hp & d0
-                np.minimum(best, score, out=best)
-            out[rows] = best <= most
+            while left and len(rows):
+                here, eq, d0, hp, t = (np.empty(len(rows), k) for k in (np.int64, np.uint64, np.uint64, np.uint64, np.uint64))
+                for _ in range(min(LOOK, left)):
+                    np.add(row, numbers.take(x, mode="clip"), out=here)
+                    self.masks.take(here, out=eq, mode="clip")
+                    np.bitwise_and(eq, up, out=d0)
+                    d0 += up
+                    d0 ^= up
+                    d0 |= eq
+                    d0 |= down
+                    np.bitwise_or(d0, up, out=hp)
+                    np.invert(hp, out=hp)
+                    hp |= down
+                    up &= d0  # the places where a row goes down
+                    score -= np.right_shift(hp.view(np.int64), 63, out=here)
+                    score += np.right_shift(up.view(np.int64), 63, out=here)
+                    hp <<= one
+                    up <<= one
+                    np.bitwise_or(d0, hp, out=t)
+                    np.invert(t, out=t)
+                    up |= t
+                    np.bitwise_and(hp, d0, out=down)
+                    np.minimum(best, score, out=best)
+                    x += 1
+                left -= min(LOOK, left)
+                out[rows[best <= most]] = True
+                alive = (best > most) & (score - left <= most)
+                if not left or not alive.any():
+                    break
+                if alive.sum() < 0.9 * len(rows):
+                    rows, most, x, row, up, down, score, best = (v[alive] for v in (rows, most, x, row, up, down, score, best))
         return out
 
 
@@ -280,8 +311,7 @@ def matches(index: Index, texts: pa.Array) -> list[tuple[int, int, int, int]]:
                 best[t, i] = (0, at)
                 at = whole.find(index.plain[i], int(ends[t]))
     piece, place = index.trials(codes)
-    # The number 0 at the end is also what stands before the beginning.
-    hit = np.flatnonzero(index.tried(np.append(index.numbers(codes), 0), piece, place))
+    hit = np.flatnonzero(index.tried(index.numbers(codes), piece, place))
     piece, place = piece[hit], place[hit]
     spare = index.piece_edits[piece]
     regions: dict[tuple[int, int], list[tuple[int, int]]] = {}
