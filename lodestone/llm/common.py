@@ -12,7 +12,7 @@ from lodestone.functions.storage import forget, settled, shared_folder
 
 #: Tables between steps, under the names that this subpackage uses.
 shared_dir, settle = shared_folder, settled
-__all__ = ["ALNUM", "SPACE", "Words", "byte_view", "forget", "fresh", "keys", "mixed", "passes", "powers", "settle", "shared_dir", "text_column", "windows"]
+__all__ = ["ALNUM", "SPACE", "Words", "byte_view", "byte_words", "forget", "fresh", "keys", "mixed", "passes", "powers", "settle", "shared_dir", "text_column", "windows"]
 
 #: Text bytes that one numpy pass takes at a time; a longer text makes a pass of its own.
 PASS_BYTES = 1 << 20
@@ -71,6 +71,25 @@ def keys(n: int, seed: int) -> np.ndarray:
         return mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 1_000_003 + 12345))
 
 
+_word_tables: dict[bytes, bytes] = {}
+
+
+def byte_words(text: bytes, inside: bytes, size: int = PASS_BYTES) -> Iterator[list[bytes]]:
+    """The words of a UTF-8 text, runs of the bytes `inside`, with only A to Z lower-cased: some `size` bytes of the text at a time,
+    cut where no word is."""
+    table = _word_tables.get(inside)
+    if table is None:
+        table = _word_tables[inside] = bytes(b if b in inside else 32 for b in range(256)).lower()
+    first = 0
+    while first < len(text):
+        last = first + size
+        if last < len(text):
+            while last < len(text) and text[last] in inside:
+                last += 1
+        yield text[first:last].translate(table).split()
+        first = last
+
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTES = keys(256, 7)

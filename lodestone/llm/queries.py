@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontaminate, html_text, licenses, minhash, pii, quality, token_count, toxicity, warc
+from lodestone.llm import bpe, decontaminate, divergence, html_text, licenses, minhash, pii, quality, token_count, toxicity, warc
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 COUNTED = "byte_bpe_50k.json"
@@ -81,8 +81,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymised(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(spark, table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op2_near_duplicates, op3_toxicity, op4_quality, op5_licenses, op6_decontamination, op7_warc, op8_bpe, op9_token_counts, op10_pii)}
+    return {f.__name__: f for f in (op1_html_text, op2_near_duplicates, op3_toxicity, op4_quality, op5_licenses, op6_decontamination, op7_warc, op8_bpe, op9_token_counts, op10_pii, op11_source_divergence)}
 
 
 _BITS = " + ".join(f"(case when {r.fails} then {1 << r.bit} else 0 end)" for r in quality.RULES)
@@ -117,4 +121,4 @@ select page_id, payload_bytes, payload_digest, case when page_id is distinct fro
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality": QUALITY_SQL, "op5_licenses": licenses.oracle_sql(), "op7_warc": WARC_SQL}
+    return {"op4_quality": QUALITY_SQL, "op5_licenses": licenses.oracle_sql(), "op7_warc": WARC_SQL, "op11_source_divergence": divergence.ORACLE_SQL}
