@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontaminate, divergence, html_text, licenses, minhash, pii, quality, token_count, toxicity, warc
+from lodestone.llm import bpe, decontaminate, divergence, html_text, language, licenses, minhash, pii, quality, search, token_count, toxicity, warc
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 COUNTED = "byte_bpe_50k.json"
@@ -85,8 +85,19 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audited(spark, table(spark, sf_dir, "documents"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.found(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("item_id", "rank", "doc_id", "score")
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))  # as held_out(): never learnt from
+    rows = language.identified(spark, docs, language.trained(docs.where(~out)))
+    return rows.select("doc_id", out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op2_near_duplicates, op3_toxicity, op4_quality, op5_licenses, op6_decontamination, op7_warc, op8_bpe, op9_token_counts, op10_pii, op11_source_divergence)}
+    return {f.__name__: f for f in (op1_html_text, op2_near_duplicates, op3_toxicity, op4_quality, op5_licenses, op6_decontamination, op7_warc, op8_bpe, op9_token_counts, op10_pii, op11_source_divergence, op12_ranked_search, op13_language_id)}
 
 
 _BITS = " + ".join(f"(case when {r.fails} then {1 << r.bit} else 0 end)" for r in quality.RULES)
@@ -121,4 +132,4 @@ select page_id, payload_bytes, payload_digest, case when page_id is distinct fro
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality": QUALITY_SQL, "op5_licenses": licenses.oracle_sql(), "op7_warc": WARC_SQL, "op11_source_divergence": divergence.ORACLE_SQL}
+    return {"op4_quality": QUALITY_SQL, "op5_licenses": licenses.oracle_sql(), "op7_warc": WARC_SQL, "op11_source_divergence": divergence.ORACLE_SQL, "op12_ranked_search": search.ORACLE_SQL}
