@@ -103,6 +103,14 @@ def evaluated(required: DataFrame, checks: DataFrame, problems: Mapping[str, Dat
     return rows.withColumn("decision", verdict).select("run_id", *(F.coalesce(n, F.lit(0)).cast("bigint").alias(n) for n in problems), "problems", "decision")
 
 
+def barred(rows: DataFrame, changed: DataFrame) -> DataFrame:
+    """rows of evaluated() with `changed`: how many inputs of the run (changed: run_id, one row each; see sources.snapshots.guarded)
+    changed while the gate read them. Such a run is blocked, whatever it was found to be: its verdict stands for no one state."""
+    n = changed.groupBy("run_id").agg(F.count("*").alias("changed"))
+    rows = rows.join(n, "run_id", "left").withColumn("changed", F.coalesce("changed", F.lit(0)).cast("bigint"))
+    return rows.withColumn("decision", F.when(F.col("changed") > 0, "blocked").otherwise(F.col("decision")))
+
+
 # Reports and pages ---------------------------------------------------------------------------------------------------
 
 
