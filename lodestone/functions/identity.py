@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from lodestone.functions.text import percent_encoded
+from lodestone.functions.text import percent_encoded, slug
 from lodestone.sources.sql_text import parts
 
 # Spellings of the types' names and what they stand for.
@@ -130,8 +130,7 @@ def too_long(identifier: Column) -> Column:
 def page_names(keys: DataFrame, column: str = "key", first: int = 12) -> DataFrame:
     """keys with page_name: slug and the shortest start of the key's hash, of `first` digits at least, that no other key with
     that slug shares. Repeated keys have one name; null keys have none."""
-    slug = F.left(F.regexp_replace(F.regexp_replace(F.lower(column), "[^a-z0-9]+", "-"), "^-+|-+$", ""), F.lit(80))
-    rows = keys.select(column).where(F.col(column).isNotNull()).distinct().select(column, slug.alias("_slug"), F.sha2(column, 256).alias("_hash"))
+    rows = keys.select(column).where(F.col(column).isNotNull()).distinct().select(column, slug(F.col(column)).alias("_slug"), F.sha2(column, 256).alias("_hash"))
     beside = Window.partitionBy("_slug").orderBy("_hash")
     rows = rows.withColumn("_before", F.lag("_hash").over(beside)).withColumn("_after", F.lead("_hash").over(beside))
     # of sorted hashes the neighbours share the longest start

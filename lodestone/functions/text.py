@@ -19,10 +19,16 @@ def relation_key(kind: Column, schema: Column, name: Column) -> Column:
     return F.concat_ws("+", kind, percent_encoded(schema), percent_encoded(name))
 
 
+def slug(key: Column) -> Column:
+    """At most 80 of a-z, 0-9 and single dashes between them: closing brackets go, all else becomes a dash; `object` if nothing is left."""
+    plain = F.regexp_replace(F.replace(F.lower(key), F.lit(")"), F.lit("")), "[^a-z0-9]+", "-")
+    cut = F.rtrim(F.left(F.regexp_replace(plain, "^-+|-+$", ""), F.lit(80)), F.lit("-"))
+    return F.when(cut == "", "object").otherwise(cut)
+
+
 def page_id(key: Column) -> Column:
     """Slug of at most 80 characters, then 12 of the key's hash."""
-    slug = F.regexp_replace(F.regexp_replace(F.lower(key), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    return F.concat(F.left(slug, F.lit(80)), F.lit("--"), F.left(F.sha2(key, 256), F.lit(12)), F.lit(".md"))
+    return F.concat(slug(key), F.lit("--"), F.left(F.sha2(key, 256), F.lit(12)), F.lit(".md"))
 
 
 def line_count(text: Column) -> Column:

@@ -131,7 +131,7 @@ def duplicate_content(spark, sf_dir):
     return read(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("sha256")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
 
 
-@query("""select page_id, left(regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 80) || '--' || left(sha256(url), 12) || '.md' as page_name from pages""")
+@query("""select page_id, coalesce(nullif(rtrim(left(trim(regexp_replace(replace(lower(url), ')', ''), '[^a-z0-9]+', '-', 'g'), '-'), 80), '-'), ''), 'object') || '--' || left(sha256(url), 12) || '.md' as page_name from pages""")
 def page_identity(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", T.page_id(F.col("url")).alias("page_name"))
 
@@ -513,7 +513,7 @@ def routine_keys(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", identity.routine_key(F.lit("function"), F.col("p_brand"), F.col("p_type"), F.lit("a int8, out b text, c varchar(3) default 'x'")).alias("key"))
 
 
-@query("select url, any_value(left(trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-'), 80) || '--' || left(sha256(url), 12) || '.md') as page_name from pages where url is not null group by url")
+@query("select url, any_value(coalesce(nullif(rtrim(left(trim(regexp_replace(replace(lower(url), ')', ''), '[^a-z0-9]+', '-', 'g'), '-'), 80), '-'), ''), 'object') || '--' || left(sha256(url), 12) || '.md') as page_name from pages where url is not null group by url")
 def page_names(spark, sf_dir):
     return identity.page_names(read(spark, sf_dir, "pages").select("url").where("url is not null").distinct(), "url")
 
