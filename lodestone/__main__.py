@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import identity
+from lodestone.functions.storage import settled
 from lodestone.operators import ddl, evaluation, gate, graph, lineage, lint, markdown, regression
-from lodestone.sources import artifacts, publication
+from lodestone.sources import artifacts, publication, snapshots
 
 
 def session() -> SparkSession:
@@ -68,8 +69,9 @@ def linted(spark, a) -> int:
 
 
 def query(spark, a) -> int:
-    """Answers from the tables edges, nodes, pages, inputs and files below --catalogue."""
-    table = lambda n: spark.read.parquet(f"{a.catalogue}/{n}")
+    """Answers from the tables edges, nodes, pages, inputs and files below --catalogue: all of one commit, where that has them."""
+    at = snapshots.current(spark, a.catalogue)
+    table = lambda n: at.table(spark, n) if n in at.folders else spark.read.parquet(f"{a.catalogue}/{n}")
     if a.outdated:
         return 1 if printed(lineage.outdated(table("inputs"), table("files"))) else 0
     edges = table("edges")
@@ -91,12 +93,21 @@ def query(spark, a) -> int:
 
 
 def index(spark, a) -> int:
-    """Rebuild edges and nodes below --catalogue from its objects and operations."""
-    objects, operations = (spark.read.parquet(f"{a.catalogue}/{n}") for n in ("objects", "operations"))
+    """Rebuild nodes, edges and gaps below --catalogue from its objects and operations, as one commit; nothing is committed if those change
+    meanwhile or another commit comes first."""
+    based_on = snapshots.current(spark, a.catalogue).number
+    inputs = [f"{a.catalogue}/{n}" for n in ("objects", "operations")]
+    before = settled(spark, snapshots.frame(spark, inputs, content=False), "frame")
+    objects, operations = (spark.read.parquet(x) for x in inputs)
     if printed(lineage.repeated(objects.where("scope is null and key is not null and page_id is not null"), "key")) + printed(lineage.orphans(objects, operations)):
         return 1
-    for name, df in (("nodes", lineage.nodes(objects)), ("edges", lineage.edges(objects, operations)), ("gaps", lineage.gaps(operations))):
-        df.write.mode("overwrite").parquet(f"{a.catalogue}/{name}")
+    made = {"nodes": lineage.nodes(objects), "edges": lineage.edges(objects, operations), "gaps": lineage.gaps(operations)}
+
+    def unchanged() -> None:
+        if not snapshots.differences(before, snapshots.frame(spark, inputs, content=False)).isEmpty():
+            raise snapshots.Conflict("objects or operations changed while they were read; try again")
+
+    snapshots.commit(spark, a.catalogue, made, based_on, check=unchanged)
     return 0
 
 
@@ -112,7 +123,10 @@ def names(spark, a) -> int:
 
 
 def bundle(spark, a) -> int:
-    """Files below a folder against a ledger (name, sha256)."""
+    """Files below a folder against a ledger (name, sha256); --save copies them to a new place if they agree."""
+    if a.save:
+        print(json.dumps({"files": artifacts.saved(spark, a.folder, a.save, spark.read.parquet(a.ledger))}))
+        return 0
     return 1 if printed(artifacts.drifted(spark, spark.read.parquet(a.ledger), a.folder)) else 0
 
 
@@ -173,7 +187,7 @@ def parser() -> argparse.ArgumentParser:
     command("index", index, ("--catalogue", needed))
     command("metrics", metrics, ("--catalogue", needed))
     command("identity", names, "kind", "schema", "name", "--arguments")
-    command("bundle", bundle, "folder", "ledger")
+    command("bundle", bundle, "folder", "ledger", "--save")
     command("validate", validated, "folder", "--policy")
     command("regression", regressed, ("--runs", needed), ("--subjects", needed), ("--repeats", {"type": int, "default": 3}), "--expected", "--actual", "--whole")
     command("publish", publish, "tree", ("--run", {"dest": "run_", "metavar": "FOLDER"}), ("--dry-run", flag), ("--recover", flag))

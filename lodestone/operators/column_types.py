@@ -103,3 +103,53 @@ def complete(shown: DataFrame, columns: DataFrame) -> DataFrame:
     b = columns.groupBy("table").agg(F.collect_set("column").alias("b"))
     rows = a.join(b, "table").select("table", F.sort_array(F.array_except("b", "a")).alias("missing"), F.sort_array(F.array_except("a", "b")).alias("unknown"))
     return rows.where((F.size("missing") > 0) | (F.size("unknown") > 0))
+
+
+# Columns as of a place ---------------------------------------------------------------------------------------------------
+
+
+def assigned(statements: DataFrame) -> DataFrame:
+    """statements (path, scope, id, at, target, columns, expressions, sets) -> (path, scope, id, at, target, position, column, expression):
+    the lists of an INSERT, of an INSERT branch of a MERGE or of INTO and its select list, which meet by place as far as the shorter goes, and `sets` (column,
+    expression), what an UPDATE or an UPDATE branch sets. Empty and null lists have no rows."""
+    out = ["path", "scope", "id", "at", "target"]
+    pairs = F.slice(F.arrays_zip("columns", "expressions"), 1, F.greatest(F.least(F.size("columns"), F.size("expressions")), F.lit(0)))
+    lists = statements.where((F.size("columns") > 0) & (F.size("expressions") > 0)).select(*out, F.posexplode(pairs).alias("position", "p"))
+    lists = lists.select(*out, (F.col("position") + 1).alias("position"), F.col("p.columns").alias("column"), F.col("p.expressions").alias("expression"))
+    sets = statements.select(*out, F.posexplode("sets").alias("position", "p")).select(*out, (F.col("position") + 1).alias("position"), "p.column", "p.expression")
+    return lists.unionByName(sets)
+
+
+def histories(changes: DataFrame) -> DataFrame:
+    """changes (table, column, at, type: null where the column goes) -> (table, column, spans): from which place on a column has which
+    type, in order. One row for each column that ever was, as long as the list of its own changes; of several changes at one place the
+    type that sorts last counts, and a column that goes there is gone only if nothing else stands there."""
+    one = changes.groupBy("table", "column", "at").agg(F.max("type").alias("type"))
+    return one.groupBy("table", "column").agg(F.array_sort(F.collect_list(F.struct("at", "type"))).alias("spans"))
+
+
+def as_of(uses: DataFrame, changes: DataFrame) -> DataFrame:
+    """uses (table, column, at, ...) with known (the table had columns by then), present and type: what the change before or at that
+    place left. Places grow in the order in which statements and changes take effect.
+
+    Uses meet their column's history by an equi-join, whose hot keys adaptive execution splits (or by broadcast, where histories are
+    small): neither a range join nor a sort of the uses."""
+    tables = changes.where("type is not null").groupBy("table").agg(F.min("at").alias("_from"))
+    rows = uses.join(histories(changes), ["table", "column"], "left").join(tables, "table", "left")
+    rows = rows.withColumn("type", F.try_element_at(F.filter("spans", lambda x: x["at"] <= F.col("at")), F.lit(-1))["type"])
+    return rows.withColumns({"present": F.col("type").isNotNull(), "known": F.coalesce(F.col("_from") <= F.col("at"), F.lit(False))}).drop("spans", "_from")
+
+
+def problems_at(mappings: DataFrame, types: DataFrame, changes: DataFrame) -> DataFrame:
+    """mappings of assigned(), types (path, scope, id, position, type; null: not established) of what fills them, and changes -> (path, scope,
+    id, at, target, position, column, problem): each statement against the columns as they were at its place. unknown_column: the
+    table had no such column then (dropped_column: it had it before); type_mismatch: both types are known and differ. Statements on a table
+    that nothing has defined by then have no problems."""
+    by = ["path", "scope", "id", "position"]
+    rows = mappings.withColumnRenamed("target", "table").join(types.select(*by, F.col("type").alias("_given")), by, "left")
+    rows = as_of(rows, changes).where("known")
+    before = changes.where("type is not null").groupBy("table", "column").agg(F.min("at").alias("_first"))
+    rows = rows.join(before, ["table", "column"], "left")
+    absent = F.when(F.col("_first") <= F.col("at"), "dropped_column").otherwise("unknown_column")
+    problem = F.when(~F.col("present"), absent).when(F.col("_given") != F.col("type"), "type_mismatch")
+    return rows.withColumn("problem", problem).where("problem is not null").select("path", "scope", "id", "at", F.col("table").alias("target"), "position", "column", "problem")

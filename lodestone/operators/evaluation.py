@@ -15,27 +15,60 @@ from pyspark.sql import functions as F
 from lodestone.operators import gate
 from lodestone.operators.column_types import expression_tokens
 
-# Order of the kinds that a construct gives its run.
-KINDS = (("FUNCTION", "function"), ("PROCEDURE", "procedure"), ("MATERIALIZED_VIEW", "materialized_view"), ("VIEW", "view"), ("CREATE_TABLE", "table"), ("CTAS", "table"))
+# Constructs that give their run its kind, before what its items declare.
+KINDS = (("VIEW", "view"), ("MATERIALIZED_VIEW", "materialized_view"), ("CTAS", "ctas"))
+# Kinds that constructs declare.
+DECLARED = {"FUNCTION": "function", "PROCEDURE": "procedure", "CREATE_TABLE": "table"}
+# Names of the flags that a construct sets.
+SET_BY = (("EXECUTE", "has_dynamic_sql"), ("TRIGGER", "has_triggers"), ("INDEX", "has_indexes"), ("GRANT", "has_access_rules"), ("REVOKE", "has_access_rules"))
 BROKEN = ("broken_link", "broken_anchor", "broken_line")
 
 
 def flags(inventory: DataFrame) -> DataFrame:
-    """One row per run: what its inventory has (reads, writes, calls, formulas, conditions, dates), its kind and its files."""
-    some = lambda c: F.coalesce(F.max(F.size(c) > 0), F.lit(False))
-    kind = reduce(lambda a, b: a.when(F.array_contains("_kinds", b[0]), b[1]), KINDS[1:], F.when(F.array_contains("_kinds", KINDS[0][0]), KINDS[0][1])).otherwise("function")
-    rows = inventory.groupBy("run_id").agg(
+    """One row per run: what its inventory has, as policies use it: has_reads, has_writes, has_calls, has_formulas, has_conditions,
+    has_date_boundary, has_dynamic_sql, has_unknowns, has_triggers, has_indexes, has_constraints, has_access_rules, returns_table,
+    source_count (different relations that are read) and object_kind.
+
+    The kind is that of a view, a materialised view or a table made by a query, in this order, wherever one stands; else what the first item that
+    declares a kind declares (object_kind, or its construct); else function. Items are in the order of path, start_line and ordinal.
+    Columns that an inventory may lack: object_kind, dynamic, constraints, returns_table, start_line, ordinal; null lists are empty."""
+    have = set(inventory.columns)
+    some = lambda c: F.coalesce(F.bool_or(F.size(c) > 0), F.lit(False))
+    is_set = lambda c: F.coalesce(F.bool_or(c), F.lit(False)) if c in have else F.lit(False)
+    declared = F.coalesce(*([F.col("object_kind")] if "object_kind" in have else []), reduce(lambda a, b: a.when(F.col("construct") == b[0], b[1]), list(DECLARED.items())[1:], F.when(F.col("construct") == "FUNCTION", "function")))
+    place = F.struct("path", *(F.col(c) for c in ("start_line", "ordinal") if c in have))
+    constructs = {name: [c for c, n in SET_BY if n == name] for _, name in SET_BY}
+    rows = inventory.withColumn("_declared", declared).groupBy("run_id").agg(
         some("reads").alias("has_reads"), some("writes").alias("has_writes"), some("calls").alias("has_calls"), some("formulas").alias("has_formulas"), some("conditions").alias("has_conditions"),
         F.coalesce(F.bool_or(F.rlike(F.upper("source"), F.lit(r"\b(DATE|TIMESTAMP|INTERVAL)\b"))), F.lit(False)).alias("has_date_boundary"),
-        F.count_distinct("path").alias("source_count"), F.collect_set("construct").alias("_kinds"),
+        *(F.coalesce(F.bool_or(F.col("construct").isin(names)), F.lit(False)).alias(flag) for flag, names in constructs.items()),
+        is_set("dynamic").alias("has_unknowns"), (some("constraints") if "constraints" in have else F.lit(False)).alias("has_constraints"), is_set("returns_table").alias("returns_table"),
+        F.collect_set("construct").alias("_kinds"), F.min_by("_declared", F.when(F.col("_declared").isNotNull(), place)).alias("_first"),
     )
-    return rows.withColumn("object_kind", kind).drop("_kinds")
+    read = inventory.select("run_id", F.explode("reads").alias("r")).groupBy("run_id").agg(F.count_distinct("r").alias("source_count"))
+    kind = reduce(lambda a, b: a.when(F.array_contains("_kinds", b[0]), b[1]), KINDS[1:], F.when(F.array_contains("_kinds", KINDS[0][0]), KINDS[0][1]))
+    rows = rows.withColumn("object_kind", F.coalesce(kind, "_first", F.lit("function"))).drop("_kinds", "_first")
+    return rows.join(read, "run_id", "left").withColumn("source_count", F.coalesce("source_count", F.lit(0)).cast("bigint"))
 
 
-def active_profiles(identifiers: DataFrame, profiles: Sequence[Mapping]) -> DataFrame:
-    """identifiers (run_id, identifier) -> (run_id, profile) of the profiles of which a prefix starts any identifier."""
-    hits = [F.when(reduce(lambda a, b: a | b, [F.startswith("identifier", F.lit(x)) for x in p["prefixes"]], F.lit(False)), F.lit(p["name"])) for p in profiles]
-    return identifiers.select("run_id", F.explode(F.array_compact(F.array(*hits))).alias("profile")).distinct()
+def prefixed(identifiers: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """identifiers (..., identifier) and prefixes (prefix, ...) -> rows of both for each prefix that starts an identifier, with its
+    length `_n`. An identifier meets prefixes by an equi-join on its starts of the lengths that prefixes have, so the plan does not grow
+    with their number. An empty prefix starts everything but null."""
+    lengths = prefixes.where("prefix is not null").agg(F.collect_set(F.length("prefix")).alias("_lengths"))  # one row, as long as the longest prefix at most
+    starts = identifiers.where("identifier is not null").join(lengths).withColumn("_n", F.explode("_lengths")).where(F.col("_n") <= F.length("identifier")).drop("_lengths")
+    return starts.withColumn("prefix", F.left("identifier", F.col("_n"))).join(prefixes, "prefix")
+
+
+def longest_prefix(identifiers: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(identifier, prefix): of the prefixes that start an identifier the longest; identifiers without one are left out."""
+    return prefixed(identifiers.select("identifier").distinct(), prefixes.select("prefix").distinct()).groupBy("identifier").agg(F.max_by("prefix", "_n").alias("prefix"))
+
+
+def active_profiles(identifiers: DataFrame, profiles: DataFrame) -> DataFrame:
+    """identifiers (run_id, identifier) and profiles (profile, prefix) -> (run_id, profile) of the profiles of which a prefix starts any
+    identifier of the run."""
+    return prefixed(identifiers.select("run_id", "identifier").distinct(), profiles.select("prefix", "profile").distinct()).select("run_id", "profile").distinct()
 
 
 def policy_problems(policy: Mapping) -> list[str]:

@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+import uuid
+from collections.abc import Iterator
+from urllib.parse import unquote
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.storage import settled
+
 
 def strict_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """(path, sha256, valid, value) of each file: UTF-8, a byte-order mark is skipped, repeated keys and NaN are invalid. The
@@ -77,17 +87,85 @@ def ledger(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(name.alias("name"), F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("bigint").alias("bytes"))
 
 
-def saved(spark: SparkSession, folder: str, destination: str) -> int:
-    """Copy a run's folder to a new place of the same file system, and check the copy against the ledger of the original: the number of
-    files. A destination that stands already, and a copy that differs, are errors; the copy is then taken away."""
+#: Bytes of files that a task copies, about; and of one file that it holds at a time.
+TASK_BYTES, CHUNK = 256 << 20, 8 << 20
+
+
+def copied(spark: SparkSession, folder: str, destination: str) -> DataFrame:
+    """Copy the files below a folder to another, in tasks of about TASK_BYTES: (name, sha256, bytes, copy_sha256) of each, from a
+    written table. A file streams into a hidden one beside its place, which is read back and then gets its name: a task that breaks leaves no half
+    file under a name, and may run again. Both folders must be open to executors through pyarrow.fs (local and shared disks, HDFS, S3)."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    names = spark.createDataFrame([(unquote(x),) for x in found.inputFiles()], "path string")  # the driver lists files as for any read; rows leave empty ones out
+    plain = lambda df: df.withColumn("path", F.regexp_replace("path", "^file:/*", "file:/"))
+    files = plain(names).join(plain(found.select("path", "length")), "path", "left")  # without contents
+    total, n = files.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
+    base, out = (x if "://" in x or x.startswith("file:") else f"file://{x}" for x in (folder.rstrip("/"), destination.rstrip("/")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(re.sub("^file:/*", "file:///", base))
+        target, place = fs.FileSystem.from_uri(re.sub("^file:/*", "file:///", out))
+
+        def digest(stream) -> tuple[str, int]:
+            h, size = hashlib.sha256(), 0
+            while block := stream.read(CHUNK):
+                h.update(block)
+                size += len(block)
+            return h.hexdigest(), size
+
+        for batch in batches:
+            rows = []
+            for path in batch.column(0).to_pylist():
+                name = re.sub("^file:/*", "/", path) if path.startswith("file:") else re.sub("^[a-z0-9]+://[^/]*", "", path)
+                name = name[name.index(root) + len(root) :].lstrip("/") if root in name else name.rsplit("/", 1)[-1]
+                final = f"{place}/{name}"
+                parent, _, last = final.rpartition("/")
+                target.create_dir(parent, recursive=True)
+                draft = f"{parent}/.{last}.{uuid.uuid4().hex}"
+                h, size = hashlib.sha256(), 0
+                with store.open_input_stream(f"{root}/{name}") as source, target.open_output_stream(draft) as sink:
+                    while block := source.read(CHUNK):
+                        h.update(block)
+                        size += len(block)
+                        sink.write(block)
+                with target.open_input_stream(draft) as again:
+                    back, _ = digest(again)
+                target.move(draft, final)
+                rows.append((name, h.hexdigest(), size, back))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)], ["name", "sha256", "bytes", "copy_sha256"])
+
+    tasks = max(1, min(n, -(-total // TASK_BYTES)))
+    dealt = files.select("path").repartition(tasks, F.xxhash64("path"))
+    return settled(spark, dealt.mapInArrow(run, "name string, sha256 string, bytes long, copy_sha256 string"), "copied")
+
+
+def saved(spark: SparkSession, folder: str, destination: str, expected: DataFrame | None = None) -> int:
+    """Copy a run's folder to a new place, and check the copy against the ledger of the original, and that against `expected` (name, sha256)
+    where it is given: the number of files. A destination that stands already or lies in the folder, and a copy that differs, are errors; the copy is then
+    taken away. The driver sees no file, only whether ledgers agree."""
     path = spark._jvm.org.apache.hadoop.fs.Path
-    conf = spark._jsc.hadoopConfiguration()
-    store = path(destination).getFileSystem(conf)
+    store = path(destination).getFileSystem(spark._jsc.hadoopConfiguration())
     if store.exists(path(destination)):
         raise ValueError(f"{destination} stands already")
-    before = ledger(spark, folder).select("name", "sha256")
-    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(path(folder).getFileSystem(conf), path(folder), store, path(destination), False, conf)
-    if drifted(spark, before, destination).isEmpty():
-        return before.count()
-    store.delete(path(destination), True)
-    raise ValueError(f"the copy at {destination} differs")
+    if f"{destination.rstrip('/')}/".startswith(f"{folder.rstrip('/')}/"):
+        raise ValueError(f"{destination} lies in {folder}")
+    try:
+        done = copied(spark, folder, destination)
+        bad = done.where("sha256 <> copy_sha256").select("name")
+        if expected is not None:
+            rows = done.select("name", "sha256").join(expected.select("name", F.col("sha256").alias("_want")), "name", "full")
+            bad = bad.unionByName(rows.where(~F.col("sha256").eqNullSafe(F.col("_want"))).select("name"))
+        first = bad.orderBy("name").first()
+        if first is not None:
+            raise ValueError(f"the copy at {destination} differs: {first['name']}")
+        return done.count()
+    except Exception:
+        store.delete(path(destination), True)
+        raise
+
+
+def decisions(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The decisions of all runs below a folder (one folder each): run and the fields of the schema. Runs without one, and files that
+    are no strict JSON, are left out."""
+    rows = strict_json(spark, f"{folder}/*/decision.json", schema).where("valid and value is not null")
+    return rows.select(F.element_at(F.split("path", "/"), -2).alias("run"), "value.*")

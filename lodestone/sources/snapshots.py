@@ -90,16 +90,18 @@ def _appear(spark: SparkSession, made: str, name: str) -> bool:
     return done
 
 
-def commit(spark: SparkSession, root: str, tables: Mapping[str, DataFrame], based_on: int | None = None, keep: bool = False) -> int:
+def commit(spark: SparkSession, root: str, tables: Mapping[str, DataFrame], based_on: int | None = None, keep: bool = False, check: Callable[[], None] | None = None) -> int:
     """Write the tables and make them the current ones, all or none: the number of the commit. based_on: the commit that they
     were computed from (the one before by default, as it is when this begins); if another came in between, nothing is committed and
-    Conflict is raised. keep: tables of the current commit that are not given stay as they are."""
+    Conflict is raised. check() is called when all is written, and may raise to stop the commit. keep: tables of the current commit that are not given stay as they are."""
     before = current(spark, root)
     if based_on is not None and based_on != before.number:
         raise Conflict(f"{root} is at commit {before.number}, not {based_on}")
     version = f"_versions/{uuid.uuid4().hex}"
     for name, df in tables.items():
         df.write.parquet(f"{root}/{version}/{name}")
+    if check is not None:
+        check()
     named = (dict(before.folders) if keep else {}) | {name: f"{version}/{name}" for name in tables}
     draft = f"{root}/_commits/.{uuid.uuid4().hex}"
     store, at = _store(spark, draft)

@@ -59,7 +59,7 @@ def test_policy_and_plan(spark):
     assert evaluation.policy_problems({"rules": [{"rule_id": "a"}]}) == []
     items = spark.createDataFrame([("r", "select", 1)], "run_id string, kind string, ordinal int")
     gaps = spark.createDataFrame([("r", "f", 3, "loop"), ("r", "f", 3, "loop")], "run_id string, path string, line int, reason string")
-    profiles = evaluation.active_profiles(spark.createDataFrame([("r", "core_x"), ("r", "core_y"), ("s", "z")], "run_id string, identifier string"), [{"name": "p", "prefixes": ["core_"]}, {"name": "q", "prefixes": []}])
+    profiles = evaluation.active_profiles(spark.createDataFrame([("r", "core_x"), ("r", "core_y"), ("s", "z")], "run_id string, identifier string"), spark.createDataFrame([("p", "core_"), ("q", None)], "profile string, prefix string"))
     got = evaluation.plan(items, rules[:1], ["kind", "ordinal"], gaps, profiles).collect()
     assert sorted((r["run_id"], r["source"], r["blocking"]) for r in got) == [("r", "gap", True), ("r", "profile", True), ("r", "section", False)]
 
@@ -76,3 +76,77 @@ def test_reports(spark):
 
     files = [(f"m/{hashlib.sha256(b'p').hexdigest()}.json", "p"), ("m/x.json", "p"), ("m/y.json", None)]
     assert sorted(r["problem"] for r in evaluation.mixed_metadata(spark.createDataFrame(files, "file string, page_id string")).collect()) == ["no_page", "other_name"]
+
+
+def test_flags_as_policies_use_them(spark):
+    kind = "run_id string, path string, construct string, ordinal int, start_line int, reads array<string>, writes array<string>, calls array<string>, formulas array<string>, conditions array<string>, source string, object_kind string, dynamic boolean, constraints array<string>, returns_table boolean"
+
+    def item(run, construct, line=1, reads=(), declared=None, **more):
+        return (run, "f", construct, 1, line, list(reads), [], [], [], None, "", declared, more.get("dynamic"), more.get("constraints"), more.get("returns_table"))
+
+    rows = [
+        item("a", "FUNCTION", 1), item("a", "VIEW", 2), item("a", "CTAS", 3, ["x", "y"]), item("a", "SELECT", 4, ["y", "z"]),
+        item("b", "CTAS", 2), item("b", "MATERIALIZED_VIEW", 9), item("c", "CTAS", 5), item("c", "PROCEDURE", 1),
+        item("d", "SELECT", 1), item("d", "PROCEDURE", 3), item("d", "FUNCTION", 2), item("e", "PROCEDURE", 2), item("e", "SELECT", 1, declared="migration"),
+        item("f", "EXECUTE", dynamic=True), item("f", "TRIGGER", constraints=["pk"]), item("f", "INDEX", returns_table=True), item("f", "REVOKE"), item("g", "SELECT"),
+    ]
+    df = spark.createDataFrame(rows, kind)
+    got = {r["run_id"]: r.asDict() for r in evaluation.flags(df).collect()}
+    assert {k: r["object_kind"] for k, r in got.items()} == {"a": "view", "b": "materialized_view", "c": "ctas", "d": "function", "e": "migration", "f": "function", "g": "function"}
+    assert got["a"]["source_count"] == 3 and got["g"]["source_count"] == 0
+    names = ("has_dynamic_sql", "has_unknowns", "has_triggers", "has_indexes", "has_constraints", "has_access_rules", "returns_table")
+    assert all(got["f"][n] for n in names) and not any(got["g"][n] for n in names)
+    few = evaluation.flags(df.drop("object_kind", "dynamic", "constraints", "returns_table", "start_line", "ordinal"))
+    assert few.count() == 7 and set(few.columns) == set(got["a"])
+
+
+def test_many_prefixes(spark):
+    import random
+
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    prefixes = {(f"p{rng.randrange(9)}", word(rng.randrange(0, 17))) for _ in range(20_000)} | {("none", None)}
+    names = [(f"r{i % 50}", word(rng.randrange(25))) for i in range(400)] + [("r0", None)]
+    ids, profiles = spark.createDataFrame(names, "run_id string, identifier string"), spark.createDataFrame(list(prefixes), "profile string, prefix string")
+    want = {(r, p) for r, x in names if x is not None for p, y in prefixes if y is not None and x.startswith(y)}
+    out = evaluation.active_profiles(ids, profiles)
+    assert {(r["run_id"], r["profile"]) for r in out.collect()} == want
+    longest = {x: max((y for _, y in prefixes if y is not None and x.startswith(y)), key=len, default=None) for _, x in names if x is not None}
+    assert {r["identifier"]: r["prefix"] for r in evaluation.longest_prefix(ids, profiles).collect()} == {k: v for k, v in longest.items() if v is not None}
+    size = lambda df: len(df._jdf.queryExecution().analyzed().toString())
+    few = evaluation.active_profiles(ids, profiles.limit(10_000).limit(3))
+    assert abs(size(out) - size(few)) < 500  # the plan does not grow with the prefixes
+    assert evaluation.active_profiles(ids, profiles.limit(0)).count() == 0
+
+
+def test_columns_as_of_a_place_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(9)
+    changes = [(f"t{rng.randrange(3)}", f"c{rng.randrange(5)}", rng.randrange(40), rng.choice(["int", "text", None])) for _ in range(60)]
+    uses = [("p", "s", i, rng.randrange(-1, 45), f"t{rng.randrange(4)}", ["c0", f"c{rng.randrange(7)}"], ["x", "y", "z"], [(f"c{rng.randrange(6)}", "e")] if i % 3 == 0 else None) for i in range(300)]
+    uses += [("p", "s", 900, 5, "t0", [], ["x"], None), ("p", "s", 901, 5, "t0", None, None, [])]
+    statements = spark.createDataFrame(uses, "path string, scope string, id long, at long, target string, columns array<string>, expressions array<string>, sets array<struct<column: string, expression: string>>")
+    maps = typing.assigned(statements)
+    rows = [(r["id"], r["at"], r["target"], r["position"], r["column"]) for r in maps.collect()]
+    assert len(rows) == 2 * 300 + 100
+    given = {(i, p): rng.choice(["int", "text", None]) for i, _, _, p, _ in rows}
+    types = spark.createDataFrame([("p", "s", i, p, t) for (i, p), t in given.items()], "path string, scope string, id long, position int, type string")
+
+    def at(table, column, place):
+        own = sorted({c[2] for c in changes if c[:2] == (table, column) and c[2] <= place})
+        return max((c[3] for c in changes if c[:3] == (table, column, own[-1]) and c[3]), default=None) if own else None
+
+    want = set()
+    for i, place, table, p, column in rows:
+        if not any(c[0] == table and c[3] and c[2] <= place for c in changes):
+            continue
+        kind = at(table, column, place)
+        if kind is None:
+            want.add((i, p, column, "dropped_column" if any(c[:2] == (table, column) and c[3] and c[2] <= place for c in changes) else "unknown_column"))
+        elif given[i, p] and given[i, p] != kind:
+            want.add((i, p, column, "type_mismatch"))
+    df = spark.createDataFrame(changes, "table string, column string, at long, type string")
+    got = {(r["id"], r["position"], r["column"], r["problem"]) for r in typing.problems_at(maps, types, df).collect()}
+    assert got == want and {x[3] for x in want} == {"dropped_column", "unknown_column", "type_mismatch"}
+    assert typing.problems_at(maps, types, df.limit(0)).count() == 0
