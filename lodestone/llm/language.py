@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import forget, passes, settle, text_column
@@ -200,9 +200,10 @@ def trained(docs: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id") -
     its texts and languages where an id repeats."""
     spark = docs.sparkSession
     rows = docs.where(F.col(id_col).isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    by_hash = [F.xxhash64(id_col), F.col(id_col)]
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(*by_hash))
-    some = rows.select(id_col, "lang").withColumn("turn", turn).where(F.col("turn") <= max_rows).orderBy("turn", *by_hash, "lang").limit(max_rows)
+    # A row's turn is about its place among the hashes of its language: languages take turns, and no language is gathered in one task.
+    size = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    turn = F.pmod(F.xxhash64(id_col), F.lit(1 << 40)) * F.col("n")
+    some = rows.select(id_col, "lang").join(size, "lang").withColumn("turn", turn.cast("double")).orderBy("turn", id_col, "lang").limit(max_rows)
     some = some.groupBy(id_col).agg(F.min("turn").alias("turn"))
     picked = rows.select(id_col, "lang", "text").join(F.broadcast(some), id_col).groupBy(id_col).agg(F.min_by("lang", "text").alias("lang"), F.min("text").alias("text"), F.min("turn").alias("turn"))
     picked = settle(spark, picked.select("lang", "text", "turn", F.xxhash64(id_col).alias("h")), "learnt", few=True)
