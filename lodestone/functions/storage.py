@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Files of a table of few files, for each core of the cluster.
+#: A table of few files has this many for each core of the cluster, or one for so many bytes of what it is made of, if that is more.
 FILES_PER_CORE = 2
+FILE_BYTES = 32 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,17 +25,24 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def source_bytes(df: DataFrame) -> int:
+    """Bytes of the files that the rows are read from, as the scans of the plan know them; a file that is read twice counts twice."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+
+
 def settled(spark: SparkSession, df: DataFrame, name: str, few: bool = False) -> DataFrame:
     """The rows from a written table: cuts the lineage, survives lost executors, and gives the planner the table's true
     size, so that only a small one is broadcast.
 
-    few: for rows that come out of a shuffle: FILES_PER_CORE files at most, not one for each partition. The same rows are written, by
-    all cores; each partition of the shuffle is still taken on its own. A file has its price in any store; in a local folder Hadoop
+    few: for rows that come out of a shuffle, where its partitions are many for the data: as many files as FILES_PER_CORE and FILE_BYTES
+    say, not one for each partition. Tasks grow in number with the bytes that are read, whatever the cores, up to the partitions of
+    the shuffle, each of which is still taken on its own. A file has its price in any store; in a local folder Hadoop
     starts a chmod for it and one for its checksum, and until that runs, the new process shares the executor's whole memory,
     which whoever adds up processes counts twice."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     if few:
-        df = df.coalesce(FILES_PER_CORE * spark.sparkContext.defaultParallelism)
+        df = df.coalesce(max(FILES_PER_CORE * spark.sparkContext.defaultParallelism, -(-source_bytes(df) // FILE_BYTES)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
