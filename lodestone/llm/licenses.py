@@ -4,14 +4,15 @@ text are looked up in the same way, for notices; only lines as long as a known f
 
 Known: the texts and digests of this module (see LICENSES and DIGESTS), or a table that the caller gives.
 
-Scale: one scan; the known digests, whose number is checked (MAX_KNOWN), are sent to each executor; no text is shuffled."""
+Scale: one scan. Known digests, up to MAX_KNOWN, are sent to each executor; beyond that they are joined by a shuffle of digests. No
+text is shuffled."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import fresh
+from lodestone.llm.common import fresh, settle
 
 #: Spellings that the matching guidelines of licence lists hold to be the same.
 SPELLINGS = (
@@ -24,7 +25,7 @@ SPELLINGS = (
     ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"), ("http ", "https "),
 )
 #: A line that begins so, after anything but letters, is a copyright line.
-COPYRIGHT = r"(^|\n)[^a-z\n]*(copyright [^\n]*[0-9][^\n]*|\(c\) [^\n]*(19|20)[0-9]{2}[^\n]*|©[^\n]*|all rights reserved[. ]*)(?=\n|$)"
+COPYRIGHT = r"(^|\n)[^\p{L}\n]*(copyright [^\n]*[0-9][^\n]*|\(c\) [^\n]*(19|20)[0-9]{2}[^\n]*|©[^\n]*|all rights reserved[. ]*)(?=\n|$)"
 NOT_WORDS = r"[^\p{L}\p{N}\n]+"
 
 #: Texts of known licences, without their copyright lines.
@@ -145,7 +146,7 @@ DIGESTS = (
     ("MPL-1.1", "26ba73e836ecb04fe87d5eca80ca27cff1afa2d7683455be1517bd23b8d27986", 22448),
     ("MPL-2.0", "9eab7902f21bef0326dee4ed0cae1402c781cbf1f8e3dbeed6fbe176d641bb13", 14342),
 )
-#: Most known texts that one scan takes.
+#: Most known digests that are sent to each executor; more are joined by a shuffle.
 MAX_KNOWN = 10_000
 
 
@@ -179,12 +180,13 @@ def known(spark: SparkSession, texts: DataFrame | None = None) -> DataFrame:
 def scanned(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", texts: DataFrame | None = None) -> DataFrame:
     """Per row: id, digest of the whole canonical text, license (null where it is none that is known), n_notices
     (lines that are known notices or licences), notices (their distinct licences, sorted, with commas; null where
-    none). texts (license, text): known texts instead of this module's, MAX_KNOWN at most. Null and empty texts have the digest
+    none). texts (license, text): known texts instead of this module's, any number of them. Null and empty texts have the digest
     of the empty form, which is no licence's. Very long texts take time and memory in proportion; rows are scanned one by one,
     also where ids are null or repeat; an empty table gives an empty table; other columns are not read."""
-    rows = known(spark, texts).limit(MAX_KNOWN + 1).collect()
+    every = known(spark, texts)
+    rows = every.limit(MAX_KNOWN + 1).collect()
     if len(rows) > MAX_KNOWN:
-        raise ValueError(f"more than {MAX_KNOWN} known texts")
+        return _joined(spark, docs, id_col, settle(spark, every, "known"))
     table = spark.createDataFrame([(r["digest"], r["license"]) for r in rows], "digest string, license string")
     by_digest = F.create_map(*(F.lit(x) for r in rows for x in (r["digest"], r["license"]))) if rows else F.create_map().cast("map<string,string>")
     lengths = sorted({r["chars"] for r in rows})
@@ -196,6 +198,22 @@ def scanned(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", texts:
     return out.select(id_col, "digest", "license", F.size(found).cast("bigint").alias("n_notices"), F.when(F.size(found) > 0, F.array_join(F.array_sort(F.array_distinct(found)), ",")).alias("notices"))
 
 
+def _joined(spark: SparkSession, docs: DataFrame, id_col: str, every: DataFrame) -> DataFrame:
+    """scanned() against any number of known digests: the digests of whole texts, and of the lines that are as long as a known form, meet
+    them in joins by digest. Forms are computed once and written without their texts."""
+    lines, row = fresh("lines", [id_col]), fresh("row", [id_col])
+    lengths = every.agg(F.collect_set("chars").alias("_lengths"))  # one row: the different lengths of known forms
+    ready = docs.select(F.col(id_col), canonical_lines(F.col("text")).alias(lines)).join(F.broadcast(lengths))
+    some = F.filter(F.transform(F.split(lines, "\n"), lambda x: F.trim(x)), lambda x: F.array_contains("_lengths", F.length(x).cast("bigint")))
+    ready = ready.select(id_col, digest(whole_form(F.col(lines))).alias("digest"), F.transform(some, digest).alias("_some"))
+    ready = settle(spark, ready.withColumn(row, F.monotonically_increasing_id()), "forms")
+    names = every.select("digest", "license")
+    hits = ready.select(row, F.explode("_some").alias("digest")).join(names, "digest").groupBy(row)
+    hits = hits.agg(F.count("*").alias("n_notices"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
+    out = ready.join(names, "digest", "left").join(hits, row, "left")
+    return out.select(id_col, "digest", "license", F.coalesce("n_notices", F.lit(0)).cast("bigint").alias("n_notices"), "notices")
+
+
 def oracle_sql() -> str:
     """The same, for DuckDB."""
 

@@ -55,3 +55,28 @@ def test_a_table_of_ones_own_and_lines_of_any_length(spark):
     got = {r["doc_id"]: (r["license"], r["n_notices"], r["notices"]) for r in licenses.scanned(spark, df, texts=own).collect()}
     assert got == {1: (None, 2, "long,short"), 2: ("long", 0, None), 3: (None, 0, None)}
     assert licenses.scanned(spark, df, texts=own.limit(0)).where("license is not null or n_notices > 0").count() == 0
+
+
+def test_copyright_lines_keep_letters_of_every_script(spark):
+    texts = ["Привет мир © 2020 Иван", "中文内容很长 (c) 2020 某某", "© 2020 Иван", "12 -- (c) 2020 某某\nrest", "Ελλάδα copyright 2020"]
+    import duckdb
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    forms = [r[0] for r in df.orderBy("doc_id").select(licenses.whole_form(licenses.canonical_lines(F.col("text")))).collect()]
+    assert forms == ["привет мир 2020 иван", "中文内容很长 c 2020 某某", "", "rest", "ελλάδα copyright 2020"]
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    want = {r[0]: r[1] for r in con.execute(f"select doc_id, digest from ({licenses.oracle_sql()})").fetchall()}
+    assert {r["doc_id"]: r["digest"] for r in licenses.scanned(spark, df).collect()} == want and len(set(want.values())) == 5
+
+
+def test_any_number_of_known_texts(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(900, "MIT License\n\nReleased under the MIT License.\nx\nLicensed under CC BY 4.0.\nLicensed under CC BY 4.0."), (901, None), (901, ""), (None, "word " * 220_000 + "\nReleased under the MIT License.")], "doc_id long, text string"))
+    want = sorted(map(str, licenses.scanned(spark, docs).collect()))
+    monkeypatch.setattr(licenses, "MAX_KNOWN", 5)
+    got = licenses.scanned(spark, docs)
+    assert sorted(map(str, got.collect())) == want and any("n_notices=3" in x for x in want)
+    assert "Python" not in got._jdf.queryExecution().toString()
+    assert licenses.scanned(spark, docs.limit(0)).count() == 0
