@@ -10,7 +10,8 @@ again under another tweak until none is left, and only documents with such an en
 
 Found: e-mail addresses, keys and tokens, IPv4 and IPv6 addresses, IBANs, payment cards, social security numbers (dashed, or
 after their name), telephone numbers (international, with an area code in brackets, in the dashed form, or after a word that
-announces one), and names after an honorific, with all that repeats them in the same text. Plain numbers are left alone. Street
+announces one), and names after an honorific (in any script, whole: with particles, initials, capitals and any spaces between), with all that
+repeats them in the same text. Particles and initials stay. Plain numbers are left alone. Street
 addresses, birth dates, and names without any honorific in their text are not found.
 
 Scale: two scans of whole texts, each linear in the text; between them only distinct entities are shuffled, with map-side
@@ -37,6 +38,8 @@ from lodestone.llm.common import fresh, passes, settle
 
 #: Draws before a surrogate may be longer than its entity.
 SAME_LENGTH = 4
+#: Characters that one permutation takes.
+BLOCK = 512
 #: Honorifics before names.
 HONORIFICS = ("Mr", "Mrs", "Ms", "Miss", "Mister", "Herr", "Frau", "Señor", "Señora", "Señorita", "Monsieur", "Madame", "Mademoiselle", "Mme", "Mlle", "Dr", "Prof", "г-н", "г-жа", "господин", "госпожа")
 #: Endings of names that carry gender.
@@ -64,13 +67,22 @@ PATTERN = re.compile(
     r"|(?<![\w+])\+\d{8,15}(?!\w)|(?<![\w+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w+.-])\d{3}-\d{3}-\d{4}(?![\w-])"
     r"|(?:(?<=\b[Tt]el: )|(?<=\b[Tt]el\. )|(?<=\b[Pp]hone )|(?<=\b[Pp]hone: )|(?<=\b[Cc]all )|(?<=\b[Mm]obile: )|(?<=\bTelefon: ))\d{3,5}[ .-]?\d{3,4}[ .-]?\d{2,4}(?![\w-]))"
 )
-_TOKEN = r"(?:[^\W\d_a-z]['’]?[^\W\d_]+(?:-[^\W\d_]+)*)"
-NAMED = re.compile(r"\b(?:" + "|".join(map(re.escape, HONORIFICS)) + rf")\.? ({_TOKEN}(?: {_TOKEN}){{0,2}})")
+#: Words between an honorific and a name, or within a name, that are no name of their own.
+PARTICLES = ("van", "der", "den", "de", "het", "ter", "ten", "von", "vom", "zu", "zum", "zur", "del", "della", "di", "da", "das", "do", "dos", "du", "des", "la", "las", "le", "los", "el", "al", "bin", "ibn", "ben", "bint", "abu", "san", "st", "y", "e")
+#: Scripts that part no words: a name in them is the whole run of letters after the honorific, with the dots that part its names, and is
+#: found again within longer runs.
+UNPARTED = re.compile("[\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9d\uac00-\ud7a3\U00020000-\U000323af]")
+_DOTS = "・･·"
+_TOKEN = rf"(?:[^\W\d_a-z](?:['’]?[^\W\d_]+(?:[-{_DOTS}'’][^\W\d_]+)*)?)"
+_GAP = r"[^\S\n]+"
+_BETWEEN = rf"(?:(?:(?i:{'|'.join(PARTICLES)})\.?{_GAP}|[dl]['’]|[^\W\d_a-z]\.(?:{_GAP})?)*)"
+#: An honorific as it is listed or in capitals, with or without a dot, or an abbreviated one in small letters with it.
+_TITLE = "|".join(f"{re.escape(h)}\\.?|{re.escape(h.upper())}\\.?" + (f"|{re.escape(h.lower())}\\." if len(h) < 5 and h not in ("Miss", "Herr", "Frau", "г-н") else "") for h in HONORIFICS)
+NAMED = re.compile(rf"(?<!\w)(?:(?:{_TITLE})(?:\s+|(?<=\.)))+({_BETWEEN}{_TOKEN}(?:{_GAP}{_BETWEEN}{_TOKEN}){{0,2}})")
+_ELIDED = re.compile(r"^[dlDL]['’](?=[^\W\d_a-z])")
 WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
-#: Scripts that part no words: names in them are found within longer runs, and have this many characters at most.
-UNPARTED = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7a3]")
-UNPARTED_CHARS = 4
-_HINTS = ("Mr", "Ms", "Mis", "Her", "Fra", "Señ", "Mon", "Mad", "Mm", "Mll", "Dr", "Pro", "г-", "гос")
+_HINTS = tuple(sorted({x for h in HONORIFICS for x in (h[:3], h[:3].upper(), *((h.lower() + ".",) if len(h) < 5 else ()))}))
+_NO_NAMES = {x for w in (*HONORIFICS, *PARTICLES) for x in (w, w.upper(), w.lower(), w.capitalize())}
 _DIGIT = re.compile(r"\d")
 
 
@@ -123,26 +135,38 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
             else:  # what was read so far may hold another
                 at = m.start() + 1
     if any(h in text for h in _HINTS):
-        names, parts = set(), set()
+        names, parts, found = set(), set(), []
         for m in NAMED.finditer(text):
-            for n in m[1].split(" "):
+            for w in re.finditer(r"[^\s]+", m[1]):
+                n = w[0].strip(".,")
                 if UNPARTED.match(n):
-                    parts.add(n[:UNPARTED_CHARS])
-                else:
-                    n = _bare(n)
-                    names.update((n, n.upper()))
-        names -= set(HONORIFICS)
+                    parts.update((n, *(x for x in re.split(f"[{_DOTS}]", n) if len(x) > 1)))
+                    continue
+                n = _bare(n).rsplit(".", 1)[-1]  # J.R.R.Tolkien: initials stay
+                n = _ELIDED.sub("", n)
+                for n in {n, *n.split("-")}:  # parts of a double name may stand alone
+                    if len(n) > 1 and not "a" <= n[0] <= "z":
+                        names.update((n, n.upper(), *((n.capitalize(),) if n.isupper() else ())))
+        names -= _NO_NAMES
         starts, ends = [s for s, _, _, _ in out], [e for _, e, _, _ in out]
-        found = []
         if names:
-            found += [(m.start(), m.start() + len(w)) for m in WORD.finditer(text) if (w := _bare(m[0])) in names]
+            for m in WORD.finditer(text):
+                if (w := _bare(m[0])) in names or (w := _ELIDED.sub("", w)) in names:
+                    at = m.start() + m[0].index(w)
+                    found.append((at, at + len(w)))
+                elif "-" in w:
+                    found += [(m.start() + p.start(), m.start() + p.end()) for p in re.finditer("[^-]+", w) if p[0] in names]
         if parts:
             lengths, end = sorted({len(p) for p in parts}, reverse=True), 0
             for m in re.finditer("[" + "".join(sorted({p[0] for p in parts})) + "]", text):
                 if m.start() >= end and (n := next((n for n in lengths if text[m.start() : m.start() + n] in parts), 0)):
                     end = m.start() + n
                     found.append((m.start(), end))
-        for s, e in found:
+        last = -1
+        for s, e in sorted(set(found), key=lambda x: (x[0], -x[1])):
+            if s < last:
+                continue
+            last = e
             k = bisect.bisect_left(ends, s + 1)  # the first that ends beyond the start
             if k == len(starts) or starts[k] >= e:
                 out.append((s, e, "given" if text[s:e].lower() in _GIVEN else "name", canonical("name", text[s:e])))
@@ -198,7 +222,9 @@ class Cipher:
                 return x
 
     def text(self, value: str, sets: list[str], tweak: str) -> str:
-        """A permutation of the texts whose i-th character is of the i-th set (the set itself says which)."""
+        """A permutation of the texts whose i-th character is of the i-th set (the set itself says which); of long ones, in blocks."""
+        if len(value) > BLOCK:
+            return "".join(self.text(value[i : i + BLOCK], sets[i : i + BLOCK], f"{tweak}|{i}") for i in range(0, len(value), BLOCK))
         x, n = 0, 1
         for c, s in zip(value, sets, strict=True):
             x, n = x * len(s) + s.index(c), n * len(s)
@@ -266,6 +292,8 @@ def surrogate(cipher: Cipher, kind: str, value: str, attempt: int = 0) -> str:
         return plain(local, tweak) + cipher.text(LOWER[:1] * more, [LOWER] * more, f"{tweak}|{value}") + "@" + plain(host, f"host|{attempt}") + "." + top
     if kind == "ip6":
         return value[:5] + cipher.text(value[5:], [_of(("0123456789abcdef",), c) for c in value[5:]], tweak + value[:5])
+    if kind == "name" and "-" in value:  # part by part, as they are where they stand alone
+        return "-".join(surrogate(cipher, "given" if p in _GIVEN else "name", p, attempt) if p else p for p in value.split("-"))
     if kind == "name":
         end = next((e for e in ENDINGS if value.endswith(e) and len(value) > len(e) + 2), value[-1:] if value[-1:] in "aeoiаяαη" and len(value) > 2 else "")
         stem = value[: len(value) - len(end)]

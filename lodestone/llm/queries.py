@@ -30,11 +30,11 @@ def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicit
 
 
 def pii_key(spark: SparkSession) -> bytes:
-    """spark.lodestone.pii.key; where it is unset, a random one for this session: surrogates then agree within the session, and
+    """spark.lodestone.pii.secret (a name that Spark's own pages and logs redact); where it is unset, a random one for this session: surrogates then agree within the session, and
     nobody can undo them or make them again."""
-    if not spark.conf.get("spark.lodestone.pii.key", None):
-        spark.conf.set("spark.lodestone.pii.key", secrets.token_hex(32))
-    return spark.conf.get("spark.lodestone.pii.key").encode()
+    if not spark.conf.get("spark.lodestone.pii.secret", None):
+        spark.conf.set("spark.lodestone.pii.secret", secrets.token_hex(32))
+    return spark.conf.get("spark.lodestone.pii.secret").encode()
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
