@@ -28,7 +28,7 @@ def shared_folder(spark: SparkSession) -> str:
 def source_bytes(df: DataFrame) -> int:
     """Bytes of the files that the rows are read from, as the scans of the plan know them; a file that is read twice counts twice."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
 
 
 def settled(spark: SparkSession, df: DataFrame, name: str, few: bool = False) -> DataFrame:
