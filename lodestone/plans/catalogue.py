@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import identity
 from lodestone.functions import text as T
-from lodestone.operators import column_types, ddl, evaluation, gate, graph, lineage, lint, markdown, rules
+from lodestone.functions.storage import shared_folder
+from lodestone.operators import column_types, ddl, evaluation, evidence, gate, graph, lineage, lint, markdown, registry, rules
+from lodestone.sources import journal, snapshots
 
 _found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
@@ -165,13 +168,6 @@ def page_heading(spark, sf_dir):
 _SLUG = "regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g')"
 
 
-@query(f"select p_partkey, case when n = 0 then slug else slug || '-' || n end as anchor from (select p_partkey, {_SLUG} as slug, row_number() over (partition by {_SLUG} order by p_partkey) - 1 as n from part)")
-def duplicate_anchor_slugs(spark, sf_dir):
-    slug = F.regexp_replace(F.lower("p_type"), "[^a-z0-9]+", "-")
-    n = F.row_number().over(Window.partitionBy("slug").orderBy("p_partkey")) - 1
-    return read(spark, sf_dir, "part").select("p_partkey", slug.alias("slug")).withColumn("n", n).select("p_partkey", F.when(F.col("n") == 0, F.col("slug")).otherwise(F.concat_ws("-", "slug", "n")).alias("anchor"))
-
-
 @query("select event_id, json_extract_string(props, '$.page') as page, json_valid(props) as valid, left(sha256(event_type || ':' || coalesce(props, '')), 16) as obligation_id from events")
 def props_json(spark, sf_dir):
     p = F.col("props")
@@ -192,18 +188,6 @@ def unlabelled_documents(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id").join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-@query("""with e as (select o_orderkey as k, o_orderpriority as v from orders where o_orderkey % 3 <> 0),
- a as (select o_orderkey as k, case when o_orderkey % 5 = 0 then 'changed' else o_orderpriority end as v from orders where o_orderkey % 2 = 0)
-select coalesce(e.k, a.k) as o_orderkey, case when a.k is null then 'missing' when e.k is null then 'unsupported' else 'different' end as issue
-from e full join a on e.k = a.k where e.v is distinct from a.v""")
-def claims_diff(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("v"))
-    e = o.where("k % 3 <> 0").alias("e")
-    a = o.where("k % 2 = 0").withColumn("v", F.when(F.col("k") % 5 == 0, "changed").otherwise(F.col("v"))).alias("a")
-    issue = F.when(F.col("a.k").isNull(), "missing").when(F.col("e.k").isNull(), "unsupported").otherwise("different")
-    return e.join(a, F.col("e.k") == F.col("a.k"), "full").where(~F.col("e.v").eqNullSafe(F.col("a.v"))).select(F.coalesce("e.k", "a.k").alias("o_orderkey"), issue.alias("issue"))
-
-
 @query("select o_orderkey, count(l_orderkey) as results, case when count(l_orderkey) = 1 then 'ok' when count(l_orderkey) = 0 then 'no result' else 'several results' end as verdict from orders left join lineitem on l_orderkey = o_orderkey group by o_orderkey")
 def exactly_one_result(spark, sf_dir):
     n = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("results"))
@@ -228,17 +212,6 @@ def next_marker(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.min(F.when(F.col("event_type") == "purchase", F.col("event_id"))).over(w).alias("marker"))
 
 
-@query("""select conv_id, turn, (select min(b.turn) from conversations b where b.conv_id = a.conv_id and b.turn > a.turn
- and (case b.role when 'system' then 0 when 'user' then 1 else 2 end) <= (case a.role when 'system' then 0 when 'user' then 1 else 2 end)) as section_end from conversations a""")
-def section_end(spark, sf_dir):
-    """Each section ends at the next one of its level or a higher one: the least such turn for each of three levels."""
-    level = F.when(F.col("role") == "system", 0).when(F.col("role") == "user", 1).otherwise(2)
-    w = Window.partitionBy("conv_id").orderBy("turn").rangeBetween(1, Window.unboundedFollowing)
-    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", level.alias("level"))
-    ends = [F.min(F.when(F.col("level") <= k, F.col("turn"))).over(w) for k in range(3)]
-    return rows.select("conv_id", "turn", F.when(F.col("level") == 0, ends[0]).when(F.col("level") == 1, ends[1]).otherwise(ends[2]).alias("section_end"))
-
-
 _MATRIX = [("read", "same", "raw", "allowed"), ("read", "other", "raw", "denied"), ("write", "same", "core", "allowed")]
 
 
@@ -284,23 +257,6 @@ def set_equality(spark, sf_dir):
     return rows.where(F.size("b") > 0).select("l_orderkey", (s("a") == s("b")).alias("same_set"), (F.col("a") == F.col("b")).alias("same_bag"), F.size(F.array_except("a", "b")).cast("bigint").alias("missing"))
 
 
-@query("""with ledger as (select doc_id, case when doc_id % 11 = 0 then 'stale' else sha256(text) end as h from documents where doc_id % 13 <> 0)
-select d.doc_id as doc_id, case when l.h is null then 'source_missing' else 'source_changed' end as reason from documents d left join ledger l using (doc_id) where l.h is distinct from sha256(d.text)""")
-def outdated_inputs(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("now"))
-    ledger = docs.where("doc_id % 13 <> 0").select("doc_id", F.when(F.col("doc_id") % 11 == 0, "stale").otherwise(F.col("now")).alias("h"))
-    return docs.join(ledger, "doc_id", "left").where(~F.col("h").eqNullSafe(F.col("now"))).select("doc_id", F.when(F.col("h").isNull(), "source_missing").otherwise("source_changed").alias("reason"))
-
-
-@query("""with a as (select c_custkey as id, 1 as rank, c_mktsegment as v from customer where c_custkey % 2 = 0 union all select c_custkey, 2, 'second' from customer where c_custkey % 3 = 0)
-select id, v from (select *, row_number() over (partition by id order by rank) as n from a) where n = 1""")
-def first_wins_union(spark, sf_dir):
-    c = read(spark, sf_dir, "customer")
-    a = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.lit(1).alias("rank"), F.col("c_mktsegment").alias("v"))
-    b = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.lit(2).alias("rank"), F.lit("second").alias("v"))
-    return a.unionByName(b).groupBy("id").agg(F.min_by("v", "rank").alias("v"))
-
-
 @query("select c_custkey from customer where (c_mktsegment in ('BUILDING', 'MACHINERY') and coalesce(c_acctbal, 0) >= 100) or c_nationkey = 3")
 def predicate_tree(spark, sf_dir):
     tree = {"_or": [{"c_mktsegment": ["BUILDING", "MACHINERY"], "c_acctbal_gte": 100}, {"c_nationkey": 3}]}
@@ -313,12 +269,6 @@ def expected_claims(spark, sf_dir):
     return rows.unpivot("o_orderkey", ["status", "priority"], "field", "value").where("value is not null")
 
 
-@query("""select l_orderkey, count(*) as orphans from lineitem anti join part on l_partkey = p_partkey and p_size > 10 group by l_orderkey""")
-def foreign_key_violations(spark, sf_dir):
-    part = read(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("l_partkey"))
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(part, "l_partkey", "left_anti").groupBy("l_orderkey").agg(F.count("*").alias("orphans"))
-
-
 # Order -------------------------------------------------------------------------------------------------------------
 
 
@@ -358,11 +308,6 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("ordinal", F.xxhash64("from", "to", "kind"))
 
 
-@query(f"{_EDGES} select a as \"from\", b as \"to\", kind, candidates from edges")
-def lineage_edges(spark, sf_dir):
-    return _edges(spark, sf_dir).select("from", "to", "kind", "candidates")
-
-
 _LISTS = "list_sort(list(distinct {x}) filter (where kind = '{k}'))"
 
 
@@ -564,21 +509,6 @@ def fact_problems(spark, sf_dir):
     return evaluation.fact_problems(items, known.unionByName(extra))
 
 
-@query("""select l_orderkey as run_id, bool_or(l_linenumber > 2) as has_reads, bool_or(l_quantity > 40) as has_writes, bool_or(l_linestatus = 'O') as has_calls, bool_or(l_returnflag = 'R') as has_formulas, false as has_conditions,
- bool_or(l_tax > 0.06) as has_date_boundary, count(distinct l_suppkey % 3) as source_count, case when bool_or(l_discount > 0.08) then 'procedure' when bool_or(l_discount < 0.02) then 'view' else 'function' end as object_kind from lineitem group by 1""")
-def context_flags(spark, sf_dir):
-    when = lambda c: F.when(c, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
-    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.concat(F.lit("f"), F.col("l_suppkey") % 3).alias("path"), F.when(F.col("l_discount") > 0.08, "PROCEDURE").when(F.col("l_discount") < 0.02, "VIEW").otherwise("SELECT").alias("construct"), when(F.col("l_linenumber") > 2).alias("reads"), when(F.col("l_quantity") > 40).alias("writes"), when(F.col("l_linestatus") == "O").alias("calls"), when(F.col("l_returnflag") == "R").alias("formulas"), F.array().cast("array<string>").alias("conditions"), F.when(F.col("l_tax") > 0.06, "d > date '2020-01-01'").otherwise("update x").alias("source"))
-    return evaluation.flags(rows)
-
-
-@query("""select c_custkey as run_id, 'segment' as profile from customer where lower(c_mktsegment) like 'bu%' or lower(c_mktsegment) like 'ma%' union all select c_custkey, 'first' from customer where c_name like 'Customer#00000000%'""")
-def active_profiles(spark, sf_dir):
-    c = read(spark, sf_dir, "customer")
-    names = c.select(F.col("c_custkey").alias("run_id"), F.explode(F.array("c_name", F.lower("c_mktsegment"))).alias("identifier"))
-    return evaluation.active_profiles(names, [{"name": "segment", "prefixes": ["bu", "ma"]}, {"name": "first", "prefixes": ["Customer#00000000"]}])
-
-
 @query("select conv_id as page, string_agg(part, chr(10) || chr(10) order by role) as markdown from (select conv_id, role, '## ' || role || chr(10) || chr(10) || string_agg(text, chr(10) order by turn) as part from conversations group by 1, 2) group by 1")
 def rendered_pages(spark, sf_dir):
     rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page"), F.col("role").alias("section"), F.col("turn").alias("ordinal"), F.col("text").alias("line"))
@@ -659,3 +589,270 @@ def page_lint(spark, sf_dir):
     texts = pages.unionByName(listed)
     files = texts.select(F.col("doc").alias("path"), F.lit(3).alias("n_lines"))
     return lint.lint(markdown.parsed(texts), files, c.select(file.alias("page_id"), file.alias("key"))).drop("severity")
+
+
+# Operators over whole tables ---------------------------------------------------------------------------------------------
+
+
+@query("""with e as (select o_custkey as run_id, o_orderkey as fact_id, 'priority' as field, o_orderpriority as v from orders union all select o_custkey, o_orderkey, 'state', o_orderstatus from orders),
+ a as (select o_custkey as run_id, o_orderkey as fact_id, 'priority' as field, case when o_totalprice > 200000 then 'changed' else o_orderpriority end as v from orders where o_orderstatus <> 'P'
+  union all select o_custkey, o_orderkey, case when o_totalprice < 5000 then 'note' else 'state' end, o_orderstatus from orders)
+select coalesce(e.run_id, a.run_id) as run_id, coalesce(e.fact_id, a.fact_id) as fact_id, coalesce(e.field, a.field) as field, case when a.fact_id is null then 'missing' when e.fact_id is null then 'unsupported' else 'different' end as problem
+from e full join a on e.run_id = a.run_id and e.fact_id = a.fact_id and e.field = a.field where e.v is distinct from a.v""")
+def claims_diff(spark, sf_dir):
+    """Every order has two claims; the page of a dear one shows another priority, of one in progress none, of a cheap one a note."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("fact_id"), "o_orderstatus", "o_totalprice", "o_orderpriority")
+    claim = lambda rows, field, value: rows.select("run_id", "fact_id", field.alias("field"), F.to_json(F.struct(value.alias("v"))).alias("value"))
+    state, priority = F.lit("state"), F.lit("priority")
+    expected = claim(o, priority, F.col("o_orderpriority")).unionByName(claim(o, state, F.col("o_orderstatus")))
+    shown = claim(o.where("o_orderstatus <> 'P'"), priority, F.when(F.col("o_totalprice") > 200000, "changed").otherwise(F.col("o_orderpriority")))
+    return gate.claim_problems(expected, shown.unionByName(claim(o, F.when(F.col("o_totalprice") < 5000, "note").otherwise(state), F.col("o_orderstatus"))))
+
+
+@query("""with s as (select c_nationkey as run_id, c_custkey as id, 0 as source_rank, c_mktsegment as source from customer where c_acctbal > 5000
+ union all select o.c_nationkey, o.c_custkey, 1, 'orders' from customer o where c_custkey in (select o_custkey from orders where o_orderstatus = 'F') union all select c_nationkey, c_custkey, 2, 'all' from customer)
+select run_id, id, arg_min(source, source_rank) as source from s group by 1, 2""")
+def first_wins_union(spark, sf_dir):
+    """Every customer has a check of the last source; rich ones and those with finished orders have earlier ones, which win."""
+    c = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("run_id"), F.col("c_custkey").alias("id"), "c_acctbal", "c_mktsegment")
+    done = read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id")).distinct()
+    check = lambda rows, rank, source: rows.select("run_id", "id", F.lit(rank).alias("source_rank"), source.alias("source"))
+    rows = check(c.where("c_acctbal > 5000"), 0, F.col("c_mktsegment")).unionByName(check(c.join(done, "id", "left_semi"), 1, F.lit("orders"))).unionByName(check(c, 2, F.lit("all")))
+    return gate.first_by_source(rows).select("run_id", "id", "source")
+
+
+@query("""with f as (select doc_id, max(toxic) as toxic, min(quality) as quality from labels group by 1)
+select d.doc_id as page_id, source as root, d.doc_id::varchar as path, case when source = 'src7' then 'project_root_unavailable' when f.doc_id is null then 'source_missing' when toxic = 1 then 'source_unreadable' else 'source_changed' end as reason
+from documents d left join f using (doc_id) where source = 'src7' or f.doc_id is null or toxic = 1 or quality = 0""")
+def outdated_inputs(spark, sf_dir):
+    """Documents are inputs of pages; the files there now are the labelled ones, without one root: toxic ones cannot be read, bad ones changed."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.col("source").alias("root"), F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("sha256"))
+    labels = read(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("page_id")).agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    files = docs.where("root <> 'src7'").join(labels, "page_id").select("root", "path", F.when(F.col("quality") == 0, F.sha2("sha256", 256)).otherwise(F.col("sha256")).alias("sha256"), (F.col("toxic") != 1).alias("readable"))
+    return lineage.outdated(docs, files)
+
+
+@query("""select l_orderkey as run_id, 'lineitem' as from_group, l_orderkey || '-' || l_linenumber as id, 'part' as field, 'p' || l_partkey as missing from lineitem anti join (select p_partkey as l_partkey from part where p_size > 10) using (l_partkey)
+ union all select l_orderkey, 'lineitem', l_orderkey || '-' || l_linenumber, 'suppliers', 's' || s from (select *, unnest([l_suppkey, l_suppkey + 1]) as s from lineitem) where s not in (select s_suppkey from supplier)""")
+def foreign_key_violations(spark, sf_dir):
+    """Line items name a part, of which the small ones are gone, and a list of suppliers, of which the last has no next one."""
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.concat(F.lit("p"), "l_partkey").alias("part"), F.transform(F.array(F.col("l_suppkey"), F.col("l_suppkey") + 1), lambda x: F.concat(F.lit("s"), x)).alias("suppliers"))
+    runs = lines.select("run_id", "part", F.explode("suppliers").alias("supplier"))
+    there = lambda rows, key, letter, column: runs.select("run_id", column).distinct().join(rows.select(F.concat(F.lit(letter), key).alias(column)), column).select("run_id", F.col(column).alias("id"))
+    facts = {"lineitem": lines, "part": there(read(spark, sf_dir, "part").where("p_size > 10"), "p_partkey", "p", "part"), "supplier": there(read(spark, sf_dir, "supplier"), "s_suppkey", "s", "supplier")}
+    return gate.dangling(facts, [("lineitem", "part", "part"), ("lineitem", "suppliers", "supplier")])
+
+
+@query("""select conv_id, turn, (select min(b.turn) from conversations b where b.conv_id = a.conv_id and b.turn > a.turn
+ and (case b.role when 'system' then 1 when 'user' then 2 else 3 end) <= (case a.role when 'system' then 1 when 'user' then 2 else 3 end)) as section_end from conversations a""")
+def section_end(spark, sf_dir):
+    """Turns are headings of three levels: each section ends at the next one of its level or a higher one."""
+    level = F.when(F.col("role") == "system", 1).when(F.col("role") == "user", 2).otherwise(3)
+    rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.lit("heading").alias("kind"), level.alias("level"), F.col("turn").alias("first"), F.col("role").alias("text"), F.lit(None).cast("string").alias("anchor"))
+    return markdown.sections(rows).select(F.col("doc").alias("conv_id"), F.col("first").alias("turn"), F.col("end").alias("section_end"))
+
+
+@query("""select p_partkey, case when n = 0 then slug else slug || '-' || n end as anchor from (select p_partkey, slug, row_number() over (partition by p_brand, slug order by p_partkey) - 1 as n
+ from (select *, replace(lower(p_name) || '_' || lower(p_type), ' ', '-') as slug from part))""")
+def duplicate_anchor_slugs(spark, sf_dir):
+    """The parts of a brand are the headings of its page: those with one name and type have one slug, and count on."""
+    rows = read(spark, sf_dir, "part").select(F.col("p_brand").alias("doc"), F.lit("heading").alias("kind"), F.lit(1).alias("level"), F.col("p_partkey").alias("first"), F.concat(F.lit(" "), "p_name", F.lit("?_"), "p_type", F.lit("!")).alias("text"), F.lit(None).cast("string").alias("anchor"))
+    return markdown.sections(rows).select(F.col("first").alias("p_partkey"), F.col("section").alias("anchor"))
+
+
+@query("""with c as (select c_custkey as k, c_nationkey as n, c_acctbal > 0 as keyed, n_regionkey = 0 as absent from customer join nation on c_nationkey = n_nationkey)
+select 'view+s+c' || k as "from", case when absent and not keyed then '@external:%5B%22table%22%2C%22s%22%2C%22n' || n || '%22%2Cnull%5D' else 'table+s+n' || n end as "to", 'read' as kind,
+ case when not absent then 'published' when keyed then 'undocumented' else 'unresolved' end as resolution, []::varchar[] as candidates, 'op' as operation_id,
+ case when absent and not keyed then 1 else 2 end as ordinal from c
+union all select 'view+s+c' || k, 'cte+s+w' || n, 'write', 'scoped', [], 'op', case when absent and not keyed then 2 else 1 end from c""")
+def lineage_edges(spark, sf_dir):
+    """Each customer is a page whose one operation reads the table of its nation, by key or by name, and writes an object of its own scope; nations
+    outside one region have pages."""
+    c = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    run, none = F.concat(F.lit("c"), "c_custkey"), F.lit(None).cast("string")
+    thing = lambda rows, run, page, id_, kind, name, key, scope: rows.select(run.alias("run_id"), page.alias("page_id"), F.lit(id_).alias("id"), F.lit(kind).alias("kind"), F.lit("s").alias("schema"), name.alias("name"), none.alias("signature"), key.alias("key"), scope.alias("scope"))
+    own, table, work = F.concat(F.lit("c"), "c_custkey"), F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("w"), "n_nationkey")
+    keyed = lambda kind, name: F.concat(F.lit(f"{kind}+s+"), name)
+    page = lambda name: F.concat(name, F.lit(".md"))
+    objects = (
+        thing(c, run, page(own), "own", "view", own, keyed("view", own), none).unionByName(thing(c, run, none, "t", "table", table, F.when(F.col("c_acctbal") > 0, keyed("table", table)), none))
+        .unionByName(thing(c, run, none, "w", "cte", work, keyed("cte", work), own))
+        .unionByName(thing(read(spark, sf_dir, "nation").where("n_regionkey <> 0"), table, page(table), "own", "table", table, keyed("table", table), none))
+    )
+    ids = lambda *x: F.array(*(F.lit(i) for i in x)).cast("array<string>")
+    operations = c.select(run.alias("run_id"), page(own).alias("page_id"), F.lit("op").alias("id"), F.lit(1).alias("order"), F.lit("SELECT").alias("kind"), ids("t").alias("reads"), ids("w").alias("writes"), ids().alias("calls"), F.lit(False).alias("dynamic"))
+    return lineage.edges(objects, operations).select("from", "to", "kind", "resolution", "candidates", "operation_id", "ordinal")
+
+
+_FLAGS = "has_reads has_writes has_calls has_formulas has_conditions has_date_boundary has_dynamic_sql has_unknowns has_triggers has_indexes has_constraints has_access_rules returns_table object_kind source_count".split()
+
+
+@query("""with i as (select l_orderkey as run_id, l_linenumber as n, l_partkey as p, case when l_discount > 0.08 then 'PROCEDURE' when l_discount < 0.01 then 'VIEW' when l_discount < 0.02 then 'CTAS' when l_discount < 0.03 then 'EXECUTE' when l_discount < 0.04 then 'GRANT' when l_discount < 0.05 then 'FUNCTION' else 'SELECT' end as k,
+  case when l_linenumber > 2 then ['r' || (l_suppkey % 3), 'r' || (l_suppkey % 2)] else [] end as reads, l_quantity, l_linestatus, l_returnflag, l_tax from lineitem),
+ d as (select run_id, arg_min(case k when 'PROCEDURE' then 'procedure' else 'function' end, (n, p)) as first from i where k in ('PROCEDURE', 'FUNCTION') group by 1),
+ s as (select run_id, count(distinct r) as source_count from (select run_id, unnest(reads) as r from i) group by 1)
+select run_id, bool_or(n > 2) as has_reads, bool_or(l_quantity > 40) as has_writes, bool_or(l_linestatus = 'O') as has_calls, bool_or(l_returnflag = 'R') as has_formulas, false as has_conditions, bool_or(l_tax > 0.06) as has_date_boundary,
+ bool_or(k = 'EXECUTE') as has_dynamic_sql, bool_or(l_tax < 0.01) as has_unknowns, false as has_triggers, false as has_indexes, bool_or(l_quantity < 5) as has_constraints, bool_or(k = 'GRANT') as has_access_rules, false as returns_table,
+ case when bool_or(k = 'VIEW') then 'view' when bool_or(k = 'CTAS') then 'ctas' else coalesce(any_value(first), 'function') end as object_kind, coalesce(any_value(source_count), 0) as source_count
+from i left join d using (run_id) left join s using (run_id) group by 1""")
+def context_flags(spark, sf_dir):
+    """Line items are the items of their order's inventory."""
+    when = lambda c, *x: F.when(c, F.array(*(x or (F.lit("x"),)))).otherwise(F.array().cast("array<string>"))
+    d, n = F.col("l_discount"), F.col("l_linenumber")
+    construct = F.when(d > 0.08, "PROCEDURE").when(d < 0.01, "VIEW").when(d < 0.02, "CTAS").when(d < 0.03, "EXECUTE").when(d < 0.04, "GRANT").when(d < 0.05, "FUNCTION").otherwise("SELECT")
+    named = lambda m: F.concat(F.lit("r"), F.col("l_suppkey") % m)
+    rows = read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("run_id"), F.lit("f").alias("path"), construct.alias("construct"), n.alias("start_line"), F.col("l_partkey").alias("ordinal"), when(n > 2, named(3), named(2)).alias("reads"), when(F.col("l_quantity") > 40).alias("writes"),
+        when(F.col("l_linestatus") == "O").alias("calls"), when(F.col("l_returnflag") == "R").alias("formulas"), F.array().cast("array<string>").alias("conditions"), F.when(F.col("l_tax") > 0.06, "a > date '2020'").otherwise("updated").alias("source"),
+        (F.col("l_tax") < 0.01).alias("dynamic"), when(F.col("l_quantity") < 5).alias("constraints"),
+    )
+    return evaluation.flags(rows).select("run_id", *_FLAGS)
+
+
+@query("""select distinct c_custkey as run_id, p_brand as profile from (select c_custkey, unnest([c_name, lower(c_mktsegment), 'x' || c_custkey]) as identifier from customer)
+ join (select p_brand, case when p_size < 10 then left('building', p_size) when p_size < 20 then left('machinery', p_size - 9) when p_size < 30 then 'x' || p_partkey else 'Customer#00000' || p_partkey end as prefix from part) on starts_with(identifier, prefix)""")
+def active_profiles(spark, sf_dir):
+    """Brands are profiles, each with the prefixes of all its parts."""
+    c, n = read(spark, sf_dir, "customer"), F.col("p_size")
+    names = c.select(F.col("c_custkey").alias("run_id"), F.explode(F.array("c_name", F.lower("c_mktsegment"), F.concat(F.lit("x"), "c_custkey"))).alias("identifier"))
+    return evaluation.active_profiles(names, read(spark, sf_dir, "part").select(F.col("p_brand").alias("profile"), _prefix(n).alias("prefix")))
+
+
+def _prefix(n: Column) -> Column:
+    return F.when(n < 10, F.left(F.lit("building"), n)).when(n < 20, F.left(F.lit("machinery"), n - 9)).when(n < 30, F.concat(F.lit("x"), "p_partkey")).otherwise(F.concat(F.lit("Customer#00000"), "p_partkey"))
+
+
+@query("""select c_name || c_custkey as identifier, arg_max(prefix, length(prefix)) as prefix from customer join (select distinct left('Customer#' || lpad(p_partkey::varchar, 9, '0'), 9 + p_size % 10) as prefix from part) on starts_with(c_name || c_custkey, prefix) group by 1""")
+def longest_prefix(spark, sf_dir):
+    prefixes = read(spark, sf_dir, "part").select(F.left(F.concat(F.lit("Customer#"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")), F.col("p_size") % 10 + 9).alias("prefix"))
+    return evaluation.longest_prefix(read(spark, sf_dir, "customer").select(F.concat("c_name", "c_custkey").alias("identifier")), prefixes)
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of all documents: doc, line, n (characters)."""
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\r?\n")).alias("line", "text")).select("doc", F.col("line") + 1, "text").toDF("doc", "line", "text").withColumn("n", F.length("text"))
+
+
+@query("""with l as (select doc_id as doc, unnest(range(1, len(s) + 1)) as line, unnest(s) as text from (select doc_id, string_split_regex(text, '\\r?\\n') as s from documents)),
+ m as (select doc, line, text from l where length(text) < 60),
+ nxt as (select m.doc, m.line, m.text as mark, min(t.line) as t from m left join l t on t.doc = m.doc and t.line > m.line and length(t.text) >= 200 group by all),
+ busy as (select distinct nxt.doc, nxt.line from nxt join l b on b.doc = nxt.doc and b.line > nxt.line and b.line < nxt.t and length(b.text) >= 120)
+select nxt.doc as doc_id, nxt.line as line, mark, case when busy.doc is null then t end as target_line, case when busy.doc is null then length(l.text) end as target
+from nxt left join busy on busy.doc = nxt.doc and busy.line = nxt.line left join l on l.doc = nxt.doc and l.line = nxt.t""")
+def adjacent_lines(spark, sf_dir):
+    """Short lines are markers, long ones targets, and lines up to the middle count as blank: the target of a marker has only such
+    lines between."""
+    rows = _lines(spark, sf_dir).select("doc", "line", (F.col("n") < 120).alias("blank"), F.when(F.col("n") < 60, F.col("text")).alias("mark"), F.when(F.col("n") >= 200, F.col("n").cast("bigint")).alias("target"))
+    return markdown.adjacent(rows).withColumnRenamed("doc", "doc_id")
+
+
+@query("""with l as (select doc_id as doc, unnest(range(1, len(s) + 1)) as line, unnest(s) as text from (select doc_id, string_split_regex(text, '\\r?\\n') as s from documents)),
+ h as (select doc, line, 1 + length(text) % 4 as level, text from l where length(text) between 1 and 99),
+ e as (select a.doc, a.line, min(b.line) as fin from h a left join h b on b.doc = a.doc and b.line > a.line and b.level <= a.level group by all),
+ k as (select e.doc, e.line, count(b.line) as n_blocks, coalesce(bool_or(regexp_matches(b.text, '[\\p{L}\\p{N}]')), false) as has_text from e left join l b on b.doc = e.doc and b.line > e.line and (e.fin is null or b.line < e.fin) and length(b.text) > 99 group by all)
+select h.doc as doc_id, 'l' || h.line as section, n_blocks, has_text from h join k on k.doc = h.doc and k.line = h.line""")
+def section_contents(spark, sf_dir):
+    """Lines of up to 99 characters are headings of four levels, longer ones blocks: what each section holds, with its subsections."""
+    rows = _lines(spark, sf_dir).where("n > 0").select("doc", F.when(F.col("n") < 100, "heading").otherwise("paragraph").alias("kind"), F.when(F.col("n") < 100, F.col("n") % 4 + 1).otherwise(0).alias("level"), F.col("line").alias("first"), "text", F.concat(F.lit("l"), "line").alias("anchor"))
+    return markdown.contents(rows).withColumnRenamed("doc", "doc_id")
+
+
+@query("""with l as (select l_orderkey as o, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 as i, l_linenumber as n, l_partkey as p, l_suppkey as s, l_quantity::bigint as q from lineitem),
+ r as (select o, 'facts.items.' || i || '.part' as location, 'p/' || p as path, n as first, n + q as last, sha256(p::varchar) as sha from l
+  union all select o, 'facts.items.' || i || '.deep.a.0.b.1', 's/' || s, 1, q, sha256(s::varchar) from l
+  union all select o_orderkey, 'facts.head', 'c/' || o_custkey, case when o_orderstatus = 'P' then 0 else 1 end, 3, sha256(o_custkey::varchar) from orders where o_orderkey in (select o from l)),
+ k as (select 'p/' || p_partkey as path, case when p_size > 45 then sha256('x') else sha256(p_partkey::varchar) end as sha, p_size as n from part union all select 's/' || s_suppkey, sha256(s_suppkey::varchar), 40 from supplier where s_acctbal > 0
+  union all select 'c/' || c_custkey, sha256(c_custkey::varchar), 3 from customer)
+select * from (select o as run_id, location, path, case when first < 1 or last < first then 'bad_lines' when k.sha is null then 'not_an_input' when k.sha <> r.sha then 'changed' when last > k.n then 'beyond_end' end as problem from r left join k using (path)) where problem is not null""")
+def evidence_visit(spark, sf_dir):
+    """Each order is a document with references at three depths: itself, and in its line items; parts, suppliers and customers are the
+    checked inputs."""
+    sha = lambda c: F.sha2(F.col(c).cast("string"), 256)
+    ref = lambda path, first, last, h: F.struct(path.alias("path"), first.alias("start_line"), last.alias("end_line"), h.alias("sha256"))
+    at = lambda letter, c: F.concat(F.lit(f"{letter}/"), c)
+    q = F.col("l_quantity").cast("bigint")
+    deep = F.struct(F.array(F.struct(F.array(F.to_variant_object(F.array(F.lit(1))), F.to_variant_object(ref(at("s", "l_suppkey"), F.lit(1), q, sha("l_suppkey")))).alias("b"))).alias("a"))
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", ref(at("p", "l_partkey"), F.col("l_linenumber"), F.col("l_linenumber") + q, sha("l_partkey")).alias("part"), F.to_json(deep).alias("deep"))
+    items = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    head = ref(at("c", "o_custkey"), F.when(F.col("o_orderstatus") == "P", 0).otherwise(1), F.lit(3), sha("o_custkey"))
+    text = F.transform("items", lambda x: F.concat(F.lit('{"n":'), x["l_linenumber"], F.lit(',"part":'), F.to_json(x["part"]), F.lit(',"deep":'), x["deep"], F.lit("}")))
+    document = F.concat(F.lit('{"head":'), F.to_json(head), F.lit(',"items":['), F.array_join(text, ","), F.lit("]}"))
+    docs = read(spark, sf_dir, "orders").join(items, "o_orderkey").select(F.col("o_orderkey").alias("run_id"), F.lit("facts").alias("artifact"), document.alias("document"))
+    known = lambda rows, letter, key, h, n: rows.select(F.lit("project").alias("root"), at(letter, key).alias("path"), h.alias("sha256"), n.cast("bigint").alias("n_lines"))
+    ledger = known(read(spark, sf_dir, "part"), "p", "p_partkey", F.when(F.col("p_size") > 45, F.sha2(F.lit("x"), 256)).otherwise(sha("p_partkey")), F.col("p_size"))
+    ledger = ledger.unionByName(known(read(spark, sf_dir, "supplier").where("s_acctbal > 0"), "s", "s_suppkey", sha("s_suppkey"), F.lit(40))).unionByName(known(read(spark, sf_dir, "customer"), "c", "c_custkey", sha("c_custkey"), F.lit(3)))
+    return evidence.problems(spark, docs, ledger).select("run_id", "location", "path", "problem")
+
+
+@query(f"""{_EDGES}, both_ as (select 1 as number, a, b, kind from edges union all select 2, a, b, kind from edges where kind <> 'call')
+select number, kind, count(*) as edges, count(n.key) as known from both_ left join (select 'n' || n_nationkey as key from nation union all select 'r' || r_regionkey from region) n on n.key = b group by 1, 2""")
+def catalogue_versions(spark, sf_dir):
+    """Nodes and edges as one commit, then edges alone as the next; a writer that still stands on the first one is turned away. Both
+    versions are read back, each with its own pair of tables."""
+    root, all_ = f"{shared_folder(spark)}/catalogue-{uuid.uuid4().hex}", _edges(spark, sf_dir).select("from", "to", "kind")
+    keys = read(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("key")).unionByName(read(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("key")))
+    first = snapshots.commit(spark, root, {"nodes": keys, "edges": all_}, based_on=0)
+    snapshots.commit(spark, root, {"edges": all_.where("kind <> 'call'")}, based_on=first, keep=True)
+    try:
+        snapshots.commit(spark, root, {"edges": all_.limit(0)}, based_on=first)
+        raise AssertionError("a commit on an old state")
+    except snapshots.Conflict:
+        pass
+    out = []
+    for number in (1, 2):
+        at = snapshots.current(spark, root, number)
+        rows = at.table(spark, "edges").join(at.table(spark, "nodes").withColumnRenamed("key", "to").withColumn("_known", F.lit(1)), "to", "left")
+        out.append(rows.groupBy("kind").agg(F.count("*").alias("edges"), F.count("_known").alias("known")).withColumn("number", F.lit(number)))
+    return out[0].unionByName(out[1])
+
+
+@query("""with recursive k as (select p_partkey as id, p_type || repeat('!', p_partkey::int) as key, coalesce(nullif(trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'object') as slug, p_size from part),
+ h as (select *, sha256(key) as hash from k), old as (select id, key, 'pages/' || id || '.md' as path from h where p_size > 40),
+ taken as (select p_type, lower(p_type) || '--' || left(sha256(p_name || p_partkey), 2) || '.md' as path from part where p_size < 5),
+ n as (select *, row_number() over (partition by slug order by hash) as r from h where p_size <= 40),
+ pre as (select n.id, g.i, slug || '--' || left(hash, g.i) || '.md' as path, slug, left(hash, g.i) as start from n, range(2, 12) as g(i)),
+ shared as (select slug, start from pre group by all having count(*) > 1),
+ free as (select pre.id, min(pre.i) as i from pre left join shared using (slug, start) left join taken on taken.path = pre.path where shared.start is null and taken.path is null
+   and pre.i > coalesce((select max(q.i) from pre q join shared s2 on s2.slug = q.slug and s2.start = q.start where q.id = pre.id), 0) group by 1)
+select id, path as page_name, true as known from old union all select free.id, pre.path, false from free join pre on pre.id = free.id and pre.i = free.i""")
+def page_registry(spark, sf_dir):
+    """Parts are keys that share the slug of their type: large ones have pages under an old key, names of the smallest are taken by others."""
+    part = read(spark, sf_dir, "part").withColumn("key", F.concat("p_type", F.repeat(F.lit("!"), F.col("p_partkey").cast("int"))))
+    old = part.where("p_size > 40").select(F.concat(F.lit("pages/"), "p_partkey", F.lit(".md")).alias("path"), F.concat(F.lit("old "), "key").alias("key"))
+    taken = part.where("p_size < 5").select(F.concat(F.lower("p_type"), F.lit("--"), F.left(F.sha2(F.concat("p_name", "p_partkey"), 256), F.lit(2)), F.lit(".md")).alias("path"), F.lit("another").alias("key"))
+    legacy = part.where("p_size > 40").select(F.concat(F.lit("old "), "key").alias("old"), F.col("key").alias("new"))
+    named = registry.resolved(part.select("p_partkey", "key"), old.unionByName(taken), legacy, first=2)
+    return named.select(F.col("p_partkey").alias("id"), "page_name", "known")
+
+
+@query("""with ch as (select p_brand as t, 'c' || (p_partkey % 7) as c, p_partkey as place, max(case when p_type like 'P%' then null when p_size > 25 then 'integer' else 'text' end) as type from part group by all),
+ m as (select l_orderkey as id, concat_ws('-', l_linenumber, l_partkey, l_suppkey, floor(l_extendedprice)::bigint) as line, l_partkey as place, 'Brand#' || (1 + l_suppkey % 25) as t, unnest(range(1, 4)) as position, unnest(['c' || (l_suppkey % 7), 'c' || l_linenumber, 'c9']) as c,
+  case when l_returnflag = 'R' then 'integer' when l_returnflag = 'A' then 'text' end as given from lineitem),
+ k as (select t, min(place) as since from ch where type is not null group by 1), f as (select t, c, min(place) as first from ch where type is not null group by all),
+ a as (select m.*, ch.type from m asof left join ch on m.t = ch.t and m.c = ch.c and m.place >= ch.place)
+select * from (select a.id, a.line, a.position, case when a.type is null then case when f.first <= a.place then 'dropped_column' else 'unknown_column' end when given <> a.type then 'type_mismatch' end as problem
+ from a join k on k.t = a.t and k.since <= a.place left join f on f.t = a.t and f.c = a.c) where problem is not null""")
+def column_problems(spark, sf_dir):
+    """Parts change the columns of their brand's table, in order; line items fill columns at the place of their part: two by lists, one
+    that an update sets."""
+    part = read(spark, sf_dir, "part").select(F.col("p_brand").alias("table"), F.concat(F.lit("c"), F.col("p_partkey") % 7).alias("column"), F.col("p_partkey").alias("at"), F.when(~F.startswith("p_type", F.lit("P")), F.when(F.col("p_size") > 25, "integer").otherwise("text")).alias("type"))
+    lines = read(spark, sf_dir, "lineitem").select(F.lit("f").alias("path"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", F.floor("l_extendedprice")).alias("scope"), F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("at"), F.concat(F.lit("Brand#"), F.col("l_suppkey") % 25 + 1).alias("target"), F.concat(F.lit("c"), F.col("l_suppkey") % 7).alias("c"), F.concat(F.lit("c"), "l_linenumber").alias("d"), "l_returnflag")
+    given = lines.select("path", "scope", "id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("position"), F.when(F.col("l_returnflag") == "R", "integer").when(F.col("l_returnflag") == "A", "text").alias("type"))
+    x, none = F.array(F.lit("x"), F.lit("y")), F.array().cast("array<string>")
+    sets = F.array(F.struct(F.lit("c9").alias("column"), F.lit("z").alias("expression")))
+    nothing = F.array().cast("array<struct<column:string,expression:string>>")
+    fills = lines.select("path", "scope", "id", "at", "target", F.array("c", "d").alias("columns"), x.alias("expressions"), nothing.alias("sets"))
+    updates = lines.select("path", "scope", "id", "at", "target", none.alias("columns"), none.alias("expressions"), sets.alias("sets"))
+    maps = column_types.assigned(fills).unionByName(column_types.assigned(updates).withColumn("position", F.lit(3)))
+    return column_types.problems_at(maps, given, part).select("id", F.col("scope").alias("line"), "position", "problem")
+
+
+@query("""select case event_type when 'view' then 'query' when 'click' then 'lint' when 'purchase' then 'publish' when 'error' then 'error' else 'plan' end as stage, count(*) as events, count(distinct user_id) as runs from events group by 1""")
+def journal_events(spark, sf_dir):
+    """Events are written twice, as by a writer that tries again, and count once."""
+    at, kind = f"{shared_folder(spark)}/journal-{uuid.uuid4().hex}", F.col("event_type")
+    stage = F.when(kind == "view", "query").when(kind == "click", "lint").when(kind == "purchase", "publish").when(kind == "error", "error").otherwise("plan")
+    rows = read(spark, sf_dir, "events").select(stage.alias("stage"), F.col("user_id").cast("string").alias("run_id"), F.lit(None).cast("string").alias("page_id"), F.col("event_id").cast("string").alias("event_id"), F.col("ts").cast("string").alias("timestamp"))
+    journal.recorded(rows, at)
+    journal.recorded(rows, at)
+    return journal.read(spark, at).groupBy("stage").agg(F.count("*").alias("events"), F.count_distinct("run_id").alias("runs"))
