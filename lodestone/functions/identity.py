@@ -32,24 +32,39 @@ ALIASES = {
     "timetz": "time with time zone",
     "varbit": "bit varying",
 }
+# Names of the catalogue's types, which a quoted name or one of pg_catalog may mean.
+CATALOGUE = frozenset(
+    "int2 int4 int8 float4 float8 bool text bytea numeric varchar bpchar char json jsonb uuid date time timetz timestamp timestamptz interval bit varbit money inet cidr "
+    "macaddr macaddr8 point line lseg box path polygon circle tsvector tsquery oid record anyelement anyarray anycompatible anycompatiblearray "
+    "regclass regtype regprocedure regproc void trigger event_trigger cstring internal".split()
+)
+# Other names that need no schema to be known.
+PLAIN = frozenset("bytea text uuid json jsonb xml interval date numeric real smallint integer bigint boolean bit".split())
 # Words that say how an argument is passed.
 MODES = ("in", "out", "inout", "variadic")
 #: Fixed value: longest identifier, in bytes.
 NAME_BYTES = 63
 
-_TYPE = re.compile(r'((?:"(?:[^"]|"")+"|[\w.]+)(?: (?:precision|varying))?)\s*(\([^)]*\))?\s*((?:with|without) time zone)?\s*((?:\[\d*\]\s*|array\b\s*(?:\[\d*\])?)*)$', re.I)
+_QUALIFIED = re.compile(r'(?:("(?:[^"]|"")+"|\w+)\.)?("(?:[^"]|"")+"|\w+)')
+_TYPE = re.compile(r'((?:(?:(?:"(?:[^"]|"")+"|\w+)\.)?(?:"(?:[^"]|"")+"|[\w.]+))(?: (?:precision|varying))?)\s*(\([^)]*\))?\s*((?:with|without) time zone)?\s*((?:\[\d*\]\s*|array\b\s*(?:\[\d*\])?)*)$', re.I)
 _FIRST_NAME = re.compile(r'("(?:[^"]|"")+"|\w+)\s+(?=\S)')
 _TWO_WORDS = ("double precision", "character varying", "bit varying", "timestamp with", "timestamp without", "time with", "time without")
 
 
 def type_name(spelling: str, for_identity: bool = False) -> str:
-    """One spelling of a type. Lengths and array bounds stay, but not for_identity, where any array is one []."""
+    """One spelling of a type. Lengths and array bounds stay, but not for_identity, where any array is one [].
+
+    A quoted name, and one of pg_catalog, means the catalogue's own type where there is one (so "char" is another than char); any other quoted or
+    qualified name stays as it is spelt. For identity, a name without a schema that is no known type is an error: which one it means
+    is for the search path to say."""
     text = " ".join(spelling.split())
     m = _TYPE.match(text)
     if not m:
         raise ValueError(f"no type: {spelling!r}")
     base, size, zone, array = m[1], m[2] or "", (m[3] or "").lower(), m[4].strip()
-    name = base if '"' in base else base.lower()
+    if '"' in base or "." in base:
+        return _named_type(base, for_identity, spelling) + ("" if for_identity else re.sub(r"\s+", "", size)) + _array(array, for_identity)
+    name = base.lower()
     if name == "float" and size:
         digits = int(size.strip("() "))
         if not 1 <= digits <= 53:
@@ -57,10 +72,31 @@ def type_name(spelling: str, for_identity: bool = False) -> str:
         name, size = ("real" if digits <= 24 else "double precision"), ""
     if zone and name in ("timestamp", "time", "timestamptz", "timetz"):
         name = f"{name.removesuffix('tz')} {zone}"
-    name = ALIASES.get(name, name)
+    known = ALIASES.get(name, name)
     if for_identity:
-        return name + ("[]" if array else "")
-    return name + re.sub(r"\s+", "", size) + (re.sub(r"array", "[]", array, flags=re.I).replace(" ", "").replace("[][", "[") if array else "")
+        if name not in ALIASES and known not in ALIASES.values() and known not in CATALOGUE and known not in PLAIN and not zone:
+            raise ValueError(f"no known type: {spelling!r}")
+        return known + _array(array, True)
+    return known + re.sub(r"\s+", "", size) + _array(array, False)
+
+
+def _array(array: str, for_identity: bool) -> str:
+    if for_identity or not array:
+        return "[]" if array else ""
+    return re.sub(r"array", "[]", array, flags=re.I).replace(" ", "").replace("[][", "[")
+
+
+def _named_type(base: str, for_identity: bool, spelling: str) -> str:
+    """A type whose name is quoted or has a schema."""
+    named = _QUALIFIED.fullmatch(base)
+    if not named:
+        raise ValueError(f"no type: {spelling!r}")
+    plain = [None if x is None else x[1:-1].replace('""', '"') if x.startswith('"') else x.lower() for x in named.groups()]
+    if plain[0] in (None, "pg_catalog") and plain[1] in CATALOGUE:
+        return "pg_catalog.char" if plain[1] == "char" else ALIASES.get(plain[1], plain[1])
+    if for_identity and plain[0] is None:
+        raise ValueError(f"no known type: {spelling!r}")
+    return ".".join(x if re.fullmatch(r"[a-z_][a-z0-9_$]*", x) else '"' + x.replace('"', '""') + '"' for x in plain if x is not None)
 
 
 def argument_types(arguments: str) -> list[str]:

@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,24 +120,30 @@ def assigned(statements: DataFrame) -> DataFrame:
     return lists.unionByName(sets)
 
 
-def histories(changes: DataFrame) -> DataFrame:
-    """changes (table, column, at, type: null where the column goes) -> (table, column, spans): from which place on a column has which
-    type, in order. One row for each column that ever was, as long as the list of its own changes; of several changes at one place the
-    type that sorts last counts, and a column that goes there is gone only if nothing else stands there."""
+def histories(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """changes (table, column, at, type: null where the column goes) -> each column's changes in order, in runs as long as there are runs:
+    (table, column, starts: the place of each run's first change) and (table, column, run, spans: from which place on there is which type). Of
+    several changes at one place the type that sorts last counts, and a column is gone there only if nothing else stands there."""
     one = changes.groupBy("table", "column", "at").agg(F.max("type").alias("type"))
-    return one.groupBy("table", "column").agg(F.array_sort(F.collect_list(F.struct("at", "type"))).alias("spans"))
+    own = Window.partitionBy("table", "column")
+    long_ = F.ceil(F.sqrt(F.count("*").over(own)))
+    one = one.withColumn("run", F.floor((F.row_number().over(own.orderBy("at")) - 1) / long_).cast("int"))
+    runs = one.groupBy("table", "column", "run").agg(F.min("at").alias("start"), F.array_sort(F.collect_list(F.struct("at", "type"))).alias("spans"))
+    return runs.groupBy("table", "column").agg(F.array_sort(F.collect_list("start")).alias("starts")), runs.drop("start")
 
 
 def as_of(uses: DataFrame, changes: DataFrame) -> DataFrame:
     """uses (table, column, at, ...) with known (the table had columns by then), present and type: what the change before or at that
     place left. Places grow in the order in which statements and changes take effect.
 
-    Uses meet their column's history by an equi-join, whose hot keys adaptive execution splits (or by broadcast, where histories are
-    small): neither a range join nor a sort of the uses."""
+    Uses meet the starts of their column's runs, and then the one run that they need, by equi-joins, whose hot keys adaptive execution splits (or
+    by broadcasts, where histories are small): no range join, no sort of the uses, and of n changes a use looks at two roots of n."""
+    starts, runs = histories(changes)
     tables = changes.where("type is not null").groupBy("table").agg(F.min("at").alias("_from"))
-    rows = uses.join(histories(changes), ["table", "column"], "left").join(tables, "table", "left")
+    rows = uses.join(starts, ["table", "column"], "left").join(tables, "table", "left")
+    rows = rows.withColumn("run", F.size(F.filter("starts", lambda x: x <= F.col("at"))) - 1).join(runs, ["table", "column", "run"], "left")
     rows = rows.withColumn("type", F.try_element_at(F.filter("spans", lambda x: x["at"] <= F.col("at")), F.lit(-1))["type"])
-    return rows.withColumns({"present": F.col("type").isNotNull(), "known": F.coalesce(F.col("_from") <= F.col("at"), F.lit(False))}).drop("spans", "_from")
+    return rows.withColumns({"present": F.col("type").isNotNull(), "known": F.coalesce(F.col("_from") <= F.col("at"), F.lit(False))}).drop("starts", "run", "spans", "_from")
 
 
 def problems_at(mappings: DataFrame, types: DataFrame, changes: DataFrame) -> DataFrame:

@@ -806,7 +806,7 @@ def catalogue_versions(spark, sf_dir):
     return out[0].unionByName(out[1])
 
 
-@query("""with recursive k as (select p_partkey as id, p_type || repeat('!', p_partkey::int) as key, coalesce(nullif(trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'object') as slug, p_size from part),
+@query("""with recursive k as (select p_partkey as id, p_type || repeat('!', (p_partkey % 97)::int) || repeat('?', (p_partkey // 97)::int) as key, coalesce(nullif(trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'object') as slug, p_size from part),
  h as (select *, sha256(key) as hash from k), old as (select id, key, 'pages/' || id || '.md' as path from h where p_size > 40),
  taken as (select p_type, lower(p_type) || '--' || left(sha256(p_name || p_partkey), 2) || '.md' as path from part where p_size < 5),
  n as (select *, row_number() over (partition by slug order by hash) as r from h where p_size <= 40),
@@ -817,7 +817,7 @@ def catalogue_versions(spark, sf_dir):
 select id, path as page_name, true as known from old union all select free.id, pre.path, false from free join pre on pre.id = free.id and pre.i = free.i""")
 def page_registry(spark, sf_dir):
     """Parts are keys that share the slug of their type: large ones have pages under an old key, names of the smallest are taken by others."""
-    part = read(spark, sf_dir, "part").withColumn("key", F.concat("p_type", F.repeat(F.lit("!"), F.col("p_partkey").cast("int"))))
+    part = read(spark, sf_dir, "part").withColumn("key", F.concat("p_type", F.repeat(F.lit("!"), (F.col("p_partkey") % 97).cast("int")), F.repeat(F.lit("?"), F.floor(F.col("p_partkey") / 97).cast("int"))))
     old = part.where("p_size > 40").select(F.concat(F.lit("pages/"), "p_partkey", F.lit(".md")).alias("path"), F.concat(F.lit("old "), "key").alias("key"))
     taken = part.where("p_size < 5").select(F.concat(F.lower("p_type"), F.lit("--"), F.left(F.sha2(F.concat("p_name", "p_partkey"), 256), F.lit(2)), F.lit(".md")).alias("path"), F.lit("another").alias("key"))
     legacy = part.where("p_size > 40").select(F.concat(F.lit("old "), "key").alias("old"), F.col("key").alias("new"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 @pytest.mark.parametrize("given, want", [
     ("INT8", "bigint"), ("varchar ( 16 )", "character varying(16)"), ("timestamptz", "timestamp with time zone"), ("timestamp(3) with time zone", "timestamp with time zone(3)"),
-    ("float(24)", "real"), ("float(25)", "double precision"), ("Double  Precision", "double precision"), ("numeric(18, 4)", "numeric(18,4)"), ('"char"', '"char"'), ("int[3][]", "integer[3][]"), ("s.my_type", "s.my_type"),
+    ("float(24)", "real"), ("float(25)", "double precision"), ("Double  Precision", "double precision"), ("numeric(18, 4)", "numeric(18,4)"), ('"char"', "pg_catalog.char"), ("pg_catalog.int4", "integer"), ('"pg_catalog"."bool"[]', "boolean[]"), ('pg_catalog.varchar(3)', "character varying(3)"), ('"MyType"', '"MyType"'), ('S."T"', 's."T"'), ("pg_catalog.other", "pg_catalog.other"), ('"int"', "int"), ("int[3][]", "integer[3][]"), ("s.my_type", "s.my_type"),
 ])
 def test_types(given, want):
     assert identity.type_name(given) == want
@@ -18,6 +18,10 @@ def test_arguments():
         "integer", "character varying", "integer[]", "double precision", "timestamp with time zone", "timestamp with time zone", "integer[]"]
     with pytest.raises(ValueError):
         identity.type_name("float(99)")
+    for known in ("pg_catalog.int8", '"text"', "s.mine", "jsonb", "time with time zone", "regclass", "timestamptz(3)", "varchar(3)[]"):
+        assert "(" not in identity.type_name(known, for_identity=True)
+    for unknown in ("mine", '"Mine"', "mine[]"):
+        assert identity.type_name(unknown) and pytest.raises(ValueError, identity.type_name, unknown, for_identity=True)
 
 
 def test_keys_and_names(spark):
