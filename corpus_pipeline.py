@@ -14,27 +14,32 @@ from lodestone.llm.queries import BPE_RANKS, pii_key, table, toxicity_model
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold of a classifier trained on the labels that may be learnt from."""
+    """Documents that score below the threshold of a classifier trained on the labels that may be learnt from. Null and empty texts have the score
+    of a text without evidence; repeated rows stay or go together; other columns, whatever their names, go along; no rows give none."""
     return toxicity.cleaned(spark, docs, toxicity_model(spark, docs, sf_dir))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the smallest doc_id."""
+    """One document of each group: that with the smallest doc_id; of rows that repeat it, any one. Rows with a null doc_id, and texts without
+    words, are no one's duplicates; other columns go along; no rows give none."""
     return minhash.deduplicated(spark, docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null and empty texts hold none; repeated rows stay or go together; other columns go along; no
+    rows give none."""
     return decontaminate.cleaned(spark, docs, table(spark, sf_dir, "benchmark"))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with surrogates in their texts. n_chars stays that of the document as it came in."""
+    """All documents, with surrogates in their texts. n_chars stays that of the document as it came in. Null texts stay null; rows with equal
+    texts get equal ones; other columns go along; no rows give none."""
     return pii.pseudonymised(spark, docs, pii_key(spark)).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and digests of the tokens and of the texts that they decode to."""
+    """doc_id, n_tokens and digests of the tokens and of the texts that they decode to, one row per row. Null and empty texts have no tokens;
+    long ones are encoded in halves; other columns are not read; no rows give none."""
     return bpe.encoded(docs, public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
 
 

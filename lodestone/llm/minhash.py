@@ -397,7 +397,8 @@ def groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
 
 def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Documents with one row left of each group: the one with the smallest doc_id; of rows that repeat it, any one. Rows with a
-    null doc_id, and one row of each id without words, stay. All columns of docs are kept, whatever their names."""
+    null doc_id, and one row of each id without words, stay. All columns of docs are kept, whatever their names. Very long texts take time
+    and memory in proportion; an empty table gives an empty table."""
     found = settle(spark, groups(spark, docs).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("class_id").alias("class_id")), "groups", few=True)
     gone = found.where("doc_id <> class_id").select("doc_id")
     gone = settle(spark, gone, "gone", few=True)

@@ -162,7 +162,8 @@ def scored(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "do
 
 def cleaned(spark: SparkSession, docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """Whole rows of docs that score below the threshold, in their own columns, whatever their names: one scan, no shuffle. Null
-    and empty texts have the score of a text without evidence; repeated rows stay or go together."""
+    and empty texts have the score of a text without evidence; repeated rows stay or go together; very long texts take time and memory in
+    proportion; an empty table gives an empty table."""
     shared = spark.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

@@ -143,7 +143,9 @@ def revisits(spark: SparkSession, pages: DataFrame, least: int = REVISIT_BYTES)
 
 def write(spark: SparkSession, pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write an archive per partition of pages and return the settled table of them: archive, records, bytes. A task
-    that runs twice writes its own file and only the archive of the attempt that ends counts."""
+    that runs twice writes its own file and only the archive of the attempt that ends counts. Null html is an empty payload; a null url or page_id
+    is none when it is read back; repeated rows are records each. A payload is held whole while it is written, however long. Columns are taken by the names
+    that revisits() gives; an empty table gives no archive, or archives without records."""
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +170,8 @@ def write(spark: SparkSession, pages: DataFrame, folder: str | None = None) -> D
 
 
 def read(archives: DataFrame, payloads: bool = True, flush: int = 256) -> DataFrame:
-    """The records of the archives named in `archive`, in file order; a record that breaks the format fails the query."""
+    """The records of the archives named in `archive`, in file order; a record that breaks the format fails the query.
+    Payloads are held one at a time; without archives, or with empty ones, there are no rows. `archive` is the only column that is read."""
     schema = ROWS if payloads else T.StructType(ROWS.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
