@@ -10,7 +10,7 @@ from urllib.parse import unquote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.storage import settled
@@ -37,11 +37,25 @@ def recorded(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
 
 
+def files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length, content) of all files below a folder, hidden ones left out. Spark's scan gives no row for an empty file; those come from
+    the list of files, which the driver makes for any scan."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    plain = lambda df: df.withColumn("path", F.regexp_replace("path", "^file:/*", "file:/"))
+    names = spark.createDataFrame([(unquote(x),) for x in found.inputFiles()], "path string")
+    rows = plain(names).join(plain(found.select("path", "length", "content")), "path", "left")
+    return rows.select("path", F.coalesce("length", F.lit(0)).cast("bigint").alias("length"), F.coalesce("content", F.lit(b"")).alias("content"))
+
+
+def named(folder: str) -> Column:
+    """A file's path from the folder on."""
+    root = F.regexp_replace(F.lit(folder), "^file:/*|/+$", "")
+    return F.replace(F.regexp_replace("path", "^file:/*", ""), F.concat(F.regexp_replace(root, "^/+", ""), F.lit("/")), F.lit(""))
+
+
 def drifted(spark: SparkSession, ledger: DataFrame, folder: str) -> DataFrame:
     """ledger (name, sha256) against the files below a folder: (name, reason) of those that changed or are missing."""
-    root = F.regexp_replace(F.lit(folder), "^file:/*|/+$", "")
-    now = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    now = now.select(F.replace(F.regexp_replace("path", "^file:/*", ""), F.concat(F.regexp_replace(root, "^/+", ""), F.lit("/")), F.lit("")).alias("name"), F.sha2("content", 256).alias("now"))
+    now = files(spark, folder).select(named(folder).alias("name"), F.sha2("content", 256).alias("now"))
     rows = ledger.join(now, "name", "left").where(~F.col("now").eqNullSafe(F.col("sha256")))
     return rows.select("name", F.when(F.col("now").isNull(), "source_missing").otherwise("source_changed").alias("reason"))
 
@@ -81,10 +95,7 @@ def archive_problems(records: DataFrame, documented: DataFrame, manifests: DataF
 
 def ledger(spark: SparkSession, folder: str) -> DataFrame:
     """(name from the folder, sha256, bytes) of the files below it: what drifted() compares with."""
-    root = F.regexp_replace(F.lit(folder), "^file:/*|/+$", "")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    name = F.replace(F.regexp_replace("path", "^file:/*", ""), F.concat(F.regexp_replace(root, "^/+", ""), F.lit("/")), F.lit(""))
-    return files.select(name.alias("name"), F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("bigint").alias("bytes"))
+    return files(spark, folder).select(named(folder).alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
 
 
 #: Bytes of files that a task copies, about; and of one file that it holds at a time.
@@ -95,11 +106,8 @@ def copied(spark: SparkSession, folder: str, destination: str) -> DataFrame:
     """Copy the files below a folder to another, in tasks of about TASK_BYTES: (name, sha256, bytes, copy_sha256) of each, from a
     written table. A file streams into a hidden one beside its place, which is read back and then gets its name: a task that breaks leaves no half
     file under a name, and may run again. Both folders must be open to executors through pyarrow.fs (local and shared disks, HDFS, S3)."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    names = spark.createDataFrame([(unquote(x),) for x in found.inputFiles()], "path string")  # the driver lists files as for any read; rows leave empty ones out
-    plain = lambda df: df.withColumn("path", F.regexp_replace("path", "^file:/*", "file:/"))
-    files = plain(names).join(plain(found.select("path", "length")), "path", "left")  # without contents
-    total, n = files.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
+    listed = files(spark, folder).select("path", "length")  # without contents
+    total, n = listed.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
     base, out = (x if "://" in x or x.startswith("file:") else f"file://{x}" for x in (folder.rstrip("/"), destination.rstrip("/")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +143,7 @@ def copied(spark: SparkSession, folder: str, destination: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)], ["name", "sha256", "bytes", "copy_sha256"])
 
     tasks = max(1, min(n, -(-total // TASK_BYTES)))
-    dealt = files.select("path").repartition(tasks, F.xxhash64("path"))
+    dealt = listed.select("path").repartition(tasks, F.xxhash64("path"))
     return settled(spark, dealt.mapInArrow(run, "name string, sha256 string, bytes long, copy_sha256 string"), "copied")
 
 

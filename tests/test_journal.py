@@ -56,6 +56,7 @@ def test_verified_copy(spark, tmp_path, monkeypatch, capsys):
     with pytest.raises(ValueError, match="differs: d0/f 4.bin"):
         artifacts.saved(spark, source, str(other), ledger.where("name <> 'd0/f 4.bin'"))
     assert not other.exists()
+    assert artifacts.drifted(spark, ledger, source).count() == 0 and artifacts.ledger(spark, source).where("bytes = 0").count() == 1  # an empty file is there
     ledger.write.parquet(f"{tmp_path}/ledger")
     assert main(["bundle", source, f"{tmp_path}/ledger", "--save", str(other)]) == 0 and json.loads(capsys.readouterr().out)["files"] == len(files)
 
