@@ -155,7 +155,7 @@ def broken_links(issues: DataFrame) -> DataFrame:
 
 def decided_at(decisions: DataFrame) -> DataFrame:
     """decisions with `at`: timestamp, else generated_at, else issued_at."""
-    return decisions.withColumn("at", F.coalesce("timestamp", "generated_at", "issued_at"))
+    return decisions.withColumn("at", F.coalesce(*gate.TIMES))
 
 
 def cache_statistics(entries: DataFrame) -> DataFrame:

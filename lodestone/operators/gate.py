@@ -152,6 +152,10 @@ class _Free:
         return None
 
 
+#: Where a decision says when it was made, the first that it has.
+TIMES = ("timestamp", "generated_at", "issued_at")
+
+
 def evidence_problems(refs: DataFrame, ledger: DataFrame) -> DataFrame:
     """refs (run_id, fact_id, root, path, start_line, end_line, sha256) against ledger (root, path, sha256, n_lines): rows with
     the first problem of each: absent path, lines, hash, file, drift, range."""
@@ -226,10 +230,15 @@ def access(dependencies: DataFrame, pattern: str, matrix: DataFrame) -> DataFram
 
 
 def metrics(decisions: DataFrame, transactions: DataFrame, mutations: DataFrame) -> DataFrame:
-    """One row: decisions by verdict and the first timestamp, blocking totals of ready ones, publishes per page (rolled-back
+    """One row: decisions by verdict, when the first was ready (at its timestamp, else generated_at, else issued_at, of those that decisions
+    have), blocking totals of ready ones (blocking_defects: how many, or a list of them), publishes per page (rolled-back
     ones count, catalogue rebuilds do not), and the rate of mutations that passed as ready."""
     of = lambda d: F.count_if(F.col("decision") == d)
-    d = decisions.agg(of("ready").alias("ready"), of("revise").alias("revise"), of("blocked").alias("blocked"), F.min("timestamp").alias("first"), F.coalesce(F.sum(F.when(F.col("decision") == "ready", F.col("blocking_defects"))), F.lit(0)).alias("ready_blocking"))
+    listed = decisions.schema["blocking_defects"].dataType.typeName() == "array"
+    defects = F.greatest(F.size("blocking_defects"), F.lit(0)).cast("bigint") if listed else F.col("blocking_defects")
+    at = F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in TIMES if c in decisions.columns))
+    ready = F.col("decision") == "ready"
+    d = decisions.agg(of("ready").alias("ready"), of("revise").alias("revise"), of("blocked").alias("blocked"), F.min(F.when(ready, at)).alias("first"), F.coalesce(F.sum(F.when(ready, defects)), F.lit(0)).alias("ready_blocking"))
     t = transactions.where("kind <> 'catalogue' and state in ('committed', 'rolled_back')").agg(F.count("*").alias("publishes"), F.try_divide(F.count("*"), F.count_distinct("page_id")).alias("mean_iterations"))
     m = mutations.agg(F.avg(F.coalesce("false_ready", F.col("decision") == "ready").cast("double")).alias("error_rate"))
     one = lambda df: df.withColumn("_one", F.lit(1))

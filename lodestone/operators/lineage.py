@@ -78,6 +78,18 @@ def index(pages: DataFrame, files: DataFrame) -> DataFrame:
     return pages.join(now, "page_id", "left").withColumn("page_state", state).drop("_now")
 
 
+#: How pages that nothing manages name their key.
+LEGACY_KEY = r"(?iu)(?:canonical_key|canonical key|канонический ключ|ключ)\s*[:|]\**\s*`?([^`\n|]+)"
+
+
+def legacy(files: DataFrame, pages: DataFrame) -> DataFrame:
+    """files (page_id, text) that are no managed page (pages: page_id) and no index: (page_id, status, key) as legacy pages, with the key that
+    their text names first (null where it names none). Null texts name none; paths with a hidden folder are no pages."""
+    own = files.where(~F.rlike("page_id", F.lit(r"(^|/)\.")) & (F.col("page_id") != "index.md")).join(pages.select("page_id").distinct(), "page_id", "left_anti")
+    key = F.nullif(F.trim(F.regexp_extract(F.coalesce("text", F.lit("")), LEGACY_KEY, 1)), F.lit(""))
+    return own.select("page_id", F.lit("legacy").alias("status"), key.alias("key"))
+
+
 def outdated(inputs: DataFrame, files: DataFrame) -> DataFrame:
     """inputs (page_id, root, path, sha256) against files (root, path, sha256, readable): one row per input that drifted."""
     roots = files.select("root").distinct().withColumn("_root", F.lit(True))

@@ -96,15 +96,18 @@ def freshness_percent(spark, sf_dir):
 
 
 @query("""select (select count(*) filter (where o_orderstatus = 'F') from orders) as ready, (select count(*) filter (where o_orderstatus = 'O') from orders) as revise,
-  (select count(*) filter (where o_orderstatus = 'P') from orders) as blocked, (select min(o_orderdate)::date::varchar from orders) as first,
+  (select count(*) filter (where o_orderstatus = 'P') from orders) as blocked, (select min(case when o_orderpriority > '3' then o_orderdate when o_totalprice > 1000 then o_orderdate + interval 1 day end) filter (where o_orderstatus = 'F')::date::varchar from orders) as first,
   (select coalesce(sum(o_custkey % 3) filter (where o_orderstatus = 'F'), 0)::bigint from orders) as ready_blocking,
   count(*) filter (where event_type in ('click', 'purchase')) as publishes,
   count(*) filter (where event_type in ('click', 'purchase')) * 1.0 / nullif(count(distinct user_id) filter (where event_type in ('click', 'purchase')), 0) as mean_iterations,
   (select avg(case when toxic is not null then toxic when quality = 1 then 1.0 else 0.0 end) from labels) as error_rate from events""")
 def gate_metrics(spark, sf_dir):
-    """Orders are decisions, events transactions of their users' pages, labels mutations."""
-    state = F.col("o_orderstatus")
-    decisions = read(spark, sf_dir, "orders").select(F.when(state == "F", "ready").when(state == "O", "revise").when(state == "P", "blocked").alias("decision"), F.col("o_orderdate").cast("date").cast("string").alias("timestamp"), (F.col("o_custkey") % 3).cast("bigint").alias("blocking_defects"))
+    """Orders are decisions, some without a timestamp and some without any time, events transactions of their users' pages, labels mutations."""
+    state, day = F.col("o_orderstatus"), F.col("o_orderdate").cast("date")
+    decisions = read(spark, sf_dir, "orders").select(
+        F.when(state == "F", "ready").when(state == "O", "revise").when(state == "P", "blocked").alias("decision"), F.when(F.col("o_orderpriority") > "3", day.cast("string")).alias("timestamp"),
+        F.when(F.col("o_totalprice") > 1000, F.date_add(day, 1).cast("string")).alias("issued_at"), F.filter(F.array(F.lit(1), F.lit(2)), lambda x: x <= F.col("o_custkey") % 3).alias("blocking_defects"),
+    )
     kind = F.col("event_type")
     moves = read(spark, sf_dir, "events").select(F.when(kind == "view", "catalogue").otherwise("publish").alias("kind"), F.when(kind == "click", "committed").when(kind == "purchase", "rolled_back").otherwise("prepared").alias("state"), F.col("user_id").alias("page_id"))
     mutations = read(spark, sf_dir, "labels").select((F.col("toxic") == 1).alias("false_ready"), F.when(F.col("quality") == 1, "ready").otherwise("revise").alias("decision"))
@@ -847,6 +850,16 @@ def column_problems(spark, sf_dir):
     return column_types.problems_at(maps, given, part).select("id", F.col("scope").alias("line"), "position", "problem")
 
 
+@query("""with f as (select 'p' || p_partkey || '.md' as page_id, case when p_size < 10 then p_name when p_size < 30 then p_name || chr(10) || 'Canonical Key: `' || p_type || '+' || p_partkey || '`' else '| Ключ | ' || p_brand || ' | ключ: x' end as text from part)
+select page_id, 'legacy' as status, nullif(trim(regexp_extract(text, '(?i)(?:canonical_key|canonical key|канонический ключ|ключ)\\s*[:|]\\**\\s*`?([^`\\n|]+)', 1)), '') as key from f where page_id not in (select 'p' || s_suppkey || '.md' from supplier)""")
+def legacy_pages(spark, sf_dir):
+    """Parts are pages that name their key in one way or another, or none; suppliers' are managed."""
+    n = F.col("p_size")
+    text = F.when(n < 10, F.col("p_name")).when(n < 30, F.concat("p_name", F.lit("\nCanonical Key: `"), "p_type", F.lit("+"), "p_partkey", F.lit("`"))).otherwise(F.concat(F.lit("| Ключ | "), "p_brand", F.lit(" | ключ: x")))
+    page = lambda c: F.concat(F.lit("p"), c, F.lit(".md")).alias("page_id")
+    return lineage.legacy(read(spark, sf_dir, "part").select(page("p_partkey"), text.alias("text")), read(spark, sf_dir, "supplier").select(page("s_suppkey")))
+
+
 @query("""select case event_type when 'view' then 'query' when 'click' then 'lint' when 'purchase' then 'publish' when 'error' then 'error' else 'plan' end as stage, count(*) as events, count(distinct user_id) as runs from events group by 1""")
 def journal_events(spark, sf_dir):
     """Events are written twice, as by a writer that tries again, and count once."""

@@ -96,6 +96,9 @@ def test_access_and_metrics(spark):
     t = spark.createDataFrame([("publish", "committed", "p"), ("publish", "rolled_back", "p"), ("catalogue", "committed", None), ("publish", "prepared", "q")], "kind string, state string, page_id string")
     m = spark.createDataFrame([(None, "ready"), (False, "ready"), (None, "revise"), (None, "blocked")], "false_ready boolean, decision string")
     r = gate.metrics(d, t, m).first()
-    assert (r["ready"], r["blocked"], r["first"], r["ready_blocking"], r["publishes"], r["mean_iterations"], r["error_rate"]) == (1, 1, "1", 0, 2, 2.0, 0.25)
+    assert (r["ready"], r["blocked"], r["first"], r["ready_blocking"], r["publishes"], r["mean_iterations"], r["error_rate"]) == (1, 1, "2", 0, 2, 2.0, 0.25)  # only a ready decision says when the first was ready
+    lists = spark.createDataFrame([("ready", ["a", "b"], None, "9"), ("ready", None, "", "8"), ("ready", [], "7x", None), ("revise", ["c"], "1", "1")], "decision string, blocking_defects array<string>, timestamp string, generated_at string")
+    r = gate.metrics(lists, t, m).first()
+    assert (r["ready"], r["first"], r["ready_blocking"]) == (3, "7x", 2)
     runs = spark.createDataFrame([("s", 1, "h", "ready", []), ("s", 2, "h", "ready", []), ("t", 1, "h", "ready", []), ("t", 2, "i", "ready", [])], "subject string, repeat int, facts_sha256 string, decision string, errors array<string>")
     assert {r["subject"]: r["variants"] for r in gate.repeated_subjects(runs).collect()} == {"s": 1, "t": 2}

@@ -102,3 +102,9 @@ def test_outdated(spark):
     inputs = spark.createDataFrame([("p", "project", n, "h") for n in ("same", "other", "gone", "shut")] + [("p", "elsewhere", "a", "h")], "page_id string, root string, path string, sha256 string")
     files = spark.createDataFrame([("project", "same", "h", True), ("project", "other", "i", True), ("project", "shut", None, False)], "root string, path string, sha256 string, readable boolean")
     assert {(r["path"], r["reason"]) for r in lineage.outdated(inputs, files).collect()} == {("other", "source_changed"), ("gone", "source_missing"), ("shut", "source_unreadable"), ("a", "project_root_unavailable")}
+
+
+def test_legacy_pages(spark):
+    files = [("a.md", "x\nCanonical key: `table+s+t`\n"), ("b.md", "| КЛЮЧ | view+s+v | x"), ("c.md", "canonical_key:** function+s+f() \nКлюч: later"), ("d.md", None), ("e.md", "no key"), ("index.md", "Key"), (".tmp/f.md", "Ключ: x"), ("m.md", "Ключ: x")]
+    got = {r["page_id"]: r["key"] for r in lineage.legacy(spark.createDataFrame(files, "page_id string, text string"), spark.createDataFrame([("m.md",)], "page_id string")).collect()}
+    assert got == {"a.md": "table+s+t", "b.md": "view+s+v", "c.md": "function+s+f()", "d.md": None, "e.md": None}
