@@ -26,7 +26,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def source_bytes(df: DataFrame) -> int:
-    """Bytes of the files that the rows are read from, as the scans of the plan know them; a file that is read twice counts twice."""
+    """Bytes of the files that the rows are read from, as the scans of the plan know them; a file that is read twice counts twice, and rows that
+    come from elsewhere may count as more than there are."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
 
@@ -42,7 +43,7 @@ def settled(spark: SparkSession, df: DataFrame, name: str, few: bool = False) ->
     which whoever adds up processes counts twice."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     if few:
-        df = df.coalesce(max(FILES_PER_CORE * spark.sparkContext.defaultParallelism, -(-source_bytes(df) // FILE_BYTES)))
+        df = df.coalesce(min((1 << 31) - 1, max(FILES_PER_CORE * spark.sparkContext.defaultParallelism, -(-source_bytes(df) // FILE_BYTES))))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
