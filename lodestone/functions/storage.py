@@ -26,10 +26,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def source_bytes(df: DataFrame) -> int:
-    """Bytes of the files that the rows are read from, as the scans of the plan know them; a file that is read twice counts twice, and rows that
-    come from elsewhere may count as more than there are."""
+    """Bytes of the files that the rows are read from, as the scans of the plan know them; a file that is read twice counts twice. Rows
+    from elsewhere, whose size no one knows (the plan gives them the largest number there is), do not count."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(n for n in sizes if n < 1 << 62)
 
 
 def settled(spark: SparkSession, df: DataFrame, name: str, few: bool = False) -> DataFrame:

@@ -19,5 +19,5 @@ def test_tasks_follow_bytes_and_not_cores(spark, tmp_path, monkeypatch):
     out = storage.settled(spark, rows, "few", few=True)
     assert files(out) == 40 and out.count() == 200_000  # every partition of the shuffle on its own
     assert files(storage.settled(spark, rows, "all")) == 40
-    unknown = spark.createDataFrame([(1,)], "id long").repartition(7, "id")  # rows of unknown size: no partition is put to another
-    assert storage.settled(spark, unknown, "few", few=True).count() == 1
+    unknown = spark.createDataFrame([(1,)], "id long").repartition(7, "id")  # rows of unknown size: few files
+    assert storage.source_bytes(unknown) == 0 and storage.settled(spark, unknown, "few", few=True).count() == 1
