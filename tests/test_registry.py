@@ -68,3 +68,17 @@ def test_slugs(spark):
     keys = ["function+core+orders_summary+(bigint)", "a)b", "--", "", "x" * 79 + "-y" * 5, "Été"]
     got = spark.createDataFrame([(k,) for k in keys], "k string").select(T.slug(F.col("k"))).collect()
     assert [r[0] for r in got] == [slug(k) for k in keys]
+
+
+def test_keys_of_any_length_move_as_hashes(spark):
+    """No join, grouping or window of a batch carries a key: only its slug and its hash, so that a broadcast is no longer than the planner thinks."""
+    rows = spark.range(40).select("id", F.concat(F.lit("k"), F.repeat(F.lit("!"), (F.col("id") * 10_000).cast("int"))).alias("key"))
+    reg = rows.where("id < 10").select(F.concat(F.lit("p/"), "id", F.lit(".md")).alias("path"), F.concat(F.lit("old "), "key").alias("key"))
+    named = registry.resolved(rows, reg, rows.where("id < 10").select(F.concat(F.lit("old "), "key").alias("old"), F.col("key").alias("new")), first=2)
+    assert named.columns == ["key", "id", "page_name", "known"]
+    got = {r["id"]: r["page_name"] for r in named.select("id", "page_name", "known").collect()}
+    want = brute(keys := ["k" + "!" * 10_000 * i for i in range(40)], {f"p/{i}.md": "old " + k for i, k in enumerate(keys[:10])}, {"old " + k: k for k in keys[:10]}, 2)
+    assert got == {i: want[k] for i, k in enumerate(keys)}
+    plan = named.select("id", "page_name", "known")._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if re.search("Join|Aggregate|Window|Sort", line)]
+    assert joins and not [line for line in joins if re.search(r"\b(key|old|new)#", line)], joins
