@@ -145,6 +145,13 @@ def folded(project: str, files: list[tuple[int | None, str | None]]) -> list[tup
     return rows or [(project, status, reason, None, None, None, None, None, None)]
 
 
+def _dealt(files: DataFrame) -> DataFrame:
+    """(path, sql), dealt to all cores: a walk takes far longer than reading its text, and a table of many files may be one small split.
+    Rows of one path, or of none, are dealt by their text too."""
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return files.select("path", "sql").repartition(4 * cores, "path", "sql")
+
+
 def inventoried(files: DataFrame) -> DataFrame:
     """files (path, sql) -> one row per statement: path, line, ordinal within its kind, kind, target."""
     schema = "path string, line int, kind string, ordinal int, target string"
@@ -164,7 +171,7 @@ def inventoried(files: DataFrame) -> DataFrame:
                     out.append((path, line, kind, seen[kind], t[1].lower() if t else None))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
 
-    return files.select("path", "sql").mapInPandas(run, schema)
+    return _dealt(files).mapInPandas(run, schema)
 
 
 #: A text goes through the walk in one piece: a file is one row.
@@ -173,13 +180,14 @@ CONSTRUCTS = "path string, scope string, construct string, ordinal int, start_li
 
 def walked(files: DataFrame) -> DataFrame:
     """files (path, sql) -> one row per construct, with what it reads, writes and calls and the branch that it stands in."""
+    dealt = _dealt(files)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(p, *r) for p, q in zip(batch["path"], batch["sql"], strict=True) for r in constructs(q or "")[0]]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in CONSTRUCTS.split(", ")])
 
-    return files.select("path", "sql").mapInPandas(run, CONSTRUCTS)
+    return dealt.mapInPandas(run, CONSTRUCTS)
 
 
 # Constructs that declare a relation, and all that declare an object.
@@ -218,7 +226,7 @@ def notes(files: DataFrame) -> DataFrame:
             rows = [(p, *n) for p, q in zip(batch["path"], batch["sql"], strict=True) for n in constructs(q or "")[1]]
             yield pd.DataFrame(rows, columns=["path", "line", "reason"])
 
-    return files.select("path", "sql").mapInPandas(run, "path string, line int, reason string")
+    return _dealt(files).mapInPandas(run, "path string, line int, reason string")
 
 
 def conflicting(columns: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import json
 import pytest
 from lodestone.operators import ddl
 from lodestone.sources.sql_walk import constructs
+from pyspark.sql import functions as F
 
 
 def rows(sql):
@@ -91,3 +92,11 @@ def test_tables(spark):
     calls = spark.createDataFrame([("c", "f"), ("c", "g"), ("c", "h")], "caller string, callee string")
     routines = spark.createDataFrame([("f", ["r"], []), ("g", ["x"], []), ("g", ["y"], [])], "name string, reads array<string>, writes array<string>")
     assert {r["callee"]: r["reads"] for r in ddl.inherited_effects(calls, routines).collect()} == {"f": ["r"], "g": None, "h": None}
+
+
+def test_files_of_one_split_are_dealt_to_many_tasks(spark):
+    """A small table of many files is one split, and a walk takes far longer than a read."""
+    files = spark.range(200).selectExpr("concat('f', id, '.sql') as path", "'select a.x from raw.a' as sql").coalesce(1)
+    for walked in (ddl.walked(files), ddl.inventoried(files), ddl.notes(files.selectExpr("path", "'select * from raw.a' as sql"))):
+        got = walked.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert sum(r["count"] for r in got) == 200 and len(got) > spark.sparkContext.defaultParallelism
