@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions.identity import type_name
+from lodestone.functions.storage import settled
 from lodestone.sources.sql_text import expression_key, masked
 
 # Functions whose results have one type.
@@ -111,12 +112,14 @@ def complete(shown: DataFrame, columns: DataFrame) -> DataFrame:
 def assigned(statements: DataFrame) -> DataFrame:
     """statements (path, scope, id, at, target, columns, expressions, sets) -> (path, scope, id, at, target, position, column, expression):
     the lists of an INSERT, of an INSERT branch of a MERGE or of INTO and its select list, which meet by place as far as the shorter goes, and `sets` (column,
-    expression), what an UPDATE or an UPDATE branch sets. Empty and null lists have no rows."""
-    out = ["path", "scope", "id", "at", "target"]
-    pairs = F.slice(F.arrays_zip("columns", "expressions"), 1, F.greatest(F.least(F.size("columns"), F.size("expressions")), F.lit(0)))
+    expression), what an UPDATE or an UPDATE branch sets. Empty and null lists have no rows. Statements may bring the types of their expressions, null where
+    not established: `types` beside the lists, and `type` in `sets`; the rows then have type."""
+    out, typed = ["path", "scope", "id", "at", "target"], "types" in statements.columns
+    more = [F.coalesce("types", F.array().cast("array<string>")).alias("types")] if typed else []
+    pairs = F.slice(F.arrays_zip("columns", "expressions", *more), 1, F.greatest(F.least(F.size("columns"), F.size("expressions")), F.lit(0)))
     lists = statements.where((F.size("columns") > 0) & (F.size("expressions") > 0)).select(*out, F.posexplode(pairs).alias("position", "p"))
-    lists = lists.select(*out, (F.col("position") + 1).alias("position"), F.col("p.columns").alias("column"), F.col("p.expressions").alias("expression"))
-    sets = statements.select(*out, F.posexplode("sets").alias("position", "p")).select(*out, (F.col("position") + 1).alias("position"), "p.column", "p.expression")
+    lists = lists.select(*out, (F.col("position") + 1).alias("position"), F.col("p.columns").alias("column"), F.col("p.expressions").alias("expression"), *[F.col("p.types").alias("type")] * typed)
+    sets = statements.select(*out, F.posexplode("sets").alias("position", "p")).select(*out, (F.col("position") + 1).alias("position"), "p.column", "p.expression", *["p.type"] * typed)
     return lists.unionByName(sets)
 
 
@@ -137,24 +140,28 @@ def as_of(uses: DataFrame, changes: DataFrame) -> DataFrame:
     place left. Places grow in the order in which statements and changes take effect.
 
     Uses meet the starts of their column's runs, and then the one run that they need, by equi-joins, whose hot keys adaptive execution splits (or
-    by broadcasts, where histories are small): no range join, no sort of the uses, and of n changes a use looks at two roots of n."""
-    starts, runs = histories(changes)
-    tables = changes.where("type is not null").groupBy("table").agg(F.min("at").alias("_from"))
+    by broadcasts, where histories are small): no range join, no sort of the uses, and of n changes a use looks at two roots of n. Histories are written first: by their true
+    size the planner sees which are small, and uses are not shuffled for those."""
+    spark = uses.sparkSession
+    starts, runs = (settled(spark, x, "history") for x in histories(changes))
+    tables = settled(spark, changes.where("type is not null").groupBy("table").agg(F.min("at").alias("_from")), "tables")
     rows = uses.join(starts, ["table", "column"], "left").join(tables, "table", "left")
     rows = rows.withColumn("run", F.size(F.filter("starts", lambda x: x <= F.col("at"))) - 1).join(runs, ["table", "column", "run"], "left")
     rows = rows.withColumn("type", F.try_element_at(F.filter("spans", lambda x: x["at"] <= F.col("at")), F.lit(-1))["type"])
     return rows.withColumns({"present": F.col("type").isNotNull(), "known": F.coalesce(F.col("_from") <= F.col("at"), F.lit(False))}).drop("starts", "run", "spans", "_from")
 
 
-def problems_at(mappings: DataFrame, types: DataFrame, changes: DataFrame) -> DataFrame:
-    """mappings of assigned(), types (path, scope, id, position, type; null: not established) of what fills them, and changes -> (path, scope,
+def problems_at(mappings: DataFrame, types: DataFrame | None, changes: DataFrame) -> DataFrame:
+    """mappings of assigned(), types (path, scope, id, position, type; null: not established) of what fills them (None: mappings have
+    them, as assigned() gives them), and changes -> (path, scope,
     id, at, target, position, column, problem): each statement against the columns as they were at its place. unknown_column: the
     table had no such column then (dropped_column: it had it before); type_mismatch: both types are known and differ. Statements on a table
     that nothing has defined by then have no problems."""
     by = ["path", "scope", "id", "position"]
-    rows = mappings.withColumnRenamed("target", "table").join(types.select(*by, F.col("type").alias("_given")), by, "left")
+    rows = mappings.withColumnRenamed("target", "table")
+    rows = rows.withColumnRenamed("type", "_given") if types is None else rows.join(types.select(*by, F.col("type").alias("_given")), by, "left")
     rows = as_of(rows, changes).where("known")
-    before = changes.where("type is not null").groupBy("table", "column").agg(F.min("at").alias("_first"))
+    before = settled(rows.sparkSession, changes.where("type is not null").groupBy("table", "column").agg(F.min("at").alias("_first")), "first")
     rows = rows.join(before, ["table", "column"], "left")
     absent = F.when(F.col("_first") <= F.col("at"), "dropped_column").otherwise("unknown_column")
     problem = F.when(~F.col("present"), absent).when(F.col("_given") != F.col("type"), "type_mismatch")

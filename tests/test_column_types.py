@@ -150,3 +150,30 @@ def test_columns_as_of_a_place_equal_brute_force(spark):
     got = {(r["id"], r["position"], r["column"], r["problem"]) for r in typing.problems_at(maps, types, df).collect()}
     assert got == want and {x[3] for x in want} == {"dropped_column", "unknown_column", "type_mismatch"}
     assert typing.problems_at(maps, types, df.limit(0)).count() == 0
+
+
+def test_types_that_statements_bring_need_no_join(spark):
+    kind = "path string, scope string, id long, at long, target string, columns array<string>, expressions array<string>, types array<string>, sets array<struct<column:string,expression:string,type:string>>"
+    rows = spark.createDataFrame([("f", "s", 1, 5, "t", ["a", "b", "gone"], ["x", "y", "z"], ["text", None], []), ("f", "s", 2, 5, "t", ["a"], ["x"], None, [("b", "y", "text"), ("c", "z", "text")])], kind)
+    changes = spark.createDataFrame([("t", "a", 1, "integer"), ("t", "b", 1, "integer"), ("t", "gone", 1, "text"), ("t", "gone", 4, None)], "table string, column string, at long, type string")
+    maps = typing.assigned(rows)
+    brought = typing.problems_at(maps, None, changes)
+    want = {(1, 1, "a", "type_mismatch"), (1, 3, "gone", "dropped_column"), (2, 1, "b", "type_mismatch"), (2, 2, "c", "unknown_column")}
+    assert {(r["id"], r["position"], r["column"], r["problem"]) for r in brought.collect()} == want and brought.count() == 4
+    plan = brought._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan  # uses stay where they are
+
+
+def test_uses_are_not_shuffled_for_small_histories_of_large_tables(spark, tmp_path):
+    """Of a table that is too large for a broadcast come histories that are small: only when written does the planner know."""
+    spark.range(300_000).selectExpr("'t' as table", "concat('c', id % 3) as column", "id % 50 as at", "'text' as type", "sha2(cast(id as string), 256) as more").write.parquet(f"{tmp_path}/t")
+    changes = spark.read.parquet(f"{tmp_path}/t").where("length(more) = 64")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    try:
+        uses = spark.range(100).selectExpr("'t' as table", "concat('c', id % 4) as column", "id as at")
+        out = typing.as_of(uses, changes.drop("more"))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and out.where("present").count() == 75
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
