@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import forget, passes, settle, text_column
+from lodestone.llm.common import forget, passes, settle
 
 ORDERS = (3, 4, 5, 6)  # characters in an n-gram
 SPACE_BITS = 20  # n-grams are hashed to 2 ** SPACE_BITS features
@@ -27,6 +27,8 @@ MAX_FEATURES = 1 << 15
 #: Log-likelihood ratio of its counts that a feature needs (a million features are tried).
 MIN_GAIN = 10
 THRESHOLD = 0.3
+#: Training takes so many texts apart, weighs so many features and steps through so many texts at a time.
+STEP, SLICE, BLOCK = 8, 1 << 16, 256
 
 
 @dataclass
@@ -72,46 +74,66 @@ def found(texts: list[str], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(texts: list[str], toxic: np.ndarray, rounds: int = 400, ridge: float = 1e-4) -> Model:
-    """Without labels of both kinds the model is the share of toxic labels (a half without labels)."""
+    """Without labels of both kinds the model is the share of toxic labels (a half without labels).
+
+    It is fitted on the driver: a few texts are taken apart at a time, features are weighed a slice at a time, and of each text only its
+    known features are held, in two bytes each."""
     n, bits = len(texts), 1 << SPACE_BITS
     share = (toxic.sum() + 0.5) / (n + 1)
     plain = Model(np.zeros(bits, np.uint16), np.zeros(1), float(np.log(share / (1 - share))))
     if not n or toxic.min() == toxic.max():
         return plain
-    everything = np.arange(1, bits + 1)
-    count = np.zeros((2, bits))
-    step = 64
-    for i in range(0, n, step):
-        text, feature = found(texts[i : i + step], everything)
+
+    def parts(place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i in range(0, n, STEP):
+            text, feature = found(texts[i : i + STEP], place)
+            yield text + i, feature
+
+    count = np.zeros((2, bits), np.int32)
+    for text, feature in parts(np.arange(1, bits + 1, dtype=np.int32)):
         for k in (0, 1):
-            count[k] += np.bincount(feature[toxic[i + text] == k], minlength=bits)
+            np.add.at(count[k], feature[toxic[text] == k], 1)
     size = np.array([(toxic == k).sum() for k in (0, 1)], float)
-    p, q = (count[1] + 1) / (size[1] + 2), (count[0] + 1) / (size[0] + 2)
-    ratio = np.log(p / q)
-    total, expected = count.sum(0), count.sum(0) * size[1] / n
-    with np.errstate(divide="ignore", invalid="ignore"):  # the evidence: a log-likelihood ratio of the counts
-        gain = np.nan_to_num(count[1] * np.log(count[1] / expected)) + np.nan_to_num(count[0] * np.log(count[0] / (total - expected)))
-    gain[total < min(3, n)] = 0
-    keep = np.argsort(-gain, kind="stable")[: min(MAX_FEATURES, int((gain > MIN_GAIN).sum()))]
+    able, worth = [], []
+    for first in range(0, bits, SLICE):
+        part = count[:, first : first + SLICE].astype(float)
+        total, expected = part.sum(0), part.sum(0) * size[1] / n
+        with np.errstate(divide="ignore", invalid="ignore"):  # the evidence: a log-likelihood ratio of the counts
+            gain = np.nan_to_num(part[1] * np.log(part[1] / expected)) + np.nan_to_num(part[0] * np.log(part[0] / (total - expected)))
+        gain[total < min(3, n)] = 0
+        able.append(np.flatnonzero(gain > MIN_GAIN) + first)
+        worth.append(gain[able[-1] - first])
+    keep = np.concatenate(able)[np.argsort(-np.concatenate(worth), kind="stable")[:MAX_FEATURES]]
     if not len(keep):
         return plain
     place = np.zeros(bits, np.uint16)
     place[keep] = np.arange(1, len(keep) + 1)
-    r = ratio[keep]
-    rows, cols = [], []
-    for i in range(0, n, step):
-        text, feature = found(texts[i : i + step], place)
-        rows.append(text + i)
-        cols.append(feature)
-    rows, cols = np.concatenate(rows), np.concatenate(cols)
-    norm = np.sqrt(np.maximum(np.bincount(rows, minlength=n), 1.0))
-    x = r[cols] / norm[rows]
+    p, q = (count[1, keep] + 1) / (size[1] + 2), (count[0, keep] + 1) / (size[0] + 2)
+    r = np.log(p / q)
+    del count
+    cols, known = [], np.zeros(n, np.int64)
+    for text, feature in parts(place):
+        cols.append(feature.astype(np.uint16))
+        known += np.bincount(text, minlength=n)
+    cols, norm = np.concatenate(cols), np.sqrt(np.maximum(known, 1.0))
+    ends = np.concatenate([[0], np.cumsum(known)])
+
+    def blocks() -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """The first and last of some texts, and of each of their features its text (from 0), place and value."""
+        for i in range(0, n, BLOCK):
+            j = min(n, i + BLOCK)
+            row, col = np.repeat(np.arange(j - i), known[i:j]), cols[ends[i] : ends[j]].astype(np.intp)
+            yield i, j, row, col, r[col] / norm[i:j][row]
+
     w, bias = np.zeros(len(keep)), plain.bias
     m = v = np.zeros(len(keep) + 1)
     for t in range(1, rounds + 1):  # Adam on the logistic loss
-        z = np.bincount(rows, weights=x * w[cols], minlength=n) + bias
-        e = 1 / (1 + np.exp(-z)) - toxic
-        g = np.append(np.bincount(cols, weights=x * e[rows], minlength=len(keep)) / n + ridge * w, e.mean())
+        e, g = np.zeros(n), np.zeros(len(keep))
+        for i, j, row, col, x in blocks():
+            z = np.bincount(row, weights=x * w[col], minlength=j - i) + bias
+            e[i:j] = 1 / (1 + np.exp(-z)) - toxic[i:j]
+            np.add.at(g, col, x * e[i:j][row])
+        g = np.append(g / n + ridge * w, e.mean())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         d = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w, bias = w - d[:-1], bias - d[-1]
@@ -140,9 +162,11 @@ def trained(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col
         if total > MAX_BYTES and last is not None:
             break
         last = r["h"]
-    got = rows.where(F.col("h") <= F.lit(last)).toArrow().sort_by("h")
+    got = rows.where(F.col("h") <= F.lit(last)).orderBy("h").select(F.coalesce("text", F.lit("")).alias("text"), "toxic").toArrow()
     forget(docs.sparkSession, rows)
-    return fit(text_column(got.column("text")).to_pylist(), np.array(got.column("toxic").to_pylist(), np.int64))
+    texts, toxic = got.column("text").to_pylist(), got.column("toxic").to_numpy().astype(np.int64)
+    del got  # the texts are held once while the model is fitted
+    return fit(texts, toxic)
 
 
 def scored(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -35,6 +36,16 @@ def test_scores_do_not_depend_on_the_batch():
     assert ((one >= 0) & (one <= 1)).all()
 
 
+def test_training_holds_little_on_the_driver():
+    texts, y = corpus(1200, 4)
+    texts = [" ".join([t] * 8) for t in texts]
+    tracemalloc.start()
+    toxicity.fit(texts, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # was 100 MB: every feature's figures at once, and three numbers for each feature of each text
+
+
 def test_training_without_both_kinds():
     for y in (np.zeros(0, int), np.zeros(3, int), np.ones(3, int)):
         s = toxicity.scores(toxicity.fit(["a b"] * len(y), y), ["", "anything"])
