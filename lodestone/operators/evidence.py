@@ -1,25 +1,73 @@
 """References to lines of files at any depth of nested documents, and what is wrong with them.
 
-Documents are VARIANT values. A frontier of objects and arrays goes down one level at a time, for all documents at once; it ends when no
-value is left that holds others. A level is one scan of the level above, without a shuffle."""
+One pass over the documents finds all references, without a shuffle and without tables between levels. Spark's VARIANT says which documents are JSON and
+reads the fields of each reference; a walk of the parsed document says where the references stand."""
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.storage import forget, settled
 from lodestone.operators import gate
 
 #: What makes an object a reference.
 FIELDS = ("path", "start_line", "end_line", "sha256")
+#: References that leave the walk at a time.
+ROWS = 4096
 
 
-def holds_others(value: str | Column) -> Column:
-    """Objects and arrays."""
-    return F.try_variant_get(value, "$", "array<variant>").isNotNull() | F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
+class Number(str):
+    """A number as it is written."""
+
+
+_decoder = json.JSONDecoder(parse_int=Number, parse_float=Number, strict=False)
+
+
+def text_of(value: object) -> str:
+    """The JSON of a parsed value, numbers as they were written."""
+    if isinstance(value, Number):
+        return str(value)
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k)}:{text_of(v)}" for k, v in value.items()) + "}"
+    return f"[{','.join(map(text_of, value))}]" if isinstance(value, list) else json.dumps(value)
+
+
+def places(document: str, name: str | None) -> Iterator[tuple[str | None, str]]:
+    """Where each object with all FIELDS stands, and the JSON of its FIELDS and root."""
+    left = [(name, _decoder.raw_decode(document.lstrip())[0])]
+    while left:
+        at, value = left.pop()
+        if isinstance(value, dict):
+            if all(f in value for f in FIELDS):
+                yield at, text_of({f: value[f] for f in (*FIELDS, "root") if f in value})
+            below = value.items()
+        else:
+            below = enumerate(value) if isinstance(value, list) else ()
+        left += ((f"{k}" if at is None else f"{at}.{k}", v) for k, v in below if isinstance(v, (dict, list)))
+
+
+def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        row, where, what = [], [], []
+
+        def made(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(where, pa.binary()).cast(pa.string()), pa.array(what, pa.string())], ["run_id", "location", "value"])
+
+        for i in range(batch.num_rows):
+            name = batch.column(1)[i].as_py()
+            for at, value in places(batch.column(2)[i].as_py(), name):
+                row.append(i)
+                where.append(None if at is None else at.encode("utf-8", "replace"))
+                what.append(value)
+                if len(row) == ROWS:
+                    yield made()
+                    row, where, what = [], [], []
+        if row:
+            yield made()
 
 
 def references(spark: SparkSession, documents: DataFrame) -> DataFrame:
@@ -28,23 +76,11 @@ def references(spark: SparkSession, documents: DataFrame) -> DataFrame:
 
     root is `project` where the object names none. Fields of another type are null. Null documents, and those that are no JSON, have no rows (see sources.artifacts.strict_json);
     repeated documents have theirs each time."""
-    level = documents.select("run_id", F.col("artifact").alias("location"), F.try_parse_json("document").alias("value")).where(holds_others("value"))
-    level = settled(spark, level, "level")
-    found = []
-    while not level.isEmpty():
-        has = reduce(lambda a, b: a & b, [F.try_variant_get("value", f"$.{f}", "variant").isNotNull() for f in FIELDS])
-        get = lambda f, kind: F.try_variant_get("value", f"$.{f}", kind).alias(f)
-        mine = level.where(has).select("run_id", "location", F.coalesce(get("root", "string"), F.lit("project")).alias("root"), get("path", "string"), get("start_line", "bigint"), get("end_line", "bigint"), get("sha256", "string"))
-        found.append(settled(spark, mine, "references"))
-        level.createOrReplaceTempView(view := f"level_{id(level)}")
-        below = spark.sql(f"select run_id, concat_ws('.', location, coalesce(x.key, cast(x.pos as string))) as location, x.value as value from {view}, lateral variant_explode(value) as x")
-        below = settled(spark, below.where(holds_others("value")), "level")
-        spark.catalog.dropTempView(view)
-        forget(spark, level)
-        level = below
-    if not found:
-        return spark.createDataFrame([], documents.select("run_id").schema).selectExpr("run_id", "'' location", "'' root", "'' path", "0L start_line", "0L end_line", "'' sha256").limit(0)
-    return reduce(DataFrame.unionByName, found)
+    rows = documents.select("run_id", F.col("artifact").cast("string").alias("artifact"), "document").where(F.try_parse_json("document").isNotNull())
+    rows = rows.mapInArrow(walked, f"run_id {documents.schema['run_id'].dataType.simpleString()}, location string, value string")
+    rows = rows.withColumn("value", F.parse_json("value"))
+    get = lambda f, kind: F.try_variant_get("value", f"$.{f}", kind).alias(f)
+    return rows.select("run_id", "location", F.coalesce(get("root", "string"), F.lit("project")).alias("root"), get("path", "string"), get("start_line", "bigint"), get("end_line", "bigint"), get("sha256", "string"))
 
 
 def problems(spark: SparkSession, documents: DataFrame, ledger: DataFrame) -> DataFrame:

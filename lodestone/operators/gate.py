@@ -160,13 +160,15 @@ def evidence_problems(refs: DataFrame, ledger: DataFrame) -> DataFrame:
     """refs (run_id, fact_id, root, path, start_line, end_line, sha256) against ledger (root, path, sha256, n_lines): rows with
     the first problem of each: absent path, lines, hash, file, drift, range."""
     known = ledger.select(F.coalesce("root", F.lit("project")).alias("root"), "path", F.col("sha256").alias("_sha"), "n_lines")
-    rows = refs.withColumn("root", F.coalesce("root", F.lit("project"))).join(known, ["root", "path"], "left")
-    problem = (
+    own = (
         F.when(F.col("path").isNull() | (F.trim("path") == ""), "no_path")
         .when(F.col("start_line").isNull() | F.col("end_line").isNull() | (F.col("start_line") < 1) | (F.col("end_line") < F.col("start_line")), "bad_lines")
         .when(F.col("sha256").isNull() | ~F.rlike("sha256", F.lit("^[0-9a-f]{64}$")), "bad_hash")
-        .when(F.col("_sha").isNull(), "not_an_input").when(F.col("_sha") != F.col("sha256"), "changed").when(F.col("end_line") > F.col("n_lines"), "beyond_end")
     )
+    # what references show by themselves goes to the join as one word, their hashes as bytes: a large ledger moves every reference
+    rows = refs.select("run_id", "fact_id", F.coalesce("root", F.lit("project")).alias("root"), "path", "end_line", own.alias("_own"), F.when(own.isNull(), F.unhex("sha256")).alias("_hash"))
+    rows = rows.join(known, ["root", "path"], "left")
+    problem = F.coalesce("_own", F.when(F.col("_sha").isNull(), "not_an_input").when(F.col("_sha") != F.lower(F.hex("_hash")), "changed").when(F.col("end_line") > F.col("n_lines"), "beyond_end"))
     return rows.withColumn("problem", problem).where("problem is not null").select("run_id", "fact_id", "root", "path", "problem")
 
 

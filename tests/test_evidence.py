@@ -1,6 +1,8 @@
 import json
 import random
+from pathlib import Path
 
+from lodestone.functions.storage import shared_folder
 from lodestone.operators import evidence
 
 
@@ -60,3 +62,16 @@ def test_problems_and_odd_tables(spark):
     assert evidence.problems(spark, rows.limit(0), ledger).count() == 0
     long = {"x": "y" * 3_000_000, "r": [deep] * 5}
     assert evidence.references(spark, spark.createDataFrame([(1, "f", json.dumps(long), "", 0)] * 2, kind)).count() == 10
+
+
+def test_references_are_found_in_one_pass_that_writes_nothing(spark):
+    kept = Path(shared_folder(spark).removeprefix("file://"))
+    before = set(kept.iterdir()) if kept.exists() else set()
+    ref = '{"path":1.50,"start_line":12345678901234567890,"end_line":3,"sha256":{"b":1,"a":[2]},"x\\ud83d\\ude00":[%s]}'
+    deep = ref % (ref % (ref % ""))
+    kind = "run_id long, artifact string, document string"
+    rows = spark.createDataFrame([(1, "f", " " + deep), (2, None, "[" * 40 + deep + "]" * 40), (3, "f", "[" * 40 + deep)], kind)
+    got = {(r["run_id"], r["location"]): r for r in evidence.references(spark, rows).collect()}
+    assert set(got) == {(1, "f" + ".x😀.0" * k) for k in range(3)} | {(2, ".".join(["0"] * 40) + ".x😀.0" * k) for k in range(3)}
+    assert {(r["path"], r["start_line"], r["end_line"], r["sha256"]) for r in got.values()} == {("1.5", None, 3, '{"a":[2],"b":1}')}
+    assert (set(kept.iterdir()) if kept.exists() else set()) == before  # each level was a table
